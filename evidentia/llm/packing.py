@@ -100,7 +100,7 @@ def pack(rows: DataFrame, capacity: int, groups: int, seed: int = 7) -> DataFram
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
         bins, offsets = first_fit_decreasing(df["length"].to_numpy(np.int64), capacity)
-        return df.assign(sequence_id=(df["_group"].astype("int64") << 32) + bins, offset=offsets).drop(columns="_group")
+        return df.assign(sequence_id=df["_group"].astype("int64") * (1 << 32) + bins, offset=offsets).drop(columns="_group")
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return dealt.groupBy("_group").applyInPandas(run, f"{fields}, sequence_id long, offset long")
