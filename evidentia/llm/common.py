@@ -94,18 +94,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+PIECE = 1 << 20  # items whose sums are taken at once
+BASE = np.uint64(0x9E3779B97F4A7C15)
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0 ... base ** n at least, modulo 2**64; a worker keeps the longest row up to PIECE."""
+    row = _POWERS.get(int(base))
+    if row is None or len(row) <= n:
+        row = np.full(max(n, PIECE) + 1, base, np.uint64)
+        row[0] = 1
+        np.multiply.accumulate(row, out=row)
+        if n <= PIECE:
+            _POWERS[int(base)] = row
+    return row
+
+
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for many spans at once, from prefix sums of a polynomial modulo 2**64."""
-    base = np.uint64(0x9E3779B97F4A7C15 | 1)
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    n = len(data)
-    powers = np.full(n + 1, base, np.uint64)
-    powers[0] = 1
-    np.multiply.accumulate(powers, out=powers)
-    back = np.full(n + 1, inverse, np.uint64)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * back[starts]
-    return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hashes of data[start:end] for many ascending spans, from prefix sums of a polynomial modulo 2**64."""
+    out = np.zeros(len(starts), np.uint64)
+    if not len(starts):
+        return out
+    cuts = np.r_[np.flatnonzero(np.diff(starts // PIECE, prepend=-1)), len(starts)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        lo, hi = int(starts[a]), int(ends[b - 1])
+        s, e, n = starts[a:b] - lo, ends[a:b] - lo, hi - lo
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * powers(BASE, n)[:n], out=sums[1:])
+        out[a:b] = mix64((sums[e] - sums[s]) * powers(INVERSE, n)[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return out
