@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, neardup, packing, sharding, token_counts, token_files, url_rules
-from .common import table
+from . import decontamination, media_ts, neardup, packing, sharding, token_counts, token_files, toxicity, url_rules, warc_zip
+from .common import table, written
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 END_ID = 2
@@ -59,6 +59,13 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(*toxicity.training_sample(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+    scored = toxicity.toxicity(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=85)
 
@@ -109,6 +116,42 @@ SELECT doc_id, n_bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix)
 """
 
 
+def op7_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    padded = docs.withColumn("payload", F.expr("rpad(text, greatest(64, cast(ceil(n_bytes / 64.0) * 64 as int)), X'00')"))
+    media, _ = written(media_ts.multiplexed(padded, "payload", ("doc_id", "n_bytes")), "media")
+    read = media_ts.parsed(media, "media", ("doc_id", "n_bytes", "media"))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        media_ts.feature().alias("feature"),
+    )
+
+
+def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.encode("html", "UTF-8").alias("payload"))
+    archives, _ = written(warc_zip.archived(warc_zip.with_revisits(pages)), "archives", "none")
+    return warc_zip.records(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), spelled AS (
+  SELECT page_id, payload_bytes, array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1) FOR s IN [15, 10, 5, 0]], '') FOR v IN [('0x' || substr(h, 5 * k + 1, 5))::INTEGER FOR k IN range(0, 8)]], '') AS payload_digest FROM hashed
+), firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM spelled
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM firsts
+"""
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counts = token_counts.token_counts(docs, public_tokenizers.path(BYTE_BPE))
@@ -139,6 +182,6 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_packing, op3_decontamination, op5_neardup, op6_sharding, op9_token_counts, op10_url_rules)
+    f.__name__: f for f in (op1_token_files, op2_packing, op3_decontamination, op4_toxicity, op5_neardup, op6_sharding, op7_media_ts, op8_warc_zip, op9_token_counts, op10_url_rules)
 }
-ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op5_neardup": OP5_SQL, "op6_sharding": OP6_SQL, "op10_url_rules": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op5_neardup": OP5_SQL, "op6_sharding": OP6_SQL, "op8_warc_zip": OP8_SQL, "op10_url_rules": OP10_SQL}
