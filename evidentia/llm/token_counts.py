@@ -13,7 +13,6 @@ a row each. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import column, slices, written
 from .words import encoder
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BLOCKS = "block string, doc_ids array<bigint>, doc_bytes array<bigint>, fixed array<bigint>, sizes array<int>, pieces array<string>, which binary, often binary"
 
 
@@ -41,24 +40,21 @@ def frequency_blocks(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_B
         enc, n = encoder(tokenizer), 0
         for batch in batches:
             for part in slices(batch, "text", block_bytes):
-                seen: dict[str, int] = {}
-                sizes, fixed, lengths, which, often = [], [], [], [], []
-                for text in column(part, "text").to_pylist():
-                    text = text or ""
-                    lengths.append(len(text.encode()))
-                    if enc.plain(text):
-                        got = Counter(enc.pieces(text))
-                        fixed.append(0)
-                    else:
-                        got = {}
-                        fixed.append(len(enc.tok.encode(text, add_special_tokens=False).ids))
-                    sizes.append(len(got))
-                    which.append(np.fromiter((seen.setdefault(p, len(seen)) for p in got), np.uint32, len(got)))
-                    often.append(np.fromiter(got.values(), np.uint32, len(got)))
+                texts = [t or "" for t in column(part, "text").to_pylist()]
+                plain = np.array([enc.plain(t) for t in texts], bool)
+                line, starts, ends, hashes, cut = enc.cut([t for t, p in zip(texts, plain) if p])
+                _, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+                pieces = [line[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+                pairs, often = np.unique(np.repeat(np.arange(len(cut)), cut) * max(1, len(first)) + where, return_counts=True)
+                sizes = np.zeros(len(texts), np.int64)
+                sizes[plain] = np.bincount(pairs // max(1, len(first)), minlength=len(cut))
+                which = (pairs % max(1, len(first))).astype(np.uint32)
+                fixed = [0 if p else len(enc.tok.encode(t, add_special_tokens=False).ids) for t, p in zip(texts, plain)]
+                lengths = [len(t.encode()) for t in texts]
                 name = f"{TaskContext.get().partitionId()}-{n}"
                 n += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name]), pa.array([column(part, "doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([fixed], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([list(seen)], pa.list_(pa.string())), pa.array([np.concatenate(which).tobytes()], pa.binary()), pa.array([np.concatenate(often).tobytes()], pa.binary())],
+                    [pa.array([name]), pa.array([column(part, "doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([fixed], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([pieces], pa.list_(pa.string())), pa.array([which.tobytes()], pa.binary()), pa.array([often.astype(np.uint32).tobytes()], pa.binary())],
                     [f.split()[0] for f in BLOCKS.split(", ")],
                 )
 
@@ -69,9 +65,9 @@ def piece_counts(pieces: DataFrame, tokenizer: str) -> DataFrame:
     """pieces (piece) with n, how many tokens the tokenizer makes of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = encoder(tokenizer).tok
+        enc = encoder(tokenizer)
         for batch in batches:
-            n = [len(e.ids) for e in tok.encode_batch(column(batch, "piece").to_pylist(), add_special_tokens=False)]
+            n = [len(x) for x in enc.piece_ids(column(batch, "piece").to_pylist())]
             yield pa.RecordBatch.from_arrays([column(batch, "piece"), pa.array(n, pa.int32())], ["piece", "n"])
 
     return pieces.mapInArrow(run, "piece string, n int")

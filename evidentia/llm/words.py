@@ -2,28 +2,45 @@
 
 A BPE tokenizer of the `tokenizers` library never merges across pre-tokens, so
 the ids of a text are the ids of its pre-tokens one after the other. Texts made
-of a plain set of characters are cut by a compiled pattern and each distinct
-pre-token is encoded by the library once; every other text (rare scripts,
-unusual spaces, special strings) goes to the library as it is.
+of a plain set of characters are cut into pre-tokens many at a time, and each
+distinct pre-token is encoded by the library once; every other text (rare
+scripts, unusual spaces, special strings) goes to the library as it is.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
-#: Characters for which Python's classes and those of the tokenizers agree.
-PLAIN = re.compile("[^\\t\\n\\r\\x20-\\x7e¡«»¿-ÖØ-öø-įĲ-ňŊ-ž–—‘’“”…€]")
-CONTROL = re.compile("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]")
-#: The published pre-token patterns of the two vocabularies, with Python's names for the classes.
-PATTERNS = {
-    "bytes": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"),
-    "words": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"),
-}
-MEMO = 400_000  # distinct pre-tokens that a worker remembers
+from .common import span_hashes
+
+#: Classes of characters.
+BREAK, LETTER, DIGIT, OTHER, SPACE, ODD = range(6)
+#: The characters on whose class every library agrees; all others are ODD.
+KIND = np.full(1 << 16, ODD, np.uint8)
+for _first, _last, _class in (("!", "~", OTHER), ("0", "9", DIGIT), ("A", "Z", LETTER), ("a", "z", LETTER), ("À", "Ö", LETTER), ("Ø", "ö", LETTER), ("ø", "į", LETTER), ("Ĳ", "ň", LETTER), ("Ŋ", "ž", LETTER)):
+    KIND[ord(_first) : ord(_last) + 1] = _class
+for _char in "¡«»¿×÷–—‘’“”…€":
+    KIND[ord(_char)] = OTHER
+for _char in "\t\n\r ":
+    KIND[ord(_char)] = SPACE
+KIND[0] = BREAK  # stands between texts
+#: Endings after an apostrophe that the published pattern keeps as pre-tokens.
+ENDINGS = (("s",), ("t",), ("m",), ("d",), ("r", "e"), ("v", "e"), ("l", "l"))
+MEMO = 1_000_000  # distinct pre-tokens that a worker remembers
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in byte-level vocabularies: itself, or the next free one from 256."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+LETTERS = byte_letters()
 
 
 @lru_cache(maxsize=4)
@@ -47,64 +64,105 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[int, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 15, np.int64)
-        self.at[0] = 0
 
     def plain(self, text: str) -> bool:
-        """Whether the compiled pattern cuts the text as the library would."""
-        if self.kind is None or any(s in text for s in ("<|", *self.special)):
+        """Whether cut() cuts the text as the library would."""
+        if self.kind is None or "\0" in text or any(s in text for s in ("<|", *self.special)):
+            return False
+        try:
+            return not (KIND[np.frombuffer(text.encode("utf-16-le"), "<u2")] == ODD).any()
+        except UnicodeEncodeError:
             return False
-        return not (CONTROL if text.isascii() else PLAIN).search(text)
-
-    def pieces(self, text: str) -> list[str]:
-        """Pre-tokens of a plain text."""
-        return PATTERNS[self.kind].findall(text.lower() if self.kind == "words" else text)
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if not new:
-            return
-        ids = [e.ids for e in self.tok.encode_batch(new, add_special_tokens=False)]
-        n, k = len(self.known), len(new)
+
+    def cut(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All plain texts as one line, its pre-tokens' first and end characters, their hashes, and how many each text has."""
+        line = "\0".join(texts) + "\0"
+        if self.kind == "words":
+            line = line.lower()  # keeps the length of plain texts
+        c = np.frombuffer(line.encode("utf-16-le"), "<u2")
+        k = KIND[c]
+        start = np.empty(len(c), bool)
+        start[0] = True
+        np.not_equal(k[1:], k[:-1], out=start[1:])
+        visible = (k >= LETTER) & (k <= OTHER)
+        joined = np.zeros(len(c), bool)  # a blank that belongs to the pre-token after it
+        if self.kind == "bytes":
+            joined[:-1] = (c[:-1] == 0x20) & visible[1:]
+            start[1:] &= ~joined[:-1]
+            start[:-1] |= (k[:-1] == SPACE) & visible[1:]
+        else:
+            start |= k == DIGIT
+        quote = np.flatnonzero((c == 0x27) & start)
+        quote = quote[~joined[quote - 1] | (quote == 0)] if self.kind == "bytes" else quote
+        tail = np.r_[c, np.zeros(3, c.dtype)]
+        for ending in ENDINGS:
+            q = quote
+            for j, letter in enumerate(ending):
+                q = q[tail[q + 1 + j] == ord(letter)]
+            start[q + 1] = False
+            after = q + 1 + len(ending)
+            start[after[k[after] == LETTER]] = True
+        edges = np.r_[np.flatnonzero(start), len(c)]
+        starts, ends = edges[:-1], edges[1:]
+        kept = k[starts] != BREAK if self.kind == "bytes" else visible[starts]
+        starts, ends = starts[kept], ends[kept]
+        sizes = np.diff(np.searchsorted(starts, np.r_[0, np.flatnonzero(c == 0)]))
+        return line, starts, ends, span_hashes(c, starts, ends), sizes
+
+    def piece_ids(self, pieces: list[str]) -> list[list[int]]:
+        """The model's ids of each pre-token of plain texts."""
+        if not pieces:
+            return []
+        spelled = "\0".join(pieces).encode().decode("latin-1").translate(LETTERS).split(LETTERS[0])
+        tokenize = self.tok.model.tokenize
+        return [[t.id for t in tokenize(w)] for w in spelled]
+
+    def learn(self, line: str, starts: np.ndarray, ends: np.ndarray, hashes: list[int]) -> None:
+        """Encodes new pre-tokens of the line."""
+        got = self.piece_ids([line[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
+        n, k = len(self.known), len(got)
         if n + k + 1 > len(self.at):
             self.at = np.concatenate([self.at, np.zeros(max(len(self.at), n + k + 1), np.int64)])
-        self.at[n + 1 : n + k + 1] = self.at[n] + np.cumsum([len(x) for x in ids])
+        self.at[n + 1 : n + k + 1] = self.at[n] + np.cumsum([len(x) for x in got])
         end = int(self.at[n + k])
         if end > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), end), np.uint32)])
-        self.flat[int(self.at[n]) : end] = [i for x in ids for i in x]
-        self.known.update(zip(new, range(n, n + k)))
+        self.flat[int(self.at[n]) : end] = list(chain.from_iterable(got))
+        self.known.update(zip(hashes, range(n, n + k)))
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """The library's ids of each whole text (null: none), as uint32."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        cut, rest = {}, []
+        plain = []
         for i, t in enumerate(texts):
             if not t:
                 out[i] = np.zeros(0, np.uint32)
             elif self.plain(t):
-                cut[i] = self.pieces(t)
+                plain.append(i)
             else:
-                rest.append(i)
-        for i in rest:
-            out[i] = np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-        if cut:
+                out[i] = np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32)
+        if plain:
             if len(self.known) > MEMO:
                 self.forget()
-            words: set[str] = set()
-            for p in cut.values():
-                words.update(p)
-            self.learn(words)
-            counts = np.array([len(p) for p in cut.values()])
-            which = np.fromiter((k for p in cut.values() for k in map(self.known.__getitem__, p)), np.int64, int(counts.sum()))
-            first = self.at[which]
-            sizes = self.at[which + 1] - first
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            flat = self.flat[np.repeat(first - (ends - sizes), sizes) + np.arange(total)]
-            edges = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
-            for k, i in enumerate(cut):
+            line, starts, ends, hashes, sizes = self.cut([texts[i] for i in plain])
+            unique, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+            named = unique.tolist()
+            slot = np.fromiter(map(self.known.get, named, [-1] * len(named)), np.int64, len(named))
+            new = np.flatnonzero(slot < 0)
+            if len(new):
+                n = len(self.known)
+                self.learn(line, starts[first[new]], ends[first[new]], unique[new].tolist())
+                slot[new] = np.arange(n, n + len(new))
+            which = slot[where]
+            begin = self.at[which]
+            n_ids = self.at[which + 1] - begin
+            stop = np.cumsum(n_ids)
+            total = int(stop[-1]) if len(stop) else 0
+            flat = self.flat[np.repeat(begin - (stop - n_ids), n_ids) + np.arange(total)]
+            edges = np.r_[0, stop][np.r_[0, np.cumsum(sizes)]]
+            for k, i in enumerate(plain):
                 out[i] = flat[edges[k] : edges[k + 1]]
         return out
