@@ -17,8 +17,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,13 +97,14 @@ def pack(rows: DataFrame, capacity: int, groups: int, seed: int = 7) -> DataFram
         raise ValueError("rows already has sequence_id, offset or _group")
     dealt = rows.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start"), F.lit(groups)).cast("int"))
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
-        bins, offsets = first_fit_decreasing(df["length"].to_numpy(np.int64), capacity)
-        return df.assign(sequence_id=df["_group"].astype("int64") * (1 << 32) + bins, offset=offsets).drop(columns="_group")
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")]))
+        bins, offsets = first_fit_decreasing(t["length"].to_numpy(), capacity)
+        first = t["_group"][0].as_py() << 32
+        return t.drop_columns("_group").append_column("sequence_id", pa.array(bins + first, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return dealt.groupBy("_group").applyInPandas(run, f"{fields}, sequence_id long, offset long")
+    return dealt.groupBy("_group").applyInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int | None = None, group: int = GROUP) -> DataFrame:

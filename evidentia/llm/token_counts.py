@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,16 +79,19 @@ def token_counts(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTES
     counts = piece_counts(wanted.select("piece").distinct(), tokenizer)
     found = wanted.join(counts, "piece").select("block", "at", "n")
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame({"doc_id": [], "n_bytes": [], "n_tokens": []})
-        row = left.iloc[0]
-        n = np.zeros(len(right) + 1, np.int64)
-        n[right["at"].to_numpy()] = right["n"].to_numpy()
-        terms = np.r_[0, np.cumsum(n[np.frombuffer(row["which"], np.uint32)] * np.frombuffer(row["often"], np.uint32))]
-        ends = np.cumsum(row["sizes"])
-        totals = terms[ends] - terms[ends - row["sizes"]] + np.asarray(row["fixed"])
-        return pd.DataFrame({"doc_id": pd.array([None if d is None or d != d else int(d) for d in row["doc_ids"]], dtype="Int64"), "n_bytes": row["doc_bytes"], "n_tokens": totals})
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.to_batches():
+            for i in range(row.num_rows):
+                got = {c: column(row, c)[i] for c in ("doc_ids", "doc_bytes", "fixed", "sizes", "which", "often")}
+                n = np.zeros(right.num_rows + 1, np.int64)
+                n[right["at"].to_numpy()] = right["n"].to_numpy()
+                terms = np.r_[0, np.cumsum(n[np.frombuffer(got["which"].as_buffer(), np.uint32)] * np.frombuffer(got["often"].as_buffer(), np.uint32))]
+                sizes = got["sizes"].values.to_numpy().astype(np.int64)
+                ends = np.cumsum(sizes)
+                totals = terms[ends] - terms[ends - sizes] + got["fixed"].values.to_numpy()
+                out.append(pa.table([got["doc_ids"].values, got["doc_bytes"].values, pa.array(totals, pa.int64())], ["doc_id", "n_bytes", "n_tokens"]))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64())] * 3, ["doc_id", "n_bytes", "n_tokens"])
 
     slim = docs.sparkSession.read.schema(blocks.schema).parquet(path).drop("pieces")  # a second reading has columns of its own
-    return slim.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(run, "doc_id long, n_bytes long, n_tokens long")
+    return slim.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, "doc_id long, n_bytes long, n_tokens long")
