@@ -1,0 +1,6 @@
+"""Named queries over the parquet tables. Importing this package registers all of them."""
+
+from . import text_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
