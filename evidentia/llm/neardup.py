@@ -126,7 +126,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, one long, two long, bands array<bigint>")
 
 
-def similar_pairs(sets: list[np.ndarray], percent: int, apart: np.ndarray | None = None) -> list[tuple[int, int]]:
+def similar_pairs(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Pairs i < j of sets with 100 * intersection >= percent * union."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
@@ -150,8 +150,30 @@ def similar_pairs(sets: list[np.ndarray], percent: int, apart: np.ndarray | None
     return list(zip(*(x.tolist() for x in np.nonzero(hit))))
 
 
+def forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """As many of the pairs as join the same items: the others close circles."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    out = []
+    for a, b in pairs:
+        x, y = top(a), top(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((min(a, b), max(a, b)))
+    return out
+
+
 def confirmed(requests: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b), a < b, between documents of one group of requests (centre, chunk, batch, doc) whose sets are similar."""
+    """Links (a, b), a < b, between documents of one group of requests (centre, chunk, batch, doc) whose sets are similar.
+
+    All pairs of a group are compared; of the links found, those stay that hold its components together.
+    """
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         sets = []
@@ -160,8 +182,7 @@ def confirmed(requests: DataFrame, docs: DataFrame, size: int, percent: int) ->
             words, _ = word_hashes(data, np.array([0, len(data)]))
             sets.append(shingle_set(words, size))
         ids = df["doc"].to_numpy(np.int64)
-        pairs = [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in similar_pairs(sets, percent) if ids[i] != ids[j]]
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(forest([(int(ids[i]), int(ids[j])) for i, j in similar_pairs(sets, percent)]), columns=["a", "b"], dtype="int64")
 
     texts = requests.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc")
     return texts.groupBy("centre", "chunk", "batch").applyInPandas(run, "a long, b long")
