@@ -169,7 +169,7 @@ def forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def confirmed(requests: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def confirmed(requests: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b), a < b, between documents of one group of requests (centre, chunk, batch, doc) whose sets are similar.
 
     All pairs of a group are compared; of the links found, those stay that hold its components together.
@@ -184,8 +184,7 @@ def confirmed(requests: DataFrame, docs: DataFrame, size: int, percent: int) ->
         ids = df["doc"].to_numpy(np.int64)
         return pd.DataFrame(forest([(int(ids[i]), int(ids[j])) for i, j in similar_pairs(sets, percent)]), columns=["a", "b"], dtype="int64")
 
-    texts = requests.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc")
-    return texts.groupBy("centre", "chunk", "batch").applyInPandas(run, "a long, b long")
+    return requests.join(texts.hint("merge"), "doc").groupBy("centre", "chunk", "batch").applyInPandas(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -224,7 +223,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, chunk: in
     sizes = stars.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(float(chunk))).cast("int").alias("chunks"))
     members, _ = written(stars.join(sizes, "centre").select("centre", "doc", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int").alias("chunk"), "chunks"), "members")
     requests = members.select("centre", "chunk", "doc").unionByName(members.select("centre", "chunk", F.col("centre").alias("doc")).distinct()).withColumn("batch", F.lit(-1))
-    links, _ = written(confirmed(requests, docs, size, percent), "links")
+    # Candidates' texts are dealt out once. Their ids grow with the documents, so they are never broadcast.
+    wanted = requests.select("doc").distinct().hint("merge")
+    texts, _ = written(docs.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc", "left_semi"), "texts")
+    links, _ = written(confirmed(requests, texts, size, percent), "links")
 
     wide = members.where("chunks > 1").select("centre", "chunk", "doc")
     if wide.take(1):
@@ -238,7 +240,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, chunk: in
             rest, _ = written(rest.select("centre", "batch", "doc"), "rest")
             groups = rest.select("centre", "batch").distinct().join(named.select("centre", "chunk").distinct(), "centre")
             again = groups.join(rest, ["centre", "batch"]).select("centre", "chunk", "batch", "doc").unionByName(groups.join(named.select("centre", "chunk", "doc"), ["centre", "chunk"]).select("centre", "chunk", "batch", "doc")).distinct()
-            links = links.unionByName(confirmed(again, docs, size, percent)).distinct()
+            links = links.unionByName(confirmed(again, texts, size, percent)).distinct()
     label = components(links).select(F.col("node").alias("doc"), "component")
     by_set = nodes.join(label, "doc", "left").select("one", "two", "n_shingles", F.coalesce("component", "doc").alias("_component"))
     out = rows.select("doc_id", "n_shingles", "one", "two").join(by_set, ["one", "two", "n_shingles"], "left")
