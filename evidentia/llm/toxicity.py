@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import column, slices, span_hashes
 
-SAMPLE = 2000
+SAMPLE = 1500
 LONGEST = 100_000
 SPAN = 4
 SIZES = (3, 4, 5)
@@ -59,8 +59,14 @@ def word_spans(texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray, np
     return line, starts, ends, np.searchsorted(starts, at)
 
 
-def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of the words, and the n + 1 offsets of each word's."""
+def ngrams(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all n-grams of the words, and the n + 1 offsets of each word's; done in parts to bound memory."""
+    parts = [part_ngrams(words[i : i + at_once]) for i in range(0, len(words), at_once)] or [(np.zeros(0, np.int32), np.zeros(1, np.int64))]
+    sizes = np.concatenate([np.diff(cut) for _, cut in parts])
+    return np.concatenate([b for b, _ in parts]), np.r_[0, np.cumsum(sizes)]
+
+
+def part_ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     marked = [f"\1{w}\2" for w in words]
     c = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), "<u4")
     lengths = np.array([len(w) for w in marked], np.int64)
@@ -79,12 +85,14 @@ def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(found)[order] % np.uint64(BUCKETS)).astype(np.int32), np.searchsorted(whose[order], np.arange(len(words) + 1))
 
 
-def means(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Means of values[at[i]:at[i + 1]], 0 for none; values may be rows of vectors."""
-    sums = np.zeros((len(values) + 1, *values.shape[1:]))
-    np.cumsum(values, axis=0, out=sums[1:])
-    n = np.maximum(np.diff(at), 1).reshape(-1, *[1] * (values.ndim - 1))
-    return (sums[at[1:]] - sums[at[:-1]]) / n
+def values_of(gram: np.ndarray, buckets: np.ndarray, cut: np.ndarray, at_once: int = 50_000) -> np.ndarray:
+    """Mean of the numbers of each word's n-grams."""
+    out = np.zeros(len(cut) - 1)
+    for i in range(0, len(out), at_once):
+        c = cut[i : i + at_once + 1]
+        sums = np.r_[0, np.cumsum(gram[buckets[c[0] : c[-1]]], dtype=np.float64)]
+        out[i : i + at_once] = (sums[c[1:] - c[0]] - sums[c[:-1] - c[0]]) / np.maximum(np.diff(c), 1)
+    return out
 
 
 def top_spans(values: np.ndarray, at: np.ndarray, size: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +122,7 @@ class Model:
     known: dict | None = None
 
     def word_values(self, words: list[str]) -> np.ndarray:
-        buckets, at = ngrams(words)
-        return means(self.gram[buckets].astype(np.float64), at)
+        return values_of(self.gram, *ngrams(words))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.known is None or len(self.known) > MEMO:
@@ -165,14 +172,12 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 1, rounds: int = 3, epo
     _, first, word = np.unique(span_hashes(c, starts, ends), return_index=True, return_inverse=True)
     vocabulary = [line[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
     buckets, cut = ngrams(vocabulary)
-    doc = np.repeat(np.arange(len(texts)), np.diff(at))
-    pairs = np.unique(doc.astype(np.int64) * len(vocabulary) + word)  # in how many documents an n-gram occurs
-    which = pairs % len(vocabulary)
-    sizes = np.diff(cut)[which]
-    flat = np.repeat(cut[which] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-    in_docs = np.unique(np.repeat(pairs // len(vocabulary), sizes) * BUCKETS + buckets[flat]) % BUCKETS
-    trained = np.bincount(in_docs, minlength=BUCKETS) >= LEAST_DOCS
-    del pairs, which, sizes, flat, in_docs
+    in_docs = np.zeros(BUCKETS, np.int64)  # in how many documents an n-gram occurs
+    for a, b in zip(at[:-1], at[1:]):
+        ws = np.unique(word[a:b])
+        n = cut[ws + 1] - cut[ws]
+        in_docs[np.unique(buckets[np.repeat(cut[ws] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])] += 1
+    trained = in_docs >= LEAST_DOCS
 
     vectors = (rng.standard_normal((BUCKETS, WIDTH)) * 0.05).astype(np.float32) * trained[:, None]
     softmax, bias = np.zeros((WIDTH, 2), np.float32), np.zeros(2, np.float32)
@@ -202,7 +207,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 1, rounds: int = 3, epo
                 batch = order[lo : lo + 256]
                 lens = np.array([len(spans[i]) for i in batch])
                 ws = np.concatenate([spans[i] for i in batch])
-                n = np.diff(all_cut)[ws]
+                n = all_cut[ws + 1] - all_cut[ws]
                 flat = all_buckets[np.repeat(all_cut[ws] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
                 row = np.repeat(np.repeat(np.arange(len(batch)), lens), n)
                 share = np.repeat(1 / (n * np.repeat(lens, lens)), n)
@@ -226,8 +231,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 1, rounds: int = 3, epo
                 vectors[used] -= rate * step / np.sqrt(squares[used])[:, None]
 
     def word_values() -> np.ndarray:
-        gram = vectors @ (softmax[:, 1] - softmax[:, 0])
-        return means(gram[buckets].astype(np.float64), cut)
+        return values_of(vectors @ (softmax[:, 1] - softmax[:, 0]), buckets, cut)
 
     softmax += rng.standard_normal(softmax.shape).astype(np.float32) * 0.5
     bad, good = np.flatnonzero(toxic), np.flatnonzero(~toxic)
@@ -262,9 +266,9 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 1, rounds: int = 3, epo
                 positive.append(changed)
     train(positive + negative, np.r_[np.ones(len(positive), np.int64), np.zeros(len(negative), np.int64)], 1)
     gram = vectors @ (softmax[:, 1] - softmax[:, 0])
-    best, _ = top_spans(means(gram[buckets].astype(np.float64), cut)[word], at)
-    more, more_cut = ngrams(extra)
-    every = np.r_[means(gram[buckets].astype(np.float64), cut), means(gram[more].astype(np.float64), more_cut)]
+    plain = values_of(gram, buckets, cut)
+    best, _ = top_spans(plain[word], at)
+    every = np.r_[plain, values_of(gram, *ngrams(extra))]
     changed = np.array([every[x].mean() for x in positive if (x >= limit).any()])
     scale, shift = logistic(np.r_[best, changed], np.r_[toxic, np.ones(len(changed), bool)])
     return Model(gram.astype(np.float32), scale, shift)
