@@ -2,10 +2,11 @@
 
 Documents are cut into pre-tokens block by block. A block keeps its distinct
 pre-tokens once, and for each document which of them it has and how often. Each
-pre-token of the corpus is then counted by the tokenizer once, the counts are
-joined back to the blocks, and a document's tokens are the sum of frequency times
-count. Ids are never stored, and a block is at most BLOCK_BYTES of text (or one
-document), so no task holds more than that.
+block asks for the counts of its pre-tokens: lists of them are dealt out by the
+pre-tokens' hashes, so that equal ones meet in one task, which counts each of them
+once by the tokenizer. The counts are joined back to the blocks, and a document's
+tokens are the sum of frequency times count. Ids are never stored, and a block is
+at most BLOCK_BYTES of text (or one document), so no task holds more than that.
 
 Nulls: a null text is an empty text with no tokens. Null and repeated doc_ids give
 a row each. An empty table gives an empty result. Other columns are ignored.
@@ -13,6 +14,7 @@ a row each. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +25,28 @@ from pyspark.sql import functions as F
 from .common import column, slices, written
 from .words import encoder
 
-BLOCK_BYTES = 4 << 20
-BLOCKS = "block string, doc_ids array<bigint>, doc_bytes array<bigint>, fixed array<bigint>, sizes array<int>, pieces array<string>, which binary, often binary"
+BLOCK_BYTES = 8 << 20
+BUCKET_BITS = 10  # pre-tokens are dealt out by so many bits of their hash
+MEMO = 1_000_000  # distinct pre-tokens that a task remembers
+BLOCKS = "block string, doc_ids array<bigint>, doc_bytes array<bigint>, fixed array<bigint>, sizes array<int>, steps binary, often binary, lists array<struct<bucket:int,pieces:binary>>"
+LISTS = pa.list_(pa.struct([("bucket", pa.int32()), ("pieces", pa.binary())]))
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers in 2 bytes each if they fit, else in 4, compressed, with the width in front."""
+    kind = np.uint16 if not len(values) or values.max() < 1 << 16 else np.uint32
+    return bytes([np.dtype(kind).itemsize]) + zlib.compress(values.astype(kind).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(memoryview(data)[1:]), np.uint16 if data[0] == 2 else np.uint32).astype(np.int64)
 
 
 def frequency_blocks(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row a block: its documents, its distinct pre-tokens, and per document (sizes of them) which and how often.
+    """One row a block: its documents, its distinct pre-tokens by bucket, and what each document has of them.
 
-    `fixed` is the count of texts that can't be cut by pattern; the library counts these whole.
+    Of a document's `sizes` pre-tokens, `steps` are the differences of their ascending numbers within the block and
+    `often` their frequencies, both packed; so are a list's pieces. `fixed` is the count of texts that can't be cut by pattern; the library counts these whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,56 +58,67 @@ def frequency_blocks(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_B
                 texts = [t or "" for t in column(part, "text").to_pylist()]
                 plain = np.array([enc.plain(t) for t in texts], bool)
                 line, starts, ends, hashes, cut = enc.cut([t for t, p in zip(texts, plain) if p])
-                _, first, where = np.unique(hashes, return_index=True, return_inverse=True)
-                pieces = [line[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-                pairs, often = np.unique(np.repeat(np.arange(len(cut)), cut) * max(1, len(first)) + where, return_counts=True)
+                unique, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+                width = max(1, len(unique))
+                pairs, often = np.unique(np.repeat(np.arange(len(cut)), cut) * width + where, return_counts=True)
                 sizes = np.zeros(len(texts), np.int64)
-                sizes[plain] = np.bincount(pairs // max(1, len(first)), minlength=len(cut))
-                which = (pairs % max(1, len(first))).astype(np.uint32)
+                sizes[plain] = np.bincount(pairs // width, minlength=len(cut))
+                steps = np.diff(pairs % width, prepend=0)
+                heads = (np.cumsum(sizes) - sizes)[sizes > 0]
+                steps[heads] = (pairs % width)[heads]
+                buckets = (unique >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)  # ascending, as the hashes are
+                edges = np.r_[np.flatnonzero(np.diff(buckets, prepend=-1)), len(unique)]
+                pieces = [line[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+                lists = [{"bucket": int(buckets[a]), "pieces": zlib.compress("\0".join(pieces[a:b]).encode(), 1)} for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
                 fixed = [0 if p else len(enc.tok.encode(t, add_special_tokens=False).ids) for t, p in zip(texts, plain)]
-                lengths = [len(t.encode()) for t in texts]
-                name = f"{TaskContext.get().partitionId()}-{n}"
+                values = [f"{TaskContext.get().partitionId()}-{n}", column(part, "doc_id").to_pylist(), [len(t.encode()) for t in texts], fixed, sizes.tolist(), packed(steps), packed(often), lists]
+                types = [pa.string(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.int32()), pa.binary(), pa.binary(), LISTS]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], ["block", "doc_ids", "doc_bytes", "fixed", "sizes", "steps", "often", "lists"])
                 n += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name]), pa.array([column(part, "doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([fixed], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([pieces], pa.list_(pa.string())), pa.array([which.tobytes()], pa.binary()), pa.array([often.astype(np.uint32).tobytes()], pa.binary())],
-                    [f.split()[0] for f in BLOCKS.split(", ")],
-                )
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, BLOCKS)
 
 
-def piece_counts(pieces: DataFrame, tokenizer: str) -> DataFrame:
-    """pieces (piece) with n, how many tokens the tokenizer makes of each."""
+def piece_counts(lists: DataFrame, tokenizer: str) -> DataFrame:
+    """lists (block, bucket, pieces) with n, packed, in place of the pieces: how many tokens the tokenizer makes of each.
+
+    All lists of a bucket come to one task, which counts each distinct pre-token once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc, known = encoder(tokenizer), {}
         for batch in batches:
-            n = [len(x) for x in enc.piece_ids(column(batch, "piece").to_pylist())]
-            yield pa.RecordBatch.from_arrays([column(batch, "piece"), pa.array(n, pa.int32())], ["piece", "n"])
+            wanted = [zlib.decompress(p).decode().split("\0") for p in column(batch, "pieces").to_pylist()]
+            new = list({p for pieces in wanted for p in pieces if p not in known})
+            if len(known) + len(new) > MEMO:
+                known, new = {}, list({p for pieces in wanted for p in pieces})
+            known.update(zip(new, map(len, enc.piece_ids(new))))
+            n = [packed(np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))) for pieces in wanted]
+            yield pa.RecordBatch.from_arrays([column(batch, "block"), column(batch, "bucket"), pa.array(n, pa.binary())], ["block", "bucket", "n"])
 
-    return pieces.mapInArrow(run, "piece string, n int")
+    return lists.repartition("bucket").mapInArrow(run, "block string, bucket int, n binary")
 
 
 def token_counts(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes and n_tokens of each document."""
     blocks, path = written(frequency_blocks(docs, tokenizer, block_bytes), "blocks")
-    wanted = blocks.select("block", F.posexplode("pieces").alias("at", "piece"))
-    counts = piece_counts(wanted.select("piece").distinct(), tokenizer)
-    found = wanted.join(counts, "piece").select("block", "at", "n")
+    counts = piece_counts(blocks.select("block", F.inline("lists")), tokenizer)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
+        n = np.concatenate([unpacked(b.as_py()) for b in right.sort_by("bucket")["n"]] or [np.zeros(0, np.int64)])
         for row in left.to_batches():
             for i in range(row.num_rows):
-                got = {c: column(row, c)[i] for c in ("doc_ids", "doc_bytes", "fixed", "sizes", "which", "often")}
-                n = np.zeros(right.num_rows + 1, np.int64)
-                n[right["at"].to_numpy()] = right["n"].to_numpy()
-                terms = np.r_[0, np.cumsum(n[np.frombuffer(got["which"].as_buffer(), np.uint32)] * np.frombuffer(got["often"].as_buffer(), np.uint32))]
+                got = {c: column(row, c)[i] for c in ("doc_ids", "doc_bytes", "fixed", "sizes", "steps", "often")}
                 sizes = got["sizes"].values.to_numpy().astype(np.int64)
                 ends = np.cumsum(sizes)
+                steps = np.cumsum(unpacked(got["steps"].as_py()))
+                heads = (ends - sizes)[sizes > 0]
+                base = np.repeat(np.r_[0, steps[heads[1:] - 1]] if len(heads) else heads, sizes[sizes > 0])
+                terms = np.r_[0, np.cumsum(n[steps - base] * unpacked(got["often"].as_py()))]
                 totals = terms[ends] - terms[ends - sizes] + got["fixed"].values.to_numpy()
                 out.append(pa.table([got["doc_ids"].values, got["doc_bytes"].values, pa.array(totals, pa.int64())], ["doc_id", "n_bytes", "n_tokens"]))
         return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64())] * 3, ["doc_id", "n_bytes", "n_tokens"])
 
-    slim = docs.sparkSession.read.schema(blocks.schema).parquet(path).drop("pieces")  # a second reading has columns of its own
-    return slim.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    slim = docs.sparkSession.read.schema(blocks.schema).parquet(path).drop("lists")  # a second reading has columns of its own
+    return slim.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(run, "doc_id long, n_bytes long, n_tokens long")
