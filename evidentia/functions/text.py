@@ -29,7 +29,7 @@ def display_text(value: Column) -> Column:
     c = F.regexp_replace(c, BLANKS, " ")
     c = F.regexp_replace(c, "[\\x00-\\x09\\x0b-\\x1f\\x7f]", "")
     c = F.regexp_replace(c, " *\n *", "\n")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "\n{3,}", "\n\n"), " {2,}", " "))
+    return F.btrim(F.regexp_replace(F.regexp_replace(c, "\n{3,}", "\n\n"), " {2,}", " "), F.lit(" \n"))
 
 
 def fold_dashes(value: Column) -> Column:

@@ -69,7 +69,10 @@ def multi_cap_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.two_caps(o, "o_orderkey", "o_custkey", "c_nationkey", [F.desc("o_totalprice"), F.col("o_orderkey")], 2, 3, 15)
 
 
-@query("SELECT * FROM (SELECT o_orderkey, o_orderdate < TIMESTAMP '2001-07-31 00:00:00' AS retried FROM orders WHERE o_orderdate < TIMESTAMP '2001-07-31 00:00:00' AND o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 9) UNION ALL SELECT * FROM (SELECT o_orderkey, false FROM orders WHERE o_orderdate >= TIMESTAMP '2001-07-31 00:00:00' AND o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 1)")
+@query(
+    """WITH p AS (SELECT o_orderkey, o_orderdate >= TIMESTAMP '2001-07-31 00:00:00' AS current, row_number() OVER (PARTITION BY o_orderdate >= TIMESTAMP '2001-07-31 00:00:00' ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderstatus = 'P')
+SELECT o_orderkey, NOT current AS retried FROM p WHERE n <= CASE WHEN current THEN 1 ELSE 10 - (SELECT count(*) FROM p WHERE current AND n = 1) END"""
+)
 def dispatch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready = orders(spark, sf_dir).where("o_orderstatus = 'P'").withColumn("current", F.col("o_orderdate") >= F.expr("TIMESTAMP_NTZ '2001-07-31 00:00:00'"))
     return ranking.dispatch_plan(ready, [F.col("o_orderdate"), F.col("o_orderkey")], "current", 10).select("o_orderkey", (~F.col("current")).alias("retried"))

@@ -118,7 +118,7 @@ HTML = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_rep
 for _entity, _plain in text.ENTITIES:
     HTML = "replace({}, '{}', '{}')".format(HTML, _entity, _plain.replace("'", "''"))
 HTML = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({HTML}, '\\r\\n?', chr(10), 'g'), '{text.HIDDEN}', '', 'g'), '{text.BLANKS}', ' ', 'g'), '[\\x00-\\x09\\x0b-\\x1f\\x7f]', '', 'g')"
-HTML = f"trim(regexp_replace(regexp_replace(regexp_replace({HTML}, ' *\\n *', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' {{2,}}', ' ', 'g'))"
+HTML = f"trim(regexp_replace(regexp_replace(regexp_replace({HTML}, ' *\\n *', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' {{2,}}', ' ', 'g'), ' ' || chr(10))"
 
 
 @query(f"SELECT page_id, length(x) AS n, md5(x) AS digest FROM (SELECT page_id, {HTML} AS x FROM pages)")
