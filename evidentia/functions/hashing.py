@@ -19,13 +19,13 @@ def canonical_id(*parts: Column) -> Column:
     return F.substring(F.sha2(keyed(*parts), 256), 1, 20)
 
 
-def canonical_json(df: DataFrame, *names: str) -> Column:
+def canonical_json(*names: str) -> Column:
     """The named columns as JSON in the order of their names, with nulls."""
     return F.to_json(F.struct(*[F.col(n) for n in sorted(names)]), {"ignoreNullFields": "false"})
 
 
-def row_hash(df: DataFrame, *names: str) -> Column:
-    return F.sha2(canonical_json(df, *names), 256)
+def row_hash(*names: str) -> Column:
+    return F.sha2(canonical_json(*names), 256)
 
 
 def fingerprint(df: DataFrame, key: str, *names: str) -> DataFrame:

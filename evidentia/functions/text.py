@@ -18,10 +18,6 @@ NUMBER_WORDS = {w: i for i, w in enumerate("zero one two three four five six sev
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
-def text_of(value: Column | str) -> Column:
-    return F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(""))
-
-
 def display_text(value: Column) -> Column:
     """Text for people: line ends, hidden and control characters, blanks and empty lines put in order; applying it twice changes nothing."""
     c = F.regexp_replace(value, "\r\n?", "\n")

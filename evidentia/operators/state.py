@@ -70,7 +70,3 @@ def due(last: Column, as_of: Column, days: int) -> Column:
 def enqueued(new: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys are not queued yet, one each."""
     return new.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti")
-
-
-def alias_of(subject: Column, mapped: Column) -> Column:
-    return F.coalesce(mapped, subject)

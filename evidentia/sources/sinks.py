@@ -9,11 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def filesystem(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def write_snapshot(records: DataFrame, path: str, header: dict) -> None:
     """Records (source, raw) as JSON lines and a header that tells their number."""
     spark = records.sparkSession

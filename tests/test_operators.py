@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.functions import hashing, money, scoring, text, times, urls
+from evidentia.functions import hashing, money, text, times, urls
 from evidentia.operators import entities, evidence, gates, history, joins, ledger, outcomes, ranking, state
 
 T0 = datetime(2024, 1, 1)
