@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,15 +44,6 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def plain_columns(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns alone, so that extra or clashing columns of the input can't disturb an operator."""
-    return df.select(*[df[n] for n in names])
-
-
-def with_fields(schema: T.StructType, *fields: tuple[str, str]) -> T.StructType:
-    return T.StructType(list(schema.fields) + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
-
-
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about max_bytes of the column each, one row at least."""
     if not batch.num_rows:
