@@ -17,10 +17,15 @@ TOXIC = 0.7
 SEQUENCE, END_ID = 4096, 2
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """Each document as one value and its text, so that no other column can get in an operator's way."""
+    return docs.select(F.struct("*").alias("row"), "text")
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below TOXIC; the model learns from the labels of documents at hand."""
     model = toxicity.fit(*toxicity.training_sample(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
-    return toxicity.toxicity(docs, model, tuple(docs.columns)).where(F.col("score") < TOXIC).select(*docs.columns)
+    return toxicity.toxicity(whole(docs), model, ("row",)).where(F.col("score") < TOXIC).select("row.*")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +36,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark items don't contaminate."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    found = decontamination.contamination(whole(docs), table(spark, sf_dir, "benchmark"), keep=("row",))
+    return found.where(~F.col("contaminated")).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

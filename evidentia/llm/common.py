@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,17 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def set_apart(df: DataFrame, taken: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns whose names a result needs renamed to name_in, and how each column is called now."""
+    taken, names = set(taken), {}
+    for c in df.columns:
+        new = c
+        while new in taken or (new != c and new in df.columns):
+            new += "_in"
+        names[c] = new
+    return df.select(*[df[f"`{c}`"].alias(new) for c, new in names.items()]), names
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about max_bytes of the column each, one row at least."""
     if not batch.num_rows:

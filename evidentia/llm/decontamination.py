@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slices, text_bytes
+from .common import column, set_apart, slices, text_bytes
 
 WINDOW = 13
 MAX_BYTES = 8 << 20  # of items' texts in one automaton
@@ -111,6 +111,9 @@ def automaton(key: str, items: list, size: int) -> Automaton:
     return _LATEST[key]
 
 
+RESULT = ("n_words", "n_hit", "hit_words", "hit_bytes", "items", "contaminated", "_n_words", "_hit_words", "_hit_bytes", "_items")
+
+
 def item_blocks(items: DataFrame, max_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
     """The items in blocks of at most max_bytes of text (or one item); one empty block if there are none."""
     held, size, any_ = [], 0, False
@@ -147,9 +150,6 @@ def scanned(docs: DataFrame, items: list, size: int) -> DataFrame:
                     names.append(sorted(items_))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n_words, pa.int64()), pa.array(runs, pairs), pa.array(spans, pairs), pa.array(names, pa.list_(pa.string()))], [*part.schema.names, "n_words", "hit_words", "hit_bytes", "items"])
 
-    taken = {"n_words", "hit_words", "hit_bytes", "items"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"docs already has {sorted(taken)}")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     span = "array<struct<first:bigint,last:bigint>>"
     return docs.mapInArrow(run, f"{fields}, n_words long, hit_words {span}, hit_bytes {span}, items array<string>")
@@ -161,8 +161,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max
     hit_bytes are the byte spans [first, last) of the original text that test
     windows cover; items are the ids, as text, of test items with a window there.
     A document is contaminated if it has a hit and at least a twentieth of its
-    words are hit.
+    words are hit. A kept column whose name the result needs is called name_in.
     """
+    docs, names = set_apart(docs, RESULT)
+    keep = tuple(names[c] for c in keep)
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("text"))
     slim = docs.select(*keep, *([] if "text" in keep else ["text"]))
     blocks = item_blocks(items, max_bytes)

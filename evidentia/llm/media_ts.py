@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_array, column, slices
+from .common import binary_array, column, set_apart, slices
 
 #: Fixed values of the format.
 PACKET, SYNC, NULL_PID = 188, 0x47, 0x1FFF
@@ -258,7 +258,9 @@ def whole(pid: int, held: bytearray, out: Stream) -> bytearray:
 
 # ---------------------------------------------------------------- Spark side
 def multiplexed(df: DataFrame, payload: str = "payload", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and media, the transport stream of the payload column."""
+    """The kept columns and media, the transport stream of the payload column; a kept column of that name is called media_in."""
+    df, names = set_apart(df, ("media",))
+    payload, keep = names[payload], tuple(names[c] for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,11 +273,17 @@ def multiplexed(df: DataFrame, payload: str = "payload", keep: tuple[str, ...] =
 
 
 UNITS = pa.list_(pa.struct([("pid", pa.int32()), ("packet", pa.int64()), ("pts", pa.int64()), ("dts", pa.int64()), ("random_access", pa.bool_()), ("bytes", pa.int64())]))
+RESULT = ["payload", "status", "packets", "tables", "programs", "types", "units", "lost_sync", "bad_crc", "gaps", "truncated"]
 PARSED = "payload binary, status string, packets long, tables long, programs map<int,int>, types map<int,int>, units array<struct<pid:int,packet:bigint,pts:bigint,dts:bigint,random_access:boolean,bytes:bigint>>, lost_sync long, bad_crc long, gaps long, truncated long"
 
 
 def parsed(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, the payload of the first elementary stream, and what the transport stream holds."""
+    """The kept columns, the payload of the first elementary stream, and what the transport stream holds.
+
+    A kept column whose name the result needs is called name_in.
+    """
+    df, names = set_apart(df, RESULT)
+    media, keep = names[media], tuple(names[c] for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,7 +297,7 @@ def parsed(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id
                 payload = binary_array([s.payload(min(s.types)) if s.types else b"" for s in streams])
                 yield pa.RecordBatch.from_arrays(
                     [*[column(part, c) for c in keep], payload, pa.array(status, pa.string()), *numbers[0], *maps, pa.array(units, UNITS), *numbers[1]],
-                    [*keep, "payload", "status", "packets", "tables", "programs", "types", "units", "lost_sync", "bad_crc", "gaps", "truncated"],
+                    [*keep, *RESULT],
                 )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)

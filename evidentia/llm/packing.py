@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slices
+from .common import column, set_apart, slices
 from .words import encoder
 
 GROUP = 20_000  # rests for each group, about
@@ -89,12 +89,12 @@ def group_count(docs: DataFrame, group: int = GROUP) -> int:
 def pack(rows: DataFrame, capacity: int, groups: int, seed: int = 7) -> DataFrame:
     """rows (doc_id, start, length and any others) with sequence_id and offset.
 
-    length must lie between 1 and capacity. A sequence's pieces fill it from 0
+    length must lie between 1 and capacity. A column of rows whose name the result
+    needs is called name_in. A sequence's pieces fill it from 0
     without gaps. sequence_id is unique over all groups: the group's number times
     2**32, plus the sequence's number within the group.
     """
-    if {"sequence_id", "offset", "_group"} & set(rows.columns):
-        raise ValueError("rows already has sequence_id, offset or _group")
+    rows, _ = set_apart(rows, ("sequence_id", "offset", "_group"))
     dealt = rows.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start"), F.lit(groups)).cast("int"))
 
     def run(t: pa.Table) -> pa.Table:

@@ -11,8 +11,8 @@ They fill overflow pages of their bucket by a running sum that is taken in two
 levels (chunks of rows, then rows of a chunk), so no key's rows meet in one task.
 
 Nulls: a null key hashes as the empty text and a null payload is 0 bytes. An
-empty table has no shards. Repeated rows are kept. Other columns pass through; a
-name that the result needs is refused.
+empty table has no shards. Repeated rows are kept. Other columns pass through; one
+whose name the result needs is called name_in.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import set_apart, written
 
 BITS = 60
 STEP = 12
@@ -66,10 +66,10 @@ def sharded(df: DataFrame, key: str, payload: str, limit: int) -> DataFrame:
     for the page of a single row that is larger than the limit. shard_bytes is the
     size of the whole shard.
     """
-    if set(ADDED) & set(df.columns):
-        raise ValueError(f"the table already has {sorted(set(ADDED) & set(df.columns))}")
     if limit < 2:
         raise ValueError("a limit has at least two bytes")
+    df, names = set_apart(df, ADDED)
+    key, payload = names[key], names[payload]
     rows = df.withColumn("n_bytes", F.coalesce(F.octet_length(F.col(payload)), F.lit(0)).cast("long")).withColumn("place", place(F.col(key)))
     rounds = directory(rows.select("place", F.col("n_bytes").alias("size")), limit)
     out = rows

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slices, span_hashes
+from .common import column, set_apart, slices, span_hashes
 
 SAMPLE = 1500
 LONGEST = 100_000
@@ -306,9 +306,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lo
 
 
 def toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of docs and score."""
-    if "score" in keep:
-        raise ValueError("score can't be kept")
+    """The kept columns of docs and score; a kept column of that name is called score_in."""
+    docs, names = set_apart(docs, ("score",))
+    keep = tuple(names[c] for c in keep)
     shared = docs.sparkSession.sparkContext.broadcast((model.gram, model.scale, model.shift))  # one number a bucket
     slim = docs.select(*keep, *([] if "text" in keep else ["text"]))
 

@@ -13,6 +13,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from evidentia.llm import decontamination, media_ts, neardup, packing, sharding, token_counts, token_files, toxicity, url_rules, warc_zip
@@ -295,8 +296,6 @@ def test_copies_of_one_key_fill_pages(spark):
         pages.setdefault(r["page"], []).append(r["n_bytes"])
     assert all(sum(p) <= 100 or len(p) == 1 for p in pages.values()) and len(pages) > 15
     assert sharding.sharded(spark.createDataFrame([], "k long, text string"), "k", "text", 100).count() == 0
-    with pytest.raises(ValueError):
-        sharding.sharded(spark.createDataFrame([], "k long, text string, page int"), "k", "text", 100)
 
 
 # ------------------------------------------------------------- transport streams
@@ -454,3 +453,25 @@ def test_url_rules_equal_brute_force(spark, salts):
     none = spark.createDataFrame([], table.schema)
     assert {r["verdict"] for r in url_rules.judged(pages, none, "block").collect()} == {"block"}
     assert url_rules.judged(pages.limit(0), table).count() == 0
+
+
+# ------------------------------------------------------------- clashing names
+def test_columns_with_clashing_names(spark):
+    names = "n_words n_hit hit_words hit_bytes items contaminated score media payload status units page shard depth place n_bytes shard_bytes sequence_id offset _group start ids n_tokens kept component_id block archive rule verdict host path".split()
+    clash = spark.createDataFrame([(1, "a b c", *["x"] * len(names)), (2, None, *[None] * len(names))], ", ".join(["doc_id long", "text string", *[f"{n} string" for n in names]]))
+    every = tuple(clash.columns)
+    bench = spark.createDataFrame([(1, "a b", "y")], "item_id long, text string, items string")
+    assert decontamination.contamination(clash, bench, 2, keep=every).where("items_in = 'x' and contaminated").count() == 1
+    model = toxicity.Model(np.zeros(toxicity.BUCKETS, np.float32), 1.0, 0.0)
+    assert toxicity.toxicity(clash, model, every).where("score_in is null").count() == 1
+    assert sharding.sharded(clash, "page", "text", 100).where("page_in = 'x' and n_bytes = 5").count() == 1
+    bytes_ = clash.withColumn("payload", F.col("text").cast("binary"))
+    media = media_ts.multiplexed(bytes_, "payload", every)
+    assert media_ts.parsed(media, "media", ("doc_id", "status", "media_in", "media")).where("status = 'whole'").count() == 2
+    rows = clash.drop("start", "ids").select("*", F.lit(0).alias("start"), F.lit(3).alias("length"))
+    assert packing.pack(rows, 4, 1).where("sequence_id_in = 'x' and offset = 0").count() == 1
+    assert neardup.near_duplicates(clash, 3, 85).count() == token_counts.token_counts(clash, BYTES).count() == 2
+    assert token_files.read_token_table(spark, token_files.write_token_table(clash, BYTES, 2)).count() == packing.pieces(clash, WORDS, 9, 2).count() == 2
+    pages = clash.withColumnsRenamed({"doc_id": "page_id", "text": "url"}).withColumn("payload", F.lit(b"p"))
+    assert url_rules.judged(pages, spark.createDataFrame([("a", "/", "block")], "host string, path string, verdict string")).count() == 2
+    assert warc_zip.records(warc_zip.archived(warc_zip.with_revisits(pages))).count() == 2
