@@ -12,10 +12,11 @@
    proportion to nodes however large a bucket is.
 4. Confirmation: a star is dealt into chunks of about CHUNK members and a copy of
    the centre. In a chunk all pairs are compared on full sets. Members of a star of
-   several chunks may be similar to each other but not to the centre: where they
-   belong to different components, those that agree in two bands form narrower
-   stars. If such a star has several chunks too, its members outside its largest
-   component are compared with all of its chunks.
+   several chunks may be similar to each other but not to the centre, so their
+   buckets that still hold several components are looked at again: all pairs of a
+   bucket that fits a chunk are compared; larger ones form stars again, in which
+   the documents outside the largest component meet all chunks. So every pair that
+   shares a bucket is compared or is in one component.
 5. Components: large-star and small-star rounds over the confirmed links.
 
 Nulls and empty texts have no shingles and are linked with nothing. Rows that
@@ -50,8 +51,6 @@ with np.errstate(over="ignore"):
     PROBES = (mix64(_BIN[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(2048, dtype=np.uint64)[None, :] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)) % np.uint64(BINS)).astype(np.int64)
 EDGES = _BIN << np.uint64(57)
 BANDS = mix64(np.arange(1, BINS // ROWS + 1, dtype=np.uint64))
-#: Pairs of bands, each band in four: two agree at 0.85 in about 17 of the 64 pairs, at 0.35 in one of 70 cases in any.
-BAND_PAIRS = [(i, (i + step) % len(BANDS)) for step in (1, 5) for i in range(len(BANDS))]
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,14 +213,15 @@ def components(links: DataFrame) -> DataFrame:
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().join(stars.select("node"), "node", "left_anti"))
 
 
-def stars(keys: DataFrame, mixed: bool = False) -> DataFrame:
-    """(centre, doc) for keys (key, doc): each bucket's documents but the smallest are tied to the smallest.
+def keyed(nodes: DataFrame) -> DataFrame:
+    """(doc, key) for each band of nodes (doc, bands)."""
+    return nodes.select("doc", F.explode("bands").alias("key"))
 
-    mixed: keys also has component, and only buckets with several components count.
-    """
-    several = F.min("component") != F.max("component") if mixed else F.min("doc") != F.max("doc")
-    buckets = keys.groupBy("key").agg(F.min("doc").alias("centre"), several.alias("several")).where("several").select("key", "centre")
-    return keys.select("key", "doc").join(buckets, "key").where("doc != centre").select("centre", "doc").distinct()
+
+def stars(keys: DataFrame) -> DataFrame:
+    """(centre, doc): each bucket's documents but the smallest are tied to the smallest."""
+    buckets = keys.groupBy("key").agg(F.min("doc").alias("centre"), F.max("doc").alias("top")).where("top != centre").select("key", "centre")
+    return keys.join(buckets, "key").where("doc != centre").select("centre", "doc").distinct()
 
 
 def dealt(edges: DataFrame, chunk: int) -> DataFrame:
@@ -257,8 +257,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, chunk: in
     sets = rows.where("n_shingles > 0 and doc_id is not null").groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
     nodes, _ = written(sets, "nodes")
 
-    edges, _ = written(stars(nodes.select("doc", F.explode("bands").alias("key"))), "stars")
-    members, _ = written(dealt(edges, chunk), "members")
+    members, _ = written(dealt(stars(keyed(nodes)), chunk), "members")
     requests = with_centres(members)
     # Candidates' texts are dealt out once. Their ids grow with the documents, so they are never broadcast.
     wanted = requests.select("doc").distinct().hint("merge")
@@ -268,17 +267,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, chunk: in
 
     wide = members.where("chunks > 1").select("centre", "doc")
     if wide.take(1):
-        # Members of a wide star meet again where two bands agree, if they belong to different components by now.
+        # Documents of wide stars that share a bucket but no component yet.
         open_docs = wide.select("doc").unionByName(wide.select(F.col("centre").alias("doc"))).distinct()
-        twice = F.array(*[F.xxhash64(F.lit(n), F.col("bands")[i], F.col("bands")[j]) for n, (i, j) in enumerate(BAND_PAIRS)])
-        pairs = nodes.join(open_docs, "doc", "left_semi").join(label, "doc", "left").select("doc", F.coalesce("component", "doc").alias("component"), F.explode(twice).alias("key"))
-        members, _ = written(dealt(stars(pairs, mixed=True), chunk), "members")
-        more, _ = written(confirmed(with_centres(members), texts, size, percent), "links")
-        links = links.unionByName(more)
-        wide = members.where("chunks > 1").select("centre", "chunk", "doc")
-        if wide.take(1):
-            links = links.unionByName(confirmed(across_chunks(wide, label, chunk), texts, size, percent))
-        label = labels(links)
+        keys = keyed(nodes.join(open_docs, "doc", "left_semi"))
+        component = F.coalesce("component", "doc")
+        mixed = keys.join(label, "doc", "left").groupBy("key").agg((F.min(component) != F.max(component)).alias("several"), F.count("*").alias("n"), F.min("doc").alias("centre")).where("several")
+        placed, _ = written(keys.join(mixed.drop("several"), "key"), "placed")
+        small = placed.where(F.col("n") <= chunk).select(F.col("key").alias("centre"), F.lit(0).alias("chunk"), F.lit(-2).alias("batch"), "doc")
+        large = dealt(placed.where((F.col("n") > chunk) & (F.col("doc") != F.col("centre"))).select("centre", "doc").distinct(), chunk)
+        again = small.unionByName(across_chunks(large.select("centre", "chunk", "doc"), label, chunk))
+        label = labels(links.unionByName(confirmed(again, texts, size, percent)))
     by_set = nodes.join(label, "doc", "left").select("one", "two", "n_shingles", F.coalesce("component", "doc").alias("_component"))
     out = rows.select("doc_id", "n_shingles", "one", "two").join(by_set, ["one", "two", "n_shingles"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_component")).otherwise(F.col("doc_id"))
