@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scoring import let
+
 
 @dataclass(frozen=True)
 class PayPolicy:
@@ -44,18 +46,21 @@ def amounts(text: Column) -> Column:
 
 def parsed_pay(text: Column, policy: PayPolicy = PayPolicy()) -> Column:
     """basis, hourly low and high in USD, and whether it is an estimate; unknown pay is null, never zero."""
-    found, stated, rate = amounts(text), basis(text), F.create_map(*[x for k, v in policy.rates.items() for x in (F.lit(k), F.lit(v))])
-    low, high = F.array_min(found) * rate[currency(text)], F.array_max(found) * rate[currency(text)]
-    kind = F.when(stated != "unknown", stated).when(high >= policy.year_from, "year").when(high <= policy.hour_to, "hour").otherwise("unknown")
-    kind = F.when(F.size(found) > 0, kind).otherwise(stated)
-    per_hour = F.when(kind == "hour", 1.0).when(kind == "year", 1 / policy.hours_per_year).when(kind == "month", 1 / policy.hours_per_month)
-    for piece, n in policy.pieces_per_hour.items():
-        per_hour = per_hour.when(kind == piece, n)
-    estimate = kind.isin(*policy.pieces_per_hour) & (F.size(found) > 0)
-    known = F.coalesce(F.trim(text) != "", F.lit(False))
-    return F.when(known, F.struct(kind.alias("basis"), F.round(low * per_hour, 2).alias("low"), F.round(high * per_hour, 2).alias("high"), estimate.alias("estimate"))).otherwise(
-        F.struct(F.lit("unknown").alias("basis"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(False).alias("estimate"))
-    )
+    rate = F.create_map(*[x for k, v in policy.rates.items() for x in (F.lit(k), F.lit(v))])
+    stated = F.struct(amounts(text).alias("found"), basis(text).alias("stated"), rate[currency(text)].alias("rate"))
+    unknown = F.struct(F.lit("unknown").alias("basis"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(False).alias("estimate"))
+
+    def per_hour(p: Column) -> Column:
+        low, high = F.array_min(p["found"]) * p["rate"], F.array_max(p["found"]) * p["rate"]
+        guessed = F.when(p["stated"] != "unknown", p["stated"]).when(high >= policy.year_from, "year").when(high <= policy.hour_to, "hour").otherwise("unknown")
+        kind = F.when(F.size(p["found"]) > 0, guessed).otherwise(p["stated"])
+        factor = F.when(kind == "hour", 1.0).when(kind == "year", 1 / policy.hours_per_year).when(kind == "month", 1 / policy.hours_per_month)
+        for piece, n in policy.pieces_per_hour.items():
+            factor = factor.when(kind == piece, n)
+        estimate = kind.isin(*policy.pieces_per_hour) & (F.size(p["found"]) > 0)
+        return F.struct(kind.alias("basis"), F.round(low * factor, 2).alias("low"), F.round(high * factor, 2).alias("high"), estimate.alias("estimate"))
+
+    return F.when(F.coalesce(F.trim(text) != "", F.lit(False)), let(stated, per_hour)).otherwise(unknown)
 
 
 def effective_rate(nominal: Column, availability: Column, overhead: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ TRUST_WEIGHTS = {"payment": 0.30, "clarity": 0.25, "support": 0.20, "volume": 0.
 AUTHORITY = {"employer": 6, "ats": 6, "board": 5, "search": 3, "community": 2, "farm": 0}
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where f may use the value often and it is still computed once a row."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def flags(signals: dict[str, Column]) -> Column:
     """Names of the signals that hold, in their order."""
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in signals.items()]))

@@ -24,15 +24,22 @@ VERDICTS = ("surfaced", "rejected_scam", "rejected_quality", "rejected_location"
 def detected_language(value: Column, words: dict[str, list[str]] = FUNCTION_WORDS, english: list[str] = ENGLISH, first: int = 400) -> Column:
     """The foreign language with the most function words among the first tokens; null without three, or too few beside English."""
     seen = F.slice(text.word_tokens(F.coalesce(value, F.lit(""))), 1, first)
-    count = lambda known: F.size(F.filter(seen, lambda t: t.isin(*known)))
-    hits = F.array(*[F.struct(count(w).alias("n"), F.lit(-i).alias("turn"), F.lit(k).alias("language")) for i, (k, w) in enumerate(words.items())])
-    best, en = F.array_max(hits), count(english)
-    return F.when((best["n"] >= 3) & (best["n"] >= 1.5 * F.greatest(en, F.lit(1)) / 3) & (best["n"] > en / 3), best["language"])
+
+    def counted(tokens: Column) -> Column:
+        count = lambda known: F.size(F.filter(tokens, lambda t: t.isin(*known)))
+        hits = F.array(*[F.struct(count(w).alias("n"), F.lit(-i).alias("turn"), F.lit(k).alias("language")) for i, (k, w) in enumerate(words.items())])
+        return F.struct(F.array_max(hits).alias("best"), count(english).alias("en"))
+
+    def judged(c: Column) -> Column:
+        n, en = c["best"]["n"], c["en"]
+        return F.when((n >= 3) & (n >= 1.5 * F.greatest(en, F.lit(1)) / 3) & (n > en / 3), c["best"]["language"])
+
+    return scoring.let(scoring.let(seen, counted), judged)
 
 
 def language_reasons(value: Column, spoken: Iterable[str]) -> Column:
-    found = detected_language(value)
-    return F.when(found.isNotNull() & ~found.isin(*spoken), F.array(F.concat(F.lit("posting_language:"), found))).otherwise(F.array().cast("array<string>"))
+    foreign = lambda x: F.when(x.isNotNull() & ~x.isin(*spoken), F.array(F.concat(F.lit("posting_language:"), x))).otherwise(F.array().cast("array<string>"))
+    return scoring.let(detected_language(value), foreign)
 
 
 def scam_score(title: Column, body: Column, company: Column, url: Column, phrases: dict[str, tuple[float, str]], free_hosts: list[str], threshold: float = 0.6, least_chars: int = 80) -> tuple[Column, Column]:

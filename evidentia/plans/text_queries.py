@@ -10,7 +10,7 @@ from ..operators import entities, gates, joins, ledger, ranking
 from .registry import query, table
 
 DE, ES, FR, EN = gates.FUNCTION_WORDS["de"], gates.FUNCTION_WORDS["es"], gates.FUNCTION_WORDS["fr"], gates.ENGLISH
-PHRASES = {"contact": (0.6, r"[a-z0-9.]+@[a-z0-9.]+"), "phone": (0.5, r"[0-9]{3}[ -][0-9]{4}"), "licence": (0.25, r"(?i)license")}
+PHRASES = {"contact": (0.6, r"[a-z0-9.]@[a-z0-9.]"), "phone": (0.5, r"[0-9]{3}[ -][0-9]{4}"), "licence": (0.25, r"(?i)license")}
 PLACES = ["src0", "src1", "src2", "src3"]
 
 
@@ -25,7 +25,7 @@ def sql_language(c: str) -> str:
     return f"(SELECT CASE WHEN greatest(d, e, f) >= 3 AND greatest(d, e, f) >= 1.5 * greatest(g, 1) / 3 AND greatest(d, e, f) > g / 3 THEN CASE WHEN d >= e AND d >= f THEN 'de' WHEN e >= f THEN 'es' ELSE 'fr' END END FROM (SELECT {n(DE)} AS d, {n(ES)} AS e, {n(FR)} AS f, {n(EN)} AS g))"
 
 
-SCAM = """CASE WHEN regexp_matches(t, '[a-z0-9.]+@[a-z0-9.]+') THEN 0.6 ELSE 0.0 END + CASE WHEN regexp_matches(t, '[0-9]{3}[ -][0-9]{4}') THEN 0.5 ELSE 0.0 END
+SCAM = """CASE WHEN regexp_matches(t, '[a-z0-9.]@[a-z0-9.]') THEN 0.6 ELSE 0.0 END + CASE WHEN regexp_matches(t, '[0-9]{3}[ -][0-9]{4}') THEN 0.5 ELSE 0.0 END
   + CASE WHEN regexp_matches(t, '(?i)license') THEN 0.25 ELSE 0.0 END + CASE WHEN coalesce(source, '') = '' THEN 0.15 ELSE 0.0 END + CASE WHEN length(trim(coalesce(text, ''))) < 80 THEN 0.2 ELSE 0.0 END"""
 
 
@@ -41,7 +41,7 @@ def posting_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH d AS (SELECT doc_id, source, text, chr(10) || coalesce(text, '') AS t FROM documents)
 SELECT doc_id, CAST(round(least({SCAM}, 1.0) * 1000) AS BIGINT) AS score_milli,
-  array_to_string(list_filter([CASE WHEN regexp_matches(t, '[a-z0-9.]+@[a-z0-9.]+') THEN 'contact' END, CASE WHEN regexp_matches(t, '[0-9]{{3}}[ -][0-9]{{4}}') THEN 'phone' END, CASE WHEN regexp_matches(t, '(?i)license') THEN 'licence' END,
+  array_to_string(list_filter([CASE WHEN regexp_matches(t, '[a-z0-9.]@[a-z0-9.]') THEN 'contact' END, CASE WHEN regexp_matches(t, '[0-9]{{3}}[ -][0-9]{{4}}') THEN 'phone' END, CASE WHEN regexp_matches(t, '(?i)license') THEN 'licence' END,
     CASE WHEN coalesce(source, '') = '' THEN 'no_company' END, CASE WHEN length(trim(coalesce(text, ''))) < 80 THEN 'thin_description' END], lambda x: x IS NOT NULL), ',') AS flags FROM d"""
 )
 def scam_style_score(spark: SparkSession, sf_dir: str) -> DataFrame:
