@@ -78,13 +78,18 @@ def one_line(url: str) -> str:
     return "".join(f"%{ord(c):02X}" if c < " " or c == "\x7f" else c for c in url)
 
 
+def index_key(url: str | None) -> str:
+    """The url as the first word of an index line, without what could be taken for the line's second word or its JSON."""
+    return one_line(url or "-").replace(" ", "%20").replace("{", "%7B")
+
+
 def archive(rows: list[tuple[int | None, str | None, bytes, int | None]], zip64: bool = False) -> bytes:
     """A ZIP-packaged archive of the records of rows (page_id, url, payload, refers_to)."""
     data, index = io.BytesIO(), []
     for page_id, url, payload, refers_to in rows:
         member = gzip.compress(record(page_id, url, payload, refers_to), 4, mtime=0)
         line = {"url": url, "digest": payload_digest(payload), "offset": data.tell(), "length": len(member), "filename": RECORDS.rpartition("/")[2]}
-        index.append(f"{one_line(url or '-').replace(' ', '%20')} 20240101000000 {json.dumps(line)}")
+        index.append(f"{index_key(url)} 20240101000000 {json.dumps(line)}")
         data.write(member)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
@@ -197,15 +202,17 @@ def member(read: Read, entry: tuple[int, int, int, int]) -> bytes:
         raise Damaged(str(e)) from None
 
 
-def index_lines(read: Read, members: dict[str, tuple[int, int, int, int]]) -> Iterator[dict]:
-    """The index lines of an archive; plain and gzipped indexes."""
+def index_lines(read: Read, members: dict[str, tuple[int, int, int, int]]) -> Iterator[str]:
+    """The JSON of each index line of an archive, not yet parsed: what follows the second blank, or the first '{' in other lines; plain and gzipped indexes."""
     for name, entry in members.items():
         if name.startswith("indexes/") and name.endswith((".cdxj", ".cdx", ".cdx.gz")):
             data = member(read, entry)
             for line in (gzip.decompress(data) if name.endswith(".gz") else data).decode("utf-8", "replace").split("\n"):
-                at = line.find("{")
-                if at >= 0:
-                    yield json.loads(line[at:])
+                third = "".join(line.split(" ", 2)[2:]).lstrip()
+                if third.startswith("{"):
+                    yield third
+                elif "{" in line:
+                    yield line[line.find("{") :]
 
 
 def parse_record(raw: bytes) -> dict:
@@ -241,15 +248,16 @@ def read_archive(read: Read, size: int) -> Iterator[dict]:
     except (Damaged, ValueError, OSError, EOFError, struct.error) as e:
         yield {"error": str(e)}
         return
-    for line in lines:
+    for text in lines:
         try:
+            line = json.loads(text)
             start, length = places[line["filename"]]
             at, n = int(line["offset"]), int(line["length"])
             if at < 0 or at + n > length:
                 raise Damaged("a record lies outside its member")
             raw = exactly(read, start + at, n)
             yield parse_record(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw) | {"offset": start + at, "length": n}
-        except (Damaged, ValueError, KeyError, OSError, EOFError, zlib.error, struct.error) as e:
+        except (Damaged, ValueError, TypeError, KeyError, OverflowError, OSError, EOFError, zlib.error, struct.error) as e:
             yield {"error": f"{type(e).__name__}: {e}"}
 
 

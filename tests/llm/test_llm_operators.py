@@ -362,6 +362,25 @@ def test_archives_round_trip(spark):
     assert warc_zip.records(warc_zip.archived(warc_zip.with_revisits(pages.limit(0)))).count() == 0
 
 
+def test_urls_with_braces_lose_no_record(spark):
+    urls = ["http://a/{x}", "{", "http://b/ {y} {", "http://c/"]
+    pages = spark.createDataFrame([(i, u, bytearray(b"%d" % i)) for i, u in enumerate(urls)], "page_id long, url string, payload binary")
+    got = warc_zip.records(warc_zip.archived(warc_zip.with_revisits(pages).coalesce(1))).collect()
+    assert sorted((r["page_id"], r["url"], bytes(r["payload"])) for r in got if r["error"] is None) == [(i, u, b"%d" % i) for i, u in enumerate(urls)] and len(got) == 4
+
+
+def test_a_bad_index_line_costs_one_record():
+    data = gzip.compress(warc_zip.record(4, "http://h/", b"body", None))
+    good = f'{{"offset": "0", "length": "{len(data)}", "filename": "d.warc.gz"}}'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr(zipfile.ZipInfo("archive/d.warc.gz"), data)
+        z.writestr("indexes/index.cdxj", "\n".join([f"h)/{{x}} 2024 {good}", "h)/ 2024 {broken", 'h)/ 2024 {"offset": null, "length": 1, "filename": "d.warc.gz"}', good, f"h)/ {good}"]))
+    content = out.getvalue()
+    rows = list(warc_zip.read_archive(lambda at, n: content[at : at + n], len(content)))
+    assert [r.get("payload") for r in rows] == [b"body", None, None, b"body", b"body"] and ["error" in r for r in rows] == [False, True, True, False, False]
+
+
 @pytest.mark.parametrize("zip64", [False, True])
 def test_own_directory_reader_agrees_with_zipfile(zip64):
     content = warc_zip.archive([(i, f"http://h/{i}", b"x" * i, None) for i in range(20)], zip64)
