@@ -42,34 +42,42 @@ def banded_caps(df: DataFrame, key: str, entity: str, order: list[Column], bands
 
 
 def two_caps(df: DataFrame, key: str, entity: str, platform: str, order: list[Column], per_entity: int, per_platform: int, size: int) -> DataFrame:
-    """key and reason with an entity cap, then a platform cap, then a size limit, each row judged after all before it.
+    """key and reason of every row with an entity cap, then a platform cap, then a size limit, each row judged after all before it.
 
     Skipped rows use nothing up, so ranks don't tell; a fold over the sorted rows
-    keeps what each entity and platform has used. Only rows that could be shown
-    are folded, and the others are hidden by the same rules:
+    finds the shown ones, at most `size`. Only rows that could be shown are folded:
     - of an entity's rows on a platform the first per_entity (were one of them
       skipped, its entity or platform was full and stays so);
     - of a platform's the first per_platform + size, and of an entity's the first
       per_entity * (size + 1) (at most size shown rows can make others full);
     - over all the first size * (2 * size + 4), as no more rows than that can be
       skipped before size are shown.
+    A row's reason then follows from the shown rows before it. How many these are is
+    counted in groups of rows dealt out by key, with a copy of the shown rows in each.
+    A null entity or platform has no cap.
     """
-    pair = df.withColumn("_pair", F.struct(entity, platform))
-    able = first_of_each(pair, "_pair", order, per_entity).drop("place", "_pair")
+    has_entity = F.col(entity).isNotNull()
+    able = first_of_each(df.where(has_entity).withColumn("_pair", F.struct(entity, platform)), "_pair", order, per_entity).drop("place", "_pair")
+    able = first_of_each(able, entity, order, per_entity * (size + 1)).drop("place").unionByName(df.where(~has_entity))
     able = first_of_each(able, platform, order, per_platform + size).drop("place")
-    able = first_of_each(able, entity, order, per_entity * (size + 1)).drop("place")
     first = able.orderBy(*order).limit(size * (2 * size + 4)).withColumn("_order", F.row_number().over(Window.orderBy(*order)))
-    rows = F.array_sort(F.collect_list(F.struct("_order", F.col(key).alias("k"), F.col(entity).cast("string").alias("e"), F.col(platform).cast("string").alias("p"))))
-    counts = F.array().cast("array<string>")
-    start = F.struct(counts.alias("e"), counts.alias("p"), F.array().cast(f"array<struct<k:{df.schema[key].dataType.simpleString()},reason:string>>").alias("out"))
-    n = lambda used, x: F.size(F.filter(used, lambda u: u == x))
-
-    def step(a: Column, r: Column) -> Column:
-        reason = F.when(n(a["e"], r["e"]) >= per_entity, "entity_cap").when(r["p"].isNotNull() & (n(a["p"], r["p"]) >= per_platform), "platform_cap").when(F.size(a["e"]) >= size, "size_cap").otherwise("shown")
-        more = lambda used, x: F.when((reason == "shown") & x.isNotNull(), F.concat(used, F.array(x))).otherwise(used)
-        return F.struct(more(a["e"], r["e"]).alias("e"), more(a["p"], r["p"]).alias("p"), F.concat(a["out"], F.array(F.struct(r["k"].alias("k"), reason.alias("reason")))).alias("out"))
-
-    return first.agg(rows.alias("_r")).select(F.inline(F.aggregate("_r", start, step)["out"])).withColumnRenamed("k", key)
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = F.array_sort(F.collect_list(F.struct("_order", F.col(key).alias("k"), F.col(entity).cast("string").alias("e"), F.col(platform).cast("string").alias("p"), whole.alias("row"))))
+    full = lambda shown, e, p: (F.size(F.filter(shown, lambda x: x["e"] == e)) >= per_entity, F.size(F.filter(shown, lambda x: x["p"] == p)) >= per_platform)
+
+    def step(shown: Column, r: Column) -> Column:
+        no_entity, no_platform = full(shown, r["e"], r["p"])
+        return F.when(no_entity | no_platform | (F.size(shown) >= size), shown).otherwise(F.concat(shown, F.array(r)))
+
+    shown = first.agg(rows.alias("_r")).select(F.aggregate("_r", F.slice("_r", 1, 0), step).alias("_shown"))
+    groups = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = shown.select(F.explode("_shown").alias("_s")).select("_s.row.*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group"), F.lit(1).alias("_copy"))
+    dealt = df.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")).withColumn("_copy", F.lit(0))
+    before = F.coalesce(F.sum("_copy").over(Window.partitionBy("_group").orderBy(*order, "_copy").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    counted = dealt.unionByName(copies).withColumn("_before", before).where("_copy = 0").crossJoin(F.broadcast(shown))
+    no_entity, no_platform = full(F.slice("_shown", F.lit(1), F.col("_before")), F.col(entity).cast("string"), F.col(platform).cast("string"))
+    reason = F.when(F.exists("_shown", lambda x: x["k"] == F.col(key)), "shown").when(no_entity, "entity_cap").when(no_platform, "platform_cap").otherwise("size_cap")
+    return counted.select(key, reason.alias("reason"))
 
 
 def round_robin(df: DataFrame, source: str, order: list[Column], n: int) -> DataFrame:

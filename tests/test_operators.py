@@ -307,6 +307,22 @@ def test_two_caps_equal_the_greedy_rule(spark):
         assert all(want[k] == r for k, r in got.items())
 
 
+def test_two_caps_give_every_row_its_reason(spark):
+    rng = random.Random(10)
+    for size, n in ((3, 400), (15, 900), (8, 0)):
+        rows = [(i, rng.choice([None, 0, 0, 0, 1, 2, 3, 4, 5, 6]), rng.choice([None, 0, 0, 0, 1, 2, 3]), rng.randrange(50)) for i in range(n)]
+        df = spark.createDataFrame(rows, "k int, e int, p int, v int").repartition(3)
+        ent, plat, shown, want = Counter(), Counter(), 0, {}
+        for k, e, p, v in sorted(rows, key=lambda r: (-r[3], r[0])):
+            want[k] = "entity_cap" if ent[e] >= 2 else "platform_cap" if plat[p] >= 3 else "size_cap" if shown >= size else "shown"
+            if want[k] == "shown":
+                shown += 1
+                ent[e] += e is not None
+                plat[p] += p is not None
+        got = ranking.two_caps(df, "k", "e", "p", [F.desc("v"), F.col("k")], 2, 3, size).collect()
+        assert len(got) == n and {r["k"]: r["reason"] for r in got} == want
+
+
 def test_round_robin_is_fair(spark):
     df = spark.createDataFrame([(i, "big" if i < 50 else f"s{i}") for i in range(53)], "id int, source string").repartition(4)
     got = ranking.round_robin(df, "source", [F.col("id")], 6).collect()
