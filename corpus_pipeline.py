@@ -29,9 +29,14 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8), that with the smallest doc_id."""
-    groups = neardup.near_duplicates(docs, size=5, percent=80)
-    return docs.join(groups.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8), that with the smallest doc_id.
+
+    Each row is judged by its own text, also where rows share a doc_id. Rows of a group's
+    smallest doc_id are one document and all kept; so are rows whose doc_id is null.
+    """
+    numbered, _ = written(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "numbered", "snappy")
+    groups = neardup.near_duplicates(numbered.select("row.doc_id", "row.text", "number"), size=5, percent=80, number="number")
+    return numbered.join(groups.where(~F.col("kept")).select("number"), "number", "left_anti").select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,8 @@
 Nulls and empty texts have no shingles and are linked with nothing. Rows that
 repeat a doc_id count as one document for links. A row whose doc_id is null
 can't be named by a link; it has no component and is kept. Ties don't arise. An
-empty table gives an empty result. Other columns are ignored.
+empty table gives an empty result. Other columns are ignored. With a column of row
+numbers each row is judged by its own text alone, and links name rows.
 """
 
 from __future__ import annotations
@@ -107,7 +108,7 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, two 64-bit sums that name the set, and its band keys."""
+    """name, doc_id, n_shingles, two 64-bit sums that name the set, and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,9 +124,9 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                     keys.append(band_keys(one_permutation(found)).view(np.int64) if len(found) else np.zeros(0, np.int64))
                 offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), bands], ["doc_id", "n_shingles", "one", "two", "bands"])
+                yield pa.RecordBatch.from_arrays([column(part, "name"), column(part, "doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), bands], ["name", "doc_id", "n_shingles", "one", "two", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, one long, two long, bands array<bigint>")
+    return docs.mapInArrow(run, "name long, doc_id long, n_shingles long, one long, two long, bands array<bigint>")
 
 
 def similar_pairs(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -250,18 +251,23 @@ def labels(links: DataFrame) -> DataFrame:
     return components(links).select(F.col("node").alias("doc"), "component")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text)."""
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, chunk: int = CHUNK, number: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text); component_id is the smallest doc_id.
+
+    number names a column of long row numbers, fixed in a written table, which comes
+    back first. Then rows of one doc_id may be in several components.
+    """
+    doc_id = docs["doc_id"].cast("long")
+    docs = docs.select((doc_id if number is None else docs[number]).alias("name"), doc_id.alias("doc_id"), docs["text"])
     rows, _ = written(sketches(docs, size), "sketches")
-    sets = rows.where("n_shingles > 0 and doc_id is not null").groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
+    sets = rows.where("n_shingles > 0 and doc_id is not null").groupBy("one", "two", "n_shingles").agg(F.min("name").alias("doc"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
     nodes, _ = written(sets, "nodes")
 
     members, _ = written(dealt(stars(keyed(nodes)), chunk), "members")
     requests = with_centres(members)
     # Candidates' texts are dealt out once. Their ids grow with the documents, so they are never broadcast.
     wanted = requests.select("doc").distinct().hint("merge")
-    texts, _ = written(docs.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc", "left_semi"), "texts")
+    texts, _ = written(docs.where("doc_id is not null").select(F.col("name").alias("doc"), "text").join(wanted, "doc", "left_semi"), "texts")
     links, _ = written(confirmed(requests, texts, size, percent), "links")
     label = labels(links)
 
@@ -278,6 +284,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, chunk: in
         again = small.unionByName(across_chunks(large.select("centre", "chunk", "doc"), label, chunk))
         label = labels(links.unionByName(confirmed(again, texts, size, percent)))
     by_set = nodes.join(label, "doc", "left").select("one", "two", "n_shingles", F.coalesce("component", "doc").alias("_component"))
-    out = rows.select("doc_id", "n_shingles", "one", "two").join(by_set, ["one", "two", "n_shingles"], "left")
+    if number is not None:
+        named = nodes.join(label, "doc", "left").select("one", "two", "n_shingles", "least", F.coalesce("component", "doc").alias("_group"))
+        least = named.groupBy("_group").agg(F.min("least").alias("_component"))
+        by_set = named.join(least, "_group").select("one", "two", "n_shingles", "_component")
+    out = rows.select("name", "doc_id", "n_shingles", "one", "two").join(by_set, ["one", "two", "n_shingles"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select(*([] if number is None else [F.col("name").alias(number)]), "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -59,6 +59,18 @@ def test_run_is_the_stages_in_turn(spark, folder):
     assert not got & {201, 203, 205} and {207, 209, 211} <= got and len(got) >= 145
 
 
+def test_rows_of_one_doc_id_are_judged_by_their_own_text(spark, folder):
+    sf, _ = folder
+    rng = random.Random(6)
+    a, b, c = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "abc")
+    rows = [(2, a), (4, a), (4, b), (3, b + " tail"), (4, c), (9, c), (9, a + " tail"), (1, "short"), (None, a), (5, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("number", F.lit("n")).repartition(3)
+    got = p.without_near_duplicates(spark, docs, sf)
+    assert got.columns == docs.columns
+    key = lambda r: (r[0] or 0, r[1] is None, r[1] or "")
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key) == sorted([(2, a), (3, b + " tail"), (4, c), (1, "short"), (None, a), (5, None), (5, "")], key=key)
+
+
 def test_empty_and_odd_documents(spark, folder):
     sf, _ = folder
     docs = spark.read.parquet(f"{sf}/documents.parquet")
