@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import folded
+
 
 def order_of(keys: list[str], at: str, tie: str) -> Window:
     return Window.partitionBy(*keys).orderBy(at, tie)
@@ -88,11 +90,15 @@ def zero_streak(df: DataFrame, keys: list[str], start: str, end: str, found: str
 
     A fold over one key's checks in order: a find resets, an overlap counts for nothing.
     """
-    checks = F.array_sort(F.collect_list(F.struct(F.col(end).alias("e"), F.col(found).alias("f"), F.col(tie).alias("t"), F.col(start).alias("s"))))
-    none = F.lit(None).cast(df.schema[end].dataType)
-    state = F.struct(F.lit(0).alias("n"), none.alias("until"))
-    step = lambda a, c: F.when(c["f"], state).when(a["until"].isNull() | (c["s"] >= a["until"]), F.struct((a["n"] + 1).alias("n"), c["e"].alias("until"))).otherwise(a)
-    return df.groupBy(*keys).agg(checks.alias("_checks")).select(*keys, F.aggregate("_checks", state, step)["n"].alias("streak"))
+
+    def step(state: tuple, s, e, f) -> tuple:
+        n, until = state
+        if f:
+            return 0, None
+        return (n + 1, e) if until is None or (s is not None and s >= until) else state
+
+    columns = [F.col(c) for c in (start, end, found)]
+    return folded(df, keys, [F.col(c) for c in (end, found, tie, start)], columns, (0, None), step, lambda state: state[:1], "streak int")
 
 
 def health_transitions(df: DataFrame, keys: list[str], at: str, status: str, items: str, error: str, cooldown_hours: float = 24, drop: float = 0.5) -> DataFrame:

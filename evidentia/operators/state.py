@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import folded
+
 
 def upserted(old: DataFrame, new: DataFrame, key: str, first_seen: str) -> DataFrame:
     """The table after new rows replaced old ones of the same key; first_seen keeps the earlier moment."""
@@ -28,18 +33,19 @@ def queue(df: DataFrame, item: str, seq: str, action: str, at: str, lease: float
     did becomes uncertain and stays so: it is never tried again. Actions that don't
     fit the state change nothing. A fold over one item's actions.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(action).alias("a"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"))))
-    start = F.struct(F.lit("pending").alias("state"), F.lit(0).alias("tries"), F.lit(0).cast("long").alias("until"))
-    span = int(lease * 1_000_000)
+    moment, span = F.unix_micros(F.col(at).cast("timestamp")), int(lease * 1_000_000)
+    moves = {("pending", "claim"): "leased", ("leased", "send"): "sending", ("sending", "ok"): "accepted", ("sending", "fail"): "pending"}
 
-    def step(x: Column, r: Column) -> Column:
-        over = r["t"] > x["until"]
-        state = F.when((x["state"] == "leased") & over, "pending").when((x["state"] == "sending") & over, "uncertain").otherwise(x["state"])
-        after = F.when((state == "pending") & (r["a"] == "claim"), "leased").when((state == "leased") & (r["a"] == "send"), "sending").when((state == "sending") & (r["a"] == "ok"), "accepted").when((state == "sending") & (r["a"] == "fail"), "pending").otherwise(state)
-        moved = after.isin("leased", "sending") & (after != state)
-        return F.struct(after.alias("state"), (x["tries"] + F.when((after == "sending") & moved, 1).otherwise(0)).alias("tries"), F.when(moved, r["t"] + span).otherwise(x["until"]).alias("until"))
+    def step(held: tuple, action: str | None, t: int | None) -> tuple:
+        state, tries, until = held
+        if t is not None and until is not None and t > until:
+            state = {"leased": "pending", "sending": "uncertain"}.get(state, state)
+        after = moves.get((state, action), state)
+        if after != state and after in ("leased", "sending"):
+            tries, until = tries + (after == "sending"), None if t is None else t + span
+        return after, tries, until
 
-    return df.groupBy(item).agg(rows.alias("_r")).select(item, F.aggregate("_r", start, step).alias("_x")).select(item, "_x.state", F.col("_x.tries").alias("attempts"))
+    return folded(df, [item], [F.col(seq), F.col(action), moment], [F.col(action), moment], ("pending", 0, 0), step, lambda held: held[:2], "state string, attempts int")
 
 
 def budgeted(df: DataFrame, run: str, order: list[Column], source: str, cap: int, share: int) -> DataFrame:
@@ -51,9 +57,12 @@ def budgeted(df: DataFrame, run: str, order: list[Column], source: str, cap: int
 
 def clamped_score(df: DataFrame, key: str, order: str, delta: str, start: float) -> DataFrame:
     """Per key a score that events move in order and that never leaves 0..1, to four places at each step."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(delta).alias("d"))))
-    step = lambda x, r: F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), x + r["d"])), 4)
-    return df.groupBy(key).agg(rows.alias("_r"), F.count("*").alias("events")).select(key, F.aggregate("_r", F.lit(float(start)), step).alias("score"), "events")
+    def step(held: tuple, d: float | None) -> tuple:
+        x, n = held
+        moved = 0.0 if d is None else 1.0 if math.isnan(x + d) else min(1.0, max(0.0, x + d))  # as greatest() and least() take nulls and NaN
+        return float(Decimal(repr(moved)).quantize(Decimal("0.0001"), ROUND_HALF_UP)), n + 1
+
+    return folded(df, [key], [F.col(order), F.col(delta)], [F.col(delta).cast("double")], (float(start), 0), step, lambda held: held, "score double, events long")
 
 
 def diminishing(df: DataFrame, keys: list[str], at: str, tie: str, delta: str, factor: float = 0.7) -> DataFrame:

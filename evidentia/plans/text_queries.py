@@ -96,9 +96,11 @@ def reject_pile_top4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {JUDGED} SELECT count(*) AS n_rows, md5(string_agg(doc_id || '=' || verdict, ',' ORDER BY doc_id)) AS digest FROM j")
 def decision_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rows give the same digest in any order. Listed whole here so that SQL can say it; hashing.fingerprint() adds hashes instead."""
+    """The same rows give the same digest in any order. The SQL's MD5 runs over all lines in turn, so one task reads them, sorted and batch by batch; hashing.fingerprint() adds hashes instead."""
     line = F.concat(F.col("doc_id").cast("string"), F.lit("="), "verdict")
-    return judged(spark, sf_dir).agg(F.count("*").alias("n_rows"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("line")))), lambda s: s["line"]), ",").cast("binary")).alias("digest"))
+    lines = judged(spark, sf_dir).select("doc_id", line.alias("line")).repartition(1).sortWithinPartitions("doc_id", "line").select("line")
+    found = lines.mapInArrow(hashing.joined_md5, "n_rows long, digest string")
+    return found.agg(F.coalesce(F.max("n_rows"), F.lit(0)).alias("n_rows"), F.coalesce(F.max("digest"), F.md5(F.lit(b""))).alias("digest"))
 
 
 @query(None)

@@ -255,6 +255,34 @@ def test_queue_never_repeats_an_uncertain_send(spark):
     assert {r["item"]: (r["state"], r["attempts"]) for r in state.queue(df, "item", "seq", "action", "at", 10).collect()} == {"a": ("accepted", 1), "b": ("pending", 0), "c": ("uncertain", 1), "d": ("sending", 2), "e": ("pending", 0)}
 
 
+def test_folds_keep_no_array_of_a_key(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice([None, 1, 1, 1, 2]), i, rng.choice([0.15, -0.2, 0.01, 0.00005, None]), rng.choice(["claim", "send", "ok", "fail", None]), T0 + timedelta(minutes=i), T0 + timedelta(minutes=i + 3), rng.random() < 0.01) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, i int, d double, a string, at timestamp, until timestamp, f boolean").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        scores, queue, streaks = state.clamped_score(df, "k", "i", "d", 0.5), state.queue(df, "k", "i", "a", "at", 120), history.zero_streak(df, ["k"], "at", "until", "f", "i")
+        want = {}
+        for k, _, d, *_ in rows:
+            x, n = want.get(k, (0.5, 0))
+            want[k] = (round(min(1.0, max(0.0, x + d)) + 1e-9, 4) if d is not None else 0.0, n + 1)
+        assert {r["k"]: (r["score"], r["events"]) for r in scores.collect()} == want
+        for out in (scores, queue, streaks):
+            assert len(out.collect()) == 3 and "collect_list" not in out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_md5_of_lines_in_batches():
+    import hashlib
+
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.string())], ["line"]) for x in ([None], ["1=a", None], [], ["2=b", "3=\u00e9"])]
+    got = next(hashing.joined_md5(iter(batches))).to_pylist()
+    assert got == [{"n_rows": 5, "digest": hashlib.md5("1=a,2=b,3=\u00e9".encode()).hexdigest()}]
+
+
 def test_clamped_score_is_not_a_sum(spark):
     df = spark.createDataFrame([("k", i, d) for i, d in enumerate([0.9, 0.9, -0.3])], "k string, i int, d double")
     assert state.clamped_score(df, "k", "i", "d", 0.5).first()["score"] == 0.7
