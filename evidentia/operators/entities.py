@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import dropped, written
+
 
 def deduplicated(df: DataFrame, key: Column, rank: list[Column], source: str, content: Column) -> DataFrame:
     """The row of each key with the highest rank (ties by content), its sources united and how many rows it stands for.
@@ -30,41 +30,25 @@ def lineage_edges(df: DataFrame, child: str, parents: str, accepted: Column) ->
     return df.where(accepted).select(F.col(child).alias("a"), F.explode(parents).alias("b"))
 
 
-def shared_folder(df: DataFrame) -> str:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/evidentia-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, which cuts its lineage and outlives executors."""
-    path = shared_folder(df)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def components(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
     """node and component, the smallest node that is reachable over edges (a, b) in either direction.
 
     Labels move along edges and along labels (a node also takes its label's
     label), so rounds grow with the logarithm of a chain's length.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = written(nodes.select(F.col(node).alias("id")).distinct().withColumn("component", F.col("id")))
+    spark = nodes.sparkSession
+    both, edges_at = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    labels, at = written(nodes.select(F.col(node).alias("id")).distinct().withColumn("component", F.col("id")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy(F.col("a").alias("_a")).agg(F.min("component").alias("_near"))
         moved = labels.join(near, labels["id"] == near["_a"], "left").select("id", F.col("component").alias("old"), F.least("component", "_near").alias("component"))
         jump = moved.select(F.col("id").alias("_id"), F.col("component").alias("_further"))
         after = moved.join(jump, moved["component"] == jump["_id"], "left").select("id", "old", F.least("component", "_further").alias("component"))
-        after = written(after)
-        changed = after.where(~F.col("old").eqNullSafe(F.col("component"))).take(1)
-        labels = after.select("id", "component")
-        if not changed:
+        after, new = written(after, "labels")
+        dropped(spark, at)
+        at, labels = new, after.select("id", "component")
+        if not after.where(~F.col("old").eqNullSafe(F.col("component"))).take(1):
+            dropped(spark, edges_at)
             return labels.withColumnRenamed("id", node)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .entities import written
+from ..scratch import dropped, written
 
 
 def imported(df: DataFrame, event: str, scope: str, known_scopes: DataFrame, observed: str, as_of: Column, content: Column, supersedes: str, predicate: str) -> DataFrame:
@@ -26,19 +26,22 @@ def imported(df: DataFrame, event: str, scope: str, known_scopes: DataFrame, obs
     rows = rows.withColumn("_kinds", F.size(F.collect_set(usable).over(same)))
     first = Window.partitionBy(event, "_early").orderBy(observed, "_hash")
     status = F.coalesce("_early", F.when(F.col("_kinds") > 1, F.lit("event_id_collision")), F.when(F.row_number().over(first) > 1, F.lit("duplicate")), F.lit("accepted"))
-    rows = written(rows.withColumn("status", status).drop("_scope", "_hash", "_early", "_kinds"))
+    rows, _ = written(rows.withColumn("status", status).drop("_scope", "_hash", "_early", "_kinds"), "rows")
     facts = rows.where("status = 'accepted'").select(F.col(event).alias("id"), F.col(scope).alias("s"), F.col(predicate).alias("p"), F.col(observed).alias("o"), F.col(supersedes).alias("olds"))
     links = facts.select("id", "s", "p", "o", F.explode("olds").alias("old"))
     named = facts.select(F.col("id").alias("old"), F.col("s").alias("s2"), F.col("p").alias("p2"), F.col("o").alias("o2"))
     fine = (F.col("s") == F.col("s2")) & (F.col("p") == F.col("p2")) & (F.col("o2") < F.col("o")) & (F.col("id") != F.col("old"))
-    checked = written(links.join(named, "old", "left").select("id", "old", F.coalesce(fine, F.lit(False)).alias("fine")))
-    bad = written(checked.where(~F.col("fine")).select("id").distinct())
+    checked, checked_at = written(links.join(named, "old", "left").select("id", "old", F.coalesce(fine, F.lit(False)).alias("fine")), "links")
+    bad, at = written(checked.where(~F.col("fine")).select("id").distinct(), "bad")
     while True:  # once for each step of the longest chain of events that fall
         fallen = checked.join(bad.select(F.col("id").alias("old")), "old", "left_semi").select("id").distinct().join(bad, "id", "left_anti")
-        fallen = written(fallen)
+        fallen, fallen_at = written(fallen, "fallen")
         if not fallen.take(1):
             break
-        bad = written(bad.unionByName(fallen))
+        bad, new = written(bad.unionByName(fallen), "bad")
+        dropped(df.sparkSession, at, fallen_at)
+        at = new
+    dropped(df.sparkSession, checked_at, fallen_at)
     out = rows.join(bad.select(F.col("id").alias("_bad")), rows[event] == F.col("_bad"), "left")
     return out.withColumn("status", F.when(F.col("_bad").isNotNull() & F.col("status").isin("accepted", "duplicate"), "invalid_supersession").otherwise(F.col("status"))).drop("_bad")
 
