@@ -66,6 +66,12 @@ def word_tokens(value: Column) -> Column:
     return F.regexp_extract_all(F.lower(value), F.lit("(\\p{L}+)"), F.lit(1))
 
 
+def first_words(value: Column, n: int) -> Column:
+    """The first n of word_tokens(); what follows them is not cut up."""
+    cut = F.split(F.lower(value), "\\P{L}+", n + 2)  # an empty first one where the text begins otherwise, n words, the rest
+    return F.slice(F.filter(F.slice(cut, 1, n + 1), lambda w: w != ""), 1, n)
+
+
 def segments(value: Column) -> Column:
     """Sentences and list entries, trimmed, without empty ones."""
     return F.filter(F.transform(F.split(value, "[\\n;•]|[.!?] "), lambda s: F.trim(s)), lambda s: s != "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterable
 
 import pandas as pd
@@ -23,7 +24,7 @@ VERDICTS = ("surfaced", "rejected_scam", "rejected_quality", "rejected_location"
 
 def detected_language(value: Column, words: dict[str, list[str]] = FUNCTION_WORDS, english: list[str] = ENGLISH, first: int = 400) -> Column:
     """The foreign language with the most function words among the first tokens; null without three, or too few beside English."""
-    seen = F.slice(text.word_tokens(F.coalesce(value, F.lit(""))), 1, first)
+    seen = text.first_words(F.coalesce(value, F.lit("")), first)
 
     def counted(tokens: Column) -> Column:
         count = lambda known: F.size(F.filter(tokens, lambda t: t.isin(*known)))
@@ -122,46 +123,65 @@ def language_pairs(required: Column, spoken: Column, all_of: Column) -> Column:
     return F.when(F.size(required) == 0, True).when(all_of, F.size(F.array_except(required, spoken)) == 0).otherwise(F.arrays_overlap(required, spoken))
 
 
-def indel_similarity(a: str, b: str) -> float:
-    """100 times twice the longest common subsequence over the lengths' sum."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 200 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+def common_letters(a: str, b: str) -> int:
+    """The length of the longest common subsequence, one bit a letter of a and one step a letter of b."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hit = row & places.get(y, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
 
 
-def same_token(want: str, have: str, least: float = 88) -> bool:
-    if len(want) <= 4 or len(have) <= 4:
-        return want == have
-    if abs(len(want) - len(have)) <= 4 and (want.startswith(have) or have.startswith(want)):
-        return True
-    return abs(len(want) - len(have)) <= 0.12 * (len(want) + len(have)) and indel_similarity(want, have) >= least
+def same_token(want: str, have: str, least: float = 88, short: int = 4) -> bool:
+    """Short tokens must be equal; longer ones may differ by an ending of `short` letters, or be alike to `least` percent."""
+    a, b = sorted((want, have), key=len)
+    if a == b or len(a) <= short:
+        return a == b
+    stem = b.startswith(a) and len(b) - len(a) <= short
+    return stem or 200 * common_letters(a, b) >= least * (len(a) + len(b))
 
 
 def phrase_found(want: list[str], have: list[str], slack: int = 2) -> bool:
     """All tokens of the phrase in order, the last at most `slack` tokens farther than if they stood side by side."""
-    if not want:
-        return False
-    for start, token in enumerate(have):
-        if same_token(want[0], token):
-            at = start
-            for w in want[1:]:
-                at = next((j for j in range(at + 1, min(start + len(want) + slack, len(have))) if same_token(w, have[j])), -1)
-                if at < 0:
-                    break
-            else:
-                return True
-    return False
+    alike = {t: [same_token(w, t) for w in want] for t in set(have)}
+    return placed([[j for j, t in enumerate(have) if alike[t][i]] for i in range(len(want))], slack)
+
+
+def placed(places: list[list[int]], slack: int) -> bool:
+    """Whether one place of each list, in ascending order, fits a window of the lists' number and the slack."""
+    reach = len(places) + slack
+    ends = {p: p for p in places[0]} if places else {}  # first place -> earliest place of the latest token
+    for following in places[1:]:
+        step = {first: bisect.bisect_right(following, at) for first, at in ends.items()}
+        ends = {first: following[k] for first, k in step.items() if k < len(following) and following[k] < first + reach}
+    return bool(ends)
 
 
 def phrases_in(tokens: Column, phrases: list[str], slack: int = 2) -> Column:
-    """The phrases that an array of tokens holds. Similar tokens count, so this is an Arrow function."""
+    """The phrases that an array of tokens holds. Similar tokens count, so this is an Arrow function.
+
+    Each distinct token of a batch is compared once with each word of the phrases.
+    """
     wanted = [(p, p.lower().split()) for p in phrases]
+    vocabulary = sorted({w for _, ws in wanted for w in ws})
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda t: [p for p, w in wanted if t is not None and phrase_found(w, list(t), slack)])
+        like: dict[str, list[str]] = {}
+
+        def found(row: list[str] | None) -> list[str]:
+            at: dict[str, list[int]] = {w: [] for w in vocabulary}
+            for j, token in enumerate(() if row is None else row):
+                if token not in like:
+                    like[token] = [] if token is None else [w for w in vocabulary if same_token(w, token)]
+                for w in like[token]:
+                    at[w].append(j)
+            return [p for p, ws in wanted if ws and all(at[w] for w in ws) and placed([at[w] for w in ws], slack)]
+
+        return batch.map(found)
 
     return run(tokens)

@@ -78,27 +78,49 @@ def equipment(claims: DataFrame, owned: DataFrame, device: str) -> DataFrame:
     return out.withColumn("outcome", F.when(F.col("modality") == "negated", "not_required").when(F.col("modality") != "required", "preferred").when(F.col("state") == "available", "supported").when(F.col("state") == "unavailable", "unmet").otherwise(F.coalesce("state", F.lit("unknown"))))
 
 
+#: Words by which a sentence speaks of whom it takes, of the employer itself, and of exceptions.
+RESTRICTING = ["only", "must", "resident", "residents", "citizen", "citizens", "residing", "reside", "exclusively", "restricted"]
+EMPLOYER = ["we", "our", "us", "company", "hq", "headquarters", "headquartered", "office", "offices", "founded"]
+EXCEPTING = ["not", "never", "except", "excluding", "excluded", "outside", "without", "unless"]
+
+
+def overlaps(tokens: Column, words: list[str]) -> Column:
+    return F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in words]))
+
+
 def region_lock(title: Column, body: Column, countries: list[str], home: list[str], first: int = 600) -> Column:
-    """The first country, not home, that a sentence restricts applicants to; sentences about the employer's own seat and denials don't count."""
-    sentences = F.split(F.concat_ws("\n", F.coalesce(title, F.lit("")), F.left(F.coalesce(body, F.lit("")), F.lit(first))), "[.;\\n]")
-    own = lambda s: s.rlike("\\b(headquartered|headquarters)\\b|\\b(we|our (company|team|business)) (is|are) [^.;]{0,60}\\b(based|located) in\\b")
-    locked = lambda s, c: s.rlike(f"\\b{c}[ -](only|based|residents?|citizens?)\\b|\\b(only|must (be|live|reside|work)) (in|from|within) (the )?{c}\\b|\\b(located|based|residing|reside) in (the )?{c}\\b")
-    denied = lambda s, c: s.rlike(f"\\b(not|never|except|excluding) [^.;]{{0,20}}\\b{c}\\b|\\b{c}\\b [^.;]{{0,20}}\\b(not (eligible|accepted|allowed)|excluded)\\b")
+    """The first country, not home, that a sentence restricts applicants to.
+
+    A sentence restricts where it names the country with a restricting word, or as
+    "<country> based"; one that speaks of the employer or of exceptions restricts nothing.
+    """
+    whole = F.concat_ws("\n", F.coalesce(title, F.lit("")), F.left(F.coalesce(body, F.lit("")), F.lit(first)))
+    sentences = F.transform(F.split(whole, "[.;\\n]"), text.tokens)
+    plain = F.filter(sentences, lambda t: ~overlaps(t, EMPLOYER) & ~overlaps(t, EXCEPTING))
 
     def locking(country: str):
-        return lambda s: locked(F.lower(s), country) & ~own(F.lower(s)) & ~denied(F.lower(s), country)
+        named = country.split()
+        line = lambda t: F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
+        return lambda t: F.contains(line(t), F.lit(f" {' '.join(named)} ")) & (overlaps(t, RESTRICTING) | F.contains(line(t), F.lit(f" {' '.join(named)} based ")))
 
     hit = F.lit(None).cast("string")
     for c in reversed([c for c in countries if c not in home]):
-        hit = F.when(F.exists(sentences, locking(c)), c).otherwise(hit)
+        hit = F.when(F.exists(plain, locking(c)), c).otherwise(hit)
     return hit
 
 
-def scoped_closure(html: Column, title: Column) -> Column:
-    """Whether a page with one heading, equal to the title, says in a block of its own that this role is closed."""
+#: A closing statement: how it begins, what it is about, how it ends, and what makes it no statement about now.
+NOTICE_BEGINS = ["this", "the", "applications", "sorry", "role", "vacancy", "position"]
+NOTICE_SUBJECTS = ["role", "vacancy", "position", "job", "opening", "posting", "project", "listing", "applications"]
+NOTICE_ENDS = ["closed", "filled", "expired", "ended", "withdrawn", "unavailable"]
+NOTICE_OPEN = ["not", "if", "when", "until", "unless", "once", "before", "soon", "will"]
+
+
+def scoped_closure(html: Column, title: Column, most_words: int = 12) -> Column:
+    """Whether a page with one heading, equal to the title, says in a short block of its own that this role is closed."""
     headings = F.transform(F.regexp_extract_all(html, F.lit("(?is)<h1[^>]*>(.*?)</h1>"), F.lit(1)), lambda h: F.lower(text.html_text(h)))
-    blocks = F.transform(F.split(text.html_text(html), "\n"), lambda b: F.lower(F.trim(b)))
-    says = lambda b: b.rlike("^(this (job|role|position|project) (is|has been) (now |already )?(closed|filled|completed)|applications for this (job|role|position|project) are (now )?closed)[.!]?$")
+    blocks = F.transform(F.split(text.html_text(html), "\n"), text.tokens)
+    says = lambda t: F.size(t).between(3, most_words) & F.get(t, F.lit(0)).isin(*NOTICE_BEGINS) & overlaps(t, NOTICE_SUBJECTS) & overlaps(t, NOTICE_ENDS) & ~overlaps(t, NOTICE_OPEN)
     return F.coalesce((F.size(headings) == 1) & (F.get(headings, F.lit(0)) == F.lower(F.trim(title))) & F.exists(blocks, says), F.lit(False))
 
 
