@@ -7,8 +7,7 @@ local folders, so a lost executor only means that its tasks run again.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,40 +15,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import dropped, shared_folder, written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, a temporary one becomes it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/evidentia-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str = "table", codec: str = "zstd") -> tuple[DataFrame, str]:
-    """df written as Parquet to the shared folder and read again, which cuts its lineage, and its path."""
-    path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def dropped(spark: SparkSession, *paths: str) -> None:
-    """Deletes tables of written() that no later step reads."""
-    for p in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def set_apart(df: DataFrame, taken: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
     """df with its columns whose names a result needs renamed to name_in, and how each column is called now."""
-    taken, names = set(taken), {}
+    taken, names = {t.lower() for t in taken}, {}
+    others = {c.lower() for c in df.columns}
     for c in df.columns:
         new = c
-        while new in taken or (new != c and new in df.columns):
+        while new.lower() in taken or (new != c and new.lower() in others):
             new += "_in"
         names[c] = new
     return df.select(*[df[f"`{c}`"].alias(new) for c, new in names.items()]), names
@@ -95,36 +74,34 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-PIECE = 1 << 20  # items whose sums are taken at once
-BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 ... base ** n at least, modulo 2**64; a worker keeps the longest row up to PIECE."""
-    row = _POWERS.get(int(base))
-    if row is None or len(row) <= n:
-        row = np.full(max(n, PIECE) + 1, base, np.uint64)
-        row[0] = 1
-        np.multiply.accumulate(row, out=row)
-        if n <= PIECE:
-            _POWERS[int(base)] = row
-    return row
-
-
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+PIECE = 1 << 20  # bytes of text that are worked on at once
+LONG = 128  # bytes; longer spans are hashed by BLAKE2b
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for many ascending spans, from prefix sums of a polynomial modulo 2**64."""
-    out = np.zeros(len(starts), np.uint64)
-    if not len(starts):
+    """64-bit hashes of data[start:end] for many spans of an array of 1, 2 or 4 bytes an item.
+
+    A span's bytes are taken eight at a time into a chain of bijective scrambles, so
+    spans of up to eight bytes and one length never meet, and longer ones meet only by
+    chance (about n * n / 2**65 for n distinct spans), whatever their pattern. Spans
+    over LONG bytes are hashed by BLAKE2b.
+    """
+    width = data.dtype.itemsize
+    first, size = np.asarray(starts, np.int64) * width, (np.asarray(ends, np.int64) - starts) * width
+    out = mix64(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    if not len(out):
         return out
-    cuts = np.r_[np.flatnonzero(np.diff(starts // PIECE, prepend=-1)), len(starts)]
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        lo, hi = int(starts[a]), int(ends[b - 1])
-        s, e, n = starts[a:b] - lo, ends[a:b] - lo, hi - lo
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * powers(BASE, n)[:n], out=sums[1:])
-        out[a:b] = mix64((sums[e] - sums[s]) * powers(INVERSE, n)[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    raw = np.ascontiguousarray(data).view(np.uint8)
+    padded = np.r_[raw, np.zeros(8, np.uint8)]
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+    short = np.flatnonzero((size > 0) & (size <= LONG))
+    for at in range(0, LONG, 8):
+        if not len(short):
+            break
+        left = size[short] - at
+        block = eight[first[short] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (8 * np.maximum(8 - left, 0)).astype(np.uint64))
+        out[short] = mix64(out[short] ^ block)
+        short = short[left > 8]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[first[i] : first[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
     return out

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slices, written
+from .common import column, slices, span_hashes, written
 from .words import encoder
 
 BLOCK_BYTES = 8 << 20
-BUCKET_BITS = 10  # pre-tokens are dealt out by so many bits of their hash
-MEMO = 1_000_000  # distinct pre-tokens that a task remembers
+BUCKET_BITS = 12  # pre-tokens are dealt out by so many bits of their hash: as many tasks can count them
+MEMO = 1_000_000  # distinct pre-tokens that a task remembers; a bucket with more counts some again
 BLOCKS = "block string, doc_ids array<bigint>, doc_bytes array<bigint>, fixed array<bigint>, sizes array<int>, steps binary, often binary, lists array<struct<bucket:int,pieces:binary>>"
 LISTS = pa.list_(pa.struct([("bucket", pa.int32()), ("pieces", pa.binary())]))
 
@@ -42,11 +42,11 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(memoryview(data)[1:]), np.uint16 if data[0] == 2 else np.uint32).astype(np.int64)
 
 
-def frequency_blocks(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def frequency_blocks(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTES, bits: int = BUCKET_BITS) -> DataFrame:
     """One row a block: its documents, its distinct pre-tokens by bucket, and what each document has of them.
 
     Of a document's `sizes` pre-tokens, `steps` are the differences of their ascending numbers within the block and
-    `often` their frequencies, both packed; so are a list's pieces. `fixed` is the count of texts that can't be cut by pattern; the library counts these whole.
+    `often` their frequencies, both packed; so are a list's pieces. `fixed` is the count of texts that hold special strings; the library counts these whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,22 +56,27 @@ def frequency_blocks(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_B
         for batch in batches:
             for part in slices(batch, "text", block_bytes):
                 texts = [t or "" for t in column(part, "text").to_pylist()]
-                plain = np.array([enc.plain(t) for t in texts], bool)
-                line, starts, ends, hashes, cut = enc.cut([t for t, p in zip(texts, plain) if p])
-                unique, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+                plain = [i for i, t in enumerate(texts) if enc.plain(t)]
+                line, starts, ends, hashes, cut = enc.cut([texts[i] for i in plain])
+                others = sorted(set(range(len(texts))) - set(plain))
+                split = {i: enc.split(texts[i]) for i in others}
+                fixed = np.zeros(len(texts), np.int64)
+                for i in [i for i in others if split[i] is None]:
+                    fixed[i] = len(enc.tok.encode(texts[i], add_special_tokens=False).ids)
+                owner = np.r_[np.repeat(np.array(plain, np.int64), cut), np.repeat(np.array(others, np.int64), [len(split[i] or ()) for i in others])].astype(np.int64)
+                more = [p for i in others for p in split[i] or ()]
+                unique, first, where = np.unique(np.r_[hashes, hashes_of(more)], return_index=True, return_inverse=True)
                 width = max(1, len(unique))
-                pairs, often = np.unique(np.repeat(np.arange(len(cut)), cut) * width + where, return_counts=True)
-                sizes = np.zeros(len(texts), np.int64)
-                sizes[plain] = np.bincount(pairs // width, minlength=len(cut))
+                pairs, often = np.unique(owner * width + where, return_counts=True)
+                sizes = np.bincount(pairs // width, minlength=len(texts))
                 steps = np.diff(pairs % width, prepend=0)
                 heads = (np.cumsum(sizes) - sizes)[sizes > 0]
                 steps[heads] = (pairs % width)[heads]
-                buckets = (unique >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)  # ascending, as the hashes are
+                buckets = (unique >> np.uint64(64 - bits)).astype(np.int64)  # ascending, as the hashes are
                 edges = np.r_[np.flatnonzero(np.diff(buckets, prepend=-1)), len(unique)]
-                pieces = [line[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+                pieces = [line[starts[k] : ends[k]] if k < len(starts) else more[k - len(starts)] for k in first.tolist()]
                 lists = [{"bucket": int(buckets[a]), "pieces": zlib.compress("\0".join(pieces[a:b]).encode(), 1)} for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
-                fixed = [0 if p else len(enc.tok.encode(t, add_special_tokens=False).ids) for t, p in zip(texts, plain)]
-                values = [f"{TaskContext.get().partitionId()}-{n}", column(part, "doc_id").to_pylist(), [len(t.encode()) for t in texts], fixed, sizes.tolist(), packed(steps), packed(often), lists]
+                values = [f"{TaskContext.get().partitionId()}-{n}", column(part, "doc_id").to_pylist(), [len(t.encode()) for t in texts], fixed.tolist(), sizes.tolist(), packed(steps), packed(often), lists]
                 types = [pa.string(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.int32()), pa.binary(), pa.binary(), LISTS]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], ["block", "doc_ids", "doc_bytes", "fixed", "sizes", "steps", "often", "lists"])
                 n += 1
@@ -79,6 +84,13 @@ def frequency_blocks(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_B
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, BLOCKS)
 
 
+def hashes_of(pieces: list[str]) -> np.ndarray:
+    """The hashes that Encoder.cut() gives to these pre-tokens."""
+    sizes = np.array([len(p.encode("utf-16-le")) // 2 for p in pieces], np.int64)
+    ends = np.cumsum(sizes)
+    return span_hashes(np.frombuffer("".join(pieces).encode("utf-16-le"), "<u2"), ends - sizes, ends)
+
+
 def piece_counts(lists: DataFrame, tokenizer: str) -> DataFrame:
     """lists (block, bucket, pieces) with n, packed, in place of the pieces: how many tokens the tokenizer makes of each.
 
@@ -99,9 +111,9 @@ def piece_counts(lists: DataFrame, tokenizer: str) -> DataFrame:
     return lists.repartition("bucket").mapInArrow(run, "block string, bucket int, n binary")
 
 
-def token_counts(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTES, bits: int = BUCKET_BITS) -> DataFrame:
     """doc_id, n_bytes and n_tokens of each document."""
-    blocks, path = written(frequency_blocks(docs, tokenizer, block_bytes), "blocks")
+    blocks, path = written(frequency_blocks(docs, tokenizer, block_bytes, bits), "blocks")
     counts = piece_counts(blocks.select("block", F.inline("lists")), tokenizer)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -108,7 +108,13 @@ def pack_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[
     words[word[first]] = np.bitwise_or.reduceat(high, first)
     over = np.flatnonzero(room < 0)  # at most one code crosses into each word
     words[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
-    return words.astype(">u8").tobytes()[: int(ends[-1] + 7) // 8], starts[::CHECKPOINT].astype("<u4")
+    marks = starts[::CHECKPOINT]
+    return words.astype(">u8").tobytes()[: int(ends[-1] + 7) // 8], marks.astype("<u4" if ends[-1] < 1 << 32 else "<u8")
+
+
+def read_marks(data: bytes, n_ids: int) -> np.ndarray:
+    """The bit offsets of a block of n_ids ids: four bytes each, or eight in a block of half a gigabyte and more."""
+    return np.frombuffer(data, "<u8" if len(data) > 4 * -(-n_ids // CHECKPOINT) else "<u4")
 
 
 def unpack_bits(bits: bytes, marks: np.ndarray, n_ids: int, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
@@ -244,7 +250,7 @@ def read_token_table(spark: SparkSession, path: str) -> DataFrame:
         lookup = decoding_table(lengths)
         for batch in batches:
             for r in batch.to_pylist():
-                ids = unpack_bits(r["bits"], np.frombuffer(r["marks"], "<u4"), r["n_ids"], lookup).astype("<u4")
+                ids = unpack_bits(r["bits"], read_marks(r["marks"], r["n_ids"]), r["n_ids"], lookup).astype("<u4")
                 ends = np.cumsum(r["doc_lens"])
                 starts = ends - r["doc_lens"]
                 raw = memoryview(ids.tobytes())

@@ -3,8 +3,9 @@
 A BPE tokenizer of the `tokenizers` library never merges across pre-tokens, so
 the ids of a text are the ids of its pre-tokens one after the other. Texts made
 of a plain set of characters are cut into pre-tokens many at a time, and each
-distinct pre-token is encoded by the library once; every other text (rare
-scripts, unusual spaces, special strings) goes to the library as it is.
+distinct pre-token is encoded by the library once. Other texts are cut by the
+library's own pre-tokenizer where pieces are wanted (split()); only texts that hold
+one of the tokenizer's special strings go to the library whole.
 """
 
 from __future__ import annotations
@@ -68,6 +69,12 @@ class Encoder:
         self.flat = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 15, np.int64)
 
+    def split(self, text: str) -> list[str] | None:
+        """The pre-tokens of any text by the library's pre-tokenizer; None if the text holds a special string or the file's kind is not known."""
+        if self.kind != "bytes" or "\0" in text or any(s in text for s in self.special):
+            return None
+        return [text[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text)]
+
     def plain(self, text: str) -> bool:
         """Whether cut() cuts the text as the library would."""
         if self.kind is None or "\0" in text or any(s in text for s in ("<|", *self.special)):
