@@ -13,22 +13,25 @@
 4. Confirmation: a star is dealt into chunks of about CHUNK members and a copy of
    the centre. In a chunk all pairs are compared on full sets. Members of a star of
    several chunks may be similar to each other but not to the centre, so their
-   buckets that still hold several components are looked at again: all pairs of a
-   bucket that fits a chunk are compared; larger ones form stars again, in which
-   the documents outside the largest component meet all chunks. So every pair that
-   shares a bucket is compared or is in one component.
+   buckets that still hold several components are looked at again. A bucket that
+   fits a chunk is compared as a whole. Of larger ones, put together by centre,
+   the documents outside the largest component ask all others, in groups of about
+   GROUP shingles on either side: a document is sent once for each GROUP shingles of
+   askers, however many documents those are. So every pair that shares a bucket is
+   compared or is in one component.
 5. Components: large-star and small-star rounds over the confirmed links.
 
 Nulls and empty texts have no shingles and are linked with nothing. Rows that
 repeat a doc_id count as one document for links. A row whose doc_id is null
 can't be named by a link; it has no component and is kept. Ties don't arise. An
 empty table gives an empty result. Other columns are ignored. With a column of row
-numbers each row is judged by its own text alone, and links name rows.
+numbers each row is judged by its own text alone, and links name rows. Of the tables
+in the shared folder only that of the result stays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,7 +42,8 @@ from pyspark.sql import functions as F
 from .common import PIECE, column, dropped, mix64, slices, span_hashes, text_bytes, written
 
 BINS, ROWS = 128, 4
-CHUNK = 64
+CHUNK = 64  # documents that are compared with each other at the first look
+GROUP = 1 << 19  # shingles of askers, and of those asked, in a group of the second look
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
@@ -170,20 +174,75 @@ def forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return sorted((top(x), x) for x in {x for p in pairs for x in p} if top(x) != x)
 
 
+def sets_of(texts: pd.Series, size: int) -> list[np.ndarray]:
+    out = []
+    for text in texts:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        words, _ = word_hashes(data, np.array([0, len(data)]))
+        out.append(shingle_set(words, size))
+    return out
+
+
 def confirmed(requests: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b), a < b, between documents of one group of requests (centre, chunk, batch, doc) whose sets are similar.
+    """Links (a, b), a < b, between documents of one group of requests (centre, chunk, doc) whose sets are similar.
 
     All pairs of a group are compared. What leaves it are its components, as ties of the smallest document to the others.
     """
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        sets = []
-        for text in df["text"]:
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            words, _ = word_hashes(data, np.array([0, len(data)]))
-            sets.append(shingle_set(words, size))
         ids = df["doc"].to_numpy(np.int64)
-        return pd.DataFrame(forest([(int(ids[i]), int(ids[j])) for i, j in similar_pairs(sets, percent)]), columns=["a", "b"], dtype="int64")
+        pairs = similar_pairs(sets_of(df["text"], size), percent)
+        return pd.DataFrame(forest([(int(ids[i]), int(ids[j])) for i, j in pairs]), columns=["a", "b"], dtype="int64")
+
+    return requests.join(texts.hint("merge"), "doc").groupBy("centre", "chunk").applyInPandas(run, "a long, b long")
+
+
+def asked(sets: list[np.ndarray], askers: np.ndarray, percent: int) -> np.ndarray:
+    """For each set the least set that it is tied to, when each asker is compared with all sets.
+
+    Overlaps are counted over the sets that have a shingle; for a shingle that most
+    sets have, over those that lack it.
+    """
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.argsort(flat, kind="stable")
+    owner = owner[order]
+    tokens, first, count = np.unique(flat[order], return_index=True, return_counts=True)
+    common = count > n // 2
+    rank = np.cumsum(common) - 1
+    lacking = np.ones((int(common.sum()), n), bool)
+    held = np.repeat(common, count)
+    lacking[np.repeat(rank[common], count[common]), owner[held]] = False
+    lack_count = lacking.sum(1)
+    lack_owner, lack_first = np.nonzero(lacking)[1], np.cumsum(lack_count) - lack_count
+
+    def tally(firsts: np.ndarray, counts: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(counts)
+        places = np.repeat(firsts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return np.bincount(owners[places], minlength=n)
+
+    label = np.arange(n)
+    for i in askers.tolist():
+        t = np.searchsorted(tokens, sets[i])
+        rare, usual = t[~common[t]], rank[t[common[t]]]
+        both = tally(first[rare], count[rare], owner) + len(usual) - tally(lack_first[usual], lack_count[usual], lack_owner)
+        near = np.flatnonzero(100 * both >= percent * (sizes[i] + sizes - both))
+        found = np.unique(label[near])
+        if len(found) > 1:
+            label[np.isin(label, found)] = found[0]
+    return label
+
+
+def confirmed_asks(requests: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between the askers and all documents of one group of requests (centre, chunk, batch, doc, asks), as ties of the smallest document."""
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("doc", kind="stable")
+        ids = df["doc"].to_numpy(np.int64)
+        label = asked(sets_of(df["text"], size), np.flatnonzero(df["asks"].to_numpy(bool)), percent)
+        tied = np.flatnonzero(ids[label] != ids)
+        return pd.DataFrame({"a": ids[label[tied]], "b": ids[tied]})
 
     return requests.join(texts.hint("merge"), "doc").groupBy("centre", "chunk", "batch").applyInPandas(run, "a long, b long")
 
@@ -193,8 +252,8 @@ def edge_sum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and component (its smallest node) of each end of links (a, b), by large-star and small-star rounds."""
+def labels(links: DataFrame) -> tuple[DataFrame, str]:
+    """doc and component (its smallest doc) of each end of links (a, b), by large-star and small-star rounds, written to a path."""
     spark = links.sparkSession
     edges, path = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     mark = edge_sum(edges)
@@ -210,8 +269,11 @@ def components(links: DataFrame) -> DataFrame:
         edges, path = after, new
         if mark == before:
             break
-    stars = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().join(stars.select("node"), "node", "left_anti"))
+    stars = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "doc")
+    centres = edges.select(F.col("v").alias("doc"), F.col("v").alias("component")).distinct().join(stars.select("doc"), "doc", "left_anti")
+    out = written(stars.unionByName(centres), "labels")
+    dropped(spark, path)
+    return out
 
 
 def keyed(nodes: DataFrame) -> DataFrame:
@@ -233,43 +295,52 @@ def dealt(edges: DataFrame, chunk: int) -> DataFrame:
 
 def with_centres(members: DataFrame) -> DataFrame:
     """Requests that compare each chunk of a star and its centre."""
-    return members.select("centre", "chunk", "doc").unionByName(members.select("centre", "chunk", F.col("centre").alias("doc")).distinct()).withColumn("batch", F.lit(-1))
-
-
-def across_chunks(wide: DataFrame, label: DataFrame, chunk: int) -> DataFrame:
-    """Requests that compare the documents outside the largest component of a star with all chunks of it, batch by batch."""
-    named, _ = written(wide.join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc")), "named")
-    most = named.groupBy("centre", "component").count().groupBy("centre").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-    rest = named.join(most, "centre").where("component != largest").select("centre", "doc")
-    batches = rest.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(float(chunk))).cast("int").alias("batches"))
-    rest, _ = written(rest.join(batches, "centre").select("centre", F.pmod(F.xxhash64(F.lit(1), "doc"), F.col("batches")).cast("int").alias("batch"), "doc"), "rest")
-    groups = rest.select("centre", "batch").distinct().join(named.select("centre", "chunk").distinct(), "centre")
-    return groups.join(rest, ["centre", "batch"]).select("centre", "chunk", "batch", "doc").unionByName(groups.join(named.select("centre", "chunk", "doc"), ["centre", "chunk"]).select("centre", "chunk", "batch", "doc")).distinct()
+    return members.select("centre", "chunk", "doc").unionByName(members.select("centre", "chunk", F.col("centre").alias("doc")).distinct())
 
 
-def labels(links: DataFrame) -> DataFrame:
-    return components(links).select(F.col("node").alias("doc"), "component")
+def asks(named: DataFrame, group: int, saved: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Requests (centre, chunk, batch, doc, asks) by which the documents outside the largest component of a star ask all of it.
 
-
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, chunk: int = CHUNK, number: str | None = None) -> DataFrame:
+    named is a written table of centre, doc, component and n_shingles; saved writes a table and reads it again.
+    """
+    parts = named.groupBy("centre", "component").agg(F.sum("n_shingles").alias("size"))
+    plan = parts.groupBy("centre").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.sum("size").alias("all"), (F.sum("size") - F.max("size")).alias("rest")).where("rest > 0")
+    parts_of = lambda c: F.ceil(F.col(c) / F.lit(float(group))).cast("int")
+    plan = saved(plan.select("centre", "largest", parts_of("all").alias("chunks"), parts_of("rest").alias("batches")), "plan")  # so that a hot centre's rows can part in the join
+    deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "doc"), F.col(n)).cast("int")
+    dealt_out = named.join(plan, "centre").select("centre", "doc", (F.col("component") != F.col("largest")).alias("asks"), "chunks", "batches", deal(0, "chunks").alias("own_chunk"), deal(1, "batches").alias("own_batch"))
+    numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    asking = dealt_out.where("asks").select("centre", F.explode(numbers("chunks")).alias("chunk"), F.col("own_batch").alias("batch"), "doc", "asks")
+    others = F.filter(numbers("batches"), lambda b: ~F.col("asks") | (b != F.col("own_batch")))
+    return asking.unionByName(dealt_out.select("centre", F.col("own_chunk").alias("chunk"), F.explode(others).alias("batch"), "doc", F.lit(False).alias("asks")))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, chunk: int = CHUNK, number: str | None = None, group: int = GROUP) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text); component_id is the smallest doc_id.
 
     number names a column of long row numbers, fixed in a written table, which comes
     back first. Then rows of one doc_id may be in several components.
     """
+    scratch: list[str] = []
+
+    def saved(df: DataFrame, name: str) -> DataFrame:
+        out, path = written(df, name)
+        scratch.append(path)
+        return out
+
     doc_id = docs["doc_id"].cast("long")
     docs = docs.select((doc_id if number is None else docs[number]).alias("name"), doc_id.alias("doc_id"), docs["text"])
-    rows, _ = written(sketches(docs, size), "sketches")
+    rows = saved(sketches(docs, size), "sketches")
     sets = rows.where("n_shingles > 0 and doc_id is not null").groupBy("one", "two", "n_shingles").agg(F.min("name").alias("doc"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
-    nodes, _ = written(sets, "nodes")
+    nodes = saved(sets, "nodes")
 
-    members, _ = written(dealt(stars(keyed(nodes)), chunk), "members")
+    members = saved(dealt(stars(keyed(nodes)), chunk), "members")
     requests = with_centres(members)
     # Candidates' texts are dealt out once. Their ids grow with the documents, so they are never broadcast.
     wanted = requests.select("doc").distinct().hint("merge")
-    texts, _ = written(docs.where("doc_id is not null").select(F.col("name").alias("doc"), "text").join(wanted, "doc", "left_semi"), "texts")
-    links, _ = written(confirmed(requests, texts, size, percent), "links")
-    label = labels(links)
+    texts = saved(docs.where("doc_id is not null").select(F.col("name").alias("doc"), "text").join(wanted, "doc", "left_semi"), "texts")
+    label, path = labels(confirmed(requests, texts, size, percent))
+    scratch.append(path)
 
     wide = members.where("chunks > 1").select("centre", "doc")
     if wide.take(1):
@@ -278,11 +349,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, chunk: in
         keys = keyed(nodes.join(open_docs, "doc", "left_semi"))
         component = F.coalesce("component", "doc")
         mixed = keys.join(label, "doc", "left").groupBy("key").agg((F.min(component) != F.max(component)).alias("several"), F.count("*").alias("n"), F.min("doc").alias("centre")).where("several")
-        placed, _ = written(keys.join(mixed.drop("several"), "key"), "placed")
-        small = placed.where(F.col("n") <= chunk).select(F.col("key").alias("centre"), F.lit(0).alias("chunk"), F.lit(-2).alias("batch"), "doc")
-        large = dealt(placed.where((F.col("n") > chunk) & (F.col("doc") != F.col("centre"))).select("centre", "doc").distinct(), chunk)
-        again = small.unionByName(across_chunks(large.select("centre", "chunk", "doc"), label, chunk))
-        label = labels(links.unionByName(confirmed(again, texts, size, percent)))
+        placed = saved(keys.join(mixed.drop("several"), "key"), "placed")
+        small = placed.where(F.col("n") <= chunk).select(F.col("key").alias("centre"), F.lit(0).alias("chunk"), "doc")
+        large = placed.where(F.col("n") > chunk).select("centre", "doc").distinct()
+        named = saved(large.join(label, "doc", "left").join(nodes.select("doc", "n_shingles"), "doc").select("centre", "doc", component.alias("component"), "n_shingles"), "named")
+        again = confirmed(small, texts, size, percent).unionByName(confirmed_asks(asks(named, group, saved), texts, size, percent))
+        label, path = labels(again.unionByName(label.select(F.col("component").alias("a"), F.col("doc").alias("b"))))
+        scratch.append(path)
     by_set = nodes.join(label, "doc", "left").select("one", "two", "n_shingles", F.coalesce("component", "doc").alias("_component"))
     if number is not None:
         named = nodes.join(label, "doc", "left").select("one", "two", "n_shingles", "least", F.coalesce("component", "doc").alias("_group"))
@@ -290,4 +363,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, chunk: in
         by_set = named.join(least, "_group").select("one", "two", "n_shingles", "_component")
     out = rows.select("name", "doc_id", "n_shingles", "one", "two").join(by_set, ["one", "two", "n_shingles"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_component")).otherwise(F.col("doc_id"))
-    return out.select(*([] if number is None else [F.col("name").alias(number)]), "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = out.select(*([] if number is None else [F.col("name").alias(number)]), "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out, _ = written(out, "groups")
+    dropped(docs.sparkSession, *scratch)
+    return out
