@@ -1,10 +1,11 @@
 """Packing of documents into fixed sequences by first-fit decreasing.
 
-Texts are cut into pieces of a whole sequence and one rest. Whole pieces fill a
-sequence each; the rests are dealt at random into groups, and each group is
-packed alone: longest first, each into the leftmost open sequence that has room,
-which a tournament tree over the sequences' free space finds in log time. A group
-is one task's small table of lengths, however large the corpus.
+Texts are cut into pieces of a whole sequence and one rest. A whole piece is a
+sequence of its own; the rests are dealt at random into groups of about GROUP, and
+each group is packed alone: longest first, each into the leftmost open sequence that
+has room, which a tournament tree over the sequences' free space finds in log time.
+A group is one task's small table of lengths, however large the corpus: rows are
+dealt by a row number that a written table fixes, so equal rows part as well.
 
 Nulls: a null text is an empty text (the end id alone). A null or repeated doc_id
 is packed like any other row. An empty table gives an empty result. Ties of
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, set_apart, slices
+from .common import column, set_apart, slices, written
 from .words import encoder
 
 GROUP = 20_000  # rests for each group, about
@@ -81,21 +82,21 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def group_count(docs: DataFrame, group: int = GROUP) -> int:
-    """Groups for pack(): a document has one rest at most."""
-    return max(1, -(-docs.count() // group))
-
-
-def pack(rows: DataFrame, capacity: int, groups: int, seed: int = 7) -> DataFrame:
+def pack(rows: DataFrame, capacity: int, groups: int | None = None, seed: int = 7, group: int = GROUP) -> DataFrame:
     """rows (doc_id, start, length and any others) with sequence_id and offset.
 
     length must lie between 1 and capacity. A column of rows whose name the result
-    needs is called name_in. A sequence's pieces fill it from 0
-    without gaps. sequence_id is unique over all groups: the group's number times
-    2**32, plus the sequence's number within the group.
+    needs is called name_in. A sequence's pieces fill it from 0 without gaps.
+    sequence_id is unique: for rests the group's number times 2**32 plus the
+    sequence's number within the group, for whole pieces a negative number. Without
+    `groups` there is one for each `group` rests.
     """
-    rows, _ = set_apart(rows, ("sequence_id", "offset", "_group"))
-    dealt = rows.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start"), F.lit(groups)).cast("int"))
+    rows, _ = set_apart(rows, ("sequence_id", "offset", "_group", "_row"))
+    own = rows.columns
+    rows, _ = written(rows.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    rests = rows.where(F.col("length") < capacity)
+    groups = groups or max(1, -(-rests.count() // group))
+    dealt = rests.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "_row"), F.lit(groups)).cast("int")).drop("_row")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.take(pc.sort_indices(t, [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")]))
@@ -103,8 +104,10 @@ def pack(rows: DataFrame, capacity: int, groups: int, seed: int = 7) -> DataFram
         first = t["_group"][0].as_py() << 32
         return t.drop_columns("_group").append_column("sequence_id", pa.array(bins + first, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return dealt.groupBy("_group").applyInArrow(run, f"{fields}, sequence_id long, offset long")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_row")
+    packed = dealt.groupBy("_group").applyInArrow(run, f"{fields}, sequence_id long, offset long")
+    alone = rows.where(F.col("length") >= capacity).select(*[F.col(f"`{c}`") for c in own], (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return alone.unionByName(packed)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int | None = None, group: int = GROUP) -> DataFrame:
@@ -113,4 +116,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
     A group then holds its pieces' ids: GROUP rests of half a sequence take about
     160 MB, so choose smaller groups where executors are small.
     """
-    return pack(pieces(docs, tokenizer, capacity, end_id), capacity, group_count(docs, group))
+    return pack(pieces(docs, tokenizer, capacity, end_id), capacity, group=group)

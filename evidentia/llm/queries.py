@@ -24,8 +24,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = packing.pieces(docs, public_tokenizers.path(WORD_BPE), 4096, END_ID)
-    digests = cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return packing.pack(digests, 4096, packing.group_count(docs))
+    return packing.pack(cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), 4096)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +94,7 @@ WITH RECURSIVE words AS (
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN sizes USING (doc_id)
 """
 
-SHARD_LIMIT = 16 << 20
+SHARD_LIMIT = 256 << 10
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,8 +135,8 @@ def op7_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.encode("html", "UTF-8").alias("payload"))
-    archives, _ = written(warc_zip.archived(warc_zip.with_revisits(pages)), "archives", "none")
-    return warc_zip.records(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archives = warc_zip.write_archives(warc_zip.with_revisits(pages))
+    return warc_zip.records_of(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP8_SQL = """
@@ -162,7 +161,7 @@ RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 
 
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, RULES))} AS rules(host, path, verdict)")
     return url_rules.judged(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 

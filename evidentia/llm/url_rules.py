@@ -1,16 +1,22 @@
-"""URL filters as a sort-merge range join, in DataFrame functions alone.
-
-A rule (host, path prefix, verdict) covers, among keys `reversed host) path`, an
-interval for its own host; a url asks once for each suffix of its host that is as
-long as some rule's host. Rules and askers of one host are sorted together: a
-rule opens at its path, closes after the last key that begins with it, and rules
-of a host are nested or apart. A running sum of openings and closings is the
-height of the stack of active rules, and the rule on top of the stack at height d
-is the last one opened at height d. The longest rule over all suffixes wins.
-
-Askers are distinct (host, path cut to the longest rule path), so equal urls and
-deep paths are judged once. A host suffix may hold most of the rows; its askers
-are dealt over `salts` parts, each with its own copy of the rules.
+"""URL filters as sort-merge range joins, in DataFrame functions alone.
+
+A host's canonical key is its labels in reverse, each with a dot after it:
+``www.example.org`` is ``org.example.www.``. A host and all its subdomains are then
+the keys that begin with the host's key, which is an interval, and so are the paths
+that begin with a rule's path. Two intervals are nested or apart, so a sweep over
+sorted keys, intervals opening before and closing after the keys they cover, keeps a
+stack of nested intervals: a running sum of openings and closings is its height, and
+what is on top at height d is the last that opened at height d.
+
+1. Hosts: rule hosts are swept with the distinct hosts of urls. The top of the stack
+   is the longest rule host that fits a host; the rule hosts below it are those that
+   fit the top itself, one row for each pair of nested rule hosts.
+2. Paths: keys ``rule host, path`` are swept with the distinct (top, path cut to the
+   longest rule path) of urls, each asking once for each host of its stack.
+3. The longest rule over a stack's hosts wins.
+
+Askers are dealt over parts of about PART of them, each swept alone with its own copy
+of the intervals, so however many urls share a host, no key meets in one task.
 
 Nulls: a null url, or one without ://, has an empty host and path. Rules with a
 null host or path are ignored; of rules with the same host and path, block wins.
@@ -25,6 +31,7 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DEFAULT = "allow"
+PART = 500_000  # askers that are swept together
 
 
 def rest_of(url: Column) -> Column:
@@ -39,37 +46,56 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest_of(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def labels(host: Column) -> Column:
-    return F.length(host) - F.length(F.replace(host, F.lit("."))) + F.lit(1)
-
-
 def reversed_key(host: Column) -> Column:
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"))
-
-
-def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, salts: int = 32) -> DataFrame:
-    """page_id, host, path, rule and verdict of each row of pages (page_id, url) by rules (host, path, verdict)."""
+    """The labels of a host in reverse, each with a dot after it; no other host's key begins with it but a subdomain's."""
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
+
+
+def on_top(intervals: DataFrame, askers: DataFrame, parts: int) -> DataFrame:
+    """askers with top: what the innermost interval that covers their key holds, null where none does.
+
+    intervals (key, holds): each covers all keys that begin with its own. askers have
+    key and any other columns. Keys are compared as UTF-8.
+    """
+    others = [c for c in askers.columns if c != "key"]
+    low = F.encode("key", "UTF-8")
+    held = intervals.schema["holds"].dataType
+    nothing = [F.lit(None).cast(askers.schema[c].dataType).alias(c) for c in others]
+    copies = intervals.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    opens = copies.select("part", low.alias("at"), F.lit(1).alias("step"), "holds", *nothing)
+    closes = copies.select("part", F.concat(low, F.lit(bytearray(b"\xff"))).alias("at"), F.lit(-1).alias("step"), F.lit(None).cast(held).alias("holds"), *nothing)
+    asking = askers.select(F.pmod(F.xxhash64("key", *others), F.lit(parts)).cast("int").alias("part"), low.alias("at"), F.lit(0).alias("step"), F.lit(None).cast(held).alias("holds"), *others)
+    order = [F.col("at"), F.col("step").desc()]  # an interval opens before the asker at its own key
+    so_far = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    at_height = Window.partitionBy("part", "height").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    swept = opens.unionByName(closes).unionByName(asking).withColumn("height", F.sum("step").over(so_far))
+    swept = swept.withColumn("top", F.when(F.col("height") > 0, F.last("holds", ignorenulls=True).over(at_height)))
+    return swept.where("step = 0").select(*others, "top")
+
+
+def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, parts: int | None = None, part: int = PART) -> DataFrame:
+    """page_id, host, path, rule and verdict of each row of pages (page_id, url) by rules (host, path, verdict).
+
+    Without `parts` there is one for each `part` distinct pairs of host and cut path.
+    """
     rules = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull()).groupBy(F.translate("host", UPPER, LOWER).alias("r_host"), F.col("path").alias("r_path")).agg(F.max("verdict").alias("r_verdict"))
-    longest = rules.agg(F.coalesce(F.max(F.length("r_path")), F.lit(0)).alias("p"), F.coalesce(F.max(labels(F.col("r_host"))), F.lit(0)).alias("h")).first()
-    urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("probe", F.left("path", F.lit(max(1, longest["p"]))))
-    askers = urls.select("host", "probe").distinct()
-    askers = askers.select("host", "probe", F.explode(F.expr(f"sequence(1, greatest(1, least({longest['h']}, length(host) - length(replace(host, '.')) + 1)))")).alias("k"))
-    askers = askers.withColumn("suffix", F.expr("substring_index(host, '.', -k)"))
-    askers = askers.join(rules.select(F.col("r_host").alias("suffix")).distinct(), "suffix", "left_semi")
-
-    salt = F.pmod(F.xxhash64("host", "probe"), F.lit(salts)).cast("int")
+    longest = rules.agg(F.coalesce(F.max(F.length("r_path")), F.lit(0)).alias("n")).first()["n"]
+    urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("probe", F.left("path", F.lit(max(1, longest))))
+    asked = urls.select("host", "probe").distinct()
+    parts = parts or max(1, -(-asked.count() // part))
+
+    hosts = rules.select("r_host").distinct()
+    intervals = hosts.select(reversed_key(F.col("r_host")).alias("key"), F.col("r_host").alias("holds"))
+    tops = on_top(intervals, asked.select(reversed_key(F.col("host")).alias("key"), "host").distinct(), parts).where("top is not null")
+    # The stack that a rule host stands on: the rule hosts among its own suffixes.
+    inner = hosts.select(F.col("r_host").alias("top"), F.explode(F.expr("transform(sequence(1, length(r_host) - length(replace(r_host, '.')) + 1), k -> substring_index(r_host, '.', -k))")).alias("r_host"))
+    stacks = inner.join(hosts, "r_host", "left_semi")
+
+    asked = asked.join(tops, "host")
+    key = F.concat(reversed_key(F.col("r_host")), F.lit("\x00"))
     rule = F.struct(F.length(F.concat("r_host", "r_path")).alias("length"), F.length("r_host").alias("host_length"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))
-    nothing = F.lit(None).cast("string")
-    copies = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    path = F.encode("r_path", "UTF-8")
-    events = (
-        copies.select(reversed_key(F.col("r_host")).alias("key"), "salt", path.alias("at"), F.lit(1).alias("step"), rule.alias("opened"), nothing.alias("host"), nothing.alias("probe"))
-        .unionByName(copies.select(reversed_key(F.col("r_host")).alias("key"), "salt", F.concat(path, F.lit(bytearray(b"\xff"))).alias("at"), F.lit(-1).alias("step"), F.lit(None).cast(copies.select(rule.alias("r")).schema["r"].dataType).alias("opened"), nothing.alias("host"), nothing.alias("probe")))
-        .unionByName(askers.select(reversed_key(F.col("suffix")).alias("key"), salt.alias("salt"), F.encode("probe", "UTF-8").alias("at"), F.lit(0).alias("step"), F.lit(None).cast(copies.select(rule.alias("r")).schema["r"].dataType).alias("opened"), "host", "probe"))
-    )
-    order = [F.col("at"), F.col("step").desc()]  # a rule opens before the urls that are exactly its path
-    so_far = Window.partitionBy("key", "salt").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    at_height = Window.partitionBy("key", "salt", "height").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    swept = events.withColumn("height", F.sum("step").over(so_far)).withColumn("top", F.last("opened", ignorenulls=True).over(at_height))
-    best = swept.where(F.col("host").isNotNull() & (F.col("height") > 0)).groupBy("host", "probe").agg(F.max("top").alias("best"))
-    return urls.join(best, ["host", "probe"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    probes = asked.select("top", "probe").distinct().withColumnRenamed("top", "stack").join(stacks.withColumnRenamed("top", "stack"), "stack").select(F.concat(key, "probe").alias("key"), "stack", "probe")
+    found = on_top(rules.select(F.concat(key, "r_path").alias("key"), rule.alias("holds")), probes, parts).where("top is not null")
+    best = found.groupBy("stack", "probe").agg(F.max("top").alias("best")).withColumnRenamed("stack", "top")
+    fits = asked.join(best, ["top", "probe"]).select("host", "probe", "best")
+    return urls.join(fits, ["host", "probe"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -1,20 +1,25 @@
 """WARC records in ZIP-packaged web archives.
 
-``archived`` packs records into archives of about ARCHIVE_BYTES: a ZIP with the
-stored member archive/data.warc.gz (one gzip member a record), its index
-indexes/index.cdxj and datapackage.json. ``records`` reads such archives, its own
-or others', as rows (archive, content), which is also what Spark's binaryFile
-source gives: end record, ZIP64 locator and end record, central directory with
-ZIP64 sizes, the stored members' places, index lines, and from each line the
-bytes of one record. Nothing is extracted; only the ranges asked for are read.
+``write_archives`` packs records into archive files of about ARCHIVE_BYTES in a
+shared folder: a ZIP with the stored member archive/data.warc.gz (one gzip member a
+record), its index indexes/index.cdxj and datapackage.json. Each task names its files
+itself, and a written table lists those of the tasks that succeeded.
+
+``records_of`` reads such files, its own or others', of any size, in two steps. One
+task an archive reads its end record, ZIP64 locator and end record, central directory
+with ZIP64 sizes, the stored members' places and the index lines. The lines are dealt
+out by the part of the file that they point to, and each record is read by its own
+seek and range. Nothing is extracted; only the ranges asked for are read. ``records``
+does the same for archives that are binary cells, as Spark's binaryFile source gives
+them for stores that only Spark can open; such an archive ends at 2 GB.
 
 Equal payloads of at least `least` bytes become one response, that with the
 smallest page_id, and revisits that refer to it.
 
 Nulls: a null payload is an empty payload, a null url has no target header. A
 null page_id never is the first of several; rows that repeat the first's page_id
-are responses as well. A damaged archive or record gives a row with its error and
-no payload, never an exception. Empty tables give empty results, and other
+are responses as well. A damaged or missing archive or record gives a row with its
+error and no payload, never an exception. Empty tables give empty results, and other
 columns are ignored.
 """
 
@@ -26,15 +31,17 @@ import hashlib
 import io
 import json
 import struct
+import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slices
+from .common import column, shared_folder, slices, written
 
 ARCHIVE_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -43,13 +50,20 @@ PAGE = "urn:x-page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+SALTS = 16  # parts of a payload that many pages repeat
+
+
 def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, payload and refers_to of pages (page_id, url, payload): the page that a repeated payload refers to."""
+    """page_id, url, payload and refers_to of pages (page_id, url, payload): the page that a repeated payload refers to.
+
+    Only pages whose payload is repeated take part in a join, dealt over SALTS parts of each payload.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("payload", F.lit(bytearray())).alias("payload"))
-    rows = rows.withColumn("_sha1", F.sha1("payload")).withColumn("_size", F.octet_length("payload"))
+    rows = rows.withColumn("_sha1", F.sha1("payload")).withColumn("_size", F.octet_length("payload")).withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     firsts = rows.where(F.col("_size") >= least).groupBy("_sha1", "_size").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    firsts = firsts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     refers = F.when(F.col("page_id").eqNullSafe(F.col("_first")), None).otherwise(F.col("_first"))
-    return rows.join(firsts, ["_sha1", "_size"], "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    return rows.join(firsts, ["_sha1", "_size", "_salt"], "left").select("page_id", "url", "payload", refers.alias("refers_to"))
 
 
 # ---------------------------------------------------------------- writing
@@ -103,18 +117,47 @@ def archived(rows: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """archive and content: ZIP archives of the records of rows (page_id, url, payload, refers_to), in the order that tasks meet them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        n = 0
-        for batch in batches:
-            for part in slices(batch, "payload", archive_bytes):
-                content = archive(list(zip(*(column(part, c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")))))
-                yield pa.RecordBatch.from_arrays([pa.array([f"{TaskContext.get().partitionId():06d}-{n:06d}.wacz"]), pa.array([content], pa.binary())], ["archive", "content"])
-                n += 1
+        for name, content in archives_of(batches, archive_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], ["archive", "content"])
 
     return rows.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "archive string, content binary")
 
 
+def archives_of(batches: Iterator[pa.RecordBatch], archive_bytes: int) -> Iterator[tuple[str, bytes]]:
+    from pyspark import TaskContext
+
+    n = 0
+    for batch in batches:
+        for part in slices(batch, "payload", archive_bytes):
+            yield f"{TaskContext.get().partitionId():06d}-{n:06d}.wacz", archive(list(zip(*(column(part, c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")))))
+            n += 1
+
+
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path with or without a scheme, and the path in it."""
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
+def write_archives(rows: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes archive files of the records of rows to a shared folder; returns the written table of their archive (path) and size.
+
+    A task that runs twice leaves files under two names, of which the table lists one.
+    """
+    folder = folder or f"{shared_folder(rows.sparkSession)}/archives"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attempt = uuid.uuid4().hex
+        for name, content in archives_of(batches, archive_bytes):
+            path = f"{folder}/{attempt}-{name}"
+            store, inside = opened(path)
+            store.create_dir(inside.rpartition("/")[0], recursive=True)
+            with store.open_output_stream(inside) as out:
+                out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(content)], pa.int64())], ["archive", "size"])
+
+    return written(rows.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "archive string, size long"), "archives")[0]
+
+
 # ---------------------------------------------------------------- reading
 class Damaged(ValueError):
     pass
@@ -239,31 +282,58 @@ def page_of(name: str) -> int | None:
     return int(number) if number.lstrip("-").isdigit() else None
 
 
-def read_archive(read: Read, size: int) -> Iterator[dict]:
-    """The records that the indexes of a ZIP-packaged archive name, each read by its own range."""
-    try:
-        members = directory(read, size)
-        places = {n.rpartition("/")[2]: member_place(read, e) for n, e in members.items() if n.startswith("archive/") and e[0] == 0}
-        lines = list(index_lines(read, members))
-    except (Damaged, ValueError, OSError, EOFError, struct.error) as e:
-        yield {"error": str(e)}
-        return
-    for text in lines:
+#: What a damaged or foreign archive may raise.
+FAULTS = (Damaged, ValueError, TypeError, KeyError, OverflowError, OSError, EOFError, zlib.error, struct.error)
+
+
+def record_places(read: Read, size: int) -> Iterator[tuple[int, int]]:
+    """First byte and length of each record that an archive's indexes name; raises one of FAULTS for a damaged archive, gives it for a damaged line."""
+    members = directory(read, size)
+    places = {n.rpartition("/")[2]: member_place(read, e) for n, e in members.items() if n.startswith("archive/") and e[0] == 0}
+    for text in index_lines(read, members):
         try:
             line = json.loads(text)
             start, length = places[line["filename"]]
             at, n = int(line["offset"]), int(line["length"])
-            if at < 0 or at + n > length:
+            if at < 0 or n < 0 or at + n > length:
                 raise Damaged("a record lies outside its member")
-            raw = exactly(read, start + at, n)
-            yield parse_record(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw) | {"offset": start + at, "length": n}
-        except (Damaged, ValueError, TypeError, KeyError, OverflowError, OSError, EOFError, zlib.error, struct.error) as e:
-            yield {"error": f"{type(e).__name__}: {e}"}
+            yield start + at, n
+        except FAULTS as e:
+            yield e
+
+
+def read_record(read: Read, at: int, n: int) -> dict:
+    try:
+        raw = exactly(read, at, n)
+        return parse_record(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw) | {"offset": at, "length": n}
+    except FAULTS as e:
+        return {"error": named_fault(e)}
+
+
+def named_fault(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
+
+
+def read_archive(read: Read, size: int) -> Iterator[dict]:
+    """The records that the indexes of a ZIP-packaged archive name, each read by its own range."""
+    try:
+        for place in record_places(read, size):
+            yield {"error": named_fault(place)} if isinstance(place, Exception) else read_record(read, *place)
+    except FAULTS as e:
+        yield {"error": named_fault(e)}
 
 
 FIELDS = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "payload": pa.binary(), "offset": pa.int64(), "length": pa.int64(), "error": pa.string()}
 
 
+RECORDS_SCHEMA = "archive string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, offset long, length long, error string"
+READ_BYTES = 8 << 20  # of an archive that one task reads in a row
+
+
+def batch_of(names: list[str], rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([r.get(c) for r in rows], t) for c, t in FIELDS.items()]], ["archive", *FIELDS])
+
+
 def records(archives: DataFrame) -> DataFrame:
     """All records of archives (archive, content), with their place in the archive; error is set where something is damaged."""
 
@@ -272,7 +342,77 @@ def records(archives: DataFrame) -> DataFrame:
             for name, content in zip(column(batch, "archive").to_pylist(), column(batch, "content")):
                 view = memoryview(content.as_buffer() or b"") if content.is_valid else memoryview(b"")
                 rows = list(read_archive(lambda at, n, view=view: bytes(view[at : at + n]), len(view)))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *[pa.array([r.get(c) for r in rows], t) for c, t in FIELDS.items()]], ["archive", *FIELDS])
+                yield batch_of([name] * len(rows), rows)
+
+    return archives.select("archive", "content").mapInArrow(run, RECORDS_SCHEMA)
+
 
-    schema = "archive string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, offset long, length long, error string"
-    return archives.select("archive", "content").mapInArrow(run, schema)
+class Ranges:
+    """Reads ranges of one file at a time."""
+
+    def __init__(self, path: str):
+        store, inside = opened(path)
+        self.path, self.file = path, store.open_input_file(inside)
+        self.size = self.file.size()
+
+    def __call__(self, offset: int, length: int) -> bytes:
+        if offset < 0 or length < 0 or offset + length > self.size:
+            return b""
+        self.file.seek(offset)
+        return self.file.read(length)
+
+
+TASK_BYTES = 32 << 20  # of archives for each task of the second step, about
+
+
+def records_of(archives: DataFrame, tasks: int | None = None) -> DataFrame:
+    """All records of archive files, for the paths in column archive; like records().
+
+    The lines of the indexes are small beside what they point to, so the number of
+    tasks that read records comes from the archives' sizes (column size), if they are known.
+    """
+    if tasks is None:
+        known = archives.agg(F.sum("size")).first()[0] or 0 if "size" in archives.columns else 0
+        tasks = max(archives.sparkSession.sparkContext.defaultParallelism, -(-known // TASK_BYTES))
+
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in column(batch, "archive").to_pylist():
+                found: list = []
+                try:
+                    read = Ranges(path)
+                    for place in record_places(read, read.size):
+                        found.append((-1, 0, named_fault(place)) if isinstance(place, Exception) else (*place, None))
+                        if len(found) == 50_000:
+                            yield line_batch(path, found)
+                            found = []
+                except (*FAULTS, AttributeError) as e:
+                    found.append((-1, 0, named_fault(e)))
+                yield line_batch(path, found)
+
+    def line_batch(path: str, found: list) -> pa.RecordBatch:
+        at, n, error = zip(*found) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(error, pa.string())], ["archive", "offset", "length", "error"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = None
+        for batch in batches:
+            paths, at, n, errors = (column(batch, c).to_pylist() for c in ("archive", "offset", "length", "error"))
+            rows, names, held = [], [], 0
+            for path, offset, length, error in zip(paths, at, n, errors):
+                try:
+                    if error is None and (read is None or read.path != path):
+                        read = Ranges(path)
+                    rows.append({"error": error} if error is not None else read_record(read, offset, length))
+                except FAULTS as e:
+                    rows.append({"error": named_fault(e)})
+                names.append(path)
+                held += rows[-1].get("payload_bytes") or 0
+                if held >= READ_BYTES:
+                    yield batch_of(names, rows)
+                    rows, names, held = [], [], 0
+            yield batch_of(names, rows)
+
+    lines = archives.select("archive").mapInArrow(indexed, "archive string, offset long, length long, error string")
+    part = F.expr(f"offset div {READ_BYTES}")
+    return lines.repartition(tasks, "archive", part).sortWithinPartitions("archive", "offset").mapInArrow(run, RECORDS_SCHEMA)
