@@ -1,15 +1,22 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Texts are normalised byte by byte: A-Z to lower case, every other ASCII byte
-that is no digit or letter to a break, and breaks between words to one space.
-Each window of `window` consecutive words of a test item, with a space at either
-end, is a pattern; one scan of a normalised text finds every occurrence, also of
-overlapping ones, and the kept byte positions lead back to the original text.
-
-The automaton is built once in each Python worker from the items. These are test
-sets: their bytes are summed first, and beyond MAX_BYTES the items are dealt into
-blocks, with one scan of the documents for each block and the hits of all blocks
-put together by document (a stated set of items against all rows).
+that is no digit or letter to a break, and breaks between words to one space. A
+document is hit where it holds `window` consecutive words of a test item. Such a run
+always covers a whole block of (window + 1) // 2 words, if an item is cut into such
+blocks from its start; so the automaton holds each item's blocks, about as many
+bytes as the items have, and not each of its windows, which are `window` times as
+many. One scan of a normalised text finds all occurrences of blocks. Around each, words
+are compared with the item's to both sides; where `window` words or more agree in a
+row, all of them are hit. The kept byte positions lead back to the original text.
+
+The automaton is built once in each Python worker. MAX_BYTES bounds the bytes of all
+blocks in it, which bounds its memory (about 55 bytes for each of them, so 230 MB);
+more items than that are scanned for in several passes, each written to the shared
+folder before the next block of items is read, and the hits of all passes are put
+together by row (a stated set of items against all rows). Items that are longer alone
+are cut into parts that overlap by a window less a word. The driver and each
+worker hold the items of one pass.
 
 Nulls: a null text has no words and is never hit; an item without words has no
 windows; the windows of an item whose id is null count as hits but not as an item.
@@ -22,16 +29,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, set_apart, slices, text_bytes
+from .common import column, set_apart, slices, span_hashes, text_bytes, written
 
 WINDOW = 13
-MAX_BYTES = 8 << 20  # of items' texts in one automaton
+MAX_BYTES = 4 << 20  # of blocks in one automaton
+AT_ONCE = 1 << 20  # places of blocks whose neighbours are compared together
 
 #: Byte -> normalised byte; 0x20 is a break.
 NORMAL = np.full(256, 0x20, np.uint8)
@@ -56,48 +65,86 @@ def normalised(data: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
     return " " + line.tobytes().decode("latin-1"), starts, ends
 
 
-def windows(text: str | None, size: int) -> list[str]:
-    """Patterns of an item; one with fewer than `size` words is one window."""
-    line, starts, _ = normalised(np.frombuffer((text or "").encode(), np.uint8))
-    words = line.split(" ")[1:-1] if len(starts) else []
-    return [f" {' '.join(words[i : i + size])} " for i in range(max(1, len(words) - size + 1))] if words else []
-
-
 class Automaton:
-    """Windows of items, and the items of each."""
+    """Blocks of items' words, where they stand in the items, and the items' words as hashes."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], size: int):
         import ahocorasick
 
-        owners: dict[str, set[str]] = {}
+        self.size, block = size, (size + 1) // 2
+        places: dict[str, list[int]] = {}
+        words: list[np.ndarray] = []
+        self.names: list[str | None] = []
+        owner, need, at = [], [], 1
         for name, text in items:
-            for w in windows(text, size):
-                owners.setdefault(w, set()).update([] if name is None else [name])
+            line, starts, _ = normalised(np.frombuffer((text or "").encode(), np.uint8))
+            n = len(starts)
+            if not n:
+                continue
+            spelled = line.split(" ")[1:-1]
+            for i in range(0, n - block + 1, block) if n >= size else (0,):
+                places.setdefault(f" {' '.join(spelled[i : i + block] if n >= size else spelled)} ", []).append(at + i)
+            words += [word_names(line), np.zeros(1, np.uint64)]  # 0 stands between items and is no word's hash
+            owner += [len(self.names)] * (n + 1)
+            need += [min(n, size)] * (n + 1)
+            self.names.append(name)
+            at += n + 1
+        self.words = np.concatenate([np.zeros(1, np.uint64), *words, np.zeros(size, np.uint64)])
+        self.owner, self.need = np.array([-1, *owner], np.int64), np.array([0, *need], np.int64)
         self.machine = ahocorasick.Automaton()
-        for k, w in enumerate(owners):
-            self.machine.add_word(w, (k, len(w)))
-        self.owners = list(owners.values())
-        if owners:
+        for k, w in enumerate(places):
+            self.machine.add_word(w, (k, w.count(" ") - 1, len(w)))
+        self.counts = np.array([len(p) for p in places.values()], np.int64)
+        self.first = np.cumsum(self.counts) - self.counts
+        self.places = np.array([x for p in places.values() for x in p], np.int64)
+        if places:
             self.machine.make_automaton()
 
     def scan(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, set[str]]:
         """Words' first and end bytes, which words lie in an occurrence, and the items that occur."""
         line, starts, ends = normalised(data)
         hit, items = np.zeros(len(starts), bool), set()
-        if not self.owners or not len(starts):
+        found = list(self.machine.iter(line)) if len(self.places) and len(starts) else []
+        if not found:
             return starts, ends, hit, items
-        found = list(self.machine.iter(line))
-        if found:
-            # word i of the line begins after its i-th space
-            spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 0x20)
-            last = np.array([e for e, _ in found])
-            first = last - np.array([n for _, (_, n) in found]) + 1
-            change = np.zeros(len(starts) + 1, np.int64)
-            np.add.at(change, np.searchsorted(spaces, first), 1)
-            np.add.at(change, np.searchsorted(spaces, last), -1)
-            hit = np.cumsum(change[:-1]) > 0
-            items = set().union(*(self.owners[k] for k in {k for _, (k, _) in found}))
-        return starts, ends, hit, items
+        spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 0x20)  # word i begins after the i-th
+        text = np.r_[np.zeros(self.size, np.uint64), word_names(line), np.zeros(self.size, np.uint64)]
+        which = np.array([k for _, (k, _, _) in found])
+        length = np.array([n for _, (_, n, _) in found])
+        begin = np.searchsorted(spaces, np.array([e - m + 1 for e, (_, _, m) in found]))
+        change, owners = np.zeros(len(starts) + 1, np.int64), set()
+        counts = self.counts[which]
+        cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(counts) // AT_ONCE)) + 1, len(which)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            n = counts[a:b]
+            total = np.cumsum(n)
+            q = self.places[np.repeat(self.first[which[a:b]] - (total - n), n) + np.arange(int(total[-1]) if len(total) else 0)]
+            p, m = np.repeat(begin[a:b], n), np.repeat(length[a:b], n)
+            left, right = self.agreeing(text, p, q, -1), self.agreeing(text, p + m - 1, q + m - 1, 1)
+            whole = left + m + right >= self.need[q]
+            np.add.at(change, (p - left)[whole], 1)
+            np.add.at(change, (p + m + right)[whole], -1)
+            owners |= set(np.unique(self.owner[q[whole]]).tolist())
+        hit = np.cumsum(change[:-1]) > 0
+        return starts, ends, hit, {self.names[k] for k in owners} - {None}
+
+    def agreeing(self, text: np.ndarray, p: np.ndarray, q: np.ndarray, step: int) -> np.ndarray:
+        """How many words (less than a window) next to text word p and item word q agree one after the other in one direction."""
+        out, open_ = np.zeros(len(p), np.int64), np.arange(len(p))
+        for k in range(1, self.size):
+            word = self.words[np.maximum(q[open_] + step * k, 0)]
+            open_ = open_[(word == text[p[open_] + self.size + step * k]) & (word != 0)]
+            if not len(open_):
+                break
+            out[open_] = k
+        return out
+
+
+def word_names(line: str) -> np.ndarray:
+    """A hash of each word of a normalised line, never 0."""
+    c = np.frombuffer(line.encode("latin-1"), np.uint8)
+    spaces = np.flatnonzero(c == 0x20)
+    return span_hashes(c, spaces[:-1] + 1, spaces[1:]) | np.uint64(1)
 
 
 _LATEST: dict[str, Automaton] = {}
@@ -111,19 +158,38 @@ def automaton(key: str, items: list, size: int) -> Automaton:
     return _LATEST[key]
 
 
-RESULT = ("n_words", "n_hit", "hit_words", "hit_bytes", "items", "contaminated", "_n_words", "_hit_words", "_hit_bytes", "_items")
+RESULT = ("n_words", "n_hit", "hit_words", "hit_bytes", "items", "contaminated", "_row")
+
+
+def parts_of(text: str | None, size: int, max_bytes: int) -> Iterator[str]:
+    """A text, or parts of about max_bytes of it that overlap by size - 1 words."""
+    if len(text or "") <= max_bytes // 4:
+        yield text or ""
+        return
+    line, _, _ = normalised(np.frombuffer(text.encode(), np.uint8))
+    spelled, at = line.encode("latin-1").decode("utf-8", "replace").split(" ")[1:-1], 0
+    while at < len(spelled):
+        held, end = 0, at
+        while end < len(spelled) and (held <= max_bytes // 2 or end - at < 2 * size):
+            held += len(spelled[end].encode()) + 1
+            end += 1
+        yield " ".join(spelled[at:end])
+        if end >= len(spelled):
+            return
+        at = end - size + 1
 
 
-def item_blocks(items: DataFrame, max_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The items in blocks of at most max_bytes of text (or one item); one empty block if there are none."""
-    held, size, any_ = [], 0, False
+def item_blocks(items: DataFrame, size: int, max_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The items in lists of at most max_bytes of text (or one part of an item), one held at a time; one empty list if there are none."""
+    held, used, any_ = [], 0, False
     for r in items.toLocalIterator():
-        n = len((r["text"] or "").encode())
-        if held and size + n > max_bytes:
-            yield held
-            held, size, any_ = [], 0, True
-        held.append((r["item"], r["text"]))
-        size += n
+        for text in parts_of(r["text"], size, max_bytes):
+            n = len(text.encode())
+            if held and used + n > max_bytes:
+                yield held
+                held, used, any_ = [], 0, True
+            held.append((r["item"], text))
+            used += n
     if held or not any_:
         yield held
 
@@ -167,29 +233,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max
     keep = tuple(names[c] for c in keep)
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("text"))
     slim = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    blocks = item_blocks(items, max_bytes)
+    blocks = item_blocks(items, size, max_bytes)
     first = next(blocks)
-    out = scanned(slim, first, size)
     second = next(blocks, None)
-    if second is not None:
-        out = merged(slim, [first, second], blocks, size)
+    out = scanned(slim, first, size) if second is None else in_passes(slim, keep, chain([first, second], blocks), size)
     n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
     out = out.withColumn("n_hit", n_hit)
     return out.select(*keep, "n_words", "n_hit", "hit_bytes", "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-def merged(docs: DataFrame, begun: list, rest: Iterator[list], size: int) -> DataFrame:
-    """scanned() by one block of items after the other: each pass adds its hits to those of the passes before."""
-    word, byte = ("hit_words", "hit_bytes")
-    out = None
-    for block in [*begun, *rest]:
-        if out is None:
-            out = scanned(docs, block, size)
-            continue
-        before = {c: f"_{c}" for c in ("n_words", word, byte, "items")}
-        out = scanned(out.withColumnsRenamed(before), block, size)
-        out = out.select(*docs.columns, "n_words", *[joined_spans(F.concat(c, before[c])).alias(c) if c != "items" else F.array_sort(F.array_union(c, before[c])).alias(c) for c in (word, byte, "items")])
-    return out
+def in_passes(docs: DataFrame, keep: tuple[str, ...], blocks: Iterator[list], size: int) -> DataFrame:
+    """scanned() by one block of items after the other over a numbered copy of docs, each pass written before the next block is read."""
+    numbered, _ = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found, words = None, None
+    for block in blocks:
+        one, _ = written(scanned(numbered.select("_row", "text"), block, size).select("_row", "n_words", "hit_words", "hit_bytes", "items"), "pass")
+        words = one.select("_row", "n_words") if words is None else words
+        hits = one.where(F.size("hit_words") > 0).drop("n_words")
+        found = hits if found is None else found.unionByName(hits)
+    flat = lambda c: F.flatten(F.collect_list(c))  # noqa: E731  as many lists of a row as there are passes
+    found = found.groupBy("_row").agg(joined_spans(flat("hit_words")).alias("hit_words"), joined_spans(flat("hit_bytes")).alias("hit_bytes"), F.array_sort(F.array_distinct(flat("items"))).alias("items"))
+    none = F.array().cast("array<struct<first:bigint,last:bigint>>")
+    out = numbered.select("_row", *keep).join(words, "_row").join(found, "_row", "left")
+    return out.select(*keep, "n_words", F.coalesce("hit_words", none).alias("hit_words"), F.coalesce("hit_bytes", none).alias("hit_bytes"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def joined_spans(spans: F.Column) -> F.Column:

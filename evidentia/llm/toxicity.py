@@ -3,26 +3,31 @@
 A word is the bag of its character n-grams (with marks for its start and end);
 every n-gram has a vector, hashed into BUCKETS rows. A span of SPAN words is the
 mean of its words, a word the mean of its n-grams, and a softmax over the mean
-gives the two classes. Spans make the score independent of a document's length:
-a document is as toxic as its most toxic span. Labels are known for documents
-only, so training alternates between choosing the spans of toxic documents that
-stand out from all spans of clean documents, and fitting vectors and softmax on
-the chosen spans and on misspelt copies of them. Misspellings that were never
+gives the two classes. Spans make the score independent of a document's length: a
+document's score is the softmax's probability for its most toxic span. Labels are
+known for documents only, so training alternates between choosing the spans of toxic
+documents that stand out from all spans of clean documents, and fitting vectors and
+softmax together on the chosen spans, on misspelt copies of them, on random spans of
+clean documents and on their worst ones. Its last step fits the softmax's length and
+bias once more, to the worst span of each document. Misspellings that were never
 seen share n-grams with known words and so their vectors.
 
 Fitting takes a bounded sample: at most SAMPLE labelled documents of each class,
-the first by a hash of their id, none over LONGEST bytes. Scoring reads every
-whole text; vectors and softmax fold into one number an n-gram, so it needs no
-matrix product.
+the first by a hash of their id, of those whose text is there and not over LONGEST
+bytes. N-grams in fewer than LEAST_DOCS documents of the sample keep a zero vector:
+nothing is learnt from them. Scoring reads every whole text; vectors and softmax fold
+into one number an n-gram, so it needs no matrix product.
 
 Nulls and texts without words get the score of an empty span. Rows of any doc_id,
-null or repeated, are scored alike. A null label, and a label for an id that
-isn't there, teach nothing; if one class is missing, all scores are 0. An empty
+null or repeated, are scored alike; of a repeated id the least text is learnt. A null
+label, and a label for an id that isn't there, teach nothing. If one class is missing
+nothing can be told apart: all scores are 0, and fit() gives a RuntimeWarning. An empty
 table gives an empty result. Labels and other columns are never inputs of a score.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,13 +39,15 @@ from pyspark.sql import functions as F
 from .common import column, set_apart, slices, span_hashes
 
 SAMPLE = 1500
-LONGEST = 100_000
+LONGEST = 32_768
 SPAN = 4
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 18
 WIDTH = 16
 LEAST_DOCS = 4  # n-grams in fewer documents of the sample keep a vector of zeros
-CLEAN = 4.0
+CLEAN = 4.0  # weight of clean documents in the softmax's last fitting
+ROUNDS = 6
+HARD = 2  # times that a clean document's worst span is learnt in a round
 MEMO = 1_000_000
 
 _SEPARATORS = set("\0.,;:?!\"'()[]{}<>|/\\-–—…«»¿¡“”„‘’`_=~^")
@@ -114,10 +121,9 @@ def top_spans(values: np.ndarray, at: np.ndarray, size: int = SPAN) -> tuple[np.
 
 @dataclass
 class Model:
-    """One number for each n-gram bucket, and scale and shift from a text's best span to its log odds."""
+    """The softmax folded into the vectors: one number for each n-gram bucket, whose mean over a span plus shift is the span's log odds."""
 
     gram: np.ndarray
-    scale: float
     shift: float
     known: dict | None = None
 
@@ -137,7 +143,7 @@ class Model:
             value[new] = self.word_values([line[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
             self.known.update(zip(unique[new].tolist(), value[new].tolist()))
         best = top_maxima(value[where], at)
-        return 1 / (1 + np.exp(-np.clip(self.scale * best + self.shift, -60, 60)))
+        return 1 / (1 + np.exp(-np.clip(best + self.shift, -60, 60)))
 
 
 def top_maxima(values: np.ndarray, at: np.ndarray, size: int = SPAN) -> np.ndarray:
@@ -161,12 +167,13 @@ def misspelt(word: str, rng: np.random.Generator) -> str:
     return (word[:i] + letter + word[i + 1 :], word[: i + 1] + word[i:], word[:i] + word[i + 1 :], word[:i] + word[i + 1 : i + 2] + word[i : i + 1] + word[i + 2 :])[int(rng.integers(0, 4))]
 
 
-def fit(texts: list[str], toxic: np.ndarray, seed: int = 1, rounds: int = 3, epochs: int = 4, rate: float = 0.3) -> Model:
+def fit(texts: list[str], toxic: np.ndarray, seed: int = 1, rounds: int = ROUNDS, epochs: int = 4, rate: float = 0.3) -> Model:
     """A model from texts and their labels (1: toxic)."""
     rng = np.random.default_rng(seed)
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
-        return Model(np.zeros(BUCKETS, np.float32), 0.0, -60.0)
+        warnings.warn("the sample has documents of one class at most: every score will be 0", RuntimeWarning, stacklevel=2)
+        return Model(np.zeros(BUCKETS, np.float32), -60.0)
     line, starts, ends, at = word_spans(texts)
     c = np.frombuffer(line.encode("utf-32-le", "replace"), "<u4")
     _, first, word = np.unique(span_hashes(c, starts, ends), return_index=True, return_inverse=True)
@@ -185,7 +192,6 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 1, rounds: int = 3, epo
     extra: list[str] = []  # misspelt words
     limit = len(vocabulary)
     long_enough = np.flatnonzero(np.diff(at) > 0)
-    chosen: list[np.ndarray] = []
 
     def spans_of(docs: np.ndarray, each: int) -> list[np.ndarray]:
         out = []
@@ -224,7 +230,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 1, rounds: int = 3, epo
                 squares_s += g * g
                 back = p @ softmax.T
                 softmax = softmax - rate * g / np.sqrt(squares_s)
-                bias = bias - 0.1 * rate * p.mean(0)
+                bias = bias - rate * p.mean(0)
                 used, slot = np.unique(flat, return_inverse=True)
                 step = np.stack([np.bincount(slot, back[row, j] * share, len(used)) for j in range(WIDTH)], 1).astype(np.float32)
                 squares[used] += (step * step).mean(1)
@@ -237,18 +243,17 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 1, rounds: int = 3, epo
     bad, good = np.flatnonzero(toxic), np.flatnonzero(~toxic)
     bad, good = bad[np.isin(bad, long_enough)], good[np.isin(good, long_enough)]
     if not len(bad) or not len(good):
-        return Model(np.zeros(BUCKETS, np.float32), 0.0, -60.0)
-    per = max(1, 16_000 // len(bad))
-    positive = spans_of(bad, min(per, 64))
+        warnings.warn("one class of the sample has no words: every score will be 0", RuntimeWarning, stacklevel=2)
+        return Model(np.zeros(BUCKETS, np.float32), -60.0)
+    positive = spans_of(bad, min(max(1, 16_000 // len(bad)), 64))
+    empty = [np.zeros(0, word.dtype)] * 16  # texts without words
     for turn in range(rounds):
-        negative = spans_of(good, max(1, min(64, 24_000 // len(good))))
-        hard: list[np.ndarray] = []
-        if turn:
+        negative = spans_of(good, max(1, min(64, 24_000 // len(good)))) + empty
+        if turn:  # clean documents are judged by their worst span, so that is what they teach
             _, where = top_spans(word_values()[word], at)
-            hard = [word[where[d] : min(where[d] + SPAN, at[d + 1])] for d in good]
-        negative += hard
+            negative += [word[where[d] : min(where[d] + SPAN, at[d + 1])] for d in good] * HARD
         labels = np.r_[np.ones(len(positive), np.int64), np.zeros(len(negative), np.int64)]
-        train(positive + negative, labels, epochs)
+        train(positive + negative, labels, epochs if turn < 2 else 1)
         values = word_values()
         best, where = top_spans(values[word], at)
         bar = np.quantile(best[good], 0.98)
@@ -264,18 +269,15 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 1, rounds: int = 3, epo
                     extra.append(misspelt(vocabulary[span[w]], rng))
                     changed[w] = limit + len(extra) - 1
                 positive.append(changed)
-    train(positive + negative, np.r_[np.ones(len(positive), np.int64), np.zeros(len(negative), np.int64)], 1)
     gram = vectors @ (softmax[:, 1] - softmax[:, 0])
-    plain = values_of(gram, buckets, cut)
-    best, _ = top_spans(plain[word], at)
-    every = np.r_[plain, values_of(gram, *ngrams(extra))]
+    every = np.r_[values, values_of(gram, *ngrams(extra))]
     changed = np.array([every[x].mean() for x in positive if (x >= limit).any()])
-    scale, shift = logistic(np.r_[best, changed], np.r_[toxic, np.ones(len(changed), bool)])
-    return Model(gram.astype(np.float32), scale, shift)
+    scale, shift = fitted_softmax(np.r_[best, changed], np.r_[toxic, np.ones(len(changed), bool)])
+    return Model((gram * scale).astype(np.float32), shift)
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of the log odds of y over x, with a slight pull to 0; clean rows weigh CLEAN times as much together."""
+def fitted_softmax(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The length of the softmax's weights and its bias that fit the log odds x of documents' worst spans best, with a slight pull; clean rows weigh CLEAN times as much together."""
     spread = max(float(x.std()), 1e-9)
     a, b = np.c_[x / spread, np.ones(len(x))], np.zeros(2)
     weight = np.where(y, 1 / max(1, y.sum()), CLEAN / max(1, (~y).sum())) / (1 + CLEAN)
@@ -294,14 +296,15 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> tuple[list[str], np.ndarray]:
     """Texts and labels of at most `sample` documents of each class, by a hash of their id."""
-    spark = docs.sparkSession
     usable = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    short = docs.where(F.octet_length("text") <= longest)
+    there = short.select("doc_id").distinct().join(usable, "doc_id")
     ids = None
     for kind in (0, 1):
-        part = usable.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        part = there.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         ids = part if ids is None else ids.unionByName(part)
-    ids = spark.createDataFrame(ids.collect(), "doc_id long, toxic int")  # 2 * sample rows at most
-    rows = docs.where(F.octet_length("text") <= longest).select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").limit(2 * sample).collect()
+    ids = docs.sparkSession.createDataFrame(ids.collect(), "doc_id long, toxic int")  # 2 * sample rows at most
+    rows = short.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
     return [r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64)
 
 
@@ -309,7 +312,7 @@ def toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     """The kept columns of docs and score; a kept column of that name is called score_in."""
     docs, names = set_apart(docs, ("score",))
     keep = tuple(names[c] for c in keep)
-    shared = docs.sparkSession.sparkContext.broadcast((model.gram, model.scale, model.shift))  # one number a bucket
+    shared = docs.sparkSession.sparkContext.broadcast((model.gram, model.shift))  # one number a bucket
     slim = docs.select(*keep, *([] if "text" in keep else ["text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
