@@ -11,21 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import decontamination, neardup, packing, toxicity
-from evidentia.llm.common import table, written
+from evidentia.llm.common import dropped, table, written
 
 TOXIC = 0.7
 SEQUENCE, END_ID = 4096, 2
 
 
-def whole(docs: DataFrame) -> DataFrame:
-    """Each document as one value and its text, so that no other column can get in an operator's way."""
-    return docs.select(F.struct("*").alias("row"), "text")
-
-
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below TOXIC; the model learns from the labels of documents at hand."""
+    """Documents whose toxicity score is below TOXIC; the model learns from the labels of documents at hand.
+
+    Without labels of both classes nothing can be told apart: all documents stay, with a RuntimeWarning.
+    """
     model = toxicity.fit(*toxicity.training_sample(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
-    return toxicity.toxicity(whole(docs), model, ("row",)).where(F.col("score") < TOXIC).select("row.*")
+    return named_alike(toxicity.toxicity(docs, model, tuple(docs.columns)).where(F.col("score") < TOXIC), docs)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,15 +39,19 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark items don't contaminate."""
-    found = decontamination.contamination(whole(docs), table(spark, sf_dir, "benchmark"), keep=("row",))
-    return found.where(~F.col("contaminated")).select("row.*")
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
+    return named_alike(found.where(~F.col("contaminated")), docs)
+
+
+def named_alike(kept: DataFrame, docs: DataFrame) -> DataFrame:
+    """The first columns of kept, which are all those of docs, under their names in docs."""
+    return kept.select(*[F.col(f"`{now}`").alias(name) for now, name in zip(kept.columns, docs.columns)])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of SEQUENCE tokens: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset."""
     cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), SEQUENCE, END_ID)
-    digests = cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return packing.pack(digests, SEQUENCE, packing.group_count(docs))
+    return packing.pack(cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), SEQUENCE)
 
 
 STAGES = [("toxicity", without_toxic), ("near_duplicates", without_near_duplicates), ("decontamination", without_benchmark), ("packing", packed)]
@@ -60,7 +62,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of sequences of all documents that the stages keep."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), name, "snappy")
+        docs, path = written(stage(spark, docs, sf_dir), name, "snappy")
+        dropped(spark, *before)
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
