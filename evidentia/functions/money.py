@@ -94,3 +94,76 @@ def decay_delta(trust: Column, prior: Column, idle_days: Column, rate: float = 0
 
 def range_text(low: Column, high: Column) -> Column:
     return F.when(high.isNull() & low.isNull(), "unknown").when(low.isNull() | (low == high), F.format_string("$%.2f/h", F.coalesce(high, low))).when(high.isNull(), F.format_string("$%.2f/h", low)).otherwise(F.format_string("$%.2f-%.2f/h", low, high))
+
+
+CURRENCIES = "[$€£₹]|usd|eur|gbp|inr|cad|aud"
+AMOUNT = "[0-9][0-9.,]*[kK]?"
+
+
+def title_pay(title: Column) -> Column:
+    """The words of a title that state a currency, an amount or a range, and an hour; null without all of them."""
+    low = F.lower(F.translate(title, "\u2013\u2014", "--"))
+    said = F.regexp_extract(low, f"((up to )?({CURRENCIES}) ?{AMOUNT}( ?(-|to) ?({CURRENCIES})? ?{AMOUNT})? ?(/|per |an )? ?(hour|hr)\\b)", 1)
+    return F.when(said != "", F.trim(said))
+
+
+def pay_with_source(stated: Column, title: Column, source: Column, policy: PayPolicy = PayPolicy()) -> Column:
+    """(basis, low, high, estimate, raw, source): a provider's own pay first, else what the title states by the hour; source tells which, or unknown."""
+    own, named = parsed_pay(F.coalesce(stated, F.lit("")), policy), parsed_pay(F.coalesce(title_pay(title), F.lit("")), policy)
+    line = lambda p, raw, kind: F.struct(p["basis"].alias("basis"), p["low"].alias("low"), p["high"].alias("high"), p["estimate"].alias("estimate"), raw.alias("raw"), kind.alias("source"))
+    by_title = named["high"].isNotNull() & (named["basis"] == "hour")
+    return F.when(own["high"].isNotNull(), line(own, stated, F.when(source.startswith("email:"), "email").otherwise("structured"))).when(by_title, line(named, title_pay(title), F.lit("title"))).otherwise(line(own, stated, F.lit("unknown")))
+
+
+#: What a word after a number makes of it.
+SCALES = {"k": 1e3, "m": 1e6, "mn": 1e6, "million": 1e6, "lakh": 1e5, "lakhs": 1e5, "lac": 1e5, "crore": 1e7, "crores": 1e7}
+
+
+def claimed_amounts(text: Column) -> Column:
+    """Amounts of a claim, with a number's grouping and scale: '1 200,50', '12,00,000', '1.5m', '2 lakh'.
+
+    A last separator with one or two digits after it is the decimal mark, every other one groups.
+    """
+    scale = "|".join(sorted(SCALES, key=len, reverse=True))
+    found = F.regexp_extract_all(F.lower(F.translate(text, "\u00a0\u202f", "  ")), F.lit(f"((?:[0-9]{{1,3}}(?:[ .,'][0-9]{{2,3}})+(?:[.,][0-9]{{1,2}})?|[0-9]+(?:[.,][0-9]{{1,2}})?)(?: ?(?:{scale})\\b)?)"), F.lit(1))
+    factor = F.create_map(*[x for k, v in SCALES.items() for x in (F.lit(k), F.lit(v))])
+
+    def one(a: Column) -> Column:
+        number, unit = F.regexp_extract(a, "^([0-9 .,']*[0-9])", 1), F.regexp_extract(a, "([a-z]+)$", 1)
+        decimals = F.regexp_extract(number, "[.,]([0-9]{1,2})$", 1)
+        whole = F.regexp_replace(F.when(decimals != "", F.regexp_replace(number, "[.,][0-9]{1,2}$", "")).otherwise(number), "[^0-9]", "")
+        return F.concat(whole, F.lit("."), F.when(decimals != "", decimals).otherwise("0")).try_cast("double") * F.coalesce(F.try_element_at(factor, unit), F.lit(1.0))
+
+    return F.filter(F.transform(found, one), lambda v: v > 0)
+
+
+def claim(text: Column, policy: PayPolicy = PayPolicy()) -> Column:
+    """(basis, currency, low, high, hourly_low, hourly_high, warnings) of one claim of pay; amounts as stated, hourly ones in USD where the basis allows it."""
+    rate = F.create_map(*[x for k, v in policy.rates.items() for x in (F.lit(k), F.lit(v))])
+    stated = F.struct(claimed_amounts(text).alias("found"), basis(text).alias("basis"), F.when(F.lower(text).rlike(CURRENCIES + "|(^|[^a-z])rs[. ]"), currency(text)).alias("currency"), F.lower(text).alias("low"))
+
+    def judged(p: Column) -> Column:
+        low, high = F.array_min(p["found"]), F.array_max(p["found"])
+        per = F.when(p["basis"] == "hour", 1.0).when(p["basis"] == "month", 1 / policy.hours_per_month).when(p["basis"] == "year", 1 / policy.hours_per_year)
+        usd = lambda x: F.round(x * rate[p["currency"]] * per, 2)
+        warn = {"no_amount": F.size(p["found"]) == 0, "no_currency": p["currency"].isNull() & (F.size(p["found"]) > 0), "no_basis": (p["basis"] == "unknown") & (F.size(p["found"]) > 0), "upper_bound_only": p["low"].rlike("\\bup to\\b"), "several_amounts": F.size(p["found"]) > 2}
+        names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in warn.items()]))
+        return F.struct(p["basis"].alias("basis"), p["currency"].alias("currency"), low.alias("low"), high.alias("high"), usd(low).alias("hourly_low"), usd(high).alias("hourly_high"), names.alias("warnings"))
+
+    return let(stated, judged)
+
+
+#: Words of this library's own choice that tell whose money a clause is about.
+CONTEXTS = {
+    "business": ["revenue", "funding", "valuation", "investors", "turnover", "raised"],
+    "pool": ["paid", "contributors", "payouts", "community"],
+    "benefit": ["insurance", "stipend", "allowance", "reimbursement", "bonus", "equity"],
+}
+
+
+def money_scope(clause: Column) -> Column:
+    """Whose money a clause speaks of: business, benefit, pool (what a platform has paid out to all), or work."""
+    words = F.regexp_extract_all(F.lower(clause), F.lit("([a-z]+)"), F.lit(1))
+    has = lambda k: F.arrays_overlap(words, F.array(*[F.lit(w) for w in CONTEXTS[k]]))
+    every = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in CONTEXTS["pool"]]))) >= 2
+    return F.when(clause.isNull(), None).when(has("business"), "business").when(every, "pool").when(has("benefit"), "benefit").otherwise("work")

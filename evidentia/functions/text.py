@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,7 +16,6 @@ BLANKS = "[\u00a0\u2000-\u200a\u202f\u205f\u3000\t]"
 #: Cyrillic letters that look like Latin ones.
 LOOKALIKES = ("АВЕКМНОРСТХаеорсухі", "ABEKMHOPCTXaeopcyxi")
 NUMBER_WORDS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve".split())}
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
 def display_text(value: Column) -> Column:
@@ -40,17 +40,40 @@ def fold_lookalikes(value: Column) -> Column:
     return F.translate(value, *LOOKALIKES)
 
 
+def unescaped(value: Column) -> Column:
+    """Character references of HTML, named and numbered, as their characters; what is no reference stays. Text between ampersands is looked at once, so nothing is decoded twice."""
+    names = F.create_map(*[x for n, c in sorted(name2codepoint.items()) for x in (F.lit(n), F.lit(chr(c)))])
+    number = lambda p, pattern, base: F.conv(F.regexp_extract(p, pattern, 1), base, 10).cast("long")
+    char = lambda n: F.when(n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+    def one(p: Column) -> Column:
+        decimal, hexadecimal, name = "^#([0-9]{1,7});", "^#[xX]([0-9a-fA-F]{1,6});", "^([A-Za-z][A-Za-z0-9]*);"
+        plain = F.when(p.rlike(decimal), char(number(p, decimal, 10))).when(p.rlike(hexadecimal), char(number(p, hexadecimal, 16))).when(p.rlike(name), F.try_element_at(names, F.regexp_extract(p, name, 1)))
+        return F.coalesce(F.concat(plain, F.regexp_replace(p, "^[^;]*;", "")), F.concat(F.lit("&"), p))
+
+    parts = F.split(value, "&")
+    found = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), one), ""))
+    return F.when(F.contains(value, F.lit("&")), found).otherwise(value)
+
+
 def html_text(value: Column) -> Column:
-    """Visible text of markup: no scripts, styles or comments; list items get a mark, blocks a line."""
-    c = F.regexp_replace(value, "(?is)<script[^>]*>.*?</script>", " ")
-    c = F.regexp_replace(c, "(?is)<style[^>]*>.*?</style>", " ")
-    c = F.regexp_replace(c, "(?s)<!--.*?-->", " ")
+    """Visible text of markup: references decoded first, so that escaped markup is markup; no scripts, styles or comments; list items get a mark, blocks a line."""
+    c = F.regexp_replace(unescaped(value), "(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->", " ")
     c = F.regexp_replace(c, "(?i)<li[^>]*>", "\n- ")
     c = F.regexp_replace(c, "(?i)<(br|/p|/div|/h[1-6]|/tr|/ul|/ol)[^>]*>", "\n")
-    c = F.regexp_replace(c, "<[^>]*>", " ")
-    for entity, plain in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(plain))
-    return display_text(c)
+    return display_text(F.regexp_replace(c, "<[^>]*>", " "))
+
+
+#: Elements of a page that are not part of the role it describes.
+CONTROLS = ("form", "nav", "header", "footer", "aside", "button", "select", "script", "style", "template")
+
+
+def role_markup(value: Column) -> Column:
+    """Markup without forms, navigation and controls; null where one of them is opened and never closed, as then nothing after it is sure to belong to the role."""
+    c = value
+    for name in CONTROLS:
+        c = F.regexp_replace(c, f"(?is)<{name}(\\s[^>]*)?>.*?</{name}\\s*>", " ")
+    return F.when(~c.rlike(f"(?i)<({'|'.join(CONTROLS)})[\\s>]"), c)
 
 
 def identity_text(value: Column) -> Column:

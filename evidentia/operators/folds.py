@@ -48,3 +48,32 @@ def folded(df: DataFrame, keys: list[str], order: list[Column], values: list[Col
             yield batch_of([(*key, *result(state))])
 
     return rows.mapInArrow(run, types).toDF(*keys, *plain)
+
+
+def stepped(df: DataFrame, keys: list[str], order: list[Column], values: list[Column], start: Any, step: Callable[..., tuple[Any, Any]], name: str, kind: str) -> DataFrame:
+    """df with one more column, what step gives for each row: step(state, *values) returns the next state and the row's value.
+
+    A key's rows come to one task in order, and only the state goes from batch to batch.
+    """
+    n, m = len(values), len(order)
+    rows = df.withColumns({f"_o{i}": c for i, c in enumerate(order)} | {f"_v{i}": c for i, c in enumerate(values)})
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, *[f"_o{i}" for i in range(m)]).drop(*[f"_o{i}" for i in range(m)])
+    arrow = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[kind]
+    own = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, start
+        for batch in batches:
+            columns = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
+            out = []
+            named = zip(*(columns[k].to_pylist() for k in keys))
+            given = zip(*(columns[f"_v{i}"].to_pylist() for i in range(n)))
+            for now, row in zip(named, given):
+                if now != key:
+                    key, state = now, start
+                state, found = step(state, *row)
+                out.append(found)
+            yield pa.RecordBatch.from_arrays([*[columns[c] for c in own], pa.array(out, arrow)], [*own, name])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return rows.mapInArrow(run, f"{fields}, {name} {kind}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import folded
+from .folds import folded, stepped
 
 
 def order_of(keys: list[str], at: str, tie: str) -> Window:
@@ -107,22 +107,28 @@ def health_transitions(df: DataFrame, keys: list[str], at: str, status: str, ite
     The last two keep silent within the cooldown after an alert, so each step
     depends on the ones before it: a fold over one key's rows in order.
     """
-    degraded = lambda s: s.isin("partial", "failed")
-    rows = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.col(status).alias("status"), F.col(items).alias("items"), F.coalesce(F.col(error), F.lit("")).alias("error"))))
-    empty = F.array().cast("array<struct<at:bigint,alert:string>>")
-    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).cast("long").alias("items"), F.lit("").alias("error"), F.lit(None).cast("long").alias("alerted"), empty.alias("out"))
-
-    def step(a: Column, r: Column) -> Column:
-        quiet = a["alerted"].isNotNull() & (r["at"] - a["alerted"] < int(cooldown_hours * 3_600_000_000))
-        alert = (
-            F.when(a["status"].isNull(), F.when(degraded(r["status"]), r["status"]).otherwise("none")).when(degraded(a["status"]) & ~degraded(r["status"]), "recovered")
-            .when((a["status"] != "failed") & (r["status"] == "failed"), "failed").when(~degraded(a["status"]) & degraded(r["status"]), r["status"]).when(quiet, "none")
-            .when(degraded(r["status"]) & (r["error"] != a["error"]), "error_changed").when((a["items"] > 0) & (r["items"] < a["items"]) & (r["items"] <= drop * a["items"]), "coverage_drop").otherwise("none")
-        )
-        return F.struct(r["status"].alias("status"), r["items"].cast("long").alias("items"), r["error"].alias("error"), F.when(alert != "none", r["at"]).otherwise(a["alerted"]).alias("alerted"), F.concat(a["out"], F.array(F.struct(r["at"].alias("at"), alert.alias("alert")))).alias("out"))
-
-    folded = df.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, F.aggregate("_rows", start, step)["out"].alias("_out"))
-    return folded.select(*keys, F.inline("_out")).withColumn("at", F.timestamp_micros("at"))
+    quiet_for, bad = int(cooldown_hours * 3_600_000_000), ("partial", "failed")
+
+    def step(held: tuple, now: int, state: str, found: int, why: str) -> tuple[tuple, str]:
+        before, had, cause, alerted = held
+        quiet = alerted is not None and now - alerted < quiet_for
+        if before is None:
+            alert = state if state in bad else "none"
+        elif before in bad and state not in bad:
+            alert = "recovered"
+        elif state in bad and (before not in bad or state == "failed" != before):
+            alert = state
+        elif quiet:
+            alert = "none"
+        elif state in bad and why != cause:
+            alert = "error_changed"
+        else:
+            alert = "coverage_drop" if 0 < had and found < had and found <= drop * had else "none"
+        return (state, found, why, alerted if alert == "none" else now), alert
+
+    moment = F.unix_micros(F.col(at).cast("timestamp"))
+    values = [moment, F.col(status), F.col(items).cast("long"), F.coalesce(F.col(error), F.lit(""))]
+    return stepped(df, keys, values, values, (None, 0, "", None), step, "alert", "string").select(*keys, F.col(at).cast("timestamp").alias("at"), "alert")
 
 
 def thread_state(df: DataFrame, thread: str, turn: str, opens: Column, closes: Column) -> DataFrame:

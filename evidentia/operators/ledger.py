@@ -52,7 +52,7 @@ def corroborated(df: DataFrame, subject: str, dimension: str, outlet: str, least
 
 
 def health(df: DataFrame, keys: list[str], outcome: str) -> DataFrame:
-    """Per key how many attempts ended how, a histogram of outcomes and a status: failed, partial, ok or empty."""
+    """Per key how many attempts were ok, failed or deferred, and a status: failed, partial, ok or empty."""
     n = {o: F.count(F.when(F.col(outcome) == o, 1)).alias(o) for o in ("ok", "failed", "deferred")}
     counts = df.groupBy(*keys).agg(F.count("*").alias("attempted"), *n.values())
     status = F.when(F.col("attempted") == 0, "empty").when(F.col("failed") == F.col("attempted"), "failed").when(F.col("failed") + F.col("deferred") > 0, "partial").otherwise("ok")
@@ -79,3 +79,45 @@ def overflow_lines(df: DataFrame, group: str, label: str, order: list[Column], e
     out = ranked.groupBy(group).agg(F.sort_array(F.collect_list(F.when(F.col("_place") <= each, F.struct("_place", F.col(label).alias("label"))))).alias("shown"), F.count("*").alias("n"))
     line = F.concat(F.array_join(F.col("shown.label"), ", "), F.when(F.col("n") > each, F.format_string(" +%d more", F.col("n") - each)).otherwise(F.lit("")))
     return out.select(group, "n", line.alias("line")).orderBy(F.desc("n"), group).limit(lines)
+
+
+def states(df: DataFrame, run: str, state: str, cost: str) -> DataFrame:
+    """A receipt of each run: for each state how many requests and what they reserved."""
+    return df.groupBy(run, state).agg(F.count("*").alias("n"), F.sum(cost).alias("reserved"))
+
+
+def presentation(df: DataFrame, disposition: str, shown: list[str], hidden: list[str]) -> DataFrame:
+    """One row: how many are shown and hidden, what is neither, and whether they add up to all."""
+    count = lambda names: F.count(F.when(F.col(disposition).isin(*names), 1))
+    one = df.agg(F.count("*").alias("total"), count(shown).alias("shown"), count(hidden).alias("hidden"))
+    return one.withColumn("unexplained", F.col("total") - F.col("shown") - F.col("hidden")).withColumn("holds", F.col("unexplained") == 0)
+
+
+def by_destination(df: DataFrame, destination: str, disposition: str, names: list[str]) -> DataFrame:
+    """Per destination how many rows have each disposition, zeros included, and whether they are all its rows."""
+    counts = [F.count(F.when(F.col(disposition) == n, 1)).alias(n) for n in names]
+    out = df.groupBy(destination).agg(F.count("*").alias("total"), *counts)
+    return out.withColumn("balanced", F.col("total") == sum((F.col(n) for n in names), F.lit(0)))
+
+
+def coverage(df: DataFrame, destination: str, status: str, known: Column, held: Column, order: list[Column], cap: int) -> DataFrame:
+    """Per destination: total = healthy + recorded + held + selected + overflow, of sources and their states.
+
+    Sources that are well need no word; a state already told is recorded; a held
+    destination's wait; of the rest the first `cap` are selected.
+    """
+    ill = F.col(status) != "ok"
+    place = F.when(~ill, "healthy").when(known, "recorded").when(held, "held").otherwise("ready")
+    rows = df.withColumn("_place", place)
+    ready = rows.where("_place = 'ready'").withColumn("_n", F.row_number().over(Window.partitionBy(destination).orderBy(*order)))
+    rows = rows.where("_place <> 'ready'").withColumn("_n", F.lit(None).cast("int")).unionByName(ready)
+    stage = F.when(F.col("_place") != "ready", F.col("_place")).when(F.col("_n") <= cap, "selected").otherwise("overflow")
+    return by_destination(rows.withColumn("_stage", stage), destination, "_stage", ["healthy", "recorded", "held", "selected", "overflow"])
+
+
+def accounting_line(df: DataFrame, verdict: str, names: list[str]) -> DataFrame:
+    """One line of counts in the order of the names, zeros included, after what is counted from the rows as they are now."""
+    counts = [F.count(F.when(F.col(verdict) == n, 1)).alias(n) for n in names]
+    one = df.agg(F.count("*").alias("_all"), *counts)
+    parts = [F.concat(F.lit(n.replace("_", " ") + " "), F.col(n).cast("string")) for n in names]
+    return one.select(F.concat_ws(", ", F.concat(F.lit("all "), F.col("_all").cast("string")), *parts).alias("line"))

@@ -51,3 +51,9 @@ def import_counts(df: DataFrame) -> DataFrame:
     n = lambda c: F.count(F.when(c, 1))
     one = df.agg(F.count("*").alias("input"), n(F.col("status") == "accepted").alias("accepted"), n(F.col("status") == "duplicate").alias("duplicate"), n(~F.col("status").isin("accepted", "duplicate")).alias("quarantined"))
     return one.withColumn("balanced", F.col("input") == F.col("accepted") + F.col("duplicate") + F.col("quarantined"))
+
+
+def journal(prior: DataFrame, accepted: DataFrame, event: str) -> DataFrame:
+    """Prior and newly accepted events as one journal with repeats: how often an id stands in it, which must be once."""
+    both = prior.unionByName(accepted)
+    return both.join(both.groupBy(F.col(event).alias("_e")).agg(F.count("*").alias("repeats")), F.col(event) == F.col("_e")).drop("_e")

@@ -80,7 +80,7 @@ def equipment(claims: DataFrame, owned: DataFrame, device: str) -> DataFrame:
 
 #: Words by which a sentence speaks of whom it takes, of the employer itself, and of exceptions.
 RESTRICTING = ["only", "must", "resident", "residents", "citizen", "citizens", "residing", "reside", "exclusively", "restricted"]
-EMPLOYER = ["we", "our", "us", "company", "hq", "headquarters", "headquartered", "office", "offices", "founded"]
+EMPLOYER = ["we", "our", "company", "hq", "headquarters", "headquartered", "office", "offices", "founded"]
 EXCEPTING = ["not", "never", "except", "excluding", "excluded", "outside", "without", "unless"]
 
 

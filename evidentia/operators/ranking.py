@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import dropped, written
+
 
 def capped(df: DataFrame, entity: str, order: list[Column], n: int) -> DataFrame:
     """The first n rows of each entity."""
@@ -27,12 +33,14 @@ def banded_caps(df: DataFrame, key: str, entity: str, order: list[Column], bands
     the cap up, else size_cap. Column band names the band.
     """
     used = df.sparkSession.createDataFrame([], f"_e {df.schema[entity].dataType.simpleString()}, _used long")
-    shown = None
+    shown, last = None, None
     for turn, (band, limit) in enumerate(bands):
         rows = df.where(F.col("band") == band).join(used, df[entity] == F.col("_e"), "left").withColumn("_used", F.coalesce("_used", F.lit(0)))
         rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(entity).orderBy(*order))).where(F.col("_n") + F.col("_used") <= per_entity)
         picked = rows.orderBy(*order).limit(limit).select(key, F.col(entity).alias("_e"), F.lit(turn).alias("_turn"))
-        shown = picked if shown is None else shown.unionByName(picked)
+        before = last
+        shown, last = written(picked if shown is None else shown.unionByName(picked), "shown")  # at most the limits' sum of rows, so that no band repeats the ones before
+        dropped(df.sparkSession, *([] if before is None else [before]))
         used = shown.groupBy("_e").agg(F.count("*").alias("_used"))
     turns = F.create_map(*[x for i, (b, _) in enumerate(bands) for x in (F.lit(b), F.lit(i))])
     out = df.join(shown.select(F.col(key).alias("_k"), F.lit(True).alias("shown")), df[key] == F.col("_k"), "left").drop("_k").withColumn("shown", F.coalesce("shown", F.lit(False)))
@@ -96,3 +104,75 @@ def dispatch_plan(ready: DataFrame, order: list[Column], current: str, limit: in
     now = ready.where(current).orderBy(*order).limit(1)
     old = ready.where(~F.col(current)).orderBy(*order)
     return old.limit(max(0, limit - 1)).unionByName(now) if now.take(1) else old.limit(limit)
+
+
+def shortlist(df: DataFrame, source: str, order: list[Column], n: int, rejected: str, fit_reject: str, part: float = 0.1) -> DataFrame:
+    """n rows with turn: a quota of rejects that may still be wrong (fit_reject), rounded up, and a round robin of the others by source for the rest of the places."""
+    quota = math.ceil(n * part)
+    second = df.where(F.col(rejected) & F.col(fit_reject)).orderBy(*order).limit(quota)
+    left = n - second.count()
+    return round_robin(df.where(~F.col(rejected)), source, order, left).unionByName(second.withColumn("turn", F.lit(None).cast("int")))
+
+
+def nudges(candidates: DataFrame, registry: DataFrame, key: str, priority: str, floor: float, n: int) -> DataFrame:
+    """The n open candidates of the highest priority whose platform is trusted enough; an unknown platform has no trust."""
+    known = registry.select(F.col(key).alias("_k"), F.col("trust").alias("_t"))
+    open_ = candidates.where("status = 'todo'").join(known, candidates[key] == F.col("_k"), "left").where(F.coalesce("_t", F.lit(0.0)) >= floor)
+    return open_.orderBy(F.desc(priority), key).limit(n).drop("_k", "_t")
+
+
+def best_rate(offers: Column) -> Column:
+    """Of an array of rates (quote, has_currency, hourly) the first with a currency and an hour, else with a currency, else with an hour, else the first."""
+    ranked = F.transform(offers, lambda o, i: F.struct((F.when(o["has_currency"], 2).otherwise(0) + F.when(o["hourly"], 1).otherwise(0)).alias("rank"), (-i).alias("turn"), o.alias("offer")))
+    return F.array_max(ranked)["offer"]
+
+
+def handoff(df: DataFrame, key: str, lane: str, employer: str, platform: str, acted: str, urgent: str, order: list[Column], caps: dict[str, int], total: int, per_employer: int, per_platform: int) -> DataFrame:
+    """key, disposition and reserved of the rows that lanes (action before verify) can show, at most `total`.
+
+    Rows go by lane and order; each is shown unless its employer, its platform, its
+    lane or the whole is full. The first action row that nobody acted on yet
+    (a discovery) has a place kept, unless every shown action row is both acted on
+    and urgent, which displaces it. Only rows that could be shown are folded, in one
+    task: of an employer's rows in a lane the first per_employer + total, of each lane
+    the first total * (2 * total + 4), and all lanes' first discovery.
+    """
+    lanes = list(caps)
+    turn = F.create_map(*[x for i, n in enumerate(lanes) for x in (F.lit(n), F.lit(i))])
+    rows = df.withColumn("_group", F.struct(lane, employer)).withColumn("_turn", F.try_element_at(turn, F.col(lane)))
+    able = first_of_each(rows, "_group", order, per_employer + total).drop("place", "_group")
+    able = first_of_each(able, lane, order, total * (2 * total + 4)).drop("place")
+    found = rows.where((F.col(lane) == lanes[0]) & ~F.col(acted)).orderBy(*order).limit(1).drop("_group")
+    head = able.unionByName(found).dropDuplicates([key]).withColumn("_place", F.row_number().over(Window.orderBy("_turn", *order)))
+    slim = head.select(F.col(key).alias("k"), F.col(lane).alias("lane"), F.col(employer).cast("string").alias("e"), F.col(platform).cast("string").alias("p"), F.col(acted).alias("acted"), F.col(urgent).alias("urgent"), "_place")
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        items = t.sort_values("_place").to_dict("records")
+
+        def select(rows: list[dict]) -> dict:
+            firms, shops, used, out = Counter(), Counter(), Counter(), {}
+            for r in rows:
+                e, p = r["e"] if r["e"] is not None else ("alone", r["k"]), r["p"]
+                if firms[e] >= per_employer:
+                    why = "employer_cap"
+                elif p is not None and shops[p] >= per_platform:
+                    why = "platform_cap"
+                elif used[r["lane"]] >= caps[r["lane"]] or sum(used.values()) >= total:
+                    why = r["lane"] + "_cap"
+                else:
+                    why = "shown"
+                    firms[e], used[r["lane"]] = firms[e] + 1, used[r["lane"]] + 1
+                    shops[p] += p is not None
+                out[r["k"]] = why
+            return out
+
+        kept = next((r for r in items if r["lane"] == lanes[0] and not r["acted"]), None)
+        plain = select(items)
+        ready = [r for r in items if r["lane"] == lanes[0] and plain[r["k"]] == "shown"]
+        if kept is not None and len(ready) == caps[lanes[0]] and all(r["acted"] and r["urgent"] for r in ready):
+            kept = None
+        final = plain if kept is None else select([kept, *[r for r in items if r is not kept]])
+        return pd.DataFrame([(r["k"], final[r["k"]], kept is not None and r is kept) for r in items], columns=["k", "disposition", "reserved"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return slim.groupBy(F.lit(1).alias("_one")).applyInPandas(run, f"k {kind}, disposition string, reserved boolean").withColumnRenamed("k", key)

@@ -8,7 +8,7 @@ from decimal import ROUND_HALF_UP, Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import folded
+from .folds import folded, stepped
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str, first_seen: str) -> DataFrame:
@@ -55,6 +55,29 @@ def budgeted(df: DataFrame, run: str, order: list[Column], source: str, cap: int
     return df.withColumn("granted", (whole <= cap) & (own <= share))
 
 
+def reserved(df: DataFrame, run: str, order: list[Column], host: str, source: str, pilot: str, at: Column, cool_until: Column, unsent: str, cap: int, share: int, pilot_part: float = 0.2) -> DataFrame:
+    """df with grant of each request of a run in order: granted, cooling, run_cap, source_share or pilot_ceiling.
+
+    Only granted requests use a budget up, and one that provably was not sent
+    (unsent) gives it back. A granted answer may name a moment until which its host
+    rests (cool_until, microseconds like at, null for none); pilots together get at most pilot_part of the cap.
+    """
+    pilots = int(cap * pilot_part)
+
+    def step(held: tuple, h: str, s: str, p: bool, now: int, until: int | None, back: bool) -> tuple[tuple, str]:
+        used, by_source, by_pilot, resting = held
+        own = by_source.get(s, 0)
+        verdict = "cooling" if now < resting.get(h, now) else "run_cap" if used >= cap else "source_share" if own >= share else "pilot_ceiling" if p and by_pilot >= pilots else "granted"
+        if verdict == "granted":
+            if not back:
+                used, by_source, by_pilot = used + 1, by_source | {s: own + 1}, by_pilot + bool(p)
+            if until is not None:
+                resting = resting | {h: max(until, resting.get(h, until))}
+        return (used, by_source, by_pilot, resting), verdict
+
+    return stepped(df, [run], order, [F.col(host), F.col(source), F.col(pilot), at, cool_until, F.col(unsent)], (0, {}, 0, {}), step, "grant", "string")
+
+
 def clamped_score(df: DataFrame, key: str, order: str, delta: str, start: float) -> DataFrame:
     """Per key a score that events move in order and that never leaves 0..1, to four places at each step."""
     def step(held: tuple, d: float | None) -> tuple:

@@ -108,14 +108,25 @@ def verification_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "cycles", moment("first_failed"), moment("next_check"))
 
 
-@query(None)
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, ts, t_end, found, row_number() OVER (PARTITION BY user_id ORDER BY t_end, found, event_id) AS i FROM (SELECT *, ts + to_days(CAST(floor(value / 100) AS INTEGER)) AS t_end, event_type = 'purchase' AS found FROM events)),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 0 AS n, NULL::TIMESTAMP AS until FROM e UNION ALL SELECT f.user_id, e.i, CASE WHEN found THEN 0 WHEN until IS NULL OR ts >= until THEN n + 1 ELSE n END, CASE WHEN found THEN NULL WHEN until IS NULL OR ts >= until THEN t_end ELSE until END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT user_id, arg_max(n, i)::INTEGER AS streak FROM f GROUP BY user_id"""
+)
 def zero_yield_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fold: whether a check counts depends on which one before it counted."""
     e = events(spark, sf_dir).withColumn("end", F.col("ts") + F.expr("make_dt_interval(cast(value / 100 as int))")).withColumn("found", F.col("event_type") == "purchase")
     return history.zero_streak(e, ["user_id"], "ts", "end", "found", "event_id")
 
 
-@query(None)
+@query(
+    """WITH RECURSIVE d AS (SELECT user_id, date_trunc('day', ts) AS day, count(*) AS items, count(*) FILTER (event_type = 'error') AS errors, min(event_type) AS error FROM events GROUP BY 1, 2),
+r AS (SELECT *, epoch_us(day)::BIGINT AS m, CASE WHEN errors = items THEN 'failed' WHEN errors * 3 > items THEN 'partial' ELSE 'ok' END AS s, row_number() OVER (PARTITION BY user_id ORDER BY day) AS i FROM d),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::VARCHAR AS b, 0::BIGINT AS had, '' AS cause, NULL::BIGINT AS told, NULL::BIGINT AS m, NULL::VARCHAR AS alert FROM r
+UNION ALL SELECT user_id, i, s, items, error, CASE WHEN alert = 'none' THEN told ELSE m END, m, alert FROM (SELECT f.user_id, r.i, s, items, r.error, told, r.m, CASE WHEN b IS NULL THEN CASE WHEN s <> 'ok' THEN s ELSE 'none' END WHEN b <> 'ok' AND s = 'ok' THEN 'recovered' WHEN s = 'failed' AND b <> 'failed' THEN 'failed' WHEN b = 'ok' AND s <> 'ok' THEN s
+  WHEN told IS NOT NULL AND r.m - told < 86400000000 THEN 'none' WHEN s <> 'ok' AND r.error <> cause THEN 'error_changed' WHEN had > 0 AND items < had AND items <= 0.5 * had THEN 'coverage_drop' ELSE 'none' END AS alert FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i + 1))
+SELECT user_id, m AS "at", alert FROM f WHERE i > 0"""
+)
 def health_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fold: an alert silences later ones for a day."""
     by_day = events(spark, sf_dir).groupBy("user_id", F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("items"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"), F.min("event_type").alias("error"))
@@ -171,7 +182,11 @@ def decay_to_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("platform", F.round(1e6 * money.decay_delta(F.col("trust"), F.lit(0.5), idle)).cast("long").alias("delta_micro"))
 
 
-@query(None)
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, CASE event_type WHEN 'error' THEN -0.2 WHEN 'purchase' THEN 0.15 ELSE 0.01 END::DOUBLE AS d, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 0.5::DOUBLE AS x FROM e UNION ALL SELECT f.user_id, e.i, round(least(1.0, greatest(0.0, x + d)), 4) FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT user_id, arg_max(x, i) AS score, max(i) AS events FROM f GROUP BY user_id"""
+)
 def clamped_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fold: the score is clamped after each event, so the sum of deltas doesn't tell it."""
     e = events(spark, sf_dir).withColumn("delta", F.when(F.col("event_type") == "error", -0.2).when(F.col("event_type") == "purchase", 0.15).otherwise(0.01))
@@ -184,7 +199,13 @@ def budget_running_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.budgeted(e, "day", [F.col("ts"), F.col("event_id")], "event_type", 200, 30).select("event_id", "granted")
 
 
-@query(None)
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts)::BIGINT AS t, CASE event_type WHEN 'view' THEN 'claim' WHEN 'click' THEN 'send' WHEN 'purchase' THEN 'ok' WHEN 'error' THEN 'fail' ELSE 'noise' END AS a, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 'pending' AS s, 0 AS n, 0::BIGINT AS until FROM e
+UNION ALL SELECT user_id, i, s2, n + (s2 <> s1 AND s2 = 'sending')::INT, CASE WHEN s2 <> s1 AND s2 IN ('leased', 'sending') THEN t + 86400000000 ELSE until END FROM (SELECT *, CASE WHEN s1 = 'pending' AND a = 'claim' THEN 'leased' WHEN s1 = 'leased' AND a = 'send' THEN 'sending' WHEN s1 = 'sending' AND a = 'ok' THEN 'accepted' WHEN s1 = 'sending' AND a = 'fail' THEN 'pending' ELSE s1 END AS s2
+  FROM (SELECT f.user_id, e.i, n, until, t, a, CASE WHEN t > until AND s = 'leased' THEN 'pending' WHEN t > until AND s = 'sending' THEN 'uncertain' ELSE s END AS s1 FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)))
+SELECT user_id, arg_max(s, i) AS state, arg_max(n, i)::INTEGER AS attempts FROM f GROUP BY user_id"""
+)
 def queue_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fold: leases run out between actions."""
     action = F.when(F.col("event_type") == "view", "claim").when(F.col("event_type") == "click", "send").when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "error", "fail").otherwise("noise")
@@ -210,7 +231,15 @@ def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.imported(named, "id", "user_id", scopes, "ts", F.expr("TIMESTAMP '2024-01-29 00:00:00'"), F.concat_ws("|", "user_id", "event_type"), "olds", "event_type")
 
 
-@query(None)
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id % 7000 AS id, user_id, event_type, ts, CASE WHEN event_id % 9 = 0 THEN (event_id + 450) % 7000 END AS old FROM events),
+s AS (SELECT *, CASE WHEN user_id % 20 = 3 THEN 'unmatched_scope' WHEN ts > TIMESTAMP '2024-01-29 00:00:00' THEN 'future_evidence' END AS early FROM e),
+k AS (SELECT *, count(DISTINCT CASE WHEN early IS NULL THEN user_id || '|' || event_type END) OVER (PARTITION BY id) AS kinds, row_number() OVER (PARTITION BY id, early ORDER BY ts, md5(user_id || '|' || event_type)) AS n FROM s),
+t AS (SELECT *, coalesce(early, CASE WHEN kinds > 1 THEN 'event_id_collision' WHEN n > 1 THEN 'duplicate' ELSE 'accepted' END) AS status FROM k), a AS (SELECT * FROM t WHERE status = 'accepted'),
+l AS (SELECT a.id, a.old, coalesce(b.user_id = a.user_id AND b.event_type = a.event_type AND b.ts < a.ts AND b.id <> a.id, false) AS fine FROM a LEFT JOIN a b ON b.id = a.old WHERE a.old IS NOT NULL),
+bad AS (SELECT id FROM l WHERE NOT fine UNION SELECT l.id FROM l JOIN bad ON bad.id = l.old), z AS (SELECT CASE WHEN status IN ('accepted', 'duplicate') AND id IN (SELECT id FROM bad) THEN 'invalid' ELSE status END AS status FROM t)
+SELECT count(*) AS input, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'duplicate') AS duplicate, count(*) FILTER (status NOT IN ('accepted', 'duplicate')) AS quarantined, true AS balanced FROM z"""
+)
 def import_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts after a fixpoint over the events that name others."""
     return outcomes.import_counts(quarantined(spark, sf_dir))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, scoring, text, urls
-from ..operators import entities, gates, joins, ledger, ranking
+from ..operators import entities, gates, joins, ledger, quality, ranking
 from .registry import query, table
 
 DE, ES, FR, EN = gates.FUNCTION_WORDS["de"], gates.FUNCTION_WORDS["es"], gates.FUNCTION_WORDS["fr"], gates.ENGLISH
@@ -69,13 +71,14 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     score, _ = scam_columns()
     fit, hard = gates.fit_score(F.col("_tokens"), VOCABULARY, ["of", "by"])
     docs = docs.select("doc_id", "source", "text", (score >= 0.6).alias("scam"), fit.alias("fit"), hard.alias("hard"), gates.language_reasons(F.col("text"), ["fr"]).alias("language"))
+    junk = quality.junk_reasons(F.lit("Rater of texts, remote"), F.lit(""), F.col("source"), F.lit(False), F.col("source") == "src3", ["src2"])
     where = F.when(F.col("source").isin(*PLACES), none).otherwise(F.array(F.lit("location:place")))
-    return docs.select("doc_id", gates.verdict(F.col("scam"), none, where, F.col("hard"), F.lit(None).cast("boolean"), F.col("language"), F.lit(None).cast("double"), F.col("fit")).alias("verdict"))
+    return docs.select("doc_id", gates.verdict(F.col("scam"), junk, where, F.col("hard"), F.lit(None).cast("boolean"), F.col("language"), F.lit(None).cast("double"), F.col("fit")).alias("verdict"))
 
 
 JUDGED = f"""d AS (SELECT doc_id, source, text, chr(10) || coalesce(text, '') AS t, {TOKENS} AS k FROM documents),
 c AS (SELECT *, {COUNTS}, {sql_language('text')} AS language FROM d),
-j AS (SELECT doc_id, CASE WHEN round(least({SCAM}, 1.0), 3) >= 0.6 THEN 'rejected_scam' WHEN coalesce(source, '') NOT IN ('src0', 'src1', 'src2', 'src3') THEN 'rejected_location'
+j AS (SELECT doc_id, CASE WHEN round(least({SCAM}, 1.0), 3) >= 0.6 THEN 'rejected_scam' WHEN source IN ('src2', 'src3') THEN 'rejected_quality' WHEN coalesce(source, '') NOT IN ('src0', 'src1', 'src2', 'src3') THEN 'rejected_location'
   WHEN list_contains(k, 'license') THEN 'rejected_irrelevant' WHEN language IN ('de', 'es') THEN 'rejected_ineligible' WHEN {FIT} < 32 THEN 'rejected_irrelevant' ELSE 'surfaced' END AS verdict FROM c)"""
 
 
@@ -103,7 +106,10 @@ def decision_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.coalesce(F.max("n_rows"), F.lit(0)).alias("n_rows"), F.coalesce(F.max("digest"), F.md5(F.lit(b""))).alias("digest"))
 
 
-@query(None)
+LANES = ", ".join(f"coalesce(sum(('0x' || substr(h, {4 * i + 1}, 4))::BIGINT), 0)::BIGINT" for i in range(16))
+
+
+@query(f"WITH {JUDGED}, h AS (SELECT sha256(doc_id || chr(31) || verdict) AS h FROM j) SELECT count(*) AS n_rows, sha256(array_to_string([{LANES}], ',')) AS fingerprint FROM h")
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashing.fingerprint(judged(spark, sf_dir), "doc_id", "verdict")
 
@@ -114,11 +120,20 @@ def phrase_window_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, ",").alias("phrases"))
 
 
-HTML = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
- '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?i)<li[^>]*>', chr(10) || '- ', 'g'),
- '(?i)<(br|/p|/div|/h[1-6]|/tr|/ul|/ol)[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g')"""
-for _entity, _plain in text.ENTITIES:
-    HTML = "replace({}, '{}', '{}')".format(HTML, _entity, _plain.replace("'", "''"))
+def sql_unescaped(c: str) -> str:
+    """The rule of text.unescaped() over a column, with a map of all named references."""
+    names = "MAP {" + ", ".join(f"'{n}': chr({k})" for n, k in sorted(name2codepoint.items())) + "}"
+    rest = "regexp_replace(p, '^[^;]*;', '')"
+    decimal, hexadecimal, name = "^#([0-9]{1,7});", "^#[xX]([0-9a-fA-F]{1,6});", "^([A-Za-z][A-Za-z0-9]*);"
+    one = f"""CASE WHEN regexp_matches(p, '{decimal}') THEN chr(regexp_extract(p, '{decimal}', 1)::INT) || {rest} WHEN regexp_matches(p, '{hexadecimal}') THEN chr(('0x' || regexp_extract(p, '{hexadecimal}', 1))::INT) || {rest}
+      ELSE coalesce({names}[regexp_extract(p, '{name}', 1)] || {rest}, '&' || p) END"""
+    return f"(string_split({c}, '&')[1] || array_to_string(list_transform(string_split({c}, '&')[2:], lambda p: {one}), ''))"
+
+
+TAGS = [("(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->", "' '"), ("(?i)<li[^>]*>", "chr(10) || '- '"), ("(?i)<(br|/p|/div|/h[1-6]|/tr|/ul|/ol)[^>]*>", "chr(10)"), ("<[^>]*>", "' '")]
+HTML = sql_unescaped("html")
+for _pattern, _with in TAGS:
+    HTML = f"regexp_replace({HTML}, '{_pattern}', {_with}, 'g')"
 HTML = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({HTML}, '\\r\\n?', chr(10), 'g'), '{text.HIDDEN}', '', 'g'), '{text.BLANKS}', ' ', 'g'), '[\\x00-\\x09\\x0b-\\x1f\\x7f]', '', 'g')"
 HTML = f"trim(regexp_replace(regexp_replace(regexp_replace({HTML}, ' *\\n *', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' {{2,}}', ' ', 'g'), ' ' || chr(10))"
 

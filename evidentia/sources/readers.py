@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.observations import canonical_payload
+
 RAW = "source string, raw string"
 Reader = Callable[[SparkSession, str], DataFrame]
 
@@ -75,7 +77,7 @@ def ingested(spark: SparkSession, paths: dict[str, str], only: str | None = None
 def exact_once(df: DataFrame, payload: str, query: str) -> tuple[DataFrame, DataFrame]:
     """Rows with each payload once, and per query how many were retained, duplicate or malformed (no JSON object)."""
     good = F.coalesce(F.json_object_keys(payload).isNotNull(), F.lit(False))
-    place = Window.partitionBy(F.sha2(payload, 256)).orderBy(query)
+    place = Window.partitionBy(F.sha2(F.coalesce(canonical_payload(F.col(payload)), F.col(payload)), 256)).orderBy(query)  # names in any order are one record
     rows = df.withColumn("_kind", F.when(~good, "malformed").when(F.row_number().over(place) > 1, "duplicate").otherwise("retained"))
     counts = rows.groupBy(query).agg(*[F.count(F.when(F.col("_kind") == k, 1)).alias(k) for k in ("retained", "duplicate", "malformed")])
     return rows.where("_kind = 'retained'").drop("_kind"), counts
