@@ -74,6 +74,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Memo:
+    """What is known of 64-bit hashes, in two sorted arrays: 16 bytes an entry, where a dict takes ten times as much."""
+
+    def __init__(self, kind: type, most: int):
+        self.kind, self.most = kind, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, self.kind)
+
+    def found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of ascending distinct keys, and the places of those that are not known."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        values = np.zeros(len(keys), self.kind)
+        values[known] = self.values[at[known]]
+        return values, np.flatnonzero(~known)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.values = np.insert(self.keys, at, keys), np.insert(self.values, at, values)
+
+    def full(self) -> bool:
+        return len(self.keys) > self.most
+
+
 PIECE = 1 << 20  # bytes of text that are worked on at once
 LONG = 128  # bytes; longer spans are hashed by BLAKE2b
 

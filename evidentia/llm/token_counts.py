@@ -27,7 +27,7 @@ from .words import encoder
 
 BLOCK_BYTES = 8 << 20
 BUCKET_BITS = 12  # pre-tokens are dealt out by so many bits of their hash: as many tasks can count them
-MEMO = 1_000_000  # distinct pre-tokens that a task remembers; a bucket with more counts some again
+MEMO = 300_000  # distinct pre-tokens that a task remembers; a bucket with more counts some again
 BLOCKS = "block string, doc_ids array<bigint>, doc_bytes array<bigint>, fixed array<bigint>, sizes array<int>, steps binary, often binary, lists array<struct<bucket:int,pieces:binary>>"
 LISTS = pa.list_(pa.struct([("bucket", pa.int32()), ("pieces", pa.binary())]))
 

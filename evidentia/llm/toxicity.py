@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, set_apart, slices, span_hashes
+from .common import Memo, column, set_apart, slices, span_hashes
 
 SAMPLE = 1500
 LONGEST = 32_768
@@ -125,23 +125,21 @@ class Model:
 
     gram: np.ndarray
     shift: float
-    known: dict | None = None
+    known: Memo | None = None
 
     def word_values(self, words: list[str]) -> np.ndarray:
         return values_of(self.gram, *ngrams(words))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        if self.known is None or len(self.known) > MEMO:
-            self.known = {}
+        if self.known is None or self.known.full():
+            self.known = Memo(np.float64, MEMO)
         line, starts, ends, at = word_spans(texts)
         c = np.frombuffer(line.encode("utf-32-le", "replace"), "<u4")
         unique, first, where = np.unique(span_hashes(c, starts, ends), return_index=True, return_inverse=True)
-        named = unique.tolist()
-        value = np.fromiter(map(self.known.get, named, [np.nan] * len(named)), np.float64, len(named))
-        new = np.flatnonzero(np.isnan(value))
+        value, new = self.known.found(unique)
         if len(new):
             value[new] = self.word_values([line[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
-            self.known.update(zip(unique[new].tolist(), value[new].tolist()))
+            self.known.add(unique[new], value[new])
         best = top_maxima(value[where], at)
         return 1 / (1 + np.exp(-np.clip(best + self.shift, -60, 60)))
 

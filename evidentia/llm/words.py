@@ -16,7 +16,7 @@ from itertools import chain
 
 import numpy as np
 
-from .common import span_hashes
+from .common import Memo, span_hashes
 
 #: Classes of characters.
 BREAK, LETTER, DIGIT, OTHER, SPACE, ODD = range(6)
@@ -31,7 +31,7 @@ for _char in "\t\n\r ":
 KIND[0] = BREAK  # stands between texts
 #: Endings after an apostrophe that the published pattern keeps as pre-tokens.
 ENDINGS = (("s",), ("t",), ("m",), ("d",), ("r", "e"), ("v", "e"), ("l", "l"))
-MEMO = 1_000_000  # distinct pre-tokens that a worker remembers
+MEMO = 500_000  # distinct pre-tokens that a worker remembers
 
 
 def byte_letters() -> dict[int, str]:
@@ -65,7 +65,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known, self.count = Memo(np.int64, MEMO), 0
         self.flat = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 15, np.int64)
 
@@ -127,10 +127,10 @@ class Encoder:
         tokenize = self.tok.model.tokenize
         return [[t.id for t in tokenize(w)] for w in spelled]
 
-    def learn(self, line: str, starts: np.ndarray, ends: np.ndarray, hashes: list[int]) -> None:
-        """Encodes new pre-tokens of the line."""
+    def learn(self, line: str, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Encodes new pre-tokens of the line; returns their numbers."""
         got = self.piece_ids([line[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
-        n, k = len(self.known), len(got)
+        n, k = self.count, len(got)
         if n + k + 1 > len(self.at):
             self.at = np.concatenate([self.at, np.zeros(max(len(self.at), n + k + 1), np.int64)])
         self.at[n + 1 : n + k + 1] = self.at[n] + np.cumsum([len(x) for x in got])
@@ -138,7 +138,9 @@ class Encoder:
         if end > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), end), np.uint32)])
         self.flat[int(self.at[n]) : end] = list(chain.from_iterable(got))
-        self.known.update(zip(hashes, range(n, n + k)))
+        self.known.add(hashes, np.arange(n, n + k))
+        self.count += k
+        return np.arange(n, n + k)
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """The library's ids of each whole text (null: none), as uint32."""
@@ -152,17 +154,13 @@ class Encoder:
             else:
                 out[i] = np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32)
         if plain:
-            if len(self.known) > MEMO:
+            if self.known.full():
                 self.forget()
             line, starts, ends, hashes, sizes = self.cut([texts[i] for i in plain])
             unique, first, where = np.unique(hashes, return_index=True, return_inverse=True)
-            named = unique.tolist()
-            slot = np.fromiter(map(self.known.get, named, [-1] * len(named)), np.int64, len(named))
-            new = np.flatnonzero(slot < 0)
+            slot, new = self.known.found(unique)
             if len(new):
-                n = len(self.known)
-                self.learn(line, starts[first[new]], ends[first[new]], unique[new].tolist())
-                slot[new] = np.arange(n, n + len(new))
+                slot[new] = self.learn(line, starts[first[new]], ends[first[new]], unique[new])
             which = slot[where]
             begin = self.at[which]
             n_ids = self.at[which + 1] - begin
