@@ -94,7 +94,7 @@ WITH RECURSIVE words AS (
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN sizes USING (doc_id)
 """
 
-SHARD_LIMIT = 256 << 10
+SHARD_LIMIT = 128 << 10
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

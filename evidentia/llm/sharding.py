@@ -104,5 +104,5 @@ def paged(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(df: DataFrame, key: str, payload: str, limit: int, path: str) -> None:
-    """The rows of df in one folder for each shard and page."""
-    sharded(df, key, payload, limit).repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
+    """The rows of df in one folder for each shard and page; folders name a shard by b and its bits, so that no reader takes the bits for a number or the empty text for null."""
+    sharded(df, key, payload, limit).withColumn("shard", F.concat(F.lit("b"), "shard")).repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
