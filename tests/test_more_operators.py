@@ -103,3 +103,46 @@ def test_sinks_and_queues(spark):
     assert [r["late"] for r in flows.split_late(late, "at", "seen").collect()] == [False, True, False]
     days = sinks.counters(late.where("at is not null"), "at").orderBy("day").collect()
     assert [(r["day"], r["n"]) for r in days] == [(date(2024, 1, 1), 1), (date(2024, 1, 2), 1)]
+
+
+# ------------------------------------------------------------- lanes with a kept place
+def plain_handoff(rows, caps, total, per_employer, per_platform):
+    rows = sorted(rows, key=lambda r: (list(caps).index(r[1]), r[6], r[0]))
+
+    def select(order):
+        firms, shops, used, out = {}, {}, {}, {}
+        for key, lane, firm, shop, *_ in order:
+            if firms.get(firm, 0) >= per_employer:
+                out[key] = "employer_cap"
+            elif shop is not None and shops.get(shop, 0) >= per_platform:
+                out[key] = "platform_cap"
+            elif used.get(lane, 0) >= caps[lane] or sum(used.values()) >= total:
+                out[key] = lane + "_cap"
+            else:
+                out[key] = "shown"
+                firms[firm], used[lane] = firms.get(firm, 0) + 1, used.get(lane, 0) + 1
+                if shop is not None:
+                    shops[shop] = shops.get(shop, 0) + 1
+        return out
+
+    kept = next((r for r in rows if r[1] == "action" and not r[4]), None)
+    plain = select(rows)
+    ready = [r for r in rows if r[1] == "action" and plain[r[0]] == "shown"]
+    if kept and len(ready) == caps["action"] and all(r[4] and r[5] for r in ready):
+        kept = None
+    return plain if kept is None else select([kept] + [r for r in rows if r is not kept]), kept
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_handoff_lanes_keep_a_place_for_a_discovery(spark, seed):
+    import random
+
+    from evidentia.operators import ranking
+
+    rng = random.Random(seed)
+    rows = [(i, rng.choice(["action", "verify"]), f"e{rng.randrange(12)}", rng.choice(["shop", None, None]), rng.random() < 0.9, seed % 2 == 0 or rng.random() < 0.5, rng.randrange(50)) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, lane string, employer string, platform string, acted boolean, urgent boolean, rank int")
+    got = {r["id"]: (r["disposition"], r["reserved"]) for r in ranking.handoff(df, "id", "lane", "employer", "platform", "acted", "urgent", [F.col("rank"), F.col("id")], {"action": 3, "verify": 2}, 4, 1, 1).collect()}
+    want, kept = plain_handoff(rows, {"action": 3, "verify": 2}, 4, 1, 1)
+    assert {k for k, v in got.items() if v[0] == "shown"} == {k for k, v in want.items() if v == "shown"}
+    assert {k for k, v in got.items() if v[1]} == ({kept[0]} if kept else set())
