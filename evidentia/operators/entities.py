@@ -72,6 +72,25 @@ def corroborations(df: DataFrame, same: list[str], amount: str, source: str, tol
     return pairs.drop("_band")
 
 
+def corroborated(df: DataFrame, same: list[str], amount: str, source: str, tolerance: float, tie: str) -> DataFrame:
+    """df with corroborated: whether a claim of another source in its group has an amount within the tolerance.
+
+    One sort of each group and no pairs: the nearest amount of another source below a
+    claim stands just before the run of claims of its own source that it is in, and the
+    nearest above just after it.
+    """
+    up, down = Window.partitionBy(*same).orderBy(amount, source, tie), Window.partitionBy(*same).orderBy(F.desc(amount), F.desc(source), F.desc(tie))
+
+    def nearest(w: Window) -> Column:
+        other = F.when(~F.lag(source).over(w).eqNullSafe(F.col(source)), F.lag(amount).over(w))
+        return other
+
+    out = df.withColumn("_a", nearest(up)).withColumn("_b", nearest(down))
+    out = out.withColumn("_below", F.last("_a", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_above", F.last("_b", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    near = (F.col(amount) - F.col("_below") <= tolerance) | (F.col("_above") - F.col(amount) <= tolerance)
+    return out.withColumn("corroborated", F.coalesce(near, F.lit(False))).drop("_a", "_b", "_below", "_above")
+
+
 def pay_conflicts(df: DataFrame, key: str, low: str, high: str, unit: str, confidence: str, least: float = 0.65, apart: float = 0.25) -> DataFrame:
     """Per key whether its trusted claims disagree: several units, or midpoints more than a quarter apart."""
     middle = (F.col(low) + F.col(high)) / 2

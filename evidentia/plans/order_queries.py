@@ -88,6 +88,14 @@ def corroboration_selfjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_partkey", F.col("l_orderkey").alias("o1"), F.col("l_linenumber").alias("n1"), F.col("r_l_orderkey").alias("o2"), F.col("r_l_linenumber").alias("n2"))
 
 
+@query(
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, EXISTS (SELECT 1 FROM lineitem b WHERE b.l_partkey = a.l_partkey AND b.l_suppkey <> a.l_suppkey AND abs(b.l_extendedprice - a.l_extendedprice) <= 200) AS corroborated FROM lineitem a"""
+)
+def corroborated_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").alias("amount"))
+    return entities.corroborated(c, ["l_partkey"], "amount", "l_suppkey", 200.0, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "corroborated")
+
+
 @query(
     """WITH c AS (SELECT l_partkey, l_returnflag AS unit, l_extendedprice AS low, l_extendedprice + l_quantity AS high FROM lineitem WHERE l_discount >= 0.09)
 SELECT l_partkey, count(DISTINCT unit) AS units, count(*) AS claims, count(DISTINCT unit) > 1 OR max((low + high) / 2) - min((low + high) / 2) > 0.25 * max((low + high) / 2) AS conflict FROM c GROUP BY l_partkey"""

@@ -1,4 +1,4 @@
-"""The stateful operators as Structured Streaming flows; each equals its batch form on the same rows."""
+"""Stateful operators as Structured Streaming flows. unseen(), late() and queue() equal their batch forms where a key's rows come in their order."""
 
 from __future__ import annotations
 
@@ -16,10 +16,29 @@ def unseen(stream: DataFrame, key: str, at: str, delay: str) -> DataFrame:
 
 
 def split_late(stream: DataFrame, at: str, as_of: str) -> DataFrame:
-    """stream with late: rows that claim to be from after the moment they were observed."""
+    """stream with late: rows that claim to be from after the moment they were observed. No state: each row is judged by itself."""
     return stream.withColumn("late", F.coalesce(F.col(at) > F.col(as_of), F.lit(False)))
 
 
+def late(stream: DataFrame, key: str, seq: str, as_of: str) -> DataFrame:
+    """key, seq, as_of and late, as state.late(): whether a snapshot is older than one that came before it for its subject.
+
+    The state of a subject is its latest as_of. Snapshots of one batch are taken in the order of seq.
+    """
+    rows = stream.select(F.col(key).cast("long").alias("key"), F.col(seq).cast("long").alias("seq"), F.col(as_of).cast("long").alias("as_of"))
+
+    def run(name: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        part = pd.concat(list(batches)).sort_values("seq")
+        before = pd.Series([held.get[0] if held.exists else None], dtype="Int64")
+        most = pd.concat([before, part["as_of"].astype("Int64")]).cummax().ffill()
+        part["late"] = (part["as_of"].astype("Int64").reset_index(drop=True) < most.iloc[:-1].reset_index(drop=True)).fillna(False).astype(bool).to_numpy()
+        if not pd.isna(most.iloc[-1]):
+            held.update((int(most.iloc[-1]),))
+        yield part[["key", "seq", "as_of", "late"]]
+
+    return rows.groupBy("key").applyInPandasWithState(run, "key long, seq long, as_of long, late boolean", "most long", "append", GroupStateTimeout.NoTimeout)
+
+
 def counted(stream: DataFrame, at: str, width: str, delay: str, *keys: str) -> DataFrame:
     """Rows of each window and key; a window closes when the watermark has passed it."""
     return stream.withWatermark(at, delay).groupBy(F.window(at, width), *keys).agg(F.count("*").alias("n"))
@@ -53,7 +72,7 @@ def queue(stream: DataFrame, item: str, seq: str, action: str, at: str, lease: f
 
 
 def upsert_batches(key: str, path: str):
-    """A foreachBatch sink that appends rows whose key the table at path doesn't have, so a repeated batch adds nothing."""
+    """A foreachBatch sink that appends rows whose key the table at path doesn't have, so a repeated batch adds nothing. Each batch reads the key column of the table."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession

@@ -148,3 +148,11 @@ def test_windows_close_behind_the_watermark(spark, tmp_path):
     rows = [(1, t0 + timedelta(minutes=m)) for m in (0, 1, 11, 12, 40, 41)]
     got = streamed(spark, str(tmp_path / "in"), rows, "id long, at timestamp", 3, lambda s: flows.counted(s, "at", "10 minutes", "5 minutes"), "append", str(tmp_path / "cp"))
     assert [r[-1] for r in sorted(got, key=str)] == [2, 2]
+
+
+def test_late_snapshots_over_a_stream_equal_their_batch_form(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(rng.randrange(4), i, rng.choice([None, rng.randrange(20)])) for i in range(60)]
+    got = streamed(spark, str(tmp_path / "in"), rows, "key long, seq long, as_of long", 3, lambda s: flows.late(s, "key", "seq", "as_of"), "append", str(tmp_path / "cp"))
+    want = state.late(spark.createDataFrame(rows, "key long, seq long, as_of long"), ["key"], "seq", "as_of")
+    assert sorted((r[1], r[3]) for r in got) == sorted((r["seq"], r["late"]) for r in want.collect())
