@@ -136,3 +136,20 @@ def thread_state(df: DataFrame, thread: str, turn: str, opens: Column, closes: C
     signal = F.when(opens & closes, "both").when(closes, "closed").when(opens, "open")
     out = df.withColumn("_s", signal).groupBy(thread).agg(F.max_by("_s", F.when(F.col("_s").isNotNull(), F.col(turn))).alias("last"), F.max(F.when(F.col("_s") == "both", 1).otherwise(0)).alias("both"), F.count("*").alias("posts"))
     return out.select(thread, F.when(F.col("both") == 1, "unclear").otherwise(F.coalesce("last", F.lit("open"))).alias("state"), "posts")
+
+
+def thread_history(df: DataFrame, thread: str, turn: str, opens: Column, closes: Column, terms: str) -> DataFrame:
+    """Per thread its state (open, closed, reopened, unclear), how often it was reopened, and which revision of its terms holds.
+
+    A post that says both makes a thread unclear for good; an opening after a closing
+    reopens it; terms get a new revision with each post that states others than before.
+    """
+    w = Window.partitionBy(thread).orderBy(turn)
+    signal = F.when(opens & closes, "both").when(closes, "closed").when(opens, "open")
+    rows = df.withColumn("_s", signal).withColumn("_before", F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_held", F.last(terms, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    changed = F.col(terms).isNotNull() & ~F.col(terms).eqNullSafe(F.col("_held"))
+    reopened = (F.col("_s") == "open") & (F.col("_before") == "closed")
+    out = rows.groupBy(thread).agg(F.max_by("_s", F.when(F.col("_s").isNotNull(), F.col(turn))).alias("last"), F.count(F.when(F.col("_s") == "both", 1)).alias("both"), F.count(F.when(reopened, 1)).alias("reopenings"), F.count(F.when(changed, 1)).alias("revision"), F.max_by(terms, F.when(F.col(terms).isNotNull(), F.col(turn))).alias("terms"))
+    state = F.when(F.col("both") > 0, "unclear").when(F.col("last") == "closed", "closed").when(F.col("reopenings") > 0, "reopened").otherwise("open")
+    return out.select(thread, state.alias("state"), "reopenings", "revision", "terms")

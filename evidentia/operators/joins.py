@@ -111,3 +111,15 @@ def fields_needed(claims: DataFrame, known: DataFrame, claim: str, fields: str,
     each = claims.select(claim, how, F.explode(fields).alias("field")).join(known, "field", "left")
     years = F.when(F.first(how) == "all", F.min(F.coalesce("years", F.lit(0.0)))).otherwise(F.max("years"))
     return claims.join(each.groupBy(claim).agg(years.alias("years")), claim, "left")
+
+
+def vocabulary_hits(df: DataFrame, id_: str, text: str, vocabulary: DataFrame) -> DataFrame:
+    """id and term of every term (one or more words) of the vocabulary that stands in the text as whole words.
+
+    Texts and terms meet by an equality join on a term's first word, never each with each.
+    """
+    words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9+#]+", " "), " "), lambda w: w != "")
+    asked = df.select(id_, words(F.coalesce(text, F.lit(""))).alias("_w"))
+    asked = asked.select(id_, F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).alias("_line"), F.explode(F.array_distinct("_w")).alias("_first"))
+    known = vocabulary.select("term", F.array_join(words(F.col("term")), " ").alias("_term")).withColumn("_first", F.substring_index("_term", " ", 1)).where("_term <> ''").distinct()
+    return asked.join(known, "_first").where(F.contains("_line", F.concat(F.lit(" "), "_term", F.lit(" ")))).select(id_, "term")

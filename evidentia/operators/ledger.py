@@ -121,3 +121,14 @@ def accounting_line(df: DataFrame, verdict: str, names: list[str]) -> DataFrame:
     one = df.agg(F.count("*").alias("_all"), *counts)
     parts = [F.concat(F.lit(n.replace("_", " ") + " "), F.col(n).cast("string")) for n in names]
     return one.select(F.concat_ws(", ", F.concat(F.lit("all "), F.col("_all").cast("string")), *parts).alias("line"))
+
+
+def histogram(df: DataFrame, keys: list[str], code: str) -> DataFrame:
+    """Per key how often each code occurs, as a map from code to count without the nulls."""
+    counts = df.where(F.col(code).isNotNull()).groupBy(*keys, code).agg(F.count("*").alias("n"))
+    return counts.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(code), "n")))).alias("codes"))
+
+
+def costs(df: DataFrame, keys: list[str], currency: str, cost: str) -> DataFrame:
+    """Per key and currency what was measured, and how many costs were not: sums of several currencies mean nothing."""
+    return df.groupBy(*keys, currency).agg(F.sum(cost).alias("cost"), F.count(F.when(F.col(cost).isNull(), 1)).alias("unmeasured"))

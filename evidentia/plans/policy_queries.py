@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..operators import checks, evidence, gates, history, joins, ledger, observations, outcomes, policy, quality, ranking, state
+from ..sources import readers
 from .event_queries import events
 from .registry import query, table
 
@@ -456,3 +457,45 @@ def hydration_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("o_orderstatus") == "P", "aggregator_unresolved").when(F.col("o_orderstatus") == "O", "original_ats").otherwise("unknown")
     needs = quality.needs_hydration(kind, F.col("o_orderpriority"), F.lit(True), F.lit(0), F.lit(None).cast("timestamp"), F.expr("TIMESTAMP '2001-01-01 00:00:00'"), enough=8)
     return table(spark, sf_dir, "orders").select("o_orderkey", needs.alias("needs"))
+
+
+@query(
+    """WITH v(term) AS (VALUES ('red'), ('red ring'), ('large'), ('hot gizmo'), ('ring')) SELECT p_partkey, term FROM part, v WHERE ' ' || lower(p_name) || ' ' LIKE '% ' || term || ' %'"""
+)
+def vocabulary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = spark.createDataFrame([("red",), ("red ring",), ("large",), ("hot gizmo",), ("ring",)], "term string")
+    return joins.vocabulary_hits(table(spark, sf_dir, "part"), "p_partkey", "p_name", terms)
+
+
+@query("SELECT user_id, array_to_string(list_sort(list(event_type || '=' || n)), ',') AS codes FROM (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY 1, 2) GROUP BY 1")
+def error_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("code", F.when(F.col("event_type") != "view", F.col("event_type")))
+    out = ledger.histogram(e, ["user_id"], "code")
+    return out.select("user_id", F.array_join(F.transform(F.map_entries("codes"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",").alias("codes"))
+
+
+@query("SELECT c_mktsegment, c_nationkey, CAST(sum(CASE WHEN c_custkey % 4 > 0 THEN floor(c_acctbal) END) AS BIGINT) AS cost, count(*) FILTER (c_custkey % 4 = 0) AS unmeasured FROM customer GROUP BY 1, 2")
+def costs_by_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").withColumn("cost", F.when(F.col("c_custkey") % 4 > 0, F.floor("c_acctbal")))
+    return ledger.costs(c, ["c_mktsegment"], "c_nationkey", "cost")
+
+
+@query(
+    """WITH s AS (SELECT conv_id, turn, CASE WHEN regexp_matches(text, '\\bde\\b') AND regexp_matches(text, '\\b(the|der)\\b') THEN 'both' WHEN regexp_matches(text, '\\bde\\b') THEN 'closed' WHEN regexp_matches(text, '\\b(the|der)\\b') THEN 'open' END AS s, CASE WHEN turn % 3 <> 1 THEN length(text) % 3 END AS terms FROM conversations),
+b AS (SELECT *, last_value(s IGNORE NULLS) OVER w AS before, last_value(terms IGNORE NULLS) OVER w AS held FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id, CASE WHEN count(*) FILTER (s = 'both') > 0 THEN 'unclear' WHEN arg_max(s, turn) FILTER (s IS NOT NULL) = 'closed' THEN 'closed' WHEN count(*) FILTER (s = 'open' AND before = 'closed') > 0 THEN 'reopened' ELSE 'open' END AS state,
+  count(*) FILTER (s = 'open' AND before = 'closed') AS reopenings, count(*) FILTER (terms IS NOT NULL AND terms IS DISTINCT FROM held) AS revision, arg_max(terms, turn) FILTER (terms IS NOT NULL)::INT AS terms FROM b GROUP BY conv_id"""
+)
+def thread_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = table(spark, sf_dir, "conversations").withColumn("terms", F.when(F.col("turn") % 3 != 1, F.length("text") % 3))
+    return history.thread_history(posts, "conv_id", "turn", F.col("text").rlike("\\b(the|der)\\b"), F.col("text").rlike("\\bde\\b"), "terms")
+
+
+@query("SELECT c_custkey, o_orderkey, found FROM (SELECT c_custkey, max(o_orderkey) AS o_orderkey, max(o_orderkey) IS NOT NULL AS found FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderkey, o_orderdate) AS o_orderkey FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey, o_orderdate) AS same FROM orders) WHERE same = 1 GROUP BY 1) o ON o_custkey = c_custkey GROUP BY 1)")
+def point_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last order of each customer, of the orders that share their day with no other of the same customer."""
+    from pyspark.sql import Window
+
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate")
+    o = o.withColumn("same", F.count("*").over(Window.partitionBy("c_custkey", "o_orderdate"))).where("same = 1").drop("same")
+    return readers.point_reads(table(spark, sf_dir, "customer"), o, "c_custkey", "o_orderdate").select("c_custkey", "o_orderkey", "found")

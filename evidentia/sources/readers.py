@@ -6,11 +6,15 @@ refuses is a row with a reason, never an exception halfway through a scan.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import text
 from ..operators.observations import canonical_payload
 
 RAW = "source string, raw string"
@@ -30,7 +34,7 @@ def listed(source: str, items: str, need: str | None = None) -> Reader:
     """A feed that landed as documents with an array of records under a key; records without the needed field are left out."""
 
     def read(spark: SparkSession, path: str) -> DataFrame:
-        whole = spark.read.option("wholetext", True).text(path)
+        whole = spark.read.text(path, wholetext=True)
         rows = whole.select(F.lit(source).alias("source"), F.explode(F.from_json(field("value", items) if items else F.col("value"), "array<string>")).alias("raw"))
         return rows.where(field("raw", need).isNotNull()) if need else rows
 
@@ -111,8 +115,6 @@ def snapshot(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     headers = head.limit(2).collect()
     if len(headers) != 1:
         raise ValueError("a snapshot has one header")
-    import json
-
     header = json.loads(headers[0]["value"])
     records = lines.where(F.coalesce(field("value", "type"), F.lit("")) != "header").select(field("value", "source").alias("source"), field("value", "raw").alias("raw"))
     found = records.count()
@@ -139,11 +141,37 @@ def news(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("title", "link", F.coalesce("source", "link").alias("outlet"), published.alias("published"))
 
 
-def audit(spark: SparkSession, path: str, most_rows: int = 100_000) -> DataFrame:
-    """id and row of an audit file {"rows": [...]}; repeated ids and numbers that aren't finite are refused."""
-    whole = spark.read.option("wholetext", True).text(path)
-    if whole.where(F.col("value").rlike(":\\s*-?(NaN|Infinity)\\b")).take(1):
-        raise ValueError("a number is not finite")
+@F.pandas_udf(T.StringType())
+def json_fault(value: pd.Series) -> pd.Series:
+    """What strict reading of a JSON text refuses: a name twice in one object, a number that is not finite, or broken syntax; null for none."""
+
+    def once(pairs: list[tuple[str, object]]) -> dict:
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("a name stands twice in an object")
+        return dict(pairs)
+
+    def finite(name: str) -> float:
+        raise ValueError(f"{name} is not finite")
+
+    def one(text: str | None) -> str | None:
+        try:
+            json.loads(text or "", object_pairs_hook=once, parse_constant=finite)
+        except ValueError as e:
+            return str(e)[:200]
+        return None
+
+    return value.map(one)
+
+
+def audit(spark: SparkSession, path: str, most_rows: int = 100_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """id and row of an audit file {"rows": [...]}; broken bounds, repeated names or ids and numbers that aren't finite are refused."""
+    whole = spark.read.text(path, wholetext=True)
+    size = whole.agg(F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("n")).first()["n"]
+    if size > most_bytes:
+        raise ValueError(f"{size} bytes, over {most_bytes}")
+    faults = whole.select(json_fault("value").alias("fault")).where("fault is not null").take(1)
+    if faults:
+        raise ValueError(faults[0]["fault"])
     rows = whole.select(F.explode(F.from_json(field("value", "rows"), "array<string>")).alias("row")).select(field("row", "id").alias("id"), "row")
     n = rows.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).first()
     if n["n"] > most_rows or n["ids"] != n["n"]:
@@ -151,6 +179,38 @@ def audit(spark: SparkSession, path: str, most_rows: int = 100_000) -> DataFrame
     return rows
 
 
+def dimension(spark: SparkSession, path: str, schema: str, items: str | None = None) -> DataFrame:
+    """A small dimension from a YAML or JSON file that an operator of the pipeline edits by hand: a list of records, or a map whose names become the first column.
+
+    items names the key under which the records are, if they are not the whole file. The
+    file is read through Spark and is one driver-side document, so it must be small.
+    """
+    import yaml
+
+    lines = bounded_lines(spark, path, most_rows=100_000, row_bytes=1 << 20) if path.endswith(".jsonl") else None
+    if lines is not None:
+        return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+    found = yaml.safe_load(spark.read.text(path, wholetext=True).first()["value"]) or []
+    found = found.get(items) or [] if items else found
+    names = [f.split()[0] for f in schema.split(", ")]
+    rows = [{names[0]: k, **(v or {})} for k, v in found.items()] if isinstance(found, dict) else found
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
+
+
+def pending(spark: SparkSession, path: str) -> DataFrame:
+    """Ids of a queue that waits: a JSON array of texts; anything else is an empty queue."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.explode(F.from_json("value", "array<string>")).alias("id")).where("id is not null").distinct()
+
+
+def point_reads(asked: DataFrame, kept: DataFrame, key: str, at: str) -> DataFrame:
+    """The latest row of each key that was asked for, and found, which is false where there is none."""
+    wanted = asked.select(key).distinct()
+    last = kept.join(wanted, key, "left_semi").groupBy(key).agg(F.max_by(F.struct(*kept.columns), F.struct(at, F.xxhash64(*kept.columns))).alias("_row"))
+    rest = [c for c in kept.columns if c != key]
+    return wanted.join(last, key, "left").select(key, *[F.col(f"_row.{c}").alias(c) for c in rest], F.col("_row").isNotNull().alias("found"))
+
+
 def posting(html: Column) -> Column:
     """The JSON of a page's JobPosting, or null."""
     blocks = F.regexp_extract_all(html, F.lit("(?is)<script[^>]*application/ld\\+json[^>]*>(.*?)</script>"), F.lit(1))
@@ -175,6 +235,15 @@ def thread_posts(df: DataFrame, raw: str) -> DataFrame:
     schema = "array<struct<id:bigint,post_number:int,user_id:bigint,post_type:int,cooked:string,created_at:string,hidden:boolean>>"
     posts = df.select(field(raw, "id").try_cast("long").alias("topic_id"), F.explode(F.from_json(field(raw, "post_stream.posts"), schema)).alias("p"))
     issue = F.when(F.col("p.user_id").isNull(), "author_unknown").when(F.coalesce("p.hidden", F.lit(False)), "hidden").when(F.col("p.cooked").isNull(), "no_text")
-    from ..functions.text import html_text
+    return posts.select("topic_id", F.col("p.id").alias("post_id"), "p.post_number", "p.user_id", F.try_to_timestamp("p.created_at").alias("created_at"), F.when(issue.isNull(), text.html_text(F.col("p.cooked"))).otherwise("").alias("text"), issue.alias("issue"))
+
 
-    return posts.select("topic_id", F.col("p.id").alias("post_id"), "p.post_number", "p.user_id", F.try_to_timestamp("p.created_at").alias("created_at"), F.when(issue.isNull(), html_text(F.col("p.cooked"))).otherwise("").alias("text"), issue.alias("issue"))
+def native_role(html: Column, paths: dict[str, str]) -> dict[str, Column]:
+    """Columns of a role page that its own site builds: from the JSON that the page carries for its scripts (paths: column -> path in it), else from its heading and text.
+
+    A page without such JSON gives its only h1 as title and its role's text as description.
+    """
+    carried = F.regexp_extract(html, "(?is)<script[^>]*type=[\"']application/json[\"'][^>]*>(.*?)</script>", 1)
+    heads = F.regexp_extract_all(html, F.lit("(?is)<h1[^>]*>(.*?)</h1>"), F.lit(1))
+    plain = {"title": F.when(F.size(heads) == 1, text.html_text(F.get(heads, F.lit(0)))), "description": text.html_text(text.role_markup(html))}
+    return {c: F.coalesce(F.get_json_object(F.nullif(carried, F.lit("")), p), plain.get(c, F.lit(None).cast("string"))) for c, p in paths.items()}

@@ -71,3 +71,9 @@ def evidence_appended(registry: DataFrame, deltas: DataFrame, key: str) -> DataF
 def manifest(df: DataFrame, name: str, content: str) -> DataFrame:
     """Names and SHA-256 of files (as binaryFile reads them), to check a copy against."""
     return df.select(F.col(name), F.sha2(content, 256).alias("sha256"), F.octet_length(content).cast("long").alias("n_bytes"))
+
+
+def save_pending(ids: DataFrame, key: str, path: str) -> None:
+    """The ids of a waiting queue as one JSON array, in their order; a queue is small by its nature."""
+    one = ids.agg(F.to_json(F.coalesce(F.array_sort(F.collect_set(F.col(key).cast("string"))), F.array().cast("array<string>"))).alias("value"))
+    one.coalesce(1).write.mode("overwrite").text(path)

@@ -156,3 +156,33 @@ def test_late_snapshots_over_a_stream_equal_their_batch_form(spark, tmp_path):
     got = streamed(spark, str(tmp_path / "in"), rows, "key long, seq long, as_of long", 3, lambda s: flows.late(s, "key", "seq", "as_of"), "append", str(tmp_path / "cp"))
     want = state.late(spark.createDataFrame(rows, "key long, seq long, as_of long"), ["key"], "seq", "as_of")
     assert sorted((r[1], r[3]) for r in got) == sorted((r["seq"], r["late"]) for r in want.collect())
+
+
+def test_dimension_files_and_waiting_queues(spark, tmp_path):
+    (tmp_path / "r.yaml").write_text("platforms:\n  shop: {trust: 0.5, note: a}\n  board: {trust: 0.9}\n")
+    (tmp_path / "c.yaml").write_text("- {key: a, status: todo}\n- {key: b}\n")
+    rows = readers.dimension(spark, str(tmp_path / "r.yaml"), "key string, trust double, note string", "platforms").collect()
+    assert {r["key"]: (r["trust"], r["note"]) for r in rows} == {"shop": (0.5, "a"), "board": (0.9, None)}
+    assert [tuple(r) for r in readers.dimension(spark, str(tmp_path / "c.yaml"), "key string, status string").collect()] == [("a", "todo"), ("b", None)]
+    sinks.save_pending(spark.createDataFrame([("b",), ("a",), ("b",)], "id string"), "id", str(tmp_path / "q"))
+    assert sorted(r["id"] for r in readers.pending(spark, str(tmp_path / "q")).collect()) == ["a", "b"]
+    (tmp_path / "broken").write_text("{not json")
+    assert readers.pending(spark, str(tmp_path / "broken")).count() == 0
+
+
+@pytest.mark.parametrize("text", ['{"rows": [{"id": "a", "id": "b"}]}', '{"rows": [{"id": "a", "x": NaN}]}', '{"rows": [', '{"rows": [{"id": "a"}, {"id": "a"}]}'])
+def test_audits_are_read_strictly(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    with pytest.raises(ValueError):
+        readers.audit(spark, str(tmp_path / "a.json"))
+    (tmp_path / "ok.json").write_text('{"rows": [{"id": "a", "said": ": NaN"}]}')
+    assert readers.audit(spark, str(tmp_path / "ok.json")).count() == 1
+    with pytest.raises(ValueError):
+        readers.audit(spark, str(tmp_path / "ok.json"), most_bytes=5)
+
+
+def test_role_pages_from_their_own_json_or_their_text(spark):
+    pages = ['<h1>Old</h1><script id="x" type="application/json">{"job": {"title": "Rater", "text": "Rate"}}</script>', "<h1>Tutor</h1><nav>Home</nav><p>Teach.</p>", "<h1>A</h1><h1>B</h1><form><p>x</p>", None]
+    df = spark.createDataFrame([(p,) for p in pages], "html string")
+    got = df.select(*[c.alias(n) for n, c in readers.native_role(F.col("html"), {"title": "$.job.title", "description": "$.job.text"}).items()])
+    assert [tuple(r) for r in got.collect()] == [("Rater", "Rate"), ("Tutor", "Tutor\nTeach."), (None, None), (None, None)]
