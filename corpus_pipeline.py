@@ -32,9 +32,10 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     Each row is judged by its own text, also where rows share a doc_id. Rows of a group's
     smallest doc_id are one document and all kept; so are rows whose doc_id is null.
     """
-    numbered, _ = written(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "numbered", "snappy")
+    numbered, _ = written(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
     groups = neardup.near_duplicates(numbered.select("row.doc_id", "row.text", "number"), size=5, percent=80, number="number")
-    return numbered.join(groups.where(~F.col("kept")).select("number"), "number", "left_anti").select("row.*")
+    dropped_rows = groups.where(~F.col("kept")).select("number").hint("merge")  # grows with the documents, so it is never broadcast
+    return numbered.join(dropped_rows, "number", "left_anti").select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
