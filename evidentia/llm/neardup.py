@@ -43,7 +43,7 @@ from .common import PIECE, column, dropped, mix64, slices, span_hashes, text_byt
 
 BINS, ROWS = 128, 4
 CHUNK = 64  # documents that are compared with each other at the first look
-GROUP = 1 << 19  # shingles of askers, and of those asked, in a group of the second look
+GROUP = 1 << 18  # shingles of askers, and of those asked, in a group of the second look
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
