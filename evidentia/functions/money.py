@@ -68,6 +68,12 @@ def effective_rate(nominal: Column, availability: Column, overhead: Column) -> C
     return F.round(F.least(F.greatest(F.lit(0.0), nominal * availability * (1 - overhead)), F.greatest(F.lit(0.0), nominal)), 2)
 
 
+def conservative_rate(low: Column, high: Column, availability: Column, overhead: Column) -> Column:
+    """The effective rate of the lowest stated pay, as nothing proves more; an unknown overhead takes nothing off, a low of 0 is no statement."""
+    nominal = F.coalesce(F.nullif(low, F.lit(0.0)), F.nullif(high, F.lit(0.0)))
+    return effective_rate(nominal, F.coalesce(availability, F.lit(1.0)), F.coalesce(overhead, F.lit(0.0)))
+
+
 def pay_ok(effective: Column, floor: float) -> Column:
     """Null where pay is unknown: that never rejects."""
     return F.when(effective.isNotNull(), effective >= floor)

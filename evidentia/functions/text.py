@@ -153,3 +153,19 @@ def repaired(value: pd.Series) -> pd.Series:
             return s
 
     return value.map(one)
+
+
+def people_text(value: Column) -> Column:
+    """display_text() of a text whose encoding is put right and whose letters are composed (NFC)."""
+    return display_text(composed(repaired(value)))
+
+
+def identity_key(value: Column) -> Column:
+    """identity_text() after NFKC and case folding, so that wide, ligated and sharp letters compare alike."""
+    return identity_text(compatible(value))
+
+
+def known_name(value: Column, aliases: dict[str, str]) -> Column:
+    """The name that a company goes by: what its identity text stands for among the aliases, else the name as it is."""
+    names = F.create_map(*[x for k, v in sorted(aliases.items()) for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(F.try_element_at(names, identity_text(value)), F.trim(value))

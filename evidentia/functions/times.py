@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 
 def parsed_moment(value: Column) -> Column:
-    """A moment from epoch seconds, epoch milliseconds (above 10**12), ISO text or a text that begins with a date."""
+    """A moment from epoch seconds, epoch milliseconds (above 10**12), ISO text or a text that begins with a date; text without a zone is UTC, whatever the session's zone."""
     text = F.trim(value.cast("string"))
     number = F.when(text.rlike("^[0-9]+([.][0-9]+)?$"), text.try_cast("double"))
     seconds = F.when(number > 1e12, number / 1000).otherwise(number)
-    return F.coalesce(F.timestamp_micros((seconds * 1e6).cast("long")), F.try_to_timestamp(text), F.try_to_timestamp(F.left(text, F.lit(10)), F.lit("yyyy-MM-dd")))
+    zoned = text.rlike("(?i)(z|utc|gmt|[+-][0-9]{2}:?[0-9]{2})$") & F.contains(text, F.lit(":"))
+    day = F.regexp_extract(text, "^([0-9]{4}-[0-9]{2}-[0-9]{2})", 1)
+    return F.coalesce(F.timestamp_micros((seconds * 1e6).cast("long")), F.try_to_timestamp(F.when(day == "", None).when(zoned, text).otherwise(F.concat(text, F.lit("Z")))), F.try_to_timestamp(F.concat(day, F.lit("T00:00:00Z"))))
 
 
 def not_after(value: Column, observed: Column) -> Column:

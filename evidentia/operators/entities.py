@@ -91,12 +91,14 @@ def corroborated(df: DataFrame, same: list[str], amount: str, source: str, toler
     return out.withColumn("corroborated", F.coalesce(near, F.lit(False))).drop("_a", "_b", "_below", "_above")
 
 
-def pay_conflicts(df: DataFrame, key: str, low: str, high: str, unit: str, confidence: str, least: float = 0.65, apart: float = 0.25) -> DataFrame:
-    """Per key whether its trusted claims disagree: several units, or midpoints more than a quarter apart."""
+def pay_conflicts(df: DataFrame, key: str, low: str, high: str, unit: str, confidence: str, least: float = 0.65, apart: float = 0.25, fixed: Column | None = None) -> DataFrame:
+    """Per key whether its trusted claims disagree: several units, midpoints more than a quarter apart, or, where fixed tells whole budgets from rates, both kinds or several budgets."""
     middle = (F.col(low) + F.col(high)) / 2
-    trusted = df.where(F.col(confidence) >= least)
-    out = trusted.groupBy(key).agg(F.countDistinct(unit).alias("units"), F.max(middle).alias("top"), F.min(middle).alias("bottom"), F.count("*").alias("claims"))
-    return out.withColumn("conflict", (F.col("units") > 1) | (F.col("top") - F.col("bottom") > apart * F.col("top")))
+    whole = F.lit(False) if fixed is None else F.coalesce(fixed, F.lit(False))
+    trusted = df.withColumn("_fixed", whole).where(F.col(confidence) >= least)
+    out = trusted.groupBy(key).agg(F.countDistinct(unit).alias("units"), F.max(middle).alias("top"), F.min(middle).alias("bottom"), F.count("*").alias("claims"), F.count_distinct("_fixed").alias("_kinds"), F.count_distinct(F.when(F.col("_fixed"), F.struct(low, high))).alias("_budgets"))
+    apart_ = (F.col("units") > 1) | (F.col("top") - F.col("bottom") > apart * F.col("top")) | (F.col("_kinds") > 1) | (F.col("_budgets") > 1)
+    return out.withColumn("conflict", apart_).drop("_kinds", "_budgets")
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "n") -> DataFrame:

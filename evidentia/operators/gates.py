@@ -62,12 +62,14 @@ def contains_token(tokens: Column, keyword: str) -> Column:
     return F.array_contains(tokens, keyword)
 
 
-def fit_score(tokens: Column, vocabulary: dict[str, list[str]], anchors: list[str], cap: float = 30.0, base: float = 10.0) -> tuple[Column, Column]:
-    """Fit from 0 to 100 and whether a hard exclusion hit.
+def fit_score(tokens: Column, vocabulary: dict[str, list[str]], anchors: list[str], cap: float = 30.0, base: float = 10.0, phrases: bool = False) -> tuple[Column, Column]:
+    """Fit from 0 to 100 and whether a hard exclusion hit. With phrases, keywords may have several words and are found as phrases_in() finds them.
 
     vocabulary: high (+25), mid (+12), soft (-15) and hard keywords. A fit that
     rests on high keywords alone, without an anchor, is capped.
     """
+    if phrases:
+        tokens = phrases_in(tokens, sorted({*(k for ks in vocabulary.values() for k in ks), *anchors}))
     hits = lambda kind: sum((F.when(contains_token(tokens, k), 1).otherwise(0) for k in vocabulary.get(kind, [])), F.lit(0))
     high, mid = hits("high"), hits("mid")
     fit = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.lit(base) + 25.0 * high + 12.0 * mid - 15.0 * hits("soft")))

@@ -132,3 +132,11 @@ def histogram(df: DataFrame, keys: list[str], code: str) -> DataFrame:
 def costs(df: DataFrame, keys: list[str], currency: str, cost: str) -> DataFrame:
     """Per key and currency what was measured, and how many costs were not: sums of several currencies mean nothing."""
     return df.groupBy(*keys, currency).agg(F.sum(cost).alias("cost"), F.count(F.when(F.col(cost).isNull(), 1)).alias("unmeasured"))
+
+
+def guarded(out: DataFrame, conserved: DataFrame) -> DataFrame:
+    """out, if every equation of conservation() holds; a ValueError names those that don't, so that nothing is sent of a run that loses rows."""
+    broken = conserved.where(~F.col("holds")).limit(20).collect()
+    if broken:
+        raise ValueError("; ".join(f"{r['name']}: {r['expected']} expected, {r['found']} found" for r in broken))
+    return out

@@ -102,3 +102,13 @@ def due(last: Column, as_of: Column, days: int) -> Column:
 def enqueued(new: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys are not queued yet, one each."""
     return new.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti")
+
+
+def enqueue_status(new: DataFrame, known: DataFrame, holds: DataFrame, key: str, revision: str) -> DataFrame:
+    """new with status: held while an old receipt of its key is not cleared, duplicate if its revision is queued, stale if a later one is, else queued."""
+    last = known.groupBy(F.col(key).alias("_k")).agg(F.max(revision).alias("_r"))
+    same = known.select(F.col(key).alias("_sk"), F.col(revision).alias("_sr")).distinct()
+    held = holds.select(F.col(key).alias("_h")).distinct()
+    out = new.join(last, new[key] == F.col("_k"), "left").join(same, (new[key] == F.col("_sk")) & (new[revision] == F.col("_sr")), "left").join(held, new[key] == F.col("_h"), "left")
+    status = F.when(F.col("_h").isNotNull(), "held").when(F.col("_sk").isNotNull(), "duplicate").when(F.col("_r") > new[revision], "stale").otherwise("queued")
+    return out.select(*new.columns, status.alias("status"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scoring
-from ..operators import checks, evidence, gates, history, joins, ledger, observations, outcomes, policy, quality, ranking, state
+from ..functions import money, scoring, text
+from ..operators import checks, entities, evidence, gates, history, joins, ledger, observations, outcomes, policy, quality, ranking, state
 from ..sources import readers
 from .event_queries import events
 from .registry import query, table
@@ -499,3 +499,50 @@ def point_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate")
     o = o.withColumn("same", F.count("*").over(Window.partitionBy("c_custkey", "o_orderdate"))).where("same = 1").drop("same")
     return readers.point_reads(table(spark, sf_dir, "customer"), o, "c_custkey", "o_orderdate").select("c_custkey", "o_orderkey", "found")
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey, l_returnflag AS unit, l_linenumber = 2 AS fixed, l_quantity AS low, l_quantity + 1 AS high FROM lineitem WHERE l_discount >= 0.05)
+SELECT l_orderkey, count(*) AS claims, count(DISTINCT unit) > 1 OR max((low + high) / 2) - min((low + high) / 2) > 0.25 * max((low + high) / 2) OR count(DISTINCT fixed) > 1 OR count(DISTINCT CASE WHEN fixed THEN low END) > 1 AS conflict FROM c GROUP BY 1"""
+)
+def budget_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_discount", (F.col("l_linenumber") == 2).alias("fixed"), F.col("l_quantity").alias("low"), (F.col("l_quantity") + 1).alias("high"))
+    return entities.pay_conflicts(c, "l_orderkey", "low", "high", "l_returnflag", "l_discount", 0.05, 0.25, F.col("fixed")).select("l_orderkey", "claims", "conflict")
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 > 0 THEN (s_suppkey % 4 - 1) * 10.0 END AS low, s_suppkey % 7 * 10.0 AS high, CASE WHEN s_suppkey % 3 > 0 THEN 0.25 END AS over FROM supplier), n AS (SELECT *, coalesce(nullif(low, 0), nullif(high, 0)) AS n FROM s)
+SELECT k AS s_suppkey, CAST(round(100 * greatest(0.0, least(n, n * 0.5 * (1 - coalesce(over, 0))))) AS BIGINT) AS cents FROM n WHERE n IS NOT NULL UNION ALL SELECT k, NULL FROM n WHERE n IS NULL"""
+)
+def conservative_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    rate = money.conservative_rate(F.when(k % 4 > 0, (k % 4 - 1) * 10.0), k % 7 * 10.0, F.lit(0.5), F.when(k % 3 > 0, 0.25))
+    nominal = F.coalesce(F.nullif(F.when(k % 4 > 0, (k % 4 - 1) * 10.0), F.lit(0.0)), F.nullif(k % 7 * 10.0, F.lit(0.0)))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.when(nominal.isNotNull(), F.round(100 * rate).cast("long")).alias("cents"))
+
+
+@query(
+    """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus <> 'P', o_totalprice DESC, o_orderkey) AS place FROM orders WHERE o_orderpriority <> '5-LOW') SELECT o_orderkey, place, (place - 1) // 20 AS batch FROM r WHERE place <= 60"""
+)
+def pending_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 60 first of a band, waiting ones before all others, in batches of 20."""
+    o = table(spark, sf_dir, "orders").where("o_orderpriority <> '5-LOW'")
+    out = ranking.batches(o, [(F.col("o_orderstatus") != "P").asc(), F.desc("o_totalprice"), F.col("o_orderkey").asc()], 60, 20)
+    return out.select("o_orderkey", F.col("place").cast("long").alias("place"), F.col("batch").cast("long").alias("batch"))
+
+
+@query(
+    """WITH k AS (SELECT o_custkey AS c, o_orderkey % 20 AS r FROM orders WHERE o_orderkey % 3 = 0), n AS (SELECT o_orderkey, o_custkey AS c, o_orderkey % 20 AS r FROM orders WHERE o_orderkey % 3 = 1)
+SELECT o_orderkey, CASE WHEN c % 9 = 0 THEN 'held' WHEN EXISTS (SELECT 1 FROM k WHERE k.c = n.c AND k.r = n.r) THEN 'duplicate' WHEN EXISTS (SELECT 1 FROM k WHERE k.c = n.c AND k.r > n.r) THEN 'stale' ELSE 'queued' END AS status FROM n"""
+)
+def enqueue_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c"), (F.col("o_orderkey") % 20).alias("r"))
+    return state.enqueue_status(o.where("o_orderkey % 3 = 1"), o.where("o_orderkey % 3 = 0"), o.where("c % 9 = 0"), "c", "r").select("o_orderkey", "status")
+
+
+@query("SELECT p_partkey, CASE p_name WHEN 'red ring' THEN 'Ring Works' ELSE p_name END AS name, 'strasse ffi 1 ' || p_partkey AS identity, 'für ' || p_name AS shown FROM part")
+def names_and_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by an alias map, and letters that compare or show alike: sharp s, ligatures, circled digits, and UTF-8 that was misread."""
+    part = table(spark, sf_dir, "part")
+    odd = F.concat(F.lit("Straße ﬃ ① "), F.col("p_partkey").cast("string"))
+    return part.select("p_partkey", text.known_name(F.col("p_name"), {"red ring": "Ring Works"}).alias("name"), text.identity_key(odd).alias("identity"), text.people_text(F.concat(F.lit("fÃ¼r  "), "p_name")).alias("shown"))

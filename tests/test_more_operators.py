@@ -146,3 +146,31 @@ def test_handoff_lanes_keep_a_place_for_a_discovery(spark, seed):
     want, kept = plain_handoff(rows, {"action": 3, "verify": 2}, 4, 1, 1)
     assert {k for k, v in got.items() if v[0] == "shown"} == {k for k, v in want.items() if v == "shown"}
     assert {k for k, v in got.items() if v[1]} == ({kept[0]} if kept else set())
+
+
+def test_fit_by_phrases(spark):
+    vocabulary = {"high": ["prompt engineer"], "mid": ["python"], "hard": ["on site only"]}
+    rows = [("a promt and engineering python role",), ("prompt engineer",), ("prompt engineer remote",), ("on site only prompt engineer",), ("nothing",)]
+    df = spark.createDataFrame(rows, "t string")
+    fit, hard = gates.fit_score(text.tokens(F.col("t")), vocabulary, ["remote"], phrases=True)
+    assert [tuple(r) for r in df.select(fit, hard).collect()] == [(47.0, False), (30.0, False), (35.0, False), (0.0, True), (10.0, False)]
+
+
+def test_a_run_that_loses_rows_is_not_sent(spark):
+    from evidentia.operators import ledger
+
+    df = spark.range(10).withColumn("kind", F.when(F.col("id") < 9, "a").otherwise("b"))
+    count = lambda k: F.count(F.when(F.col("kind") == k, 1))
+    assert ledger.guarded(df, ledger.conservation(df, {"all": (F.count("*"), count("a") + count("b"))})).count() == 10
+    with pytest.raises(ValueError, match="all: 10 expected, 9 found"):
+        ledger.guarded(df, ledger.conservation(df, {"all": (F.count("*"), count("a"))}))
+
+
+def test_moments_without_a_zone_are_utc(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("2024-01-02T03:04:05",), ("2024-01-02T03:04:05Z",), ("2024-01-02 03:04:05+02:00",), ("2024-01-02",), ("1704164645",), ("1704164645000",), ("soon",), (None,)], "t string")
+        got = [r[0] for r in df.select(F.unix_seconds(times.parsed_moment(F.col("t")))).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [1704164645, 1704164645, 1704157445, 1704153600, 1704164645, 1704164645, None, None]
