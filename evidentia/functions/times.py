@@ -13,7 +13,7 @@ def parsed_moment(value: Column) -> Column:
     seconds = F.when(number > 1e12, number / 1000).otherwise(number)
     zoned = text.rlike("(?i)(z|utc|gmt|[+-][0-9]{2}:?[0-9]{2})$") & F.contains(text, F.lit(":"))
     day = F.regexp_extract(text, "^([0-9]{4}-[0-9]{2}-[0-9]{2})", 1)
-    return F.coalesce(F.timestamp_micros((seconds * 1e6).cast("long")), F.try_to_timestamp(F.when(day == "", None).when(zoned, text).otherwise(F.concat(text, F.lit("Z")))), F.try_to_timestamp(F.concat(day, F.lit("T00:00:00Z"))))
+    return F.coalesce(F.timestamp_micros((seconds * 1e6).cast("long")), F.try_to_timestamp(F.when(day == "", None).when(zoned, text).otherwise(F.concat(text, F.lit("Z")))), F.try_to_timestamp(F.when(day != "", F.concat(day, F.lit("T00:00:00Z")))))
 
 
 def not_after(value: Column, observed: Column) -> Column:
