@@ -227,7 +227,7 @@ def asked(sets: list[np.ndarray], askers: np.ndarray, percent: int) -> np.ndarra
         t = np.searchsorted(tokens, sets[i])
         rare, usual = t[~common[t]], rank[t[common[t]]]
         both = tally(first[rare], count[rare], owner) + len(usual) - tally(lack_first[usual], lack_count[usual], lack_owner)
-        near = np.flatnonzero(100 * both >= percent * (sizes[i] + sizes - both))
+        near = np.flatnonzero((both > 0) & (100 * both >= percent * (sizes[i] + sizes - both)))
         found = np.unique(label[near])
         if len(found) > 1:
             label[np.isin(label, found)] = found[0]

@@ -487,7 +487,7 @@ def test_columns_with_clashing_names(spark):
     assert sharding.sharded(clash, "page", "text", 100).where("page_in = 'x' and n_bytes = 5").count() == 1
     bytes_ = clash.withColumn("payload", F.col("text").cast("binary"))
     media = media_ts.multiplexed(bytes_, "payload", every)
-    assert media_ts.parsed(media, "media", ("doc_id", "status", "media_in", "media")).where("status = 'whole'").count() == 2
+    assert media_ts.parsed(media, "media", ("doc_id", "status", "units", "media_in", "media")).where("status = 'whole'").count() == 2
     rows = clash.drop("start", "ids").select("*", F.lit(0).alias("start"), F.lit(3).alias("length"))
     assert packing.pack(rows, 4, 1).where("sequence_id_in = 'x' and offset = 0").count() == 1
     assert neardup.near_duplicates(clash, 3, 85).count() == token_counts.token_counts(clash, BYTES).count() == 2
