@@ -133,16 +133,31 @@ def handoff(df: DataFrame, key: str, lane: str, employer: str, platform: str, ac
     Rows go by lane and order; each is shown unless its employer, its platform, its
     lane or the whole is full. The first action row that nobody acted on yet
     (a discovery) has a place kept, unless every shown action row is both acted on
-    and urgent, which displaces it. Only rows that could be shown are folded, in one
-    task: of an employer's rows in a lane the first per_employer + total, of each lane
-    the first total * (2 * total + 4), and all lanes' first discovery.
+    and urgent, which displaces it. A null employer or platform has no cap. Only rows
+    that could be shown are folded, in one task. In each lane these are of an employer's
+    rows on a platform the first per_employer, of an employer's the first
+    per_employer * (total + 1), of a platform's the first per_platform + total (at most
+    total shown rows fill employers and platforms), and as many of the lane as can be
+    skipped before total are shown; and the first discovery.
     """
     lanes = list(caps)
     turn = F.create_map(*[x for i, n in enumerate(lanes) for x in (F.lit(n), F.lit(i))])
-    rows = df.withColumn("_group", F.struct(lane, employer)).withColumn("_turn", F.try_element_at(turn, F.col(lane)))
-    able = first_of_each(rows, "_group", order, per_employer + total).drop("place", "_group")
-    able = first_of_each(able, lane, order, total * (2 * total + 4)).drop("place")
-    found = rows.where((F.col(lane) == lanes[0]) & ~F.col(acted)).orderBy(*order).limit(1).drop("_group")
+    rows = df.withColumn("_turn", F.try_element_at(turn, F.col(lane))).where("_turn is not null")
+
+    def cut(part: DataFrame, by: list[str], n: int) -> DataFrame:
+        """The first n of each group of a lane; rows with a null in `by` stay."""
+        named = F.lit(True)
+        for c in by:
+            named = named & F.col(c).isNotNull()
+        kept = first_of_each(part.where(named).withColumn("_group", F.struct(lane, *by)), "_group", order, n).drop("place", "_group")
+        return kept.unionByName(part.where(~named))
+
+    able = cut(rows, [employer, platform], per_employer)
+    able = cut(able, [employer], per_employer * (total + 1))
+    able = cut(able, [platform], per_platform + total)
+    most = total * (per_employer * (total + 1) + per_platform + total + 1)
+    able = first_of_each(able, lane, order, most).drop("place")
+    found = rows.where((F.col(lane) == lanes[0]) & ~F.col(acted)).orderBy(*order).limit(1)
     head = able.unionByName(found).dropDuplicates([key]).withColumn("_place", F.row_number().over(Window.orderBy("_turn", *order)))
     slim = head.select(F.col(key).alias("k"), F.col(lane).alias("lane"), F.col(employer).cast("string").alias("e"), F.col(platform).cast("string").alias("p"), F.col(acted).alias("acted"), F.col(urgent).alias("urgent"), "_place")
 

@@ -140,7 +140,7 @@ def test_handoff_lanes_keep_a_place_for_a_discovery(spark, seed):
     from evidentia.operators import ranking
 
     rng = random.Random(seed)
-    rows = [(i, rng.choice(["action", "verify"]), f"e{rng.randrange(12)}", rng.choice(["shop", None, None]), rng.random() < 0.9, seed % 2 == 0 or rng.random() < 0.5, rng.randrange(50)) for i in range(80)]
+    rows = [(i, rng.choice(["action", "verify"]), rng.choice([f"e{rng.randrange(12)}", f"alone{i}"]), rng.choice(["shop", "shop", None] if seed % 3 else ["shop", None, None]), rng.random() < 0.9, seed % 2 == 0 or rng.random() < 0.5, rng.randrange(50)) for i in range(80)]
     df = spark.createDataFrame(rows, "id long, lane string, employer string, platform string, acted boolean, urgent boolean, rank int")
     got = {r["id"]: (r["disposition"], r["reserved"]) for r in ranking.handoff(df, "id", "lane", "employer", "platform", "acted", "urgent", [F.col("rank"), F.col("id")], {"action": 3, "verify": 2}, 4, 1, 1).collect()}
     want, kept = plain_handoff(rows, {"action": 3, "verify": 2}, 4, 1, 1)
