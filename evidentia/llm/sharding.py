@@ -3,8 +3,9 @@
 A row's place is a 60-bit hash of its key. The directory is indexed by the first
 bits of the place: a bucket whose bytes exceed the limit is split on its next
 bit, all others stay as they are. Sums are taken per prefix, STEP bits at a time,
-over the rows of buckets that are still too large, so a round gathers a few
-thousand sums for each such bucket and never a row's payload.
+over the places and sizes (a table written once) of buckets that are still too large.
+So a round gathers 2**STEP sums for each such bucket, however many rows it has, and
+never reads a payload.
 
 Rows that share a whole place (copies of one key) can't be parted by more bits.
 They fill overflow pages of their bucket by a running sum that is taken in two
@@ -20,10 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import set_apart, written
+from .common import dropped, set_apart, written
 
 BITS = 60
-STEP = 12
+STEP = 4  # bits that one round looks at: 16 sums for each bucket that is still too large
 CHUNK = 4096  # rows of one partition whose sizes are summed together
 ADDED = ("n_bytes", "place", "depth", "shard", "page", "shard_bytes")
 
@@ -71,7 +72,9 @@ def sharded(df: DataFrame, key: str, payload: str, limit: int) -> DataFrame:
     df, names = set_apart(df, ADDED)
     key, payload = names[key], names[payload]
     rows = df.withColumn("n_bytes", F.coalesce(F.octet_length(F.col(payload)), F.lit(0)).cast("long")).withColumn("place", place(F.col(key)))
-    rounds = directory(rows.select("place", F.col("n_bytes").alias("size")), limit)
+    sizes, path = written(rows.select("place", F.col("n_bytes").alias("size")), "sizes")
+    rounds = directory(sizes, limit)
+    dropped(df.sparkSession, path)
     out = rows
     for i, (top, found) in enumerate(rounds):
         named = found.select(F.col("cell").alias(f"_cell{i}"), F.col("depth").alias(f"_depth{i}"), F.col("shard_bytes").alias(f"_bytes{i}"))
