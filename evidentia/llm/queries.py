@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, media_ts, neardup, packing, sharding, token_counts, token_files, toxicity, url_rules, warc_zip
+from . import decontamination, media_ts, neardup, packing, sharding, suffix_dedup, token_counts, token_files, toxicity, url_rules, warc_zip
 from .common import table, written
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -180,7 +180,12 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 """
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_packing, op3_decontamination, op4_toxicity, op5_neardup, op6_sharding, op7_media_ts, op8_warc_zip, op9_token_counts, op10_url_rules)
+    f.__name__: f for f in (op1_token_files, op2_packing, op3_decontamination, op4_toxicity, op5_neardup, op6_sharding, op7_media_ts, op8_warc_zip, op9_token_counts, op10_url_rules, op13_suffix_dedup)
 }
 ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op5_neardup": OP5_SQL, "op6_sharding": OP6_SQL, "op8_warc_zip": OP8_SQL, "op10_url_rules": OP10_SQL}
