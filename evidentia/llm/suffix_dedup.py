@@ -111,7 +111,7 @@ class Phrases:
 class Entries:
     """Distinct phrases of a block in the order of their hashes, each with its smallest document."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, ids: np.ndarray, named: np.ndarray):
+    def __init__(self, data: np.ndarray, at: np.ndarray, ids: np.ndarray, named: np.ndarray, most: int = MANY):
         p = Phrases(data, at)
         kept = named[p.text]
         self.first, self.last, self.trigger = p.first[kept], p.last[kept], p.trigger[kept]
@@ -126,7 +126,7 @@ class Entries:
         self.least = doc == self.doc[self.of]  # whether a phrase stands in its entry's smallest document
         begins = np.flatnonzero(np.r_[True, self.gram[1:] != self.gram[:-1]][: len(self.gram)])
         self.group = np.cumsum(np.r_[True, self.gram[1:] != self.gram[:-1]][: len(self.gram)]) - 1
-        many = np.diff(np.r_[begins, len(self.gram)]) >= MANY
+        many = np.diff(np.r_[begins, len(self.gram)]) >= most
         # what is sent: all entries, but one nameless entry for a gram of many phrases
         lone = np.zeros(len(self.gram), bool)
         lone[begins[many]] = True
@@ -201,7 +201,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "part long, ord long, ids array<bigint>, sizes array<bigint>, n_bytes long, body binary")
 
 
-def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Array, np.ndarray, np.ndarray, Entries, list]]:
+def unpacked(batches: Iterator[pa.RecordBatch], many: int) -> Iterator[tuple[int, int, pa.Array, np.ndarray, np.ndarray, Entries, list]]:
     """For each block: part, ord, ids, data, offsets, entries and the answers that came with it."""
     for batch in batches:
         for i in range(batch.num_rows):
@@ -209,16 +209,16 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.A
             ids = column(row, "ids").flatten()
             at = np.r_[0, np.cumsum(column(row, "sizes").flatten().to_numpy())].astype(np.int64)
             data = np.frombuffer(pa.decompress(column(row, "body")[0].as_py(), column(row, "n_bytes")[0].as_py(), "zstd", asbytes=True), np.uint8)
-            entries = Entries(data, at, ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False))
+            entries = Entries(data, at, ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), many)
             told = sorted(((x["kind"], x["bucket"], x["body"]) for x in column(row, "answers")[0].as_py() or []), key=lambda x: x[:2]) if "answers" in batch.schema.names else []
             yield column(row, "part")[0].as_py(), column(row, "ord")[0].as_py(), ids, data, at, entries, told
 
 
-def named(bits: int):
+def named(bits: int, many: int):
     """Pass 1: a block's phrases, by bucket of their gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ord_, _, _, _, e, _ in unpacked(batches):
+        for part, ord_, _, _, _, e, _ in unpacked(batches, many):
             gram = e.gram[e.sent]
             rows = [(part, ord_, b, j - i, planes(gram[i:j], 5) + planes(e.sent_name[i:j], 6) + planes(e.sent_doc[i:j], 8)) for b, i, j in edges(bucket_of(gram, bits))]
             yield batch_of(rows, MESSAGE_NAMES, MESSAGE_KINDS)
@@ -229,7 +229,7 @@ def named(bits: int):
 NONE, WHOLE, ASK, STRINGS = range(4)
 
 
-def judged(bucket: pa.Table) -> pa.Table:
+def judged(bucket: pa.Table, wide: int) -> pa.Table:
     """A bucket of phrases: whether each is repeated as a whole, has to send its bytes, or its strings' hashes."""
     n = bucket.column("n").to_numpy()
     raw = [np.frombuffer(x, np.uint8) for x in bucket.column("body").to_pylist()]
@@ -243,7 +243,7 @@ def judged(bucket: pa.Table) -> pa.Table:
     heads, group = np.flatnonzero(new_gram), np.cumsum(new_gram) - 1
     least, most = np.minimum.reduceat(d, heads), np.maximum.reduceat(d, heads)
     phrases = np.add.reduceat(new.astype(np.int64), heads)
-    strings = (p[heads] == 0) | (phrases > WIDE)
+    strings = (p[heads] == 0) | (phrases > wide)
     again = d > d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
     code = np.where(again, WHOLE, np.where((least < most)[group] & (phrases > 1)[group], ASK, NONE))
     out = np.empty(len(order), np.uint8)
@@ -281,11 +281,11 @@ def phrase_strings(e: Entries, data: np.ndarray, code: np.ndarray) -> tuple[np.n
     return hashes[first], doc[first], entries
 
 
-def told_more(bits: int):
+def told_more(bits: int, many: int):
     """Pass 2: the bytes of phrases that must be compared, by bucket of their gram (kind 1), and hashes of strings (kind 2), by their own bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ord_, _, data, _, e, told in unpacked(batches):
+        for part, ord_, _, data, _, e, told in unpacked(batches, many):
             code, rows = codes(e, told, bits), []
             ask = np.flatnonzero(code == ASK)
             lead = e.lead[ask]
@@ -400,12 +400,12 @@ def repeated_starts(e: Entries, data: np.ndarray, told: list, bits: int) -> np.n
 RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<begin:bigint,end:bigint>>, kept binary"
 
 
-def cut_out(bits: int):
+def cut_out(bits: int, many: int):
     """Pass 3: each document's bytes without those that a repeated string covers, and the runs that went."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 3 + [pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.binary()]
-        for _, _, ids, data, at, e, told in unpacked(batches):
+        for _, _, ids, data, at, e, told in unpacked(batches, many):
             starts = np.cumsum(repeated_starts(e, data, told, bits), dtype=np.int64)
             gone = starts > np.r_[np.zeros(KEY, np.int64), starts[:-KEY]][: len(starts)]
             change = np.r_[False, gone[1:] != gone[:-1]][: len(gone)]
@@ -427,7 +427,7 @@ def cut_out(bits: int):
     return run
 
 
-def without_repeats(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def without_repeats(docs: DataFrame, bucket: int = BUCKET, many: int = MANY, wide: int = WIDE) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (runs of removed bytes) and kept (the other bytes) of each row of docs (doc_id, text)."""
     spark: SparkSession = docs.sparkSession
     name, path = f"blocks_{uuid.uuid4().hex}", f"{shared_folder(spark)}/blocks"
@@ -436,9 +436,9 @@ def without_repeats(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     held = spark.table(name)
     total = held.agg(F.sum("n_bytes")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, total / bucket))))
-    first, one = written(held.mapInArrow(named(bits), MESSAGE).groupBy("bucket").applyInArrow(judged, ANSWER), "phrases")
-    second, two = written(answered(held, first).mapInArrow(told_more(bits), MESSAGE).groupBy("bucket").applyInArrow(matched, ANSWER), "strings")
-    out, _ = written(answered(held, first.unionByName(second)).mapInArrow(cut_out(bits), RESULT), "kept")
+    first, one = written(held.mapInArrow(named(bits, many), MESSAGE).groupBy("bucket").applyInArrow(lambda b: judged(b, wide), ANSWER), "phrases")
+    second, two = written(answered(held, first).mapInArrow(told_more(bits, many), MESSAGE).groupBy("bucket").applyInArrow(matched, ANSWER), "strings")
+    out, _ = written(answered(held, first.unionByName(second)).mapInArrow(cut_out(bits, many), RESULT), "kept")
     spark.sql(f"DROP TABLE {name}")
     dropped(spark, path, one, two)
     return out

@@ -55,20 +55,18 @@ def test_equals_plain_counting(spark, rows):
     assert found(spark, rows, bucket=500) == want  # many buckets
 
 
-def test_a_line_in_many_contexts_goes_by_its_strings(spark, monkeypatch):
+def test_a_line_in_many_contexts_goes_by_its_strings(spark):
     rnd = random.Random(2)
     noise = lambda: "".join(rnd.choice("pqr ") for _ in range(70))
     line = "".join(rnd.choice("xyz ") for _ in range(60))
     rows = [(i // 2, noise() + line + noise()) for i in range(60)]
     want = plain(rows)
     assert sum(r[2] for r in want) >= 58 * 60
-    for name, value in (("MANY", 16), ("MANY", 3), ("WIDE", 10)):
-        monkeypatch.setattr(suffix_dedup, name, value)
-        assert found(spark, rows, bucket=2000) == want
+    for options in ({}, {"many": 1000}, {"many": 3}, {"many": 1000, "wide": 10}):
+        assert found(spark, rows, bucket=2000, **options) == want
 
 
-def test_small_blocks_and_pieces_change_nothing(rows):
-    """Within one process, as settings of this process don't reach the workers: phrases of pieces hold the same strings."""
+def test_phrases_hold_each_string_once(rows):
     import numpy as np
 
     data = "".join(t or "" for _, t in rows).encode()
