@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, media_ts, neardup, packing, sharding, suffix_dedup, token_counts, token_files, toxicity, url_rules, warc_zip
+from . import conversations, decontamination, hard_negatives, media_ts, neardup, packing, sharding, suffix_dedup, token_counts, token_files, toxicity, url_rules, warc_zip
 from .common import table, written
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -180,12 +180,108 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 """
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversations.digests(conversations.repaired(damaged(rows)))
+    return rows.select("conv_id").distinct().join(found, F.coalesce(rows["conv_id"].cast("string"), F.lit(" ")) == found["conversation"], "left").select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """The rows as the query damages them, by a checksum of conversation and turn."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    out = rows.select("turn", shown("conv_id").alias("conversation"), shown("role").alias("role"), shown("text").alias("text"), (F.crc32(F.concat_ws(":", shown("conv_id"), shown("turn"))) % 20).alias("fault"))
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    copies = F.sequence(F.lit(1), F.when(F.col("fault") == 3, 2).otherwise(1))
+    return out.where("fault <> 0").select("conversation", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("_")).drop("_")
+
+
+OP11_SQL = r"""
+WITH RECURSIVE shown AS (
+  SELECT coalesce(conv_id::VARCHAR, ' ') AS conversation, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations
+), bytes AS (
+  SELECT *, encode(conversation || ':' || coalesce(turn::VARCHAR, ' ')) AS k FROM shown
+), checks(conversation, turn, role, text, k, i, crc) AS (
+  SELECT conversation, turn, role, text, k, 0, 4294967295::BIGINT FROM bytes
+  UNION ALL
+  SELECT conversation, turn, role, text, k, i + 1, list_reduce([xor(crc, ('0x' || substr(hex(k), 2 * i + 1, 2))::BIGINT), 0, 1, 2, 3, 4, 5, 6, 7], lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+  FROM checks WHERE i < octet_length(k)
+), faults AS (
+  SELECT conversation, turn, role, text, xor(crc, 4294967295) % 20 AS fault FROM checks WHERE i = octet_length(k)
+), damaged AS MATERIALIZED (
+  SELECT conversation, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM faults WHERE fault <> 0
+), placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY conversation ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, row_number() OVER (PARTITION BY conversation, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+    regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS ending FROM damaged
+), judged AS MATERIALIZED (
+  SELECT *, ending = '' AS is_blank, ending <> '' AND nth > 1 AS is_copy, ending <> '' AND nth = 1 AND ending NOT IN ('.', '!', '?') AS is_cut,
+    lag(left(role, 1)) OVER (PARTITION BY conversation ORDER BY i) AS before FROM placed
+), counts AS (
+  SELECT conversation, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (is_blank) AS blank, count(*) FILTER (is_copy) AS duplicate, count(*) FILTER (is_cut) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM judged GROUP BY conversation
+), arcs(state, put, next) AS (VALUES (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)
+), keeps(state, initial, next) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), pads(state, i_cost, letters, lines, next) AS (
+  SELECT s, 0, '', ''::VARCHAR, s FROM (VALUES (0), (1), (2), (3)) v(s)
+  UNION ALL
+  SELECT x.state, 5, 'I', x.put || ':' || chr(10), x.next FROM arcs x
+  UNION ALL
+  SELECT x.state, 10, 'II', x.put || ':' || chr(10) || y.put || ':' || chr(10), y.next FROM arcs x JOIN arcs y ON y.state = x.next
+), eats AS MATERIALIZED (
+  SELECT conversation, i, state, 2 AS cost, 'D' AS letter, '' AS line, state AS next FROM judged, (VALUES (0), (1), (2), (3)) v(state)
+  UNION ALL
+  SELECT conversation, i, state, CASE WHEN is_cut THEN 5 ELSE 0 END, 'K', role || ':' || text || chr(10), next FROM judged JOIN keeps ON left(role, 1) = initial WHERE NOT is_blank AND NOT is_copy
+  UNION ALL
+  SELECT conversation, i, state, 1 + CASE WHEN is_cut THEN 5 ELSE 0 END, 'R', put || ':' || text || chr(10), next FROM judged, arcs WHERE NOT is_blank AND NOT is_copy
+), ways(conversation, i, state, cost, audit, body) AS (
+  SELECT conversation, 0::BIGINT, 0, 0, '', '' FROM counts
+  UNION ALL
+  SELECT conversation, i, state, unnest(best).cost, unnest(best).audit, unnest(best).body FROM (
+    SELECT w.conversation, w.i + 1 AS i, e.next AS state, [min(struct_pack(cost := w.cost + p.i_cost + e.cost, audit := w.audit || p.letters || e.letter, body := w.body || p.lines || e.line))] AS best
+    FROM ways w JOIN pads p ON p.state = w.state JOIN eats e ON e.conversation = w.conversation AND e.i = w.i + 1 AND e.state = p.next GROUP BY ALL)
+), ends AS (
+  SELECT w.conversation, min(struct_pack(cost := w.cost + p.i_cost, audit := w.audit || p.letters, body := w.body || p.lines)) AS best
+  FROM ways w JOIN counts c ON c.conversation = w.conversation AND w.i = c.n JOIN pads p ON p.state = w.state WHERE p.next IN (0, 3) GROUP BY w.conversation
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(best.body[:-2], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN counts ON counts.conversation = coalesce(conv_id::VARCHAR, ' ') LEFT JOIN ends USING (conversation)
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    rows = hard_negatives.usable(table(spark, sf_dir, "embeddings"), F.col("vec_id"), F.col("embedding"), label)
+    return hard_negatives.hard_negatives(rows, F.col("id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS alike, b.vec_id AS id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER near AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW near AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER near <= 3
+"""
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_packing, op3_decontamination, op4_toxicity, op5_neardup, op6_sharding, op7_media_ts, op8_warc_zip, op9_token_counts, op10_url_rules, op13_suffix_dedup)
+    f.__name__: f for f in (op1_token_files, op2_packing, op3_decontamination, op4_toxicity, op5_neardup, op6_sharding, op7_media_ts, op8_warc_zip, op9_token_counts, op10_url_rules, op11_conversations, op12_hard_negatives, op13_suffix_dedup)
 }
-ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op5_neardup": OP5_SQL, "op6_sharding": OP6_SQL, "op8_warc_zip": OP8_SQL, "op10_url_rules": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op5_neardup": OP5_SQL, "op6_sharding": OP6_SQL, "op8_warc_zip": OP8_SQL, "op10_url_rules": OP10_SQL, "op11_conversations": OP11_SQL, "op12_hard_negatives": OP12_SQL}

@@ -1,4 +1,4 @@
-"""The ten numbered queries over whole small tables: against their SQL, the tokenizers library, or readers and rules written for the tests alone."""
+"""The numbered queries over whole small tables: against their SQL, the tokenizers library, or readers and rules written for the tests alone."""
 
 import hashlib
 import os
@@ -24,7 +24,7 @@ BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pa
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 
