@@ -52,7 +52,7 @@ from .common import column, dropped, mix64, shared_folder, slices, span_hashes,
 KEY = 50  # bytes of a string
 GRAM = 16  # bytes of a trigger
 REACH = KEY - GRAM  # most bytes of a string on either side of its trigger
-BLOCK = 4 << 20  # bytes of texts in a block
+BLOCK = 2 << 20  # bytes of texts in a block
 BUCKET = 4 << 20  # bytes of texts whose phrases meet in a bucket
 MANY = 16  # phrases of one gram in a block from which on the block names none
 WIDE = 4096  # phrases of one gram that are sorted together
