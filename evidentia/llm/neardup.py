@@ -14,11 +14,16 @@
    the centre. In a chunk all pairs are compared on full sets. Members of a star of
    several chunks may be similar to each other but not to the centre, so their
    buckets that still hold several components are looked at again. A bucket that
-   fits a chunk is compared as a whole. Of larger ones, put together by centre,
-   the documents outside the largest component ask all others, in groups of about
-   GROUP shingles on either side: a document is sent once for each GROUP shingles of
-   askers, however many documents those are. So every pair that shares a bucket is
-   compared or is in one component.
+   fits a chunk is compared as a whole. Documents of larger ones get finer keys, by an
+   exact prefix filter: shingles are ordered by how many of these documents have them,
+   and a document at the threshold with another shares one of its first
+   n - ceil(percent * n / 100) + 1 shingles with it. Shingles of one document alone
+   come first and can't be shared, so a document that differs enough from all others has no
+   key. Keys of up to MEET documents give pairs. A key of more is split by a
+   second shingle of a prefix one longer, and that by a third, as similar documents share that
+   many. What still shares LEVELS shingles in more than MEET documents is asked for in groups
+   of about GROUP shingles: the documents outside the key's largest component ask all others.
+   So every pair that shares a bucket is compared or is in one component.
 5. Components: large-star and small-star rounds over the confirmed links.
 
 Nulls and empty texts have no shingles and are linked with nothing. Rows that
@@ -32,6 +37,7 @@ in the shared folder only that of the result stays.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -43,7 +49,9 @@ from .common import PIECE, column, dropped, mix64, slices, span_hashes, text_byt
 
 BINS, ROWS = 128, 4
 CHUNK = 64  # documents that are compared with each other at the first look
-GROUP = 1 << 18  # shingles of askers, and of those asked, in a group of the second look
+MEET = 64  # documents of a finer key that are paired
+LEVELS = 3  # shingles of the finest key
+GROUP = 1 << 18  # shingles of askers, and of those asked, in a group of the last resort
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
@@ -281,15 +289,18 @@ def keyed(nodes: DataFrame) -> DataFrame:
     return nodes.select("doc", F.explode("bands").alias("key"))
 
 
-def stars(keys: DataFrame) -> DataFrame:
+def stars(keys: DataFrame, saved: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """(centre, doc): each bucket's documents but the smallest are tied to the smallest."""
     buckets = keys.groupBy("key").agg(F.min("doc").alias("centre"), F.max("doc").alias("top")).where("top != centre").select("key", "centre")
+    buckets = saved(buckets, "buckets").hint("merge")  # written, so that a hot bucket's rows can part in the join
     return keys.join(buckets, "key").where("doc != centre").select("centre", "doc").distinct()
 
 
-def dealt(edges: DataFrame, chunk: int) -> DataFrame:
+def dealt(edges: DataFrame, chunk: int, saved: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """The edges with chunk, which of the chunks of its star a document is in, and chunks, how many there are."""
+    edges = saved(edges, "edges")
     sizes = edges.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(float(chunk))).cast("int").alias("chunks"))
+    sizes = saved(sizes, "sizes").hint("merge")
     return edges.join(sizes, "centre").select("centre", "doc", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int").alias("chunk"), "chunks")
 
 
@@ -315,6 +326,58 @@ def asks(named: DataFrame, group: int, saved: Callable[[DataFrame, str], DataFra
     return asking.unionByName(dealt_out.select("centre", F.col("own_chunk").alias("chunk"), F.explode(others).alias("batch"), "doc", F.lit(False).alias("asks")))
 
 
+def token_sets(texts: DataFrame, size: int) -> DataFrame:
+    """doc, n and tokens (its distinct shingles) of texts (doc, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", PIECE):
+                data, at = text_bytes(column(part, "text"))
+                words, cut = word_hashes(data, at)
+                sets = [shingle_set(words[a:b], size).view(np.int64) for a, b in zip(cut[:-1], cut[1:])]
+                n = np.array([len(x) for x in sets], np.int64)
+                tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([column(part, "doc"), pa.array(n), tokens], ["doc", "n", "tokens"])
+
+    return texts.mapInArrow(run, "doc long, n long, tokens array<bigint>")
+
+
+def finer(sets: DataFrame, component: DataFrame, percent: int, saved: Callable[[DataFrame, str], DataFrame], meet: int = MEET, levels: int = LEVELS) -> tuple[list[DataFrame], DataFrame]:
+    """Pairs (centre, doc) of documents of several components that may be similar, level by level, and what shares the finest keys in more than meet documents (key, doc, component, n_shingles).
+
+    sets has doc, n and tokens; component has doc and component.
+    """
+    tokens = sets.select("doc", "n", F.explode("tokens").alias("token"))
+    counts = saved(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "counts").hint("merge")
+    listed = tokens.join(counts, "token").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("shared"))
+    # the first tokens of a document, in the order (count, token): those no other document has come before all shared ones
+    longest = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100).cast("long") + levels - (F.col("n") - F.size("shared"))
+    prefix = F.transform(F.slice("shared", F.lit(1), F.greatest(F.least(longest, F.size("shared")), F.lit(0)).cast("int")), lambda x: x["token"])
+    held = listed.select("doc", "n", longest.alias("longest"), prefix.alias("prefix")).where(F.size("prefix") > 0)
+    held = saved(held.join(component.hint("merge"), "doc"), "prefixes")
+
+    def within(level: int, rows: DataFrame, at) -> DataFrame:
+        """Keys of one more token, from the places after each row's own; level L looks at a prefix L - levels shorter than the longest."""
+        room = F.least(F.col("longest") - (levels - level), F.size("prefix").cast("long")).cast("int")
+        places = F.when(room > at, F.sequence(at.cast("int"), room - 1)).otherwise(F.array().cast("array<int>"))
+        return rows.select("doc", "n", "component", "longest", "prefix", "key", F.explode(places).alias("at"))
+
+    rows, pairs = within(1, held.withColumn("key", F.lit(0).cast("long")), F.lit(0)), []
+    for level in range(1, levels + 1):
+        keyed_rows = saved(rows.select("doc", "n", "component", "at", F.xxhash64("key", F.element_at("prefix", F.col("at") + 1)).alias("key")), f"keys{level}")
+        groups = keyed_rows.groupBy("key").agg(F.count("*").alias("m"), (F.min("component") != F.max("component")).alias("several")).where("several")
+        groups = saved(groups.select("key", "m"), f"groups{level}").hint("merge")
+        few = saved(keyed_rows.join(groups.where(F.col("m") <= meet), "key").select("key", "doc", "n", "component"), f"few{level}")
+        a, b = few.alias("a"), few.alias("b").hint("merge")
+        near = (F.col("a.doc") < F.col("b.doc")) & (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
+        pairs.append(a.join(b, (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.doc").alias("centre"), F.col("b.doc").alias("doc")))
+        hot = keyed_rows.join(groups.where(F.col("m") > meet), "key").select("key", "doc", "at", "n", "component")
+        if level < levels:
+            hot = hot.select("key", "doc", "at").join(held.hint("merge"), "doc").withColumnRenamed("at", "last")
+            rows = within(level + 1, hot, F.col("last") + 1)
+    return pairs, hot.select("key", "doc", "component", F.col("n").alias("n_shingles"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, chunk: int = CHUNK, number: str | None = None, group: int = GROUP) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text); component_id is the smallest doc_id.
 
@@ -334,7 +397,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, chunk: in
     sets = rows.where("n_shingles > 0 and doc_id is not null").groupBy("one", "two", "n_shingles").agg(F.min("name").alias("doc"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
     nodes = saved(sets, "nodes")
 
-    members = saved(dealt(stars(keyed(nodes)), chunk), "members")
+    members = saved(dealt(stars(keyed(nodes), saved), chunk, saved), "members")
     requests = with_centres(members)
     # Candidates' texts are dealt out once. Their ids grow with the documents, so they are never broadcast.
     wanted = requests.select("doc").distinct().hint("merge")
@@ -351,10 +414,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, chunk: in
         mixed = keys.join(label, "doc", "left").groupBy("key").agg((F.min(component) != F.max(component)).alias("several"), F.count("*").alias("n"), F.min("doc").alias("centre")).where("several")
         placed = saved(keys.join(mixed.drop("several"), "key"), "placed")
         small = placed.where(F.col("n") <= chunk).select(F.col("key").alias("centre"), F.lit(0).alias("chunk"), "doc")
-        large = placed.where(F.col("n") > chunk).select("centre", "doc").distinct()
-        named = saved(large.join(label, "doc", "left").join(nodes.select("doc", "n_shingles"), "doc").select("centre", "doc", component.alias("component"), "n_shingles"), "named")
-        again = confirmed(small, texts, size, percent).unionByName(confirmed_asks(asks(named, group, saved), texts, size, percent))
-        label, path = labels(again.unionByName(label.select(F.col("component").alias("a"), F.col("doc").alias("b"))))
+        links = confirmed(small, texts, size, percent)
+        large = placed.where(F.col("n") > chunk).select("doc").distinct()
+        if large.take(1):
+            sets = saved(token_sets(texts.join(large.hint("merge"), "doc", "left_semi"), size), "sets")
+            pairs, rest = finer(sets, large.join(label.hint("merge"), "doc", "left").select("doc", component.alias("component")), percent, saved)
+            edges = reduce(DataFrame.unionByName, pairs).distinct()
+            links = links.unionByName(confirmed(with_centres(dealt(edges, chunk, saved)), texts, size, percent))
+            rest = saved(rest.withColumnRenamed("key", "centre"), "rest")
+            if rest.take(1):
+                links = links.unionByName(confirmed_asks(asks(rest, group, saved), texts, size, percent))
+        label, path = labels(links.unionByName(label.select(F.col("component").alias("a"), F.col("doc").alias("b"))))
         scratch.append(path)
     by_set = nodes.join(label, "doc", "left").select("one", "two", "n_shingles", F.coalesce("component", "doc").alias("_component"))
     if number is not None:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from evidentia.llm import decontamination, media_ts, neardup, packing, queries, sharding, token_counts, token_files, warc_zip
+from evidentia.llm import common, decontamination, media_ts, neardup, packing, queries, sharding, token_counts, token_files, warc_zip
 from evidentia.llm.words import encoder
 
 SF = "/root/testdata/sf0.001"
@@ -277,3 +277,30 @@ def test_shards_are_written_by_folder(spark, tmp_path):
     sharding.write_shards(docs, "doc_id", "text", 5000, str(tmp_path / "shards"))
     back = spark.read.parquet(str(tmp_path / "shards"))
     assert {r["shard"][:1] for r in back.collect()} == {"b"} and back.count() == 400 and back.groupBy("shard", "page").agg(F.sum("n_bytes").alias("n")).where("n > 5000").count() == 0
+
+
+def test_documents_that_only_share_a_template_ask_for_nothing(spark):
+    """The second look at unlinked documents of one bucket grows with them, not with their square, and finds what is similar."""
+    made = []
+    for n in (300, 600, 1200):
+        rng = np.random.default_rng(n)
+        words = lambda k: [f"x{rng.integers(0, 10**12)}" for _ in range(k)]
+        template = [f"w{i}" for i in range(80)]
+        texts = [" ".join(template + words(20)) for _ in range(n)]  # 0.66 alike
+        for _ in range(n // 20):  # families of five, 0.9 alike
+            own = words(20)
+            texts += [" ".join(template + own + words(3)) for _ in range(5)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string").repartition(4)
+        sets, _ = common.written(neardup.token_sets(docs, 3))
+        rows = []
+
+        def saved(df, name, rows=rows):
+            out, _ = common.written(df, name)
+            rows.append((name, out.count()))
+            return out
+
+        pairs, rest = neardup.finer(sets, docs.select("doc", F.col("doc").alias("component")), 85, saved)
+        found = {(r["centre"], r["doc"]) for p in pairs for r in p.collect()}
+        assert found == {(a, b) for f in range(n, len(texts), 5) for a in range(f, f + 5) for b in range(a + 1, f + 5)} and rest.count() == 0
+        made.append(sum(c for name, c in rows if name[:4] in ("keys", "few1", "few2", "few3")))
+    assert made[1] < 2.2 * made[0] and made[2] < 2.2 * made[1]
