@@ -106,12 +106,12 @@ OP6_SQL = f"""
 WITH placed AS (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place FROM documents
 ), nodes AS (
-  SELECT depth, place >> (60 - depth) AS prefix, sum(n_bytes)::BIGINT AS bytes FROM placed, (SELECT unnest(range(0, 41))::INTEGER AS depth) GROUP BY ALL
+  SELECT depth, place >> (60 - depth) AS prefix, sum(n_bytes)::BIGINT AS bytes FROM placed, (SELECT unnest(range(0, 61))::INTEGER AS depth) GROUP BY ALL
 ), leaves AS (
-  SELECT doc_id, n_bytes, arg_min(prefix, depth) AS prefix, min(depth) AS depth, arg_min(bytes, depth) AS shard_bytes
-  FROM placed JOIN nodes ON place >> (60 - depth) = prefix WHERE bytes <= {SHARD_LIMIT} GROUP BY doc_id, n_bytes
+  SELECT place, arg_min(prefix, depth) AS prefix, min(depth) AS depth, arg_min(bytes, depth) AS shard_bytes
+  FROM (SELECT DISTINCT place FROM placed) JOIN nodes ON place >> (60 - depth) = prefix WHERE bytes <= {SHARD_LIMIT} OR depth = 60 GROUP BY place
 )
-SELECT doc_id, n_bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, 0::BIGINT AS page, shard_bytes FROM leaves
+SELECT doc_id, n_bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, CASE WHEN shard_bytes > {SHARD_LIMIT} THEN 1 ELSE 0 END::BIGINT AS page, shard_bytes FROM placed JOIN leaves USING (place)
 """
 
 
@@ -218,7 +218,9 @@ WITH RECURSIVE shown AS (
     unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM faults WHERE fault <> 0
 ), placed AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY conversation ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, row_number() OVER (PARTITION BY conversation, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
-    regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS ending FROM damaged
+    regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS ending FROM damaged
 ), judged AS MATERIALIZED (
   SELECT *, ending = '' AS is_blank, ending <> '' AND nth > 1 AS is_copy, ending <> '' AND nth = 1 AND ending NOT IN ('.', '!', '?') AS is_cut,
     lag(left(role, 1)) OVER (PARTITION BY conversation ORDER BY i) AS before FROM placed

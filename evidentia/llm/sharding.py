@@ -3,12 +3,13 @@
 A row's place is a 60-bit hash of its key. The directory is indexed by the first
 bits of the place: a bucket whose bytes exceed the limit is split on its next
 bit, all others stay as they are. Sums are taken per prefix, STEP bits at a time,
-over the places and sizes (a table written once) of buckets that are still too large.
-So a round gathers 2**STEP sums for each such bucket, however many rows it has, and
-never reads a payload.
+over the distinct places and their sizes (a table written once) of buckets that are
+still too large. So a round gathers 2**STEP sums for each such bucket, however many rows
+it has, and never reads a payload; payloads are joined to their shards once, at the end.
 
-Rows that share a whole place (copies of one key) can't be parted by more bits.
-They fill overflow pages of their bucket by a running sum that is taken in two
+Rows that share a whole place (copies of one key, or one row over the limit) can't be
+parted by more bits. Once their bucket has no other place, it takes all bits without a
+look at those between, and they fill overflow pages of their bucket by a running sum that is taken in two
 levels (chunks of rows, then rows of a chunk), so no key's rows meet in one task.
 
 Nulls: a null key hashes as the empty text and a null payload is 0 bytes. An
@@ -18,6 +19,8 @@ whose name the result needs is called name_in.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,26 +41,27 @@ def shifted(value: str, by: str | int) -> Column:
     return F.expr(f"shiftright({value}, cast({by} as int))")
 
 
-def directory(rows: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
-    """For rows (place, size), round by round: its bits, and (cell, depth, shard_bytes) for each cell of so many bits.
+def directory(places: DataFrame, limit: int) -> tuple[DataFrame, list[str]]:
+    """For a written table of distinct places and their sizes: place, depth and shard_bytes of each, and the tables to drop later.
 
-    depth is null where a cell's bucket is split further in the next round.
+    A bucket of one place that exceeds the limit ends at the last bit at once, as no bit before parts it.
     """
-    out, cells, base = [], rows, 0
+    left, base, paths, done = places, 0, [], []
     while True:
         top = min(BITS, base + STEP)
-        sums = cells.groupBy(shifted("place", BITS - top).alias("cell")).agg(F.sum("size").alias("size"))
-        nodes = sums.select("cell", "size", F.explode(F.sequence(F.lit(base), F.lit(top))).alias("depth")).withColumn("prefix", shifted("cell", f"{top} - depth"))
-        within = nodes.groupBy("depth", "prefix").agg(F.sum("size").alias("bytes"), F.collect_list("cell").alias("cells"))
-        leaf = F.when((F.col("bytes") <= limit) | ((F.col("depth") == BITS)), F.struct("depth", F.col("bytes").alias("shard_bytes")))
-        found = within.select(F.explode("cells").alias("cell"), leaf.alias("leaf")).groupBy("cell").agg(F.min("leaf").alias("leaf"))
-        found, _ = written(found.select("cell", "leaf.depth", "leaf.shard_bytes"), f"round{top}")
-        out.append((top, found))
-        deeper = found.where(F.col("depth").isNull()).select(F.col("cell").alias("over"))
-        if not deeper.take(1):
-            return out
-        cells = cells.join(deeper, shifted("place", BITS - top) == F.col("over"), "left_semi")
-        base = top
+        sums = left.groupBy(shifted("place", BITS - top).alias("cell")).agg(F.sum("size").alias("size"), F.min("place").alias("low"), F.max("place").alias("high"))
+        nodes = sums.select("*", F.explode(F.sequence(F.lit(base), F.lit(top))).alias("depth")).withColumn("prefix", shifted("cell", f"{top} - depth"))
+        within = nodes.groupBy("depth", "prefix").agg(F.sum("size").alias("bytes"), F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("cell").alias("cells"))
+        shard = lambda depth: F.struct(depth.alias("depth"), F.col("bytes").alias("shard_bytes"))
+        leaf = F.when(F.col("bytes") <= limit, shard(F.col("depth"))).when(F.col("low") == F.col("high"), shard(F.lit(BITS)))
+        found, one = written(within.select(F.explode("cells").alias("cell"), leaf.alias("leaf")).groupBy("cell").agg(F.min("leaf").alias("leaf")), f"cells{top}")
+        told = left.join(found.hint("merge"), shifted("place", BITS - top) == F.col("cell")).select("place", "size", "leaf.depth", "leaf.shard_bytes")
+        told, two = written(told, f"round{top}")
+        paths += [one, two]
+        done.append(told.where(F.col("depth").isNotNull()).select("place", "depth", "shard_bytes"))
+        left, base = told.where(F.col("depth").isNull()).select("place", "size"), top
+        if not left.take(1):
+            return reduce(DataFrame.unionByName, done), paths
 
 
 def sharded(df: DataFrame, key: str, payload: str, limit: int) -> DataFrame:
@@ -72,19 +76,13 @@ def sharded(df: DataFrame, key: str, payload: str, limit: int) -> DataFrame:
     df, names = set_apart(df, ADDED)
     key, payload = names[key], names[payload]
     rows = df.withColumn("n_bytes", F.coalesce(F.octet_length(F.col(payload)), F.lit(0)).cast("long")).withColumn("place", place(F.col(key)))
-    sizes, path = written(rows.select("place", F.col("n_bytes").alias("size")), "sizes")
-    rounds = directory(sizes, limit)
-    dropped(df.sparkSession, path)
-    out = rows
-    for i, (top, found) in enumerate(rounds):
-        named = found.select(F.col("cell").alias(f"_cell{i}"), F.col("depth").alias(f"_depth{i}"), F.col("shard_bytes").alias(f"_bytes{i}"))
-        out = out.join(named, shifted("place", BITS - top) == F.col(f"_cell{i}"), "left")
-    n = range(len(rounds))
-    out = out.withColumn("depth", F.coalesce(*[f"_depth{i}" for i in n], F.lit(0)))
+    places, path = written(rows.groupBy("place").agg(F.sum("n_bytes").alias("size")), "places")
+    found, paths = directory(places, limit)
+    shards, _ = written(found, "shards")
+    dropped(df.sparkSession, path, *paths)
+    out = rows.join(shards.hint("merge"), "place")  # the one time that payloads move
     out = out.withColumn("shard", F.when(F.col("depth") > 0, F.expr(f"lpad(bin(shiftright(place, {BITS} - depth)), depth, '0')")).otherwise(F.lit("")))
-    out = out.withColumn("shard_bytes", F.coalesce(*[f"_bytes{i}" for i in n], F.lit(0)))
-    out = out.drop(*[f"{c}{i}" for i in n for c in ("_cell", "_depth", "_bytes")])
-    if not rounds[-1][1].where(F.col("shard_bytes") > limit).take(1):
+    if not shards.where(F.col("shard_bytes") > limit).take(1):
         return out.select(*df.columns, "n_bytes", "place", "depth", "shard", F.lit(0).cast("long").alias("page"), "shard_bytes")
     fits = out.where(F.col("shard_bytes") <= limit).withColumn("page", F.lit(0).cast("long"))
     return fits.unionByName(paged(out.where(F.col("shard_bytes") > limit), limit)).select(*df.columns, *ADDED)

@@ -304,3 +304,20 @@ def test_documents_that_only_share_a_template_ask_for_nothing(spark):
         assert found == {(a, b) for f in range(n, len(texts), 5) for a in range(f, f + 5) for b in range(a + 1, f + 5)} and rest.count() == 0
         made.append(sum(c for name, c in rows if name[:4] in ("keys", "few1", "few2", "few3")))
     assert made[1] < 2.2 * made[0] and made[2] < 2.2 * made[1]
+
+
+def test_op6_and_its_sql_agree_on_rows_over_the_limit(spark, tmp_path):
+    """One row over the limit, repeated and null ids: as many rows, and few rounds."""
+    rows = [(i, "x" * 9000) for i in range(60)] + [(None, None), (None, "ab"), (3, "y" * 400), (3, "y" * 400), (7, None), (77, "z" * (queries.SHARD_LIMIT + 1))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.OP6_SQL)
+    names = [d[0] for d in want.description]
+    order = sorted(range(len(names)), key=names.__getitem__)
+    got = queries.op6_sharding(spark, str(tmp_path))
+    assert rows_of(got) == sorted((tuple(r[i] for i in order) for r in want.fetchall()), key=str)
+    assert got.where("shard_bytes > 131072").count() == 1
+    places, path = common.written(spark.createDataFrame([(1, 500), (1 << 58, 10)], "place long, size long"))
+    found, made = sharding.directory(places, 100)
+    assert len(made) == 2 and sorted(map(tuple, found.collect())) == [(1, 60, 500), (1 << 58, 2, 10)]
