@@ -6,9 +6,10 @@ document is hit where it holds `window` consecutive words of a test item. Such a
 always covers a whole block of (window + 1) // 2 words, if an item is cut into such
 blocks from its start; so the automaton holds each item's blocks, about as many
 bytes as the items have, and not each of its windows, which are `window` times as
-many. One scan of a normalised text finds all occurrences of blocks. Around each, words
-are compared with the item's to both sides; where `window` words or more agree in a
-row, all of them are hit. The kept byte positions lead back to the original text.
+many. One scan of a normalised text finds all occurrences of blocks. The windows around
+each are looked up, by the hashes of their words, in one sorted list of the items' windows,
+so an occurrence costs the same however many items share the block, and however often. The
+kept byte positions lead back to the original text.
 
 The automaton is built once in each Python worker. MAX_BYTES bounds the bytes of all
 blocks in it, which bounds its memory (about 55 bytes for each of them, so 230 MB);
@@ -36,11 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, set_apart, slices, span_hashes, text_bytes, written
+from .common import column, dropped, mix64, set_apart, slices, span_hashes, text_bytes, written
 
 WINDOW = 13
 MAX_BYTES = 4 << 20  # of blocks in one automaton
-AT_ONCE = 1 << 20  # places of blocks whose neighbours are compared together
 
 #: Byte -> normalised byte; 0x20 is a break.
 NORMAL = np.full(256, 0x20, np.uint8)
@@ -66,16 +66,15 @@ def normalised(data: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
 
 
 class Automaton:
-    """Blocks of items' words, where they stand in the items, and the items' words as hashes."""
+    """Blocks of items' words, and the items' windows as hashes with the items that have each."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], size: int):
         import ahocorasick
 
         self.size, block = size, (size + 1) // 2
-        places: dict[str, list[int]] = {}
-        words: list[np.ndarray] = []
+        patterns: dict[str, int] = {}  # block or short item -> which of the two it is: 1, 2 or both
         self.names: list[str | None] = []
-        owner, need, at = [], [], 1
+        windows, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for name, text in items:
             line, starts, _ = normalised(np.frombuffer((text or "").encode(), np.uint8))
             n = len(starts)
@@ -83,61 +82,58 @@ class Automaton:
                 continue
             spelled = line.split(" ")[1:-1]
             for i in range(0, n - block + 1, block) if n >= size else (0,):
-                places.setdefault(f" {' '.join(spelled[i : i + block] if n >= size else spelled)} ", []).append(at + i)
-            words += [word_names(line), np.zeros(1, np.uint64)]  # 0 stands between items and is no word's hash
-            owner += [len(self.names)] * (n + 1)
-            need += [min(n, size)] * (n + 1)
+                pattern = f" {' '.join(spelled[i : i + block] if n >= size else spelled)} "
+                patterns[pattern] = patterns.get(pattern, 0) | (1 if n >= size else 2)
+            found = np.unique(window_names(word_names(line), np.arange(max(1, n - size + 1)), min(n, size)))
+            windows.append(found)
+            owners.append(np.full(len(found), len(self.names)))
             self.names.append(name)
-            at += n + 1
-        self.words = np.concatenate([np.zeros(1, np.uint64), *words, np.zeros(size, np.uint64)])
-        self.owner, self.need = np.array([-1, *owner], np.int64), np.array([0, *need], np.int64)
+        windows, owners = np.concatenate(windows), np.concatenate(owners)
+        order = np.lexsort((owners, windows))
+        self.owners = owners[order]
+        self.windows, self.first = np.unique(windows[order], return_index=True)
+        self.first = np.r_[self.first, len(order)]
         self.machine = ahocorasick.Automaton()
-        for k, w in enumerate(places):
-            self.machine.add_word(w, (k, w.count(" ") - 1, len(w)))
-        self.counts = np.array([len(p) for p in places.values()], np.int64)
-        self.first = np.cumsum(self.counts) - self.counts
-        self.places = np.array([x for p in places.values() for x in p], np.int64)
-        if places:
+        for w, kinds in patterns.items():
+            self.machine.add_word(w, (kinds, w.count(" ") - 1, len(w)))
+        if patterns:
             self.machine.make_automaton()
 
     def scan(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, set[str]]:
         """Words' first and end bytes, which words lie in an occurrence, and the items that occur."""
         line, starts, ends = normalised(data)
         hit, items = np.zeros(len(starts), bool), set()
-        found = list(self.machine.iter(line)) if len(self.places) and len(starts) else []
+        found = list(self.machine.iter(line)) if len(self.windows) and len(starts) else []
         if not found:
             return starts, ends, hit, items
         spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 0x20)  # word i begins after the i-th
-        text = np.r_[np.zeros(self.size, np.uint64), word_names(line), np.zeros(self.size, np.uint64)]
-        which = np.array([k for _, (k, _, _) in found])
-        length = np.array([n for _, (_, n, _) in found])
+        words, n = word_names(line), len(starts)
+        kinds, length = np.array([k for _, (k, _, _) in found]), np.array([m for _, (_, m, _) in found])
         begin = np.searchsorted(spaces, np.array([e - m + 1 for e, (_, _, m) in found]))
-        change, owners = np.zeros(len(starts) + 1, np.int64), set()
-        counts = self.counts[which]
-        cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(counts) // AT_ONCE)) + 1, len(which)]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            n = counts[a:b]
-            total = np.cumsum(n)
-            q = self.places[np.repeat(self.first[which[a:b]] - (total - n), n) + np.arange(int(total[-1]) if len(total) else 0)]
-            p, m = np.repeat(begin[a:b], n), np.repeat(length[a:b], n)
-            left, right = self.agreeing(text, p, q, -1), self.agreeing(text, p + m - 1, q + m - 1, 1)
-            whole = left + m + right >= self.need[q]
-            np.add.at(change, (p - left)[whole], 1)
-            np.add.at(change, (p + m + right)[whole], -1)
-            owners |= set(np.unique(self.owner[q[whole]]).tolist())
-        hit = np.cumsum(change[:-1]) > 0
-        return starts, ends, hit, {self.names[k] for k in owners} - {None}
-
-    def agreeing(self, text: np.ndarray, p: np.ndarray, q: np.ndarray, step: int) -> np.ndarray:
-        """How many words (less than a window) next to text word p and item word q agree one after the other in one direction."""
-        out, open_ = np.zeros(len(p), np.int64), np.arange(len(p))
-        for k in range(1, self.size):
-            word = self.words[np.maximum(q[open_] + step * k, 0)]
-            open_ = open_[(word == text[p[open_] + self.size + step * k]) & (word != 0)]
-            if not len(open_):
-                break
-            out[open_] = k
-        return out
+        change, known = np.zeros(n + 1, np.int64), []
+        # windows around blocks, each once; then short items, by their length
+        around = begin[kinds & 1 > 0][:, None] - np.arange(self.size - (self.size + 1) // 2 + 1)
+        asked = [(np.unique(around[(around >= 0) & (around + self.size <= n)]), self.size)]
+        short = kinds & 2 > 0
+        asked += [(np.unique(begin[short & (length == m)]), int(m)) for m in np.unique(length[short])]
+        for at, m in asked:
+            names = window_names(words, at, m)
+            place = np.minimum(np.searchsorted(self.windows, names), len(self.windows) - 1)
+            good = self.windows[place] == names
+            np.add.at(change, at[good], 1)
+            np.add.at(change, at[good] + m, -1)
+            known.append(place[good])
+        for k in np.unique(np.concatenate(known)).tolist():
+            items.update(self.owners[self.first[k] : self.first[k + 1]].tolist())
+        return starts, ends, np.cumsum(change[:-1]) > 0, {self.names[k] for k in items} - {None}
+
+
+def window_names(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the size words from each place on."""
+    out = np.full(len(at), size, np.uint64)
+    for k in range(size):
+        out = mix64(out + words[at + k])
+    return out
 
 
 def word_names(line: str) -> np.ndarray:
@@ -244,25 +240,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max
 
 def in_passes(docs: DataFrame, keep: tuple[str, ...], blocks: Iterator[list], size: int) -> DataFrame:
     """scanned() by one block of items after the other over a numbered copy of docs, each pass written before the next block is read."""
-    numbered, _ = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found, words = None, None
+    numbered, path = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found, words, paths = None, None, [path]
     for block in blocks:
-        one, _ = written(scanned(numbered.select("_row", "text"), block, size).select("_row", "n_words", "hit_words", "hit_bytes", "items"), "pass")
+        one, path = written(scanned(numbered.select("_row", "text"), block, size).select("_row", "n_words", F.arrays_zip("hit_words", "hit_bytes").alias("runs"), "items"), "pass")
+        paths.append(path)
         words = one.select("_row", "n_words") if words is None else words
-        hits = one.where(F.size("hit_words") > 0).drop("n_words")
+        hits = one.where(F.size("runs") > 0).drop("n_words")
         found = hits if found is None else found.unionByName(hits)
     flat = lambda c: F.flatten(F.collect_list(c))  # noqa: E731  as many lists of a row as there are passes
-    found = found.groupBy("_row").agg(joined_spans(flat("hit_words")).alias("hit_words"), joined_spans(flat("hit_bytes")).alias("hit_bytes"), F.array_sort(F.array_distinct(flat("items"))).alias("items"))
+    found = found.groupBy("_row").agg(joined_runs(flat("runs")).alias("runs"), F.array_sort(F.array_distinct(flat("items"))).alias("items"))
+    found = found.select("_row", F.col("runs.hit_words").alias("hit_words"), F.col("runs.hit_bytes").alias("hit_bytes"), "items")
     none = F.array().cast("array<struct<first:bigint,last:bigint>>")
     out = numbered.select("_row", *keep).join(words, "_row").join(found, "_row", "left")
-    return out.select(*keep, "n_words", F.coalesce("hit_words", none).alias("hit_words"), F.coalesce("hit_bytes", none).alias("hit_bytes"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    out = out.select(*keep, "n_words", F.coalesce("hit_words", none).alias("hit_words"), F.coalesce("hit_bytes", none).alias("hit_bytes"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    out, _ = written(out, "hits")
+    dropped(docs.sparkSession, *paths)
+    return out
 
 
-def joined_spans(spans: F.Column) -> F.Column:
-    """Spans sorted, and those that overlap made one."""
-    empty = F.slice(spans, 1, 0)
+def joined_runs(runs: F.Column) -> F.Column:
+    """Runs of hit words with their bytes, sorted; those that overlap or touch are one, as they are in a single pass."""
+    last = lambda done: F.element_at(done, -1)
+    both = lambda a, b, part: F.struct(a[part]["first"].alias("first"), F.greatest(a[part]["last"], b[part]["last"]).alias("last")).alias(part)
     return F.aggregate(
-        F.array_sort(spans),
-        empty,
-        lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["last"] >= s["first"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["last"], s["last"]).alias("last"))))).otherwise(F.concat(done, F.array(s))),
+        F.array_sort(runs),
+        F.slice(runs, 1, 0),
+        lambda done, r: F.when((F.size(done) > 0) & (last(done)["hit_words"]["last"] + 1 >= r["hit_words"]["first"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(both(last(done), r, "hit_words"), both(last(done), r, "hit_bytes"))))).otherwise(F.concat(done, F.array(r))),
     )

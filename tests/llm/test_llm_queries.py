@@ -321,3 +321,33 @@ def test_op6_and_its_sql_agree_on_rows_over_the_limit(spark, tmp_path):
     places, path = common.written(spark.createDataFrame([(1, 500), (1 << 58, 10)], "place long, size long"))
     found, made = sharding.directory(places, 100)
     assert len(made) == 2 and sorted(map(tuple, found.collect())) == [(1, 60, 500), (1 << 58, 2, 10)]
+
+
+def test_items_that_touch_give_one_span_in_one_pass_or_many(spark):
+    words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    items = spark.createDataFrame([("a", words(0, 15)), ("b", words(15, 30)), ("c", words(40, 53))], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "x " + words(0, 30) + ". y " + words(40, 53)), (2, words(0, 12)), (3, None)], "doc_id long, text string")
+    found = [sorted((r.doc_id, r.n_hit, [(s["first"], s["last"]) for s in r.hit_bytes], r["items"]) for r in decontamination.contamination(docs, items, max_bytes=n).collect()) for n in (1 << 20, 60)]
+    assert found[0] == found[1] and len(found[0][0][2]) == 2 and found[0][0][1] == 43 and found[0][1][2] == []
+
+
+def test_a_block_costs_the_same_however_many_items_share_it():
+    import time
+
+    stem = " ".join(f"s{i}" for i in range(13))
+    took = []
+    for n in (80, 8000):
+        machine = decontamination.Automaton([(str(i), f"{stem} t{i}") for i in range(n)], 13)
+        text = np.frombuffer(" ".join(f"{stem} u{i}" for i in range(300)).encode(), np.uint8)
+        best = []
+        for _ in range(3):
+            t = time.perf_counter()
+            _, _, hit, items = machine.scan(text)
+            best.append(time.perf_counter() - t)
+        assert hit.sum() == 300 * 13 and len(items) == n
+        took.append(min(best))
+    assert took[1] < 5 * took[0] + 0.05
+    same = decontamination.Automaton([("x", "a " * 20_000)], 13)
+    t = time.perf_counter()
+    _, _, hit, items = same.scan(np.frombuffer(b"a " * 4000, np.uint8))
+    assert hit.all() and items == {"x"} and time.perf_counter() - t < 1
