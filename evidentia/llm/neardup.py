@@ -19,10 +19,9 @@
    and a document at the threshold with another shares one of its first
    n - ceil(percent * n / 100) + 1 shingles with it. Shingles of one document alone
    come first and can't be shared, so a document that differs enough from all others has no
-   key. Keys of up to MEET documents give pairs. A key of more is split by a
-   second shingle of a prefix one longer, and that by a third, as similar documents share that
-   many. What still shares LEVELS shingles in more than MEET documents is asked for in groups
-   of about GROUP shingles: the documents outside the key's largest component ask all others.
+   key. Keys of up to MEET documents give pairs, of which bounds of the overlap leave
+   few. Documents of a key that more have are asked for in groups of about GROUP shingles:
+   those outside the key's largest component ask all others.
    So every pair that shares a bucket is compared or is in one component.
 5. Components: large-star and small-star rounds over the confirmed links.
 
@@ -37,7 +36,6 @@ in the shared folder only that of the result stays.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -49,8 +47,7 @@ from .common import PIECE, column, dropped, mix64, slices, span_hashes, text_byt
 
 BINS, ROWS = 128, 4
 CHUNK = 64  # documents that are compared with each other at the first look
-MEET = 64  # documents of a finer key that are paired
-LEVELS = 3  # shingles of the finest key
+MEET = 32  # documents of a finer key that are paired
 GROUP = 1 << 18  # shingles of askers, and of those asked, in a group of the last resort
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -342,40 +339,39 @@ def token_sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "doc long, n long, tokens array<bigint>")
 
 
-def finer(sets: DataFrame, component: DataFrame, percent: int, saved: Callable[[DataFrame, str], DataFrame], meet: int = MEET, levels: int = LEVELS) -> tuple[list[DataFrame], DataFrame]:
-    """Pairs (centre, doc) of documents of several components that may be similar, level by level, and what shares the finest keys in more than meet documents (key, doc, component, n_shingles).
+def finer(sets: DataFrame, component: DataFrame, percent: int, saved: Callable[[DataFrame, str], DataFrame], meet: int = MEET) -> tuple[DataFrame, DataFrame]:
+    """Pairs (centre, doc) of documents of several components that may be similar, and the documents of keys that more than meet of them share (key, doc, component, n_shingles).
 
-    sets has doc, n and tokens; component has doc and component.
+    sets has doc, n and tokens; component has doc and component. Two bounds of the overlap
+    drop pairs before texts are read: what is left from the first shared token on, and the
+    shared tokens of the prefixes with all that may follow them.
     """
     tokens = sets.select("doc", "n", F.explode("tokens").alias("token"))
     counts = saved(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "counts").hint("merge")
     listed = tokens.join(counts, "token").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("shared"))
-    # the first tokens of a document, in the order (count, token): those no other document has come before all shared ones
-    longest = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100).cast("long") + levels - (F.col("n") - F.size("shared"))
-    prefix = F.transform(F.slice("shared", F.lit(1), F.greatest(F.least(longest, F.size("shared")), F.lit(0)).cast("int")), lambda x: x["token"])
-    held = listed.select("doc", "n", longest.alias("longest"), prefix.alias("prefix")).where(F.size("prefix") > 0)
-    held = saved(held.join(component.hint("merge"), "doc"), "prefixes")
-
-    def within(level: int, rows: DataFrame, at) -> DataFrame:
-        """Keys of one more token, from the places after each row's own; level L looks at a prefix L - levels shorter than the longest."""
-        room = F.least(F.col("longest") - (levels - level), F.size("prefix").cast("long")).cast("int")
-        places = F.when(room > at, F.sequence(at.cast("int"), room - 1)).otherwise(F.array().cast("array<int>"))
-        return rows.select("doc", "n", "component", "longest", "prefix", "key", F.explode(places).alias("at"))
-
-    rows, pairs = within(1, held.withColumn("key", F.lit(0).cast("long")), F.lit(0)), []
-    for level in range(1, levels + 1):
-        keyed_rows = saved(rows.select("doc", "n", "component", "at", F.xxhash64("key", F.element_at("prefix", F.col("at") + 1)).alias("key")), f"keys{level}")
-        groups = keyed_rows.groupBy("key").agg(F.count("*").alias("m"), (F.min("component") != F.max("component")).alias("several")).where("several")
-        groups = saved(groups.select("key", "m"), f"groups{level}").hint("merge")
-        few = saved(keyed_rows.join(groups.where(F.col("m") <= meet), "key").select("key", "doc", "n", "component"), f"few{level}")
-        a, b = few.alias("a"), few.alias("b").hint("merge")
-        near = (F.col("a.doc") < F.col("b.doc")) & (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-        pairs.append(a.join(b, (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.doc").alias("centre"), F.col("b.doc").alias("doc")))
-        hot = keyed_rows.join(groups.where(F.col("m") > meet), "key").select("key", "doc", "at", "n", "component")
-        if level < levels:
-            hot = hot.select("key", "doc", "at").join(held.hint("merge"), "doc").withColumnRenamed("at", "last")
-            rows = within(level + 1, hot, F.col("last") + 1)
-    return pairs, hot.select("key", "doc", "component", F.col("n").alias("n_shingles"))
+    # the first tokens of a document, in the order (count, token): those that no other document has come before all shared ones
+    least = lambda n: F.ceil(n * F.lit(percent) / 100).cast("long")
+    skip = F.col("n") - F.size("shared")
+    room = F.greatest(F.least(F.col("n") - least(F.col("n")) + 1 - skip, F.size("shared")), F.lit(0)).cast("int")
+    prefix = listed.select("doc", "n", skip.alias("skip"), F.posexplode(F.slice("shared", F.lit(1), room)).alias("at", "token"))
+    rows = prefix.select("doc", "n", (F.col("n") - F.col("skip") - F.col("at")).alias("left"), F.col("token.token").alias("key"))
+    rows = saved(rows.join(component.hint("merge"), "doc"), "keys")
+    groups = rows.groupBy("key").agg(F.count("*").alias("m"), (F.min("component") != F.max("component")).alias("several")).where("several")
+    groups = saved(groups.select("key", "m"), "meetings").hint("merge")
+    few = saved(rows.join(groups.where(F.col("m") <= meet), "key").select("key", "doc", "n", "component", "left"), "few")
+    hot = saved(rows.join(groups.where(F.col("m") > meet), "key").select("key", "doc", "component", F.col("n").alias("n_shingles")), "hot")
+    a, b = few.alias("a"), few.alias("b").hint("merge")
+    enough = lambda most: (100 + percent) * most >= F.lit(percent) * (F.col("n_a") + F.col("n_b"))  # noqa: E731  most: no overlap is larger
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.doc") < F.col("b.doc")) & (F.col("a.component") != F.col("b.component"))
+    met = a.join(b, apart).select(F.col("a.doc").alias("centre"), F.col("b.doc").alias("doc"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"), F.least("a.left", "b.left").alias("left"))
+    met = met.groupBy("centre", "doc", "n_a", "n_b").agg(F.count("*").alias("m"), F.max("left").alias("left"))
+    many = saved(hot.groupBy("doc").agg(F.count("*").alias("h")), "hot_keys")
+    for end, h in (("centre", "h_a"), ("doc", "h_b")):  # tokens that both may share beside those that were counted
+        met = met.join(many.select(F.col("doc").alias(end), F.col("h").alias(h)).hint("merge"), end, "left").fillna(0, [h])
+    shared = F.col("m") + F.least("h_a", "h_b")
+    first = F.when(F.least("h_a", "h_b") == 0, F.col("left")).otherwise(F.least("n_a", "n_b"))
+    met = met.where(enough(first) & enough(shared + F.greatest(least(F.col("n_a")), least(F.col("n_b"))) - 1))
+    return met.select("centre", "doc"), hot
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, chunk: int = CHUNK, number: str | None = None, group: int = GROUP) -> DataFrame:
@@ -419,7 +415,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, chunk: in
         if large.take(1):
             sets = saved(token_sets(texts.join(large.hint("merge"), "doc", "left_semi"), size), "sets")
             pairs, rest = finer(sets, large.join(label.hint("merge"), "doc", "left").select("doc", component.alias("component")), percent, saved)
-            edges = reduce(DataFrame.unionByName, pairs).distinct()
+            edges = pairs
             links = links.unionByName(confirmed(with_centres(dealt(edges, chunk, saved)), texts, size, percent))
             rest = saved(rest.withColumnRenamed("key", "centre"), "rest")
             if rest.take(1):
