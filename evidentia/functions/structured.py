@@ -13,13 +13,24 @@ def terms(raw: Column) -> Column:
     return F.when(head == "[", F.from_json(raw, "array<string>")).when(head == "{", values).when(F.trim(raw) != "", F.array(F.regexp_replace(raw, '^"|"$', ""))).otherwise(F.array().cast("array<string>"))
 
 
+def nesting(raw: Column) -> Column:
+    """(now, most, closed) of a JSON text's brackets outside of its strings: depth at the end, depth at most, and how often it came back to none."""
+    bare = F.regexp_replace(F.regexp_replace(raw, r'\\.', ""), '"[^"]*"', "")
+    marks = F.split(F.regexp_replace(bare, r"[^{}\[\]]+", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"), F.lit(0).alias("closed"))
+    step = lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
+    return F.aggregate(marks, start, lambda a, c: F.struct((a["now"] + step(c)).alias("now"), F.greatest(a["most"], a["now"] + step(c)).alias("most"), (a["closed"] + ((a["now"] == 1) & (step(c) == -1)).cast("int")).alias("closed")))
+
+
 def depth(raw: Column) -> Column:
     """How deep the brackets of a JSON text nest, outside of its strings."""
-    bare = F.regexp_replace(F.regexp_replace(raw, r'\\.', ""), '"[^"]*"', "")
-    marks = F.filter(F.split(bare, ""), lambda c: c.isin("{", "[", "}", "]"))
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    step = lambda a, c: F.struct((a["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("now"), F.greatest(a["most"], a["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("most"))
-    return F.aggregate(marks, start, step)["most"]
+    return nesting(raw)["most"]
+
+
+def is_object(raw: Column) -> Column:
+    """Whether a text is one JSON object from its first to its last letter; Spark's parsers stop behind the first value whatever follows."""
+    n = nesting(raw)
+    return F.coalesce(F.trim(raw).startswith("{") & F.trim(raw).endswith("}") & (n["now"] == 0) & (n["closed"] == 1) & F.try_parse_json(raw).isNotNull(), F.lit(False))
 
 
 def model_scores(raw: Column) -> Column:

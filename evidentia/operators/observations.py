@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import hashing, scoring, text, urls
+from ..functions import hashing, payloads, scoring, text, urls
 
 
 def canonical_payload(raw: Column) -> Column:
-    """A flat JSON object with its names in order, so that the order in which a provider wrote them tells nothing apart; null for anything else."""
-    entries = F.array_sort(F.map_entries(F.from_json(raw, "map<string,string>")))
-    return F.to_json(F.map_from_entries(entries))
+    """A JSON object with the names at every depth in order, so that the order in which a provider wrote them tells nothing apart; null for anything else."""
+    return payloads.canonical_object(raw)
 
 
 def built(df: DataFrame, source: str, raw: str, url: str, title: str) -> DataFrame:
@@ -25,6 +24,40 @@ def built(df: DataFrame, source: str, raw: str, url: str, title: str) -> DataFra
     return out.withColumn("observation_id", F.substring(F.sha2(F.concat_ws("|", F.col(source), F.coalesce("payload", F.col(raw), F.lit(""))), 256), 1, 20)).withColumn("normalization_error", error)
 
 
+def resolved(df: DataFrame, resolution: str, url: str, kind: str, confidence: str) -> DataFrame:
+    """df with what a resolver's record (JSON, any depth) says of each observation, in place of what was there before it.
+
+    Adds resolution_attempted, resolution_error, redirect_trail (its public addresses in order),
+    hydrated_source and hydrated (the fetched posting's safe payload); overrides url with the
+    resolved public address. A trail that leads from one host to another proves a recorded
+    original_employer where the rules alone know nothing: kind and confidence are then the record's.
+    A record that can't be read changes nothing.
+    """
+    df = df.withColumn("_safe", payloads.sanitized(F.col(resolution)))
+    v = F.try_parse_json("_safe")
+    get = lambda path, t: F.try_variant_get(v, path, t)
+    trail = F.filter(F.transform(F.coalesce(get("$.redirect_trail", "array<string>"), F.array().cast("array<string>")), urls.sanitized), lambda u: u != "")
+    there = F.nullif(urls.sanitized(get("$.normalized_url", "string")), F.lit(""))
+    trail = F.when(there.isNotNull(), trail).otherwise(F.array().cast("array<string>"))
+    first, last = urls.host(F.get(trail, F.lit(0))), urls.host(F.coalesce(there, F.col(url)))
+    proven = (F.size(trail) > 0) & (F.col(kind) == "unknown") & (get("$.source_kind", "string") == "original_employer") & (first != "") & (last != "") & (first != last)
+    proven = F.coalesce(proven, F.lit(False))
+    posting = F.nullif(F.to_json(get("$.hydrated_job", "variant")), F.lit("null"))
+    out = df.withColumns(
+        {
+            "resolution_attempted": F.coalesce(get("$.attempted", "boolean"), F.lit(False)),
+            "resolution_error": F.nullif(get("$.error", "string"), F.lit("")),
+            "redirect_trail": trail,
+            "hydrated": F.when(posting.startswith("{"), posting),
+            "hydrated_source": F.when(posting.startswith("{"), get("$.hydrated_source", "string")),
+            url: F.coalesce(there, F.col(url)),
+            kind: F.when(proven, get("$.source_kind", "string")).otherwise(F.col(kind)),
+            confidence: F.when(proven, F.coalesce(get("$.source_confidence", "double"), F.col(confidence))).otherwise(F.col(confidence)),
+        }
+    )
+    return out.drop("_safe")
+
+
 def source_kind(source: Column, tier: Column, prior: Column, host: Column, company_host: Column, ats_sources: list[str], board_sources: list[str], search_sources: list[str]) -> Column:
     """(kind, confidence): whose page an observation comes from. Rules come in order; without proof of an original it stays unknown."""
     own = (company_host != "") & ((host == company_host) | host.endswith(F.concat(F.lit("."), company_host)))
