@@ -69,11 +69,10 @@ CONTROLS = ("form", "nav", "header", "footer", "aside", "button", "select", "scr
 
 
 def role_markup(value: Column) -> Column:
-    """Markup without forms, navigation and controls; null where one of them is opened and never closed, as then nothing after it is sure to belong to the role."""
-    c = value
-    for name in CONTROLS:
-        c = F.regexp_replace(c, f"(?is)<{name}(\\s[^>]*)?>.*?</{name}\\s*>", " ")
-    return F.when(~c.rlike(f"(?i)<({'|'.join(CONTROLS)})[\\s>]"), c)
+    """Markup without forms, navigation and controls, however they nest; null where one of them is not closed for sure, as then nothing after it is sure to belong to the role."""
+    from . import elements
+
+    return elements.without(elements.decoded(value), elements.is_control(CONTROLS))
 
 
 def identity_text(value: Column) -> Column:

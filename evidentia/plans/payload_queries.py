@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import payloads
+from ..functions import elements, payloads, text
 from ..operators import observations
 from .registry import query, table
 
@@ -52,3 +52,38 @@ def resolved_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = e.select("event_id", record.alias("record"), text("https://board.example/", F.col("event_type")).alias("url"), kind.alias("kind"), (0.25 + F.col("user_id") % 3 * 0.25).alias("confidence"))
     out = observations.resolved(rows, "record", "url", "kind", "confidence")
     return out.select("event_id", F.col("resolution_attempted").alias("attempted"), F.col("resolution_error").alias("error"), F.size("redirect_trail").alias("hops"), "url", "kind", "confidence", "hydrated", "hydrated_source")
+
+
+NAMES = "nav script style form header footer aside button select template".split()
+
+
+def _stripped(column: str) -> str:
+    """SQL for markup without flat controls: as pages have them, one inside none."""
+    for n in NAMES:
+        column = f"regexp_replace({column}, '(?is)<{n}(\\s[^>]*)?>.*?</{n}\\s*>', ' ', 'g')"
+    return column
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, {_stripped('html')} AS c FROM pages)
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN md5('<div> <p>a</p>' || c || '</div>') WHEN 1 THEN md5(c) WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN md5('<ul> ' || c || '</ul>') ELSE md5('<p>&lt;form&gt;</p>' || c) END AS digest FROM p"""
+)
+def nested_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages inside of others' controls: nested in themselves, encoded as a whole, never closed, crossed, by role, and with an encoded example."""
+    html, form = F.col("html"), F.col("page_id") % 6
+    encoded = F.replace(F.replace(F.replace(html, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page = (
+        F.when(form == 0, F.concat(F.lit("<div><nav><div><nav>x</nav><form>y</form></div>z</nav><p>a</p>"), html, F.lit("</div>")))
+        .when(form == 1, encoded)
+        .when(form == 2, F.concat(html, F.lit("<form><p>x</p>")))
+        .when(form == 3, F.concat(F.lit("<section><button>x</section>"), html))
+        .when(form == 4, F.concat(F.lit('<ul><li role="Menu x"><ul><li>a</li></ul></li>'), html, F.lit("</ul>")))
+        .otherwise(F.concat(F.lit("<p>&lt;form&gt;</p>"), html))
+    )
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.role_markup(page).cast("binary")).alias("digest"))
+
+
+@query(None)
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible blocks of every page; compared with Python's parser in a test."""
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(elements.blocks(F.col("html"))).alias("place", "block"))
