@@ -191,3 +191,162 @@ def handoff(df: DataFrame, key: str, lane: str, employer: str, platform: str, ac
 
     kind = df.schema[key].dataType.simpleString()
     return slim.groupBy(F.lit(1).alias("_one")).applyInPandas(run, f"k {kind}, disposition string, reserved boolean").withColumnRenamed("k", key)
+
+
+def shown_before(df: DataFrame, shown: list, key: str, order: list[Column]) -> DataFrame:
+    """df with _before, how many of the shown keys (a short list) stand before each row; counted in groups of rows with a copy of the shown ones in each."""
+    groups = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")).withColumn("_copy", F.lit(0))
+    copies = df.where(F.col(key).isin(*shown)).withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("_copy", F.lit(1))
+    before = F.coalesce(F.sum("_copy").over(Window.partitionBy("_group").orderBy(*order, "_copy").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    return dealt.unionByName(copies).withColumn("_before", before).where("_copy = 0").drop("_group", "_copy")
+
+
+def head_of_caps(df: DataFrame, entity: str, platform: str, order: list[Column], per_entity: int, per_platform: int, size: int) -> DataFrame:
+    """The rows that could be among the first `size` shown under both caps, at most size * (2 * size + 4); see two_caps."""
+    named = df.where(F.col(entity).isNotNull())
+    able = first_of_each(named.withColumn("_pair", F.struct(entity, platform)), "_pair", order, per_entity).drop("place", "_pair")
+    able = first_of_each(able, entity, order, per_entity * (size + 1)).drop("place").unionByName(df.where(F.col(entity).isNull()))
+    capped_, free = able.where(F.col(platform).isNotNull()), able.where(F.col(platform).isNull())
+    able = first_of_each(capped_, platform, order, per_platform + size).drop("place").unionByName(free)
+    return able.orderBy(*order).limit(size * (2 * size + 4))
+
+
+def count_of(shown: list[dict], before: Column, name: str, value: Column) -> Column:
+    """How many of the first `before` shown rows have value as name."""
+    held = F.array(*[F.lit(r[name]).cast("string") for r in shown]) if shown else F.array().cast("array<string>")
+    return F.size(F.filter(F.slice(held, F.lit(1), before), lambda x: x == value.cast("string")))
+
+
+def released(df: DataFrame, key: str, entity: str, platform: str, band: str, order: list[tuple[str, bool]], limits: dict[str, int], per_entity: int, per_platform: int) -> DataFrame:
+    """key and reason of every row in one order over all bands: an entity cap, then a platform cap, then each band's own limit; what is skipped uses nothing up.
+
+    Only rows that could be shown are folded, a bounded number for each band. A row of a band without a limit is no_band.
+    """
+    size, (whole, rest) = max(1, sum(limits.values())), keyed_order(order)
+    cut = df.select(key, F.col(entity).cast("string").alias("_e"), F.col(platform).cast("string").alias("_p"), F.col(band).alias("_b"), whole)
+    heads = [head_of_caps(cut.where(F.col("_b") == b), "_e", "_p", rest, per_entity, per_platform, size) for b in limits]
+    held = heads[0]
+    for h in heads[1:]:
+        held = held.unionByName(h)
+    shown: list[dict] = []
+    entities, platforms, bands = Counter(), Counter(), Counter()
+    for r in held.orderBy(*rest).select(key, "_e", "_p", "_b").collect():
+        full = (r["_e"] is not None and entities[r["_e"]] >= per_entity) or (r["_p"] is not None and platforms[r["_p"]] >= per_platform)
+        if not full and bands[r["_b"]] < limits[r["_b"]]:
+            shown.append(r.asDict())
+            entities[r["_e"]] += 1
+            platforms[r["_p"]] += 1
+            bands[r["_b"]] += 1
+    counted = shown_before(cut, [r[key] for r in shown], key, rest)
+    reason = (
+        F.when(F.col(key).isin(*[r[key] for r in shown]), "shown")
+        .when(~F.coalesce(F.col("_b").isin(*limits), F.lit(False)), "no_band")
+        .when(F.col("_e").isNotNull() & (count_of(shown, F.col("_before"), "_e", F.col("_e")) >= per_entity), "entity_cap")
+        .when(F.col("_p").isNotNull() & (count_of(shown, F.col("_before"), "_p", F.col("_p")) >= per_platform), "platform_cap")
+        .otherwise("band_cap")
+    )
+    return counted.select(key, reason.alias("reason"))
+
+
+def keyed_order(order: list[tuple[str, bool]]) -> tuple[Column, list[Column]]:
+    """Sort columns (name, whether it ascends) as one value _o, and the order of its parts."""
+    return F.struct(*[F.col(n).alias(f"o{i}") for i, (n, _) in enumerate(order)]).alias("_o"), [F.col(f"_o.o{i}").asc() if up else F.col(f"_o.o{i}").desc() for i, (_, up) in enumerate(order)]
+
+
+def sectioned(df: DataFrame, key: str, entity: str, platform: str, section: str, order: list[tuple[str, bool]], sections: list[tuple[str, int, int]], per_platform: int) -> DataFrame:
+    """key, section and reason of every row, for sections (name, limit, entity cap) one after the other.
+
+    Within a section each row is judged after all before it: the entity's cap counts what
+    all sections so far show, the platform's what this one does. Rows over the platform cap are
+    deferred. If the whole section comes from one platform and still has room, the deferred
+    rows are taken up again in their order (backfill) until it is full; those that are not
+    reached stay out as platform_cap. A row without a platform is a source of its own.
+    A section shows `limit` rows at most, so its fold sees a bounded head of its rows.
+    """
+    used: Counter = Counter()
+    found, (whole, rest) = None, keyed_order(order)
+    for name, limit, cap in sections:
+        rows = df.where(F.col(section) == name)
+        cut = rows.select(key, F.col(entity).cast("string").alias("_e"), F.col(platform).cast("string").alias("_p"), whole)
+        source = F.coalesce("_p", F.concat(F.lit("\0"), F.col(key).cast("string")))
+        single = cut.agg((F.min(source) == F.max(source)).alias("single")).first()["single"]
+        full = [e for e, n in used.items() if n >= cap]
+        free = cut.where(F.col("_e").isNull() | ~F.col("_e").isin(*full)) if full else cut
+        head = head_of_caps(free, "_e", "_p", rest, max(1, cap), max(per_platform, limit if single else 0), max(1, limit)).orderBy(*rest).collect() if cap > 0 and limit > 0 else []
+        start, shown, deferred, platforms = dict(used), [], [], Counter()
+        for r in head:
+            if r["_e"] is not None and used[r["_e"]] >= cap:
+                continue
+            if r["_p"] is not None and platforms[r["_p"]] >= per_platform > 0:
+                deferred.append(r)
+            elif len(shown) < limit:
+                shown.append(r.asDict())
+                used[r["_e"]] += r["_e"] is not None
+                platforms[r["_p"]] += 1
+        backfill, reached = [], None
+        if single and len(shown) < limit:
+            for r in deferred:
+                if len(shown) + len(backfill) >= limit:
+                    break
+                reached = r[key]
+                if r["_e"] is None or used[r["_e"]] < cap:
+                    backfill.append(r[key])
+                    used[r["_e"]] += r["_e"] is not None
+        # the first pass alone decides what is deferred; backfilled rows were deferred
+        counted = shown_before(cut, [r[key] for r in shown], key, rest)
+        before = F.create_map(*[x for e, n in start.items() if e is not None for x in (F.lit(e), F.lit(n))]) if any(e is not None for e in start) else F.create_map().cast("map<string,int>")
+        entity_full = F.col("_e").isNotNull() & (F.coalesce(F.try_element_at(before, F.col("_e")), F.lit(0)) + count_of(shown, F.col("_before"), "_e", F.col("_e")) >= cap)
+        platform_full = F.col("_p").isNotNull() & (count_of(shown, F.col("_before"), "_p", F.col("_p")) >= per_platform) if per_platform > 0 else F.lit(False)
+        popped = F.lit(False)
+        if single and len(shown) < limit and (backfill or reached is not None or deferred):
+            if len(shown) + len(backfill) < limit:
+                popped = F.lit(True)  # the section never filled up, so every deferred row was taken up
+            else:
+                last = next(tuple(r["_o"]) for r in head if r[key] == backfill[-1])
+                popped = F.lit(False)
+                for i in reversed(range(len(last))):
+                    o = F.col(f"_o.o{i}")
+                    ahead = o < F.lit(last[i]) if order[i][1] else o > F.lit(last[i])
+                    popped = ahead | ((o == F.lit(last[i])) & popped)
+        reason = F.when(F.col(key).isin(*[r[key] for r in shown]), "shown").when(F.col(key).isin(*backfill), "backfill").when(entity_full, "entity_cap").when(platform_full, F.when(popped, "entity_cap").otherwise("platform_cap")).otherwise("size_cap")
+        out = counted.select(key, F.lit(name).alias("section"), reason.alias("reason"))
+        found = out if found is None else found.unionByName(out)
+    return found
+
+
+def first_group(groups: dict[str, Column]) -> Column:
+    """The first group whose condition holds, else null."""
+    out = F.lit(None).cast("string")
+    for name, holds in reversed(groups.items()):
+        out = F.when(F.coalesce(holds, F.lit(False)), name).otherwise(out)
+    return out
+
+
+#: What each grade of a component adds to a listing's score.
+GRADES = {
+    "match": {"strong": 30.0, "medium": 20.0, "weak": 0.0},
+    "economics": {"excellent": 15.0, "viable": 8.0, "budget_known": 8.0, "unknown": 0.0, "below_floor": 0.0},
+    "source": {"original_employer": 10.0, "original_ats": 10.0, "email_offer": 10.0, "reputable_board": 8.0, "aggregator_unresolved": 3.0, "unknown": 1.0, "content_farm": 0.0},
+}
+
+
+def priority_components(role: Column, language: Column, easy: Column, trust: Column, freshness: Column, grades: dict[str, Column], platform_trust: Column, onboarding: Column, low_trust: float = 5.0, high_onboarding: float = 3.0) -> Column:
+    """A listing's score and its parts: role and language by their weight, grades by their table, trust, freshness, easy entry, and what a distrusted platform or a costly start takes away."""
+    lookup = lambda name: F.coalesce(F.try_element_at(F.create_map(*[x for k, v in GRADES[name].items() for x in (F.lit(k), F.lit(v))]), grades[name]), F.lit(0.0))
+    risk = 0.0 - (F.when(platform_trust < 0.5, low_trust).otherwise(0.0) + F.when(onboarding < 0.4, high_onboarding).otherwise(0.0))
+    parts = {
+        "role_priority": F.coalesce(role, F.lit(0)) * 5.0,
+        "match": lookup("match"),
+        "language_edge": F.when(F.coalesce(language, F.lit(False)), 10.0).otherwise(0.0),
+        "economics": lookup("economics"),
+        "source": lookup("source"),
+        "trust": F.round(F.coalesce(trust, F.lit(0.0)) * 10, 2),
+        "freshness": F.round(F.coalesce(freshness, F.lit(0.0)) * 5, 2),
+        "easy_entry": F.when(F.coalesce(easy, F.lit(False)), 5.0).otherwise(0.0),
+        "risk_adjustment": risk,
+    }
+    total = parts["role_priority"]
+    for c in list(parts.values())[1:]:
+        total = total + c
+    return F.struct(*[c.alias(n) for n, c in parts.items()], F.round(total, 2).alias("score"))

@@ -164,3 +164,47 @@ def parsed_pay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def final_url_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = entities.collapsed(orders(spark, sf_dir).select("o_custkey", "o_orderkey"), "o_custkey", [F.col("o_orderkey")], "o_orderkey")
     return out.select("o_custkey", F.col("o_orderkey").alias("best"), F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
+
+
+ORDER_SECTIONS = [("1-URGENT", 8, 2), ("2-HIGH", 6, 2), ("3-MEDIUM", 4, 3)]
+
+
+@query(None)
+def section_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of orders with deferred rows; the first one has a single platform and takes them up again. A test compares all rows with the greedy rule in plain Python."""
+    c, p = F.col("o_custkey"), F.col("o_orderpriority")
+    platform = F.when(p == "1-URGENT", "main").when(c % 7 != 0, F.concat(F.lit("p"), (c % 3).cast("string")))
+    o = orders(spark, sf_dir).select("o_orderkey", "o_totalprice", (c % 25).cast("string").alias("entity"), platform.alias("platform"), p.alias("section"))
+    return ranking.sectioned(o, "o_orderkey", "entity", "platform", "section", [("o_totalprice", False), ("o_orderkey", True)], ORDER_SECTIONS, 2)
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, o_totalprice, o_custkey % 40 AS entity, CASE WHEN o_custkey % 6 = 0 THEN 'easy' WHEN o_orderpriority = '1-URGENT' THEN 'high' WHEN o_orderstatus = 'F' THEN 'mid' END AS band FROM orders),
+a AS (SELECT *, row_number() OVER (PARTITION BY band, entity ORDER BY o_totalprice DESC, o_orderkey) AS n FROM o),
+e AS (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r FROM a WHERE band = 'easy' AND n <= 3), se AS (SELECT * FROM e WHERE r <= 10), ue AS (SELECT entity, count(*) AS u FROM se GROUP BY 1),
+h AS (SELECT a.*, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r FROM a LEFT JOIN ue USING (entity) WHERE band = 'high' AND n + coalesce(u, 0) <= 3), sh AS (SELECT * FROM h WHERE r <= 12), uh AS (SELECT entity, count(*) AS u FROM (SELECT entity FROM se UNION ALL SELECT entity FROM sh) GROUP BY 1),
+m AS (SELECT a.*, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r FROM a LEFT JOIN uh USING (entity) WHERE band = 'mid' AND n + coalesce(u, 0) <= 3), sm AS (SELECT * FROM m WHERE r <= 5)
+SELECT o_orderkey, band, o_orderkey IN (SELECT o_orderkey FROM se UNION ALL SELECT o_orderkey FROM sh UNION ALL SELECT o_orderkey FROM sm) AS shown FROM o"""
+)
+def grouped_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order in the first group whose condition holds, under an entity cap that all groups share."""
+    band = ranking.first_group({"easy": F.col("o_custkey") % 6 == 0, "high": F.col("o_orderpriority") == "1-URGENT", "mid": F.col("o_orderstatus") == "F"})
+    o = orders(spark, sf_dir).select("o_orderkey", "o_totalprice", (F.col("o_custkey") % 40).alias("entity"), band.alias("band"))
+    return ranking.banded_caps(o, "o_orderkey", "entity", [F.desc("o_totalprice"), F.col("o_orderkey")], [("easy", 10), ("high", 12), ("mid", 5)], 3).select("o_orderkey", "band", "shown")
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, o_custkey AS c, o_orderstatus AS s, o_orderpriority AS p, (o_totalprice / 1000000)::DOUBLE AS t, 1.0 / (1 + o_custkey % 8) AS f FROM orders),
+q AS (SELECT *, (c % 4) * 5.0 AS role_priority, CASE s WHEN 'F' THEN 30.0 WHEN 'O' THEN 20.0 ELSE 0.0 END AS match, CASE WHEN c % 3 = 0 THEN 10.0 ELSE 0.0 END AS language_edge, CASE left(p, 1) WHEN '1' THEN 15.0 WHEN '2' THEN 8.0 ELSE 0.0 END AS economics, CASE c % 5 WHEN 0 THEN 10.0 WHEN 1 THEN 8.0 WHEN 2 THEN 3.0 WHEN 3 THEN 1.0 ELSE 0.0 END AS source, round(t * 10, 2) AS trust, round(f * 5, 2) AS freshness, CASE WHEN c % 7 = 0 THEN 5.0 ELSE 0.0 END AS easy_entry, -(CASE WHEN c % 10 < 5 THEN 5.0 ELSE 0.0 END + CASE WHEN c % 10 = 3 THEN 3.0 ELSE 0.0 END) AS risk FROM o)
+SELECT o_orderkey, match, source, economics, risk AS risk_adjustment, round(role_priority + match + language_edge + economics + source + trust + freshness + easy_entry + risk, 2) AS score FROM q"""
+)
+def priority_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of every order's score as a listing, and their sum."""
+    c, one = F.col("o_custkey"), lambda d, key: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))])[key]
+    grades = {
+        "match": one({"F": "strong", "O": "medium", "P": "weak"}, F.col("o_orderstatus")),
+        "economics": one({"1": "excellent", "2": "viable", "3": "unknown", "4": "below_floor", "5": "unknown"}, F.left("o_orderpriority", F.lit(1))),
+        "source": one({0: "original_ats", 1: "reputable_board", 2: "aggregator_unresolved", 3: "unknown", 4: "content_farm"}, (c % 5).cast("int")),
+    }
+    parts = ranking.priority_components(c % 4, c % 3 == 0, c % 7 == 0, (F.col("o_totalprice") / 1000000).cast("double"), 1.0 / (1 + c % 8), grades, (c % 10) / 10.0, F.when(c % 10 == 3, 0.3))
+    return orders(spark, sf_dir).select("o_orderkey", parts.alias("p")).select("o_orderkey", "p.match", "p.source", "p.economics", "p.risk_adjustment", "p.score")
