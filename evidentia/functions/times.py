@@ -42,6 +42,6 @@ def within(as_of: Column, seen: Column, hours: float) -> Column:
 
 
 def retry_after(header: Column, as_of: Column) -> Column:
-    """Seconds to wait: a header's number, or the time to its HTTP date, 0 at least."""
-    date = F.try_to_timestamp(F.regexp_extract(header, "^[A-Za-z]+, (.*) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
+    """Seconds to wait: a header's number, or the time to its HTTP date (GMT whatever the session's zone), 0 at least."""
+    date = F.try_to_timestamp(F.regexp_replace(F.regexp_extract(header, "^[A-Za-z]+, (.* GMT)$", 1), "GMT$", "+0000"), F.lit("dd MMM yyyy HH:mm:ss Z"))
     return F.coalesce(F.trim(header).try_cast("double"), F.greatest(F.lit(0.0), days_between(as_of, date) * 86_400))

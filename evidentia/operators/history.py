@@ -67,8 +67,9 @@ def latest_facts(df: DataFrame, scope: list[str], authority: list[str], at: str,
     if superseded is not None:
         named = superseded.select(F.col(event).alias("_old")).distinct()
         out = out.join(named, out[event] == named["_old"], "left").withColumn("_gone", F.col("_gone") | F.col("_old").isNotNull()).drop("_old")
-    left = F.size(F.collect_set(F.when(~F.col("_gone"), F.struct(F.coalesce(F.col(value).cast("string"), F.lit("\u0000"))))).over(Window.partitionBy(*scope)))
-    return out.withColumn("disposition", F.when(F.col("_gone"), "superseded").when(left > 1, "conflict").otherwise("current")).drop("_gone")
+    left = F.when(~F.col("_gone"), F.coalesce(F.col(value).cast("string"), F.lit("\u0000")))  # no value is a value of its own
+    several = F.coalesce(F.min(left).over(Window.partitionBy(*scope)) != F.max(left).over(Window.partitionBy(*scope)), F.lit(False))
+    return out.withColumn("disposition", F.when(F.col("_gone"), "superseded").when(several, "conflict").otherwise("current")).drop("_gone")
 
 
 def verification(df: DataFrame, keys: list[str], at: str, tie: str, failed: str, most: int, pause_days: int) -> DataFrame:

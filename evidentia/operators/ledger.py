@@ -60,16 +60,21 @@ def health(df: DataFrame, keys: list[str], outcome: str) -> DataFrame:
 
 
 def value_report(df: DataFrame, keys: list[str], adequate: str, actions: str, minutes: str, cost: str) -> DataFrame:
-    """Per cohort adequate checks, the distinct actions, and sums of what was measured; what never was stays null."""
-    return df.groupBy(*keys).agg(
+    """Per cohort adequate checks, the distinct actions, and sums of what was measured; what never was stays null.
+
+    Actions are made distinct as rows, so no cohort's history is gathered in one place.
+    """
+    out = df.groupBy(*keys).agg(
         F.count("*").alias("checks"),
         F.count(F.when(F.col(adequate), 1)).alias("adequate"),
-        F.size(F.array_distinct(F.flatten(F.collect_list(actions)))).alias("n_actions"),
         F.count(F.when(F.col(actions).isNull(), 1)).alias("unknown_actions"),
         F.sum(minutes).alias("minutes"),
         F.count(F.when(F.col(minutes).isNull(), 1)).alias("unmeasured"),
         F.sum(cost).alias("cost"),
     )
+    distinct = df.select(*[F.col(k).alias(f"_{k}") for k in keys], F.explode(actions).alias("_action")).distinct().groupBy(*[f"_{k}" for k in keys]).agg(F.count("*").cast("int").alias("n_actions"))
+    same = [out[k].eqNullSafe(distinct[f"_{k}"]) for k in keys]
+    return out.join(distinct, same, "left").drop(*[f"_{k}" for k in keys]).withColumn("n_actions", F.coalesce("n_actions", F.lit(0)))
 
 
 def overflow_lines(df: DataFrame, group: str, label: str, order: list[Column], each: int, lines: int) -> DataFrame:

@@ -62,6 +62,7 @@ def source_kind(source: Column, tier: Column, prior: Column, host: Column, compa
     """(kind, confidence): whose page an observation comes from. Rules come in order; without proof of an original it stays unknown."""
     own = (company_host != "") & ((host == company_host) | host.endswith(F.concat(F.lit("."), company_host)))
     floor = lambda least: F.greatest(F.coalesce(prior, F.lit(0.0)), F.lit(least))
+    # The kinds and how sure each origin is.
     rules = [
         (source.startswith("email:"), "email_offer", F.lit(0.95)),
         (source.isin(*ats_sources), "original_ats", F.lit(0.92)),
