@@ -14,6 +14,7 @@ a row each. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -26,8 +27,7 @@ from .common import column, slices, span_hashes, written
 from .words import encoder
 
 BLOCK_BYTES = 8 << 20
-BUCKET_BITS = 12  # pre-tokens are dealt out by so many bits of their hash: as many tasks can count them
-MEMO = 300_000  # distinct pre-tokens that a task remembers; a bucket with more counts some again
+BUCKET_BITS, BUCKET_BYTES = 12, 256 << 10  # pre-tokens are dealt out by so many bits of their hash, and by more where a bucket would stand for more bytes of texts
 BLOCKS = "block string, doc_ids array<bigint>, doc_bytes array<bigint>, fixed array<bigint>, sizes array<int>, steps binary, often binary, lists array<struct<bucket:int,pieces:binary>>"
 LISTS = pa.list_(pa.struct([("bucket", pa.int32()), ("pieces", pa.binary())]))
 
@@ -94,25 +94,32 @@ def hashes_of(pieces: list[str]) -> np.ndarray:
 def piece_counts(lists: DataFrame, tokenizer: str) -> DataFrame:
     """lists (block, bucket, pieces) with n, packed, in place of the pieces: how many tokens the tokenizer makes of each.
 
-    All lists of a bucket come to one task, which counts each distinct pre-token once.
+    All lists of a bucket come to one task, one after the other, which counts each distinct
+    pre-token once and holds those of one bucket.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, known = encoder(tokenizer), {}
+        enc, now, known = encoder(tokenizer), None, {}
         for batch in batches:
             wanted = [zlib.decompress(p).decode().split("\0") for p in column(batch, "pieces").to_pylist()]
-            new = list({p for pieces in wanted for p in pieces if p not in known})
-            if len(known) + len(new) > MEMO:
-                known, new = {}, list({p for pieces in wanted for p in pieces})
-            known.update(zip(new, map(len, enc.piece_ids(new))))
-            n = [packed(np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))) for pieces in wanted]
+            buckets = column(batch, "bucket").to_numpy()
+            edges, n = [*np.flatnonzero(np.diff(buckets, prepend=-1)).tolist(), len(buckets)], []
+            for a, b in zip(edges[:-1], edges[1:]):
+                if buckets[a] != now:
+                    now, known = buckets[a], {}
+                new = list({p for pieces in wanted[a:b] for p in pieces if p not in known})
+                known.update(zip(new, map(len, enc.piece_ids(new))))
+                n += [packed(np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))) for pieces in wanted[a:b]]
             yield pa.RecordBatch.from_arrays([column(batch, "block"), column(batch, "bucket"), pa.array(n, pa.binary())], ["block", "bucket", "n"])
 
-    return lists.repartition("bucket").mapInArrow(run, "block string, bucket int, n binary")
+    return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block string, bucket int, n binary")
 
 
-def token_counts(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTES, bits: int = BUCKET_BITS) -> DataFrame:
-    """doc_id, n_bytes and n_tokens of each document."""
+def token_counts(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTES, bits: int | None = None) -> DataFrame:
+    """doc_id, n_bytes and n_tokens of each document. bits of a hash name a pre-token's bucket; without them they follow from the bytes of the texts."""
+    if bits is None:
+        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        bits = max(BUCKET_BITS, math.ceil(math.log2(max(1, total / BUCKET_BYTES))))
     blocks, path = written(frequency_blocks(docs, tokenizer, block_bytes, bits), "blocks")
     counts = piece_counts(blocks.select("block", F.inline("lists")), tokenizer)
 

@@ -14,7 +14,7 @@ by Spark's commit protocol:
     codebook  lengths BINARY   one byte for each id: its code length, 0 for an unused id
 
 Nulls: a null text is an empty text and becomes the end id alone; a null id sorts
-first. Repeated ids are kept and ordered by their length. An empty table gives an
+first. Repeated ids are kept and ordered by a hash of their text. An empty table gives an
 empty dataset. Other columns of the input are ignored.
 """
 

@@ -351,3 +351,34 @@ def test_a_block_costs_the_same_however_many_items_share_it():
     t = time.perf_counter()
     _, _, hit, items = same.scan(np.frombuffer(b"a " * 4000, np.uint8))
     assert hit.all() and items == {"x"} and time.perf_counter() - t < 1
+
+
+def test_each_pre_token_is_counted_once(spark, tmp_path):
+    """Many lists, few buckets: what the model is asked for are the distinct pre-tokens."""
+    from evidentia.llm import words
+
+    docs = spark.createDataFrame([(i, f"alpha beta{i % 40} gamma {i}") for i in range(400)], "doc_id long, text string").repartition(4)
+    blocks, _ = common.written(token_counts.frequency_blocks(docs, BYTES, 200, 2))
+    lists = blocks.select("block", F.inline("lists"))
+    every = [p for r in lists.collect() for p in zlib.decompress(r["pieces"]).decode().split("\0")]
+    asked, real = [], words.Encoder.piece_ids
+    enc = encoder(BYTES)
+    try:
+        words.Encoder.piece_ids = lambda self, pieces: asked.extend(pieces) or real(self, pieces)
+        rows = lists.orderBy("bucket").toArrow().to_batches(max_chunksize=7)
+        grabbed = {}
+
+        class Caught:
+            def repartition(self, *_):
+                return self
+
+            sortWithinPartitions = repartition
+
+            def mapInArrow(self, f, schema):
+                grabbed["run"] = f
+
+        token_counts.piece_counts(Caught(), BYTES)
+        assert sum(b.num_rows for b in grabbed["run"](iter(rows))) == lists.count()
+    finally:
+        words.Encoder.piece_ids = real
+    assert len(every) > 2 * len(set(every)) and sorted(asked) == sorted(set(every)) and enc is encoder(BYTES)
