@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,9 +33,20 @@ def written(df: DataFrame, name: str = "table", codec: str = "zstd") -> tuple[Da
     """df written as Parquet to the shared folder and read again, which cuts its lineage, and its path."""
     path = f"{shared_folder(df.sparkSession)}/{name}"
     df.write.option("compression", codec).parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def made() -> int:
+    """How many tables written() has made so far."""
+    return len(_MADE)
+
+
+def since(mark: int) -> list[str]:
+    """Paths of the tables made after made() gave mark, whether or not they were dropped."""
+    return _MADE[mark:]
+
+
 def dropped(spark: SparkSession, *paths: str) -> None:
     """Deletes tables of written() that no later step reads, with the folders made for them."""
     for p in paths:
