@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import decontamination, neardup, packing, toxicity
 from evidentia.llm.common import dropped, table, written
+from evidentia.scratch import made, since
 
 TOXIC = 0.7
 SEQUENCE, END_ID = 4096, 2
@@ -62,10 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of all documents that the stages keep."""
+    """The pieces of sequences of all documents that the stages keep. What a stage wrote for itself goes once its result is written."""
     docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
+        mark = made()
         docs, path = written(stage(spark, docs, sf_dir), name, "snappy")
-        dropped(spark, *before)
+        dropped(spark, *before, *[p for p in since(mark) if p != path])
         before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
