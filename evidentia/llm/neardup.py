@@ -15,8 +15,8 @@
    several chunks may be similar to each other but not to the centre, so their
    buckets that still hold several components are looked at again. A bucket that
    fits a chunk is compared as a whole. Documents of larger ones get finer keys, by an
-   exact prefix filter: shingles are ordered by how many of these documents have them,
-   and a document at the threshold with another shares one of its first
+   exact prefix filter: shingles are ordered by how many of these documents have them (by a
+   table of counts of bounded size: any order is right, a good one keeps keys apart), and a document at the threshold with another shares one of its first
    n - ceil(percent * n / 100) + 1 shingles with it. Shingles of one document alone
    come first and can't be shared, so a document that differs enough from all others has no
    key. Keys of up to MEET documents give pairs, of which bounds of the overlap leave
@@ -48,6 +48,7 @@ from .common import PIECE, column, dropped, mix64, slices, span_hashes, text_byt
 BINS, ROWS = 128, 4
 CHUNK = 64  # documents that are compared with each other at the first look
 MEET = 32  # documents of a finer key that are paired
+RARITY_BITS = 22  # of the table of shingles' counts, 16 MB, that orders them
 GROUP = 1 << 18  # shingles of askers, and of those asked, in a group of the last resort
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -339,6 +340,42 @@ def token_sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "doc long, n long, tokens array<bigint>")
 
 
+def rarity(sets: DataFrame, bits: int = RARITY_BITS) -> np.ndarray:
+    """How many documents of sets (doc, n, tokens) have tokens of each hash of so many bits; a count of one is exact, others are no less than a token's own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, n = np.unique(column(batch, "tokens").flatten().to_numpy().view(np.uint64) >> np.uint64(64 - bits), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), pa.array(n)], ["place", "n"])
+
+    found = sets.mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # 2**bits rows at most
+    out = np.zeros(1 << bits, np.uint32)
+    out[found["place"].to_numpy()] = np.minimum(found["n"].to_numpy(), (1 << 32) - 1)
+    return out
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """(doc, n, left, key): the first tokens of each document in the order (count, token), but those of one document alone; left counts the tokens from there on."""
+    shift = np.uint64(64 - (len(counts).bit_length() - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, at = column(batch, "doc").to_numpy(), column(batch, "tokens").offsets.to_numpy()
+            flat = column(batch, "tokens").values.to_numpy()
+            cols: list[list[np.ndarray]] = [[], [], [], []]
+            for doc, a, b in zip(docs.tolist(), at[:-1], at[1:]):
+                tokens, n = flat[a:b], int(b - a)
+                often = counts[(tokens.view(np.uint64) >> shift).astype(np.int64)]
+                first = np.lexsort((tokens, often))[: n - -(-percent * n // 100) + 1]
+                place = np.flatnonzero(often[first] > 1)
+                for c, v in zip(cols, (np.full(len(place), doc), np.full(len(place), n), n - place, tokens[first[place]])):
+                    c.append(v)
+            arrays = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in arrays], ["doc", "n", "left", "key"])
+
+    return sets.mapInArrow(run, "doc long, n long, left long, key long")
+
+
 def finer(sets: DataFrame, component: DataFrame, percent: int, saved: Callable[[DataFrame, str], DataFrame], meet: int = MEET) -> tuple[DataFrame, DataFrame]:
     """Pairs (centre, doc) of documents of several components that may be similar, and the documents of keys that more than meet of them share (key, doc, component, n_shingles).
 
@@ -346,16 +383,8 @@ def finer(sets: DataFrame, component: DataFrame, percent: int, saved: Callable[[
     drop pairs before texts are read: what is left from the first shared token on, and the
     shared tokens of the prefixes with all that may follow them.
     """
-    tokens = sets.select("doc", "n", F.explode("tokens").alias("token"))
-    counts = saved(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "counts").hint("merge")
-    listed = tokens.join(counts, "token").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("shared"))
-    # the first tokens of a document, in the order (count, token): those that no other document has come before all shared ones
     least = lambda n: F.ceil(n * F.lit(percent) / 100).cast("long")
-    skip = F.col("n") - F.size("shared")
-    room = F.greatest(F.least(F.col("n") - least(F.col("n")) + 1 - skip, F.size("shared")), F.lit(0)).cast("int")
-    prefix = listed.select("doc", "n", skip.alias("skip"), F.posexplode(F.slice("shared", F.lit(1), room)).alias("at", "token"))
-    rows = prefix.select("doc", "n", (F.col("n") - F.col("skip") - F.col("at")).alias("left"), F.col("token.token").alias("key"))
-    rows = saved(rows.join(component.hint("merge"), "doc"), "keys")
+    rows = saved(prefixes(sets, rarity(sets), percent).join(component.hint("merge"), "doc"), "keys")
     groups = rows.groupBy("key").agg(F.count("*").alias("m"), (F.min("component") != F.max("component")).alias("several")).where("several")
     groups = saved(groups.select("key", "m"), "meetings").hint("merge")
     few = saved(rows.join(groups.where(F.col("m") <= meet), "key").select("key", "doc", "n", "component", "left"), "few")
