@@ -74,7 +74,7 @@ def value_report(df: DataFrame, keys: list[str], adequate: str, actions: str, mi
     )
     distinct = df.select(*[F.col(k).alias(f"_{k}") for k in keys], F.explode(actions).alias("_action")).distinct().groupBy(*[f"_{k}" for k in keys]).agg(F.count("*").cast("int").alias("n_actions"))
     same = [out[k].eqNullSafe(distinct[f"_{k}"]) for k in keys]
-    return out.join(distinct, same, "left").drop(*[f"_{k}" for k in keys]).withColumn("n_actions", F.coalesce("n_actions", F.lit(0)))
+    return out.join(distinct, same, "left").select(*keys, "checks", "adequate", F.coalesce("n_actions", F.lit(0)).alias("n_actions"), "unknown_actions", "minutes", "unmeasured", "cost")
 
 
 def overflow_lines(df: DataFrame, group: str, label: str, order: list[Column], each: int, lines: int) -> DataFrame:
