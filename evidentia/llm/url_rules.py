@@ -15,8 +15,9 @@ what is on top at height d is the last that opened at height d.
    longest rule path) of urls, each asking once for each host of its stack.
 3. The longest rule over a stack's hosts wins.
 
-Askers are dealt over parts of about PART of them, each swept alone with its own copy
-of the intervals, so however many urls share a host, no key meets in one task.
+Askers are distinct, and dealt over parts of about PART of them, each swept alone with its
+own copy of the intervals: rules are copied once for each part. What they find is joined
+back to the urls by host and path; urls of a host that many share are split by adaptive execution.
 
 Nulls: a null url, or one without ://, has an empty host and path. Rules with a
 null host or path are ignored; of rules with the same host and path, block wins.

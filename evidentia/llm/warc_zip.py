@@ -56,7 +56,8 @@ SALTS = 16  # parts of a payload that many pages repeat
 def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, url, payload and refers_to of pages (page_id, url, payload): the page that a repeated payload refers to.
 
-    Only pages whose payload is repeated take part in a join, dealt over SALTS parts of each payload.
+    Digests of repeated payloads alone are gathered, but every page moves once to learn what it refers to; those of one payload
+    are dealt over SALTS parts.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("payload", F.lit(bytearray())).alias("payload"))
     rows = rows.withColumn("_sha1", F.sha1("payload")).withColumn("_size", F.octet_length("payload")).withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
