@@ -40,3 +40,8 @@ def test_role_markup_of_deep_and_long_pages(spark, tmp_path):
 def test_blocks_of_a_deep_page(spark):
     df = spark.createDataFrame([(DEEP[0],)], "m string")
     assert df.select(elements.blocks(F.col("m")).alias("b")).first()["b"] == ["a"] * 69 + ["a b", "c"]
+
+
+def test_nested_regions_of_deep_and_long_pages(spark, tmp_path):
+    got, want = both(spark, tmp_path, "nested_regions", "pages", deep_pages(spark))
+    assert got == want and sum(r[0] != "None" for r in got) == 8
