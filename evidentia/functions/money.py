@@ -63,9 +63,14 @@ def parsed_pay(text: Column, policy: PayPolicy = PayPolicy()) -> Column:
     return F.when(F.coalesce(F.trim(text) != "", F.lit(False)), let(stated, per_hour)).otherwise(unknown)
 
 
+def unrounded_rate(nominal: Column, availability: Column, overhead: Column) -> Column:
+    """What is left of a rate after idle and unpaid time, between 0 and the rate; for those who round it once, in their own unit."""
+    return F.least(F.greatest(F.lit(0.0), nominal * availability * (1 - overhead)), F.greatest(F.lit(0.0), nominal))
+
+
 def effective_rate(nominal: Column, availability: Column, overhead: Column) -> Column:
-    """What is left of a rate after idle and unpaid time, between 0 and the rate."""
-    return F.round(F.least(F.greatest(F.lit(0.0), nominal * availability * (1 - overhead)), F.greatest(F.lit(0.0), nominal)), 2)
+    """unrounded_rate() to two places."""
+    return F.round(unrounded_rate(nominal, availability, overhead), 2)
 
 
 def conservative_rate(low: Column, high: Column, availability: Column, overhead: Column) -> Column:

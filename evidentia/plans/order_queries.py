@@ -125,7 +125,7 @@ def registry_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("nation"))
     s = joins.looked_up(table(spark, sf_dir, "supplier"), registry, "s_nationkey", defaults={"nation": "unknown"})
     trust = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("s_acctbal") / 8192))
-    rate = money.effective_rate(F.lit(20.0), trust, F.lit(0.25))
+    rate = money.unrounded_rate(F.lit(20.0), trust, F.lit(0.25))
     return s.select("s_suppkey", "nation", F.round(100 * rate).cast("long").alias("effective_cents"), scoring.badge(trust, 0.7, 0.5).alias("badge"))
 
 

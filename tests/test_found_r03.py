@@ -45,3 +45,18 @@ def test_blocks_of_a_deep_page(spark):
 def test_nested_regions_of_deep_and_long_pages(spark, tmp_path):
     got, want = both(spark, tmp_path, "nested_regions", "pages", deep_pages(spark))
     assert got == want and sum(r[0] != "None" for r in got) == 8
+
+
+#: Balances whose shares lie beside a half of the last place: multiples of 40.96, and others.
+def near_halves(spark, folder):
+    con = duckdb.connect()
+    con.execute("create table nation as select i::int as n_nationkey, 'N' || i as n_name from range(25) t(i)")
+    con.execute("create table supplier as select i as s_suppkey, (i % 25)::int as s_nationkey, ((i - 400) * 4096 // 8 / 100.0)::double as s_acctbal from range(2500) t(i)")
+    for t in ("nation", "supplier"):
+        con.execute(f"copy {t} to '{folder}/{t}.parquet' (format parquet)")
+    return con
+
+
+def test_rates_beside_half_a_cent(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "registry_left_join", near_halves(spark, tmp_path))
+    assert len(got) == 2500 and got == want
