@@ -60,3 +60,8 @@ def near_halves(spark, folder):
 def test_rates_beside_half_a_cent(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "registry_left_join", near_halves(spark, tmp_path))
     assert len(got) == 2500 and got == want
+
+
+def test_trust_beside_half_of_the_last_place(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "trust_scores", near_halves(spark, tmp_path))
+    assert len(got) == 2500 and got == want
