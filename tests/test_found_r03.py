@@ -1,10 +1,13 @@
 """What the third review found: each query against its SQL on small tables made for the case."""
 
+import re
+import time
+
 import duckdb
-import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import elements
+from evidentia.operators import claims
 from evidentia.plans import ORACLES, QUERIES
 
 
@@ -65,3 +68,21 @@ def test_rates_beside_half_a_cent(spark, tmp_path):
 def test_trust_beside_half_of_the_last_place(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "trust_scores", near_halves(spark, tmp_path))
     assert len(got) == 2500 and got == want
+
+
+def test_letters_without_case_are_those_of_the_patterns():
+    for letter in "abcdefghijklmnopqrstuvwxyz":
+        pattern = re.compile(f"(?i){letter}")
+        for c in filter(pattern.fullmatch, map(chr, range(0x3000))):
+            assert claims.small(c) == letter
+    assert [k for k, *_ in claims.claims_of("A licen\u017fe and 20 \u0130NR 7.")] == ["credential", "money:unknown"]
+
+
+def test_a_long_text_without_claims_costs_less_than_its_patterns():
+    text = "an der und ist die ein of the and to on que los " * 20000
+    began = time.process_time()
+    for pattern in (*claims.NAMED.values(), *(p for _, p in claims.MODALITIES), *(p for _, p in claims.CONDITIONS)):
+        pattern.search(text)
+    patterns, began = time.process_time() - began, time.process_time()
+    assert list(claims.claims_of(text)) == []
+    assert time.process_time() - began < patterns
