@@ -86,3 +86,10 @@ def test_a_long_text_without_claims_costs_less_than_its_patterns():
     patterns, began = time.process_time() - began, time.process_time()
     assert list(claims.claims_of(text)) == []
     assert time.process_time() - began < patterns
+
+
+def test_conditions_read_the_claims_once(spark):
+    df = claims.span_claims(spark.createDataFrame([(1, "We pay $7 per task. Payment is sent within 3 days.")], "id long, body string"), "body")
+    out = claims.bound_conditions(df, "id")
+    assert out._jdf.queryExecution().executedPlan().toString().count("BatchEvalPythonUDTF") == 1
+    assert [(r.amount, r.found) for r in out.collect()] == [("$7 per task", "section")]
