@@ -7,7 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from evidentia.functions import elements
-from evidentia.operators import claims
+from evidentia.operators import claims, observations
 from evidentia.plans import ORACLES, QUERIES
 
 
@@ -93,3 +93,12 @@ def test_conditions_read_the_claims_once(spark):
     out = claims.bound_conditions(df, "id")
     assert out._jdf.queryExecution().executedPlan().toString().count("BatchEvalPythonUDTF") == 1
     assert [(r.amount, r.found) for r in out.collect()] == [("$7 per task", "section")]
+
+
+def test_a_resolvers_record_is_read_once(spark):
+    df = spark.createDataFrame([(1, '{"attempted":true}', "https://a.example/", "unknown", 0.5)], "id long, record string, url string, kind string, confidence double")
+    out = observations.resolved(df, "record", "url", "kind", "confidence")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.lower().count("parse_json") + plan.lower().count("parsejson") <= 2
+    assert out.columns == [*df.columns, "resolution_attempted", "resolution_error", "redirect_trail", "hydrated", "hydrated_source"]
+    assert out.first()["resolution_attempted"] is True
