@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..scratch import dropped, written
 
+#: Rows in a part that a task sorts, about; of five short columns these take some 250 MB, twice sorted.
+PART_ROWS = 250_000
+
 
 def deduplicated(df: DataFrame, key: Column, rank: list[Column], source: str, content: Column) -> DataFrame:
     """The row of each key with the highest rank (ties by content), its sources united and how many rows it stands for.
@@ -77,8 +80,11 @@ def corroborated(df: DataFrame, same: list[str], amount: str, source: str, toler
 
     One sort of each group and no pairs: the nearest amount of another source below a
     claim stands just before the run of claims of its own source that it is in, and the
-    nearest above just after it.
+    nearest above just after it. The parts that groups are dealt to follow the number of rows, so
+    that what a task sorts does not grow with the input.
     """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.repartition(max(least, -(-df.count() // PART_ROWS)), *same)
     up, down = Window.partitionBy(*same).orderBy(amount, source, tie), Window.partitionBy(*same).orderBy(F.desc(amount), F.desc(source), F.desc(tie))
 
     def nearest(w: Window) -> Column:

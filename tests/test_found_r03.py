@@ -7,7 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from evidentia.functions import elements
-from evidentia.operators import claims, observations
+from evidentia.operators import claims, entities, observations
 from evidentia.plans import ORACLES, QUERIES
 
 
@@ -102,3 +102,11 @@ def test_a_resolvers_record_is_read_once(spark):
     assert 0 < plan.lower().count("parse_json") + plan.lower().count("parsejson") <= 2
     assert out.columns == [*df.columns, "resolution_attempted", "resolution_error", "redirect_trail", "hydrated", "hydrated_source"]
     assert out.first()["resolution_attempted"] is True
+
+
+def test_parts_of_claims_follow_their_number(spark, monkeypatch):
+    monkeypatch.setattr(entities, "PART_ROWS", 100)
+    df = spark.range(5000).select((F.col("id") % 500).alias("k"), (F.col("id") % 7).cast("double").alias("amount"), (F.col("id") % 3).alias("source"), "id")
+    out = entities.corroborated(df, ["k"], "amount", "source", 0.5, "id")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert out.rdd.getNumPartitions() == 50 and out.count() == 5000
